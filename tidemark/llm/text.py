@@ -15,7 +15,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Upper bound of the text bytes handled in one numpy step (a single longer text is handled whole).
@@ -111,7 +111,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         if m <= 0:
             break
         same = text[:m] == text[j:]
-        parts[:m] += np.where(same, h[j:] * _PLACE[j], np.uint64(0))
+        parts[:m] += np.where(same, h[j:] * PLACE[j], np.uint64(0))
     keep = np.where(short, place == 0, place <= count[text] - k)
     return mix(parts[keep]), text[keep]
 
