@@ -11,6 +11,7 @@ from tidemark.llm.decontaminate import contamination
 from tidemark.llm.lang_id import fit_languages, held_out, identify
 from tidemark.llm.line_dedup import drop_frequent_lines
 from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.packing import pack
 from tidemark.session import table
 
 
@@ -18,6 +19,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -85,7 +90,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
