@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import toxicity
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.lang_id import fit_languages, held_out, identify
 from tidemark.llm.line_dedup import drop_frequent_lines
@@ -23,6 +24,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(parts=4, part=2))
+    found = toxicity.toxicity(docs, model, least=0.3)
+    return found.select("doc_id", toxicity.held_out(parts=4, part=2).alias("held_out"), "score", "predicted")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -90,7 +98,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
