@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.embedding_dup import embedding_duplicates
 from tidemark.llm.lang_id import fit_languages, held_out, identify
 from tidemark.llm.line_dedup import drop_frequent_lines
 from tidemark.llm.near_dup import near_duplicates
@@ -20,6 +21,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,23 @@ FROM keyed k LEFT JOIN often o ON k.key = o.key
 GROUP BY doc_id
 """
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(b) AS component_id, min(b) = vec_id AS kept
+FROM embeddings JOIN reach ON a = vec_id GROUP BY vec_id
+"""
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -98,8 +120,8 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL}
