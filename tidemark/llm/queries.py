@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import toxicity
+from tidemark.llm import pii, toxicity
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.embedding_dup import embedding_duplicates
 from tidemark.llm.lang_id import fit_languages, held_out, identify
@@ -25,6 +25,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list("base"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -120,7 +126,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
