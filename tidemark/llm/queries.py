@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, toxicity
+from tidemark.llm import html_text, pii, toxicity
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.embedding_dup import embedding_duplicates
 from tidemark.llm.lang_id import fit_languages, held_out, identify
@@ -47,6 +47,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.fit_labeller(pages))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -126,7 +131,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
