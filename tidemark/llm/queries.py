@@ -14,6 +14,7 @@ from tidemark.llm.lang_id import fit_languages, held_out, identify
 from tidemark.llm.line_dedup import drop_frequent_lines
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.token_counts import document_token_counts
 from tidemark.session import table
 
 
@@ -52,6 +53,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages, html_text.fit_labeller(pages))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -131,7 +136,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op8_token_counts, op9_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
