@@ -263,3 +263,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
         _merged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:long,end:long>>, items array<string>"
     )
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents in which no window of any benchmark item occurs, all columns as they were."""
+    gone = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs[options.get("id_col", "doc_id")] == F.col("__id"), "left_anti")

@@ -171,37 +171,50 @@ class _Scores(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
+def _labels(scores: _Scores, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and posterior of each text, in runs of about 2 MB of text."""
+    model, width = scores.model, len(scores.model.langs) + 1
+    lang, score = [], []
+    row = 0
+    while row < len(texts):
+        tokens, ends, size = [], [0], 0
+        while row < len(texts) and (len(ends) == 1 or size < 1 << 21):
+            tokens += (texts[row] or "").lower().split()
+            size += len(texts[row] or "")
+            ends.append(len(tokens))
+            row += 1
+        at = scores.rows(tokens)
+        running = np.concatenate([np.zeros((1, width)), np.cumsum(scores.table[at], 0)])
+        for x in np.diff(running[ends], axis=0):
+            if x[0] < 0.5 or not model.langs:
+                lang.append("und")
+                score.append(0.0)
+            else:
+                lang.append(model.langs[int(x[1:].argmax())])
+                score.append(float(1 / np.exp(x[1:] - x[1:].max()).sum()))
+    return lang, score
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scores = _Scores(model)
+        scores = _Scores(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang, score = [], []
-            row = 0
-            while row < len(texts):
-                tokens, ends, size = [], [], 0
-                while row < len(texts) and (not ends or size < 1 << 21):
-                    t = (texts[row] or "").lower().split()
-                    size += len(texts[row] or "")
-                    tokens += t
-                    ends.append(len(tokens))
-                    row += 1
-                values = np.concatenate([np.zeros((1, len(model.langs) + 1)), np.cumsum(scores.table[at] if len(at := scores.rows(tokens)) else np.zeros((0, len(model.langs) + 1)), 0)])
-                total = np.diff(values[[0, *ends]], axis=0)
-                for x in total:
-                    if x[0] < 0.5 or not model.langs:
-                        lang.append("und")
-                        score.append(0.0)
-                    else:
-                        k = int(x[1:].argmax())
-                        lang.append(model.langs[k])
-                        score.append(float(1 / np.exp(x[1:] - x[1:].max()).sum()))
+            lang, score = _labels(scores, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _identified(shared, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(shared.value)
+        for batch in batches:
+            lang, _ = _labels(scores, batch.column(column).to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return run
+
+
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % parts == part
 
@@ -231,3 +244,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+
+
+def drop_unidentified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose text has a language (isn't `und`), all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_identified(shared, "text"), docs.schema)

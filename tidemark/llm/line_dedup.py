@@ -113,7 +113,7 @@ def _drop(docs: pa.Table, often: pa.Table) -> pa.Table:
                 texts[i] = "\n".join(line for line, k in zip(texts[i].split("\n"), keep, strict=True) if k)
                 dropped[i] = n
     return pa.table({
-        "doc_id": docs["doc_id"], "text": pa.array(texts, pa.string()), "n_lines": docs["n_lines"], "n_dropped": pa.array(dropped),
+        "doc_id": docs["doc_id"], "text": pa.array(texts, pa.string()), "n_lines": docs["n_lines"], "n_dropped": pa.array(dropped), "row": docs["row"],
     })
 
 
@@ -122,20 +122,24 @@ def _line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(_WHITE)), upper, lower)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_columns: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""docs -> (doc_id, text, n_lines, n_dropped): without the lines whose key is found in min_docs documents or more.
 
     A key is the line without ASCII white space at its ends and with A-Z lower-cased; keys under min_chars code points
     stay. Keys are told apart by two 64-bit hashes (the shard's fingerprint keeps 32 bits of the second).
 
+    keep_columns: the result is instead docs with the new text, all other columns as they were.
+
     Null or empty text is one empty line and comes back as the empty text. Repeated lines of one document count once.
     Ids must be unique; rows with a null id are kept (as a document of its own each). Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    names = docs.columns
+    row = F.struct(*(F.col(c) for c in names if c != text_col)) if keep_columns else F.lit(None).cast("boolean")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("row"))
     blocks = max(1, math.ceil(docs.count() / BLOCK_DOCS))
     keys = F.transform(F.split("text", "\n", -1), _line_key)
     hashed = docs.withColumn("keys", keys).select(
-        "doc_id", "text", F.size("keys").cast("long").alias("n_lines"),
+        "doc_id", "text", "row", F.size("keys").cast("long").alias("n_lines"),
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"),
         F.transform("keys", lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(k))).alias("a"),
         F.transform("keys", lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(F.lit(1), k))).alias("b"),
@@ -160,4 +164,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         asked = asked.join(hot, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("block"), salts).cast("int")).drop("salts")
         index = index.join(hot, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     often = asked.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInArrow(_probe(min_docs), "block long, h1 long, h2 long")
-    return hashed.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(_drop, "doc_id long, text string, n_lines long, n_dropped long")
+    shape = f"doc_id long, text string, n_lines long, n_dropped long, row {docs.schema['row'].dataType.simpleString()}"
+    kept = hashed.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(_drop, shape)
+    if keep_columns:
+        return kept.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names))
+    return kept.drop("row")
