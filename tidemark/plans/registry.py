@@ -1,11 +1,15 @@
-"""Every registered query of the analytics operators, with its oracle SQL."""
+"""Every registered query of the analytics operators: the operator on the driver tables, and its oracle SQL."""
 
 from __future__ import annotations
 
+from tidemark.plans import market_queries, record_queries, tail_queries
+
+_MODULES = (market_queries, tail_queries, record_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: sql for m in _MODULES for k, (_, sql) in m.QUERIES.items() if sql}
