@@ -31,9 +31,11 @@ def worst_mean(rows: DataFrame, keys: list[str], value: str, share: float, tie:
 
 def weighted_tail_loss(rows: DataFrame, keys: list[str], pnl: str, probability: str, tail: float, name: str) -> DataFrame:
     """Mean loss of the worst scenarios up to a mass of `tail`; the last one counts with what is left of the mass."""
+    kind = rows.schema[probability].dataType  # decimals stay exact
     w = Window.partitionBy(*keys).orderBy(pnl, probability).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.least(F.col(probability), F.greatest(F.lit(0.0), F.lit(tail) - F.coalesce(F.sum(probability).over(w), F.lit(0.0))))
-    return rows.withColumn("used", used).groupBy(*keys).agg((F.sum(F.greatest(F.lit(0.0), -F.col(pnl)) * F.col("used")) / F.lit(tail)).alias(name))
+    used = F.least(F.col(probability), F.greatest(F.lit(0).cast(kind), F.lit(tail).cast(kind) - F.coalesce(F.sum(probability).over(w), F.lit(0).cast(kind)))).cast(kind)
+    loss = F.greatest(F.lit(0).cast(rows.schema[pnl].dataType), -F.col(pnl))
+    return rows.withColumn("used", used).groupBy(*keys).agg((F.sum(loss * F.col("used")).cast("double") / F.lit(tail)).alias(name))
 
 
 def max_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, name: str) -> DataFrame:
