@@ -1 +1,237 @@
-QUERIES = {}
+"""Point-in-time records, ledgers, gates, workflow state and ordered folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import asof, rules
+from tidemark.session import table
+from tidemark.streaming import folds
+
+
+def pit_latest_revision(spark, sf_dir):
+    """The view of every customer's latest order that had been seen by a day (first seen up to 4 days after its date)."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("logical_key"), F.col("o_orderkey").alias("record_id"), F.to_date("o_orderdate").alias("published"), F.expr("date_add(to_date(o_orderdate), CAST(o_orderkey % 5 AS INT))").alias("first_seen"), "o_totalprice")
+    return asof.latest_revision(rows, "logical_key", F.lit("1998-06-01").cast("date"), "first_seen", ["first_seen", "published", "record_id"])
+
+
+PIT = """SELECT logical_key, record_id, published, first_seen, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY logical_key ORDER BY first_seen DESC, published DESC, record_id DESC) AS rn FROM (
+  SELECT o_custkey AS logical_key, o_orderkey AS record_id, CAST(o_orderdate AS DATE) AS published, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS first_seen, o_totalprice FROM orders) WHERE first_seen <= DATE '1998-06-01') WHERE rn = 1"""
+
+
+def outcome_counts(spark, sf_dir):
+    """Every order ends in exactly one outcome, in fixed precedence."""
+    k, total = F.col("o_orderkey"), F.col("o_totalprice")
+    outcome = rules.first_of([(k % 13 == 0, "GAP"), (k % 7 == 0, "ALREADY_PRESENT"), (total < 1000, "SKIPPED_NO_ANCHOR"), (F.col("o_orderstatus") == "P", "SKIPPED_COVERAGE")], "LABELLED")
+    return table(spark, sf_dir, "orders").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+OUTCOMES = "SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'GAP' WHEN o_orderkey % 7 = 0 THEN 'ALREADY_PRESENT' WHEN o_totalprice < 1000 THEN 'SKIPPED_NO_ANCHOR' WHEN o_orderstatus = 'P' THEN 'SKIPPED_COVERAGE' ELSE 'LABELLED' END AS outcome, count(*) AS n FROM orders GROUP BY 1"
+
+
+def promotion_gate(spark, sf_dir):
+    """Required slices (line status by return flag, and one that never occurs) against their evidence: a missing slice
+    and every broken threshold is a reason."""
+    evidence = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("event_type"), F.col("l_returnflag").alias("regime")).agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col("l_discount") > 0.08).cast("int").cast("double")), 6).alias("cross_rate"), F.max("l_quantity").alias("worst")
+    )
+    need = spark.createDataFrame([(e, r) for e in "FO" for r in "ANRX"], "event_type string, regime string")
+    rows = need.join(evidence, ["event_type", "regime"], "left")
+    seen = F.col("n").isNotNull()
+    why = rules.reasons([(~seen, "MISSING_SLICE"), (seen & F.coalesce(F.col("n") < 10000, F.lit(False)), "TOO_FEW_SAMPLES"), (seen & F.coalesce(F.col("cross_rate") > 0.15, F.lit(False)), "CROSS_RATE"), (seen & F.coalesce(F.col("worst") > 100, F.lit(False)), "DRAWDOWN")])
+    return rows.select("event_type", "regime", "n", F.array_join(why, ",").alias("reasons"), (F.size(why) == 0).alias("passed"))
+
+
+PROMOTION = """WITH need AS (SELECT e.e AS event_type, r.r AS regime FROM (VALUES ('F'), ('O')) e(e), (VALUES ('A'), ('N'), ('R'), ('X')) r(r)),
+ev AS (SELECT l_linestatus AS event_type, l_returnflag AS regime, count(*) AS n, round(avg(CAST(l_discount > 0.08 AS INTEGER)), 6) AS cross_rate, max(l_quantity) AS worst FROM lineitem GROUP BY 1, 2),
+j AS (SELECT event_type, regime, n, concat_ws(',', CASE WHEN n IS NULL THEN 'MISSING_SLICE' END, CASE WHEN n < 10000 THEN 'TOO_FEW_SAMPLES' END, CASE WHEN cross_rate > 0.15 THEN 'CROSS_RATE' END, CASE WHEN worst > 100 THEN 'DRAWDOWN' END) AS reasons
+FROM need LEFT JOIN ev USING (event_type, regime)) SELECT event_type, regime, n, reasons, reasons = '' AS passed FROM j"""
+
+
+def readiness_blockers(spark, sf_dir):
+    """Seven requirements of every nation against its evidence (suppliers): missing, not verified or expired."""
+    need = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*(F.lit(k) for k in range(7)))).alias("requirement"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), (F.col("s_suppkey") % 9).cast("int").alias("requirement"), "s_suppkey", F.col("s_acctbal").alias("score"))
+    last = asof.latest_per_key(s, ["n_nationkey", "requirement"], ["s_suppkey"], ["score"])
+    rows = need.join(last, ["n_nationkey", "requirement"], "left")
+    state = rules.first_of([(F.col("score").isNull(), "MISSING"), (F.col("score") < 0, "NOT_VERIFIED"), (F.col("score") < 2000, "EXPIRED")], "VERIFIED")
+    return rows.select("n_nationkey", "requirement", state.alias("state"))
+
+
+READINESS = """WITH need AS (SELECT n_nationkey, CAST(range AS INTEGER) AS requirement FROM nation, range(7)),
+s AS (SELECT s_nationkey AS n_nationkey, CAST(s_suppkey % 9 AS INTEGER) AS requirement, max_by(s_acctbal, s_suppkey) AS score FROM supplier GROUP BY 1, 2)
+SELECT n_nationkey, requirement, CASE WHEN score IS NULL THEN 'MISSING' WHEN score < 0 THEN 'NOT_VERIFIED' WHEN score < 2000 THEN 'EXPIRED' ELSE 'VERIFIED' END AS state FROM need LEFT JOIN s USING (n_nationkey, requirement)"""
+
+
+def decision_gates(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    bal, seg = F.col("c_acctbal"), F.col("c_mktsegment")
+    why = rules.reasons([(bal < 0, "RISK_LOCK"), (seg == "MACHINERY", "STALE_DATA"), (F.col("c_nationkey") % 5 == 0, "SESSION_CLOSED"), (bal > 9000, "LIMIT")])
+    return c.select("c_custkey", F.array_join(why, ",").alias("reasons"), rules.decision(why).alias("action"))
+
+
+GATES = """WITH r AS (SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'RISK_LOCK' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'STALE_DATA' END, CASE WHEN c_nationkey % 5 = 0 THEN 'SESSION_CLOSED' END, CASE WHEN c_acctbal > 9000 THEN 'LIMIT' END) AS reasons FROM customer)
+SELECT c_custkey, reasons, CASE WHEN reasons = '' THEN 'WAIT' ELSE 'NO_TRADE' END AS action FROM r"""
+
+
+def risk_lock_state(spark, sf_dir):
+    """Orders as risk events: locked until settled, then stabilising for 30 days, then cleared; with the time to look again."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    now = F.lit("2000-01-01").cast("date")
+    state = rules.first_of([(F.col("day") > now, "SCHEDULED"), (F.col("o_orderstatus") == "O", "LOCKED"), (F.date_add("day", 30) > now, "STABILIZING")], "CLEARED")
+    return o.withColumn("state", state).select("o_orderkey", "state", F.when(F.col("state") == "STABILIZING", F.date_add("day", 30)).alias("rerun_at"))
+
+
+RISK = """SELECT o_orderkey, state, CASE WHEN state = 'STABILIZING' THEN day + 30 END AS rerun_at FROM (SELECT o_orderkey, day, CASE WHEN day > DATE '2000-01-01' THEN 'SCHEDULED' WHEN o_orderstatus = 'O' THEN 'LOCKED' WHEN day + 30 > DATE '2000-01-01' THEN 'STABILIZING' ELSE 'CLEARED' END AS state
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM orders))"""
+
+
+def next_checkpoint(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    points = F.array(*(F.date_add("day", k) for k in (1, 7, 30)))
+    return o.select("o_orderkey", F.array_min(F.filter(points, lambda p: p > F.lit("1998-01-01").cast("date"))).alias("next_at"))
+
+
+CHECKPOINT = """SELECT o_orderkey, list_min(list_filter([day + 1, day + 7, day + 30], lambda p: p > DATE '1998-01-01')) AS next_at FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)"""
+
+
+def hash_chain_verify(spark, sf_dir):
+    """Every nation's customers as a ledger: entry hashes are of the own content, previous hashes link to the entry before.
+    Some links and some hashes are false; the operator finds them without trusting any stored value."""
+    c = table(spark, sf_dir, "customer")
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    own = lambda name: F.sha2(F.concat_ws("|", F.col("seq").cast("string"), F.col(name)), 256)
+    rows = c.withColumn("seq", F.row_number().over(w)).withColumn("good", own("c_name"))
+    rows = rows.withColumn("entry", F.when(F.col("c_custkey") % 211 == 0, F.lit("x")).otherwise(F.col("good")))
+    rows = rows.withColumn("previous", F.when(F.col("c_custkey") % 97 == 0, "y").otherwise(F.coalesce(F.lag("entry").over(w), F.lit("GENESIS"))))
+    return rules.chain_breaks(rows, ["c_nationkey"], "seq", "previous", "entry", own("c_name"), "GENESIS")
+
+
+CHAIN = """WITH a AS (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS seq FROM customer),
+b AS (SELECT *, sha256(CAST(seq AS VARCHAR) || '|' || c_name) AS good FROM a), c AS (SELECT *, CASE WHEN c_custkey % 211 = 0 THEN 'x' ELSE good END AS entry FROM b),
+d AS (SELECT *, coalesce(lag(entry) OVER (PARTITION BY c_nationkey ORDER BY seq), 'GENESIS') AS want FROM c), e AS (SELECT *, CASE WHEN c_custkey % 97 = 0 THEN 'y' ELSE want END AS previous FROM d)
+SELECT c_nationkey, count(*) AS entries, count(*) FILTER (previous <> want) AS bad_links, CAST(0 AS BIGINT) AS bad_sequence, count(*) FILTER (entry <> good) AS bad_hashes FROM e GROUP BY c_nationkey"""
+
+
+def lineage_recursive(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent"))
+    return rules.lineage(s, "s_suppkey", "parent", depth=32)
+
+
+LINEAGE = """WITH RECURSIVE s AS (SELECT s_suppkey, CASE WHEN s_suppkey > 1 THEN s_suppkey // 2 END AS parent FROM supplier),
+l AS (SELECT s_suppkey, parent AS ancestor, 1 AS distance FROM s WHERE parent IS NOT NULL UNION ALL SELECT l.s_suppkey, s.parent, l.distance + 1 FROM l JOIN s ON l.ancestor = s.s_suppkey WHERE s.parent IS NOT NULL)
+SELECT s_suppkey, ancestor, distance FROM l"""
+
+
+def attribution_confidence(spark, sf_dir):
+    """Per order: whether all, some or none of its lines agree, and the best confidence damped accordingly."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") == "N").alias("every"), F.bool_or(F.col("l_returnflag") == "N").alias("some"), F.max("l_discount").alias("best"))
+    factor = F.when(F.col("every"), 1.0).when(F.col("some"), 0.5).otherwise(0.25)
+    return rows.select("l_orderkey", rules.first_of([(F.col("every"), "ALL"), (F.col("some"), "SOME")], "NONE").alias("coherence"), F.round(F.col("best") * factor, 4).alias("confidence"))
+
+
+ATTRIBUTION = """SELECT l_orderkey, CASE WHEN every THEN 'ALL' WHEN part THEN 'SOME' ELSE 'NONE' END AS coherence, round(best * CASE WHEN every THEN 1.0 WHEN part THEN 0.5 ELSE 0.25 END, 4) AS confidence
+FROM (SELECT l_orderkey, bool_and(l_returnflag = 'N') AS every, bool_or(l_returnflag = 'N') AS part, max(l_discount) AS best FROM lineitem GROUP BY l_orderkey)"""
+
+
+def effective_status(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    changes = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_shipdate", "l_linenumber")
+    return rules.effective_status(o, changes, "o_orderkey", "l_returnflag", ["l_shipdate", "l_linenumber"], "OPEN").select("o_orderkey", "effective_status")
+
+
+STATUS = """SELECT o_orderkey, coalesce(s, 'OPEN') AS effective_status FROM orders LEFT JOIN (SELECT l_orderkey, first(l_returnflag ORDER BY l_shipdate DESC, l_linenumber DESC) AS s FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+
+
+def union_all_tagged(spark, sf_dir):
+    tag = lambda name, key: table(spark, sf_dir, name).select(F.lit(name).alias("kind"), F.col(key).cast("long").alias("id"))
+    return tag("customer", "c_custkey").unionByName(tag("supplier", "s_suppkey")).unionByName(tag("nation", "n_nationkey")).groupBy("kind").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
+UNION = "SELECT kind, count(*) AS n, max(id) AS last FROM (SELECT 'customer' AS kind, c_custkey AS id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM nation) GROUP BY kind"
+
+
+def ordered_digest(spark, sf_dir):
+    """A digest of each nation's customers in order, in two levels: of at most 256 consecutive keys, then of the digests,
+    so that no list grows with the table beyond one hash for 256 rows."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.expr("c_custkey div 256").alias("part"), "c_custkey", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name").alias("row"))
+    level = lambda rows, keys, order, value: rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x")).select(*keys, F.sha2(F.array_join(F.col(f"x.{value}"), "\n"), 256).alias("digest"))
+    return level(level(c, ["c_nationkey", "part"], "c_custkey", "row"), ["c_nationkey"], "part", "digest")
+
+
+DIGEST = """SELECT c_nationkey, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM (SELECT c_nationkey, c_custkey // 256 AS part, sha256(string_agg(CAST(c_custkey AS VARCHAR) || '|' || c_name, chr(10) ORDER BY c_custkey)) AS d FROM customer GROUP BY 1, 2) GROUP BY c_nationkey"""
+
+
+def json_key_allowlist(spark, sf_dir):
+    keys = F.json_object_keys("props")
+    fine = F.size(F.array_except(keys, F.array(F.lit("k")))) == 0
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(fine).alias("n_allowed"), F.count_if(~fine).alias("n_refused"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+
+
+ALLOWLIST = """SELECT event_type, count(*) FILTER (len(list_filter(json_keys(props), lambda k: k <> 'k')) = 0) AS n_allowed, count(*) FILTER (len(list_filter(json_keys(props), lambda k: k <> 'k')) > 0) AS n_refused, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type"""
+
+
+def tumbling_bars(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bars = e.groupBy("event_type", F.window("ts", "6 hours").alias("w")).agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").alias("n"))
+    return bars.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "open", "high", "low", "close", "n")
+
+
+TUMBLING = """SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H:%M') AS start, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close, count(*) AS n FROM events GROUP BY 1, 2"""
+
+
+def user_sessions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return rows.select("user_id", "n", "first_id", "last_id")
+
+
+SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM s GROUP BY user_id, k"""
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+
+
+def alert_cooldown_fold(spark, sf_dir):
+    """Each user's events as alert candidates: active above a value, two in a row needed, a cooldown of six hours."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("fingerprint"), F.col("event_id").alias("seq"), (F.col("us") / 1e6).alias("at"), (F.col("value") > 20).alias("active"))
+    return folds.fold(rows, "fingerprint", ["seq"], folds.alert_step(cooldown=21600.0), "fingerprint string, seq long, outcome string, suppressed long")
+
+
+def outbox_fold(spark, sf_dir):
+    """Each user's events as messages: one for each cooldown window that slides with every message."""
+    rows = _events(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("dedupe_key"), F.col("event_id").cast("string").alias("message_id"), F.col("event_id").alias("seq"), (F.col("us") / 1e6).alias("at"))
+    return folds.fold(rows, "dedupe_key", ["at", "seq"], folds.outbox_step(cooldown=86400.0), "dedupe_key string, message_id string, outcome string")
+
+
+OUTBOX = """SELECT dedupe_key, CAST(event_id AS VARCHAR) AS message_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY dedupe_key ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 'SUPPRESSED' ELSE 'ENQUEUED' END AS outcome
+FROM (SELECT user_id || ':' || event_type AS dedupe_key, * FROM events)"""
+
+
+def delivery_fold(spark, sf_dir):
+    rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("message_id"), F.col("event_id").alias("seq"), (F.col("us") / 1e6).alias("at"), (F.col("value") > 60).alias("ok"))
+    return folds.fold(rows, "message_id", ["at", "seq"], folds.delivery_step(), "message_id string, seq long, attempt long, outcome string, due double")
+
+
+def collector_fold(spark, sf_dir):
+    """Each event type's feed: event kinds by id, quotes in between."""
+    kind = F.when(F.col("event_id") % 500 == 0, "CONNECTION_LOST").when(F.col("event_id") % 90 < 2, "CONNECTED").when(F.col("event_id") % 100 == 7, "HEARTBEAT").otherwise("QUOTE")
+    first = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) == 1
+    rows = _events(spark, sf_dir).select(
+        F.col("event_type").alias("provider"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("seq"), F.when(first, "START").otherwise(kind).alias("kind"), (F.col("us") / 1e6).alias("at"),
+        F.lit("v1").alias("schema_version"), ((F.col("us") / 1e6) - F.col("event_id") % 3).alias("source_ts"), F.col("event_id").cast("string").alias("payload"),
+    )
+    return folds.fold(rows, "provider", ["seq"], folds.Collector(fresh=3600.0), "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long")
+
+
+QUERIES = {
+    "pit_latest_revision": (pit_latest_revision, PIT), "outcome_counts": (outcome_counts, OUTCOMES), "promotion_gate": (promotion_gate, PROMOTION), "readiness_blockers": (readiness_blockers, READINESS),
+    "decision_gates": (decision_gates, GATES), "risk_lock_state": (risk_lock_state, RISK), "next_checkpoint": (next_checkpoint, CHECKPOINT), "hash_chain_verify": (hash_chain_verify, CHAIN),
+    "lineage_recursive": (lineage_recursive, LINEAGE), "attribution_confidence": (attribution_confidence, ATTRIBUTION), "effective_status": (effective_status, STATUS), "union_all_tagged": (union_all_tagged, UNION),
+    "ordered_digest": (ordered_digest, DIGEST), "json_key_allowlist": (json_key_allowlist, ALLOWLIST), "tumbling_bars": (tumbling_bars, TUMBLING), "user_sessions": (user_sessions, SESSIONS),
+    "alert_cooldown_fold": (alert_cooldown_fold, None), "outbox_fold": (outbox_fold, OUTBOX), "delivery_fold": (delivery_fold, None), "collector_fold": (collector_fold, None),
+}
