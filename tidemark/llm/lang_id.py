@@ -23,7 +23,7 @@ ROUNDS = 4
 #: Longer runs of letters are scored in parts of this many characters.
 WORD_CHARS = 24
 _UNKNOWN = 1e-7  # probability of a single character that no piece covers
-_CACHE = 400_000  # words a Python worker remembers; beyond that it starts anew
+_CACHE = 700_000  # words a Python worker remembers (from task to task); beyond that it starts anew
 _START = "▁"
 
 
@@ -115,6 +115,13 @@ class Lattice:
 class Model:
     def __init__(self, langs: list[str], pieces: dict[str, int], p: np.ndarray):
         self.langs, self.pieces, self.p = langs, pieces, p
+        self._scores: _Scores | None = None
+
+    def scores(self) -> _Scores:
+        """The worker's table of word scores, which lives as long as the worker's copy of the model."""
+        if self._scores is None:
+            self._scores = _Scores(self)
+        return self._scores
 
     @classmethod
     def fit(cls, rows: Iterator[tuple[str, str]], pieces: dict[str, int]) -> Model:
@@ -197,7 +204,7 @@ def _labels(scores: _Scores, texts: list[str | None]) -> tuple[list[str], list[f
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(shared.value)
+        scores = shared.value.scores()
         for batch in batches:
             lang, score = _labels(scores, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -207,7 +214,7 @@ def _predict(shared):
 
 def _identified(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(shared.value)
+        scores = shared.value.scores()
         for batch in batches:
             lang, _ = _labels(scores, batch.column(column).to_pylist())
             yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))

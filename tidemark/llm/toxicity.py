@@ -20,7 +20,7 @@ SAMPLE_DOCS = 8000
 #: Features kept: those most tied to the label, with at least MIN_DOCS documents.
 FEATURES, MIN_DOCS = 4096, 8
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
-_CACHE = 400_000
+_CACHE = 700_000  # tokens a Python worker remembers; beyond that it starts anew
 _ENDS = (".", "!", "?", "…", "。")
 
 
@@ -42,6 +42,13 @@ def ends_sentence(token: str) -> bool:
 class Model:
     def __init__(self, number: dict[str, int], weight: np.ndarray, bias: float, prior: float):
         self.number, self.weight, self.bias, self.prior = number, weight, bias, prior
+        self._weights: _Weights | None = None
+
+    def weights(self) -> _Weights:
+        """The worker's table of token weights, which lives as long as the worker's copy of the model."""
+        if self._weights is None:
+            self._weights = _Weights(self)
+        return self._weights
 
     def token_weight(self, token: str) -> float:
         found = {k for f in features_of(token) if (k := self.number.get(f)) is not None}
@@ -133,7 +140,7 @@ class _Weights(dict):
 def _score(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        weights = _Weights(model)
+        weights = model.weights()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             row = 0
