@@ -61,6 +61,8 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS id", "1 AS component_id", "NULL AS items")
     for k in (4, 5):
         assert got(near_duplicates(df, words=k)) == brute(rows, k, 80)
+    twice = near_duplicates(df.union(df), words=5).collect()
+    assert len(twice) == 2 * len(rows) and {r.doc_id: r.component_id for r in twice} == {i: x[1] for i, x in brute(rows, 5, 80).items()}
     kept = drop_near_duplicates(df, words=5)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in brute(rows, 5, 80).items() if x[2])

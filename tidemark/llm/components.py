@@ -24,20 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b) of longs -> (id, component): component is the smallest id reachable. Ids without links are absent.
+    """links (a, b) of longs, best a written table (it is read several times) -> (id, component): component is the smallest id reachable. Ids without links are absent.
 
     Each round is cut in the shared folder. A round moves two narrow columns; hubs are pre-aggregated (min) or meet in
     an equi-join that adaptive execution can split. Raises if MAX_ROUNDS rounds (far beyond the O(log^2 n) bound of
     practical inputs) don't converge.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(MAX_ROUNDS):
         edges = cut(_small_star(_large_star(edges)).where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").union(
-                edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
-        seen = now
+        # Done when every id hangs on one root that hangs on nothing, and each id on one root only.
+        hung = edges.groupBy("a").agg(F.count("*").alias("n"))
+        if hung.where("n > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
     raise RuntimeError("components did not converge")

@@ -98,8 +98,9 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BL
     Equal vectors are one class, linked with each other. Distinct vectors are dealt at random to blocks; each unordered
     pair of blocks is one tile. Vectors of different lengths are never linked. n_links counts every linked vector.
 
-    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing. Repeated rows count as
-    vectors of their own (ids must be unique; rows with a null id are dropped). An empty table gives an empty result.
+    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing. Equal vectors with
+    ids of their own count each; rows that repeat an id and its vector get a result each (n_links then counts rows of the
+    own vector); rows with a null id are dropped. An empty table gives an empty result.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -120,7 +121,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BL
             one = one.where((F.col("step") < half) | (F.col("block1") < half))
         one = one.withColumn("block2", F.pmod(F.col("block1") + F.col("step"), F.lit(blocks))).withColumn("same", F.col("step") == 0)
         two = packed.select(*(F.col(c).alias(f"{c}2") for c in ("block", "ids", "q", "unit", "loss")))
-        may = cut(one.join(two, "block2").mapInArrow(_tiles(least), "a long, b long"))
+        may = cut(one.join(two, "block2").mapInArrow(_tiles(least), "a long, b long").where("a <> b").distinct())
         both = may.join(own.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
         links = links.union(both.select("a", "b", "x", "y").mapInArrow(_confirm(least), "a long, b long"))
     links = cut(links)

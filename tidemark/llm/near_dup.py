@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -26,6 +26,12 @@ ROWS = COORDS // BANDS
 SKETCH_SLACK = 0.16
 #: Members of a bucket that one task of the residual comparison holds at a time, on average.
 BLOCK = 256
+#: Turns in which members outside their buckets' largest components meet so many pivots each, before blocks are compared.
+TURNS, PIVOTS = 4, 4
+#: Buckets of up to so many members are compared at once, without pivots.
+SMALL = 32
+#: Members outside their buckets' largest components count as few if they make at most so many pairs for each member.
+FEW = 4
 _SEED = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 2 * COORDS, dtype=np.uint64)
 
 
@@ -95,20 +101,20 @@ def _sets(words: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets reach the similarity."""
-    a = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    size = F.size("x") + F.size("y")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    return (
-        pairs.join(a, "a").join(b, "b").where(100 * small >= percent * large).where(100 * both >= percent * (size - both))
-        .select("a", "b")
-    )
+    """Of the pairs (a, b), those whose full sets reach the similarity. A pair's two sets meet by one join on the id, in
+    which few pairs can be broadcast (Spark decides by their size), and one exchange of the sets that are needed."""
+    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(sets, "id").groupBy("a", "b")
+    of = lambda c: F.first(F.when(F.col("id") == F.col(c), F.col("items")), ignorenulls=True)
+    met = both.agg(of("a").alias("x"), of("b").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    x, y = F.col("x"), F.col("y")
+    common, size = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
+    near = 100 * F.least(F.size(x), F.size(y)) >= percent * F.greatest(F.size(x), F.size(y))
+    return met.where(F.when(near, 100 * common >= percent * (size - common)).otherwise(False)).select("a", "b")
 
 
-def _across(least: float):
-    """Pairs of a bucket's blocks: (i, j) of different components whose sketches agree often enough."""
+def _across(least: float, begin: int, end: int):
+    """Pairs of two blocks of a bucket: each member of the first with those of the second that stand from `begin` to
+    `end` in the order of sketch agreement, if they agree often enough and are of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +123,9 @@ def _across(least: float):
                 i1, i2, c1, c2 = (np.array(x[k], np.int64) for k in ("id1", "id2", "c1", "c2"))
                 found: list[tuple[int, int]] = []
                 for r in range(len(p)):
-                    near = np.flatnonzero(((q == p[r]).sum(1) >= least) & (c2 != c1[r]))
+                    same = (q == p[r]).sum(1)
+                    order = np.lexsort((i2, -same))[begin:end]
+                    near = order[(same[order] >= least) & (c2[order] != c1[r])]
                     found += [(max(int(i1[r]), int(i2[s])), min(int(i1[r]), int(i2[s]))) for s in near]
                 found = sorted(set(found))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -125,66 +133,118 @@ def _across(least: float):
     return run
 
 
-def _residual(members: DataFrame, percent: int) -> DataFrame:
-    """members (key, id, c, sketch) of buckets that still hold several components -> pairs that may be links.
+def _main(members: DataFrame, turn: int) -> DataFrame:
+    """Of every bucket (key): its largest component, with its number of members n and one of them as the turn's pivot p,
+    and the number of all members, total."""
+    parts = members.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("p"))
+    most = parts.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"), F.col("p.id").alias("p"))).alias("m"), F.sum("n").alias("total"))
+    return most.select("key", F.col("m.main").alias("main"), F.col("m.n").alias("n"), F.col("m.p").alias("p"), "total")
+
+
+def _to_pivots(members: DataFrame, turn: int, most: int) -> DataFrame:
+    """members (id, p) -> pairs (a > b) of each id with `most` of its buckets' pivots, the first by a hash that is the
+    same for all: a group that shares many buckets so meets few pivots."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("p", F.lit(turn)), "p"))
+    few = members.select("id", "p").distinct().withColumn("k", rank).where(F.col("k") <= most)
+    return few.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+
+
+def _anchors(members: DataFrame) -> DataFrame:
+    return _main(members, 0).select("key", F.col("p").alias("anchor"), "total")
+
+
+def _tiles(members: DataFrame, anchors: DataFrame) -> DataFrame:
+    """members (key, id, c, sketch), in blocks of about BLOCK members of a bucket: one row for each block's members
+    outside the anchor's component and each block of the same bucket.
 
-    Exact up to the sketch's slack: every member outside its bucket's largest component meets every member of the
-    bucket, in blocks of about BLOCK members, as one row per pair of blocks; only pairs above the bound are made.
+    A bucket's anchor and block numbers stay the same while components grow, so the order that _across takes steps in
+    is the same in every step, and a member that is outside now has been so in all earlier steps.
     """
-    parts = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-    most = parts.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m"), F.sum("n").alias("total"))
-    most = most.select("key", F.col("m.main").alias("main"), "total")
-    blocks = (
-        members.join(most, "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / BLOCK)))
-        .withColumn("rest", F.col("c") != F.col("main"))
-        .groupBy("key", "block", "rest")
-        .agg(F.collect_list(F.struct("id", "c", "sketch")).alias("m"))
-    )
-    blocks = cut(blocks)
-    one = blocks.where("rest").select("key", F.col("m").alias("m1"))
+    known = members.join(anchors, "key")
+    mains = known.where("id = anchor").select("key", F.col("c").alias("main"))
+    rows = known.join(mains, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / BLOCK)))
+    x = F.struct("id", "c", "sketch")
+    blocks = cut(rows.groupBy("key", "block").agg(F.collect_list(x).alias("m"), F.collect_list(F.when(F.col("c") != F.col("main"), x)).alias("rest")))
+    one = blocks.where(F.size("rest") > 0).select("key", F.col("rest").alias("m1"))
     two = blocks.select("key", F.col("m").alias("m2"))
-    rows = one.join(two, "key").select(
-        *(F.col(f"m{k}.{f}").alias(to) for k in (1, 2) for f, to in (("id", f"id{k}"), ("c", f"c{k}"), ("sketch", f"sk{k}")))
-    )
-    return rows.mapInArrow(_across((percent / 100 - SKETCH_SLACK) * COORDS), "a long, b long").distinct()
+    columns = [F.col(f"m{k}.{f}").alias(to) for k in (1, 2) for f, to in (("id", f"id{k}"), ("c", f"c{k}"), ("sketch", f"sk{k}"))]
+    return one.join(two, "key").select(*columns)
+
+
+def _still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, n, id, c) of the buckets that hold several components; n: their members."""
+    tagged = members.select("key", "n", "id").join(found, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
+    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return tagged.join(several, "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id, kept): groups of documents linked at 100 * intersection >= percent *
     union of their sets of distinct word shingles (lower-cased A-Z, words divided by ASCII white space).
 
-    Equal sets are one class from the start. Candidates come from bands; in a bucket every class first meets one pivot,
-    then classes that are still in other components meet the bucket in blocks (_residual), so no bucket is expanded into
-    all pairs and none is capped. Every candidate is confirmed on the full sets.
+    Equal sets are one class from the start. Candidates come from bands. Every class first meets the
+    pivot of one of its buckets. If several components are left, all pairs of a small bucket that may be links are
+    confirmed; in other buckets, classes outside the largest component meet pivots of it in a few turns. Those that stay
+    apart are compared with the whole bucket by sketch bytes, in blocks, and confirmed nearest first, in growing steps, until
+    nothing above the sketch's slack is left: no bucket is expanded into all pairs, and none is capped. Every candidate
+    is confirmed on the full sets.
 
-    Null and empty texts, and texts without words, have an empty set and link with nothing; repeated rows are links
-    between equal sets; an empty table gives an empty result; ids must be unique and not null (null ids are dropped);
-    other columns are ignored.
+    Null and empty texts, and texts without words, have an empty set and link with nothing; repeated texts are
+    links between equal sets; rows that repeat an id with its text get a result each; rows with a null id are dropped;
+    an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     sig = cut(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"))
-    classes = cut(sig.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")))
-    reps = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # One row for each distinct set: its smallest document stands for it, with its bands and sketch.
+    one = F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")
+    classes = cut(sig.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), one))
+    reps = classes.select(F.col("rep").alias("doc_id"), "s.bands", "s.sketch")
 
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     first = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("key", F.col("p.id").alias("p"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("key", "n", F.col("p.id").alias("p"))
     members = cut(banded.join(buckets, "key"))
-    pairs = members.where("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+    pairs = cut(_to_pivots(members.where("id <> p"), 0, 1))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     sets = cut(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "id long, items array<long>"))
     links = cut(_confirmed(pairs, sets, percent))
-    found = cut(connected_components(links))
-
-    tagged = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = cut(tagged.join(several, "key"))
-    if not rest.isEmpty():
-        rest = rest.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
-        more = cut(_confirmed(_residual(rest, percent), sets, percent))
+    found = connected_components(links)
+    apart = cut(_still_apart(members, found))
+    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
+    least = (percent / 100 - SKETCH_SLACK) * COORDS
+
+    def confirm(pairs: DataFrame) -> None:
+        """Takes the pairs (a > b) that are links into found and apart."""
+        nonlocal found, apart
+        pairs = cut(pairs.distinct())
+        more = cut(_confirmed(pairs, sets, percent))
         if not more.isEmpty():
-            found = cut(connected_components(links.union(more)))
+            known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            found = connected_components(known.union(more))
+            apart = cut(_still_apart(apart, found))
+
+    if not apart.where(F.col("n") <= SMALL).isEmpty():
+        # Small buckets: everything that may be a link at once.
+        few = apart.where(F.col("n") <= SMALL)
+        tiles = _tiles(few.join(sketches, "id"), _anchors(few))
+        confirm(tiles.mapInArrow(_across(least, 0, SMALL), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
+    apart = cut(apart.where(F.col("n") > SMALL))
+    cost = size = 0
+    for turn in range(1, TURNS + 1):
+        mains = cut(_main(apart, turn))
+        cost, size = mains.agg(F.sum((F.col("total") - F.col("n")) * F.col("total")), F.sum("total")).first()
+        if size is None or cost <= FEW * size:
+            break
+        confirm(_to_pivots(apart.drop("n").join(mains, "key").where("c <> main"), turn, PIVOTS))
+    if size:
+        begin, step, largest = 0, 8, 1
+        anchors = cut(_anchors(apart))
+        while begin < largest and not apart.isEmpty():
+            tiles = cut(_tiles(apart.join(sketches, "id"), anchors))
+            near = tiles.mapInArrow(_across(least, begin, begin + step), "a long, b long")
+            largest = tiles.agg(F.max(F.size("id2"))).first()[0] or 0
+            begin, step = begin + step, 2 * step
+            confirm(near)
 
     classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     classes = cut(classes.select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id")))
@@ -197,6 +257,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents of which one of each group stays (the one with the smallest id), all columns as they were."""
-    keep = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"))
-    name = options.get("id_col", "doc_id")
-    return docs.join(keep, docs[name] == F.col("__id"), "left_semi")
+    gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs[options.get("id_col", "doc_id")] == F.col("__id"), "left_anti")

@@ -7,6 +7,7 @@ closes. Pieces reach a packer longest first, which makes best-fit waste little.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ SEQUENCE, SEPARATOR = 2048, 0
 OPEN_BINS = 2048
 #: Pieces of one packer, on average; each packer leaves at most its last few bins part empty.
 PACKER_PIECES = 20_000
-_CACHE = 300_000  # words whose ids a Python worker remembers; beyond that it starts anew
+_CACHE = 700_000  # words whose ids a Python worker remembers, about 200 MB; beyond that it starts anew
 #: The vocabulary's split into words, after lower-casing (fixed value of the public file).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -65,12 +66,19 @@ class WordTokenizer:
         self.number: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.at = [0]
+        self.at = np.zeros(1 << 16, np.int64)  # where each word's ids begin in flat; the next word's place is its end
 
     def word_ids(self, word: str) -> list[int]:
         if word.isascii() or max(word) < "Ā":
             out = []
-            for w in _SPLIT.findall(word.lower()):
+            word = word.lower()
+            if word.isalpha():
+                parts = (word,)
+            elif word[-1] in ".," and word[:-1].isalpha():
+                parts = (word[:-1], word[-1])
+            else:
+                parts = _SPLIT.findall(word)
+            for w in parts:
                 mapped = w if w.isascii() and w.isprintable() else "".join([self.letters[b] for b in w.encode()])
                 out += [t.id for t in self.model.tokenize(mapped)]
             return out
@@ -78,10 +86,15 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         ids: list[int] = []
+        ends: list[int] = []
+        first = len(self.number)
         for w in words:
             ids += self.word_ids(w)
-            self.at.append(self.used + len(ids))
+            ends.append(self.used + len(ids))
             self.number[w] = len(self.number)
+        while len(self.number) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.at[first + 1 : len(self.number) + 1] = ends
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -102,16 +115,22 @@ class WordTokenizer:
             self.clear()
         self._learn([w for w in dict.fromkeys(words) if w not in self.number])
         k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        at = np.array(self.at)
-        begin, size = at[k], at[k + 1] - at[k]
+        begin = self.at[k]
+        size = self.at[k + 1] - begin
         first = np.concatenate([[0], np.cumsum(size)])
         take = np.arange(first[-1]) + np.repeat(begin - first[:-1], size)
         return self.flat[take], first[ends]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a Python worker, which keeps its cache from task to task."""
+    return WordTokenizer(path)
+
+
 def _pieces(path: str, length: int, separator: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             row = 0
