@@ -153,7 +153,9 @@ def _hits(w, windows: Windows, lengths: list[int]) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in found)
 
 
-def _match(shared, lengths: list[int]):
+def _match(shared, lengths: list[int], whole: bool):
+    """Spans and items of every document; whole: merged and summed up at once, as there is one pass only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         for batch in batches:
@@ -187,7 +189,7 @@ def _match(shared, lengths: list[int]):
                     ["doc_id", "n_words", "spans", "items"],
                 )
 
-    return run
+    return (lambda batches: _merged(run(batches))) if whole else run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
     passes = max(1, -(-total // pass_words))
     items = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)))
     shape = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    merged = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:long,end:long>>, items array<string>"
     sc, found = docs.sparkSession.sparkContext, []
     for p in range(passes):
         rows = items.where(F.col("pass") == p).toArrow()
@@ -252,16 +255,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
         seen = dict(zip(counts["token"].to_numpy().view(np.uint64).tolist(), counts["n"].to_pylist(), strict=True))
         windows.choose(seen)
         del windows.token
-        found.append(docs.mapInArrow(_match(sc.broadcast(windows), lengths), shape))
+        found.append(docs.mapInArrow(_match(sc.broadcast(windows), lengths, passes == 1), merged if passes == 1 else shape))
     out = found[0]
-    if len(found) > 1:
+    if passes > 1:
         for x in found[1:]:
             out = out.union(x)
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), flat("spans"), flat("items"))
-    out = out.mapInArrow(
-        _merged, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:long,end:long>>, items array<string>"
-    )
+        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), flat("spans"), flat("items")).mapInArrow(_merged, merged)
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 

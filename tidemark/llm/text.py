@@ -19,7 +19,7 @@ PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Upper bound of the text bytes handled in one numpy step (a single longer text is handled whole).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
