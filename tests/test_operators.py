@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, market, rules, tails
+from tidemark.plans import tail_queries
+from tidemark.plans.views import view
 
 
 def test_condor_price_of_known_legs(spark):
@@ -89,6 +91,35 @@ def test_walk_forward_never_trains_on_the_future(spark):
     assert [(r.fold, r.n_test, r.n_train) for r in folds][:2] == [(0, 5, 8), (1, 5, 13)] and len(folds) == 6
 
 
+def brute_quantiles(rows, q, gap):
+    """day -> (n_train, higher quantile) of all values up to gap days before it."""
+    out = {}
+    for d in {d for d, _ in rows}:
+        past = sorted(v for e, v in rows if d and e and v is not None and e <= d - dt.timedelta(days=gap))
+        out[d] = (len(past), past[max(1, math.ceil(len(past) * q)) - 1] if past else None)
+    return out
+
+
+def test_expanding_quantile_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(dt.date(1995, 1, 1) + dt.timedelta(days=int(a)), float(b)) for a, b in zip(rng.integers(0, 90, 700), rng.integers(-9, 60, 700), strict=True)]
+    rows += [(dt.date(2001, 8, 1), 7.0)] * 50 + [(dt.date(2002, 1, 1), None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "day date, v double")
+    for q, gap, size in ((0.9, 1, 65_536), (0.95, 3, 40), (0.5, 1, 1)):
+        got = tails.expanding_quantile(df, "day", "v", q, gap, range_pairs=size).collect()
+        assert len(got) == len({r.day for r in got})  # one row a day
+        assert {r.day: (r.n_train, r.q) for r in got} == brute_quantiles(rows, q, gap)
+    assert tails.expanding_quantile(df.limit(0), "day", "v", 0.9, 1).collect() == []
+
+
+def test_expanding_quantile_has_every_day(spark):
+    data = "/root/testdata/sf0.001"
+    rows = [(r.day, r.up_max) for r in view(spark, data, "labels_day").collect()]
+    got = tail_queries.expanding_quantile_all_days(spark, data).collect()
+    assert max(r.day.year for r in got) > 1996
+    assert {r.day: (r.n_train, r.q) for r in got} == brute_quantiles(rows, 0.95, 1)
+
+
 def test_buffer_grid_takes_the_cheapest_pair(spark):
     df = spark.createDataFrame([(10.0, 5.0)] * 8 + [(13.0, 5.0), (10.0, 9.0)], "u double, d double")
     r = tails.buffer_grid(df, "u", "d", 10.0, 5.0, 0.9, 1.0, 10).first()

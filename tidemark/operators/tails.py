@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def quantile_higher(value: str, q: float) -> Column:
     """The smallest value with at least a share q of the values at or below it."""
@@ -105,13 +110,64 @@ def walk_forward_folds(samples: DataFrame, group: str, at: str, min_train: int,
     return start.join(train, "fold", "left").select("fold", "test_start", "n_test", F.coalesce("n_train", F.lit(0)).alias("n_train"))
 
 
-def expanding_quantile(rows: DataFrame, day: str, value: str, q: float, gap_days: int) -> DataFrame:
-    """For every day, the higher quantile of all values up to gap_days before it (null before the first). One value a day:
-    the history of a day is an array of doubles (8 bytes a day)."""
-    w = Window.orderBy(F.datediff(F.col(day), F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -gap_days)
-    past = rows.withColumn("past", F.array_sort(F.collect_list(value).over(w)))
-    k = F.greatest(F.lit(1), F.ceil(F.size("past") * F.lit(q))).cast("int")
-    return past.select(day, F.size("past").alias("n_train"), F.when(F.size("past") > 0, F.element_at("past", k)).alias("q"))
+def _in_ranges(bounds: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.array(np.searchsorted(bounds, batch["v"].to_numpy(), side="right").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, part], ["t", "v", "c", "part"])
+
+    return run
+
+
+def _ranked(gap_days: int):
+    """Of one value range: the value at rank k among the pairs (t, v, c) up to gap_days before each asked t, by a wavelet
+    matrix over the pairs in order of t."""
+
+    def run(asked: pa.Table, pairs: pa.Table) -> pa.Table:
+        pairs = pairs.sort_by("t")
+        t, v, w = (pairs[c].to_numpy() for c in ("t", "v", "c"))
+        values, rank = np.unique(v, return_inverse=True)
+        k, end = asked["k"].to_numpy(), np.searchsorted(t, asked["t"].to_numpy() - gap_days, side="right")
+        begin, found = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        for bit in reversed(range(max(0, len(values) - 1).bit_length())):
+            low = (rank >> bit) & 1 == 0
+            place, weight = (np.concatenate([[0], np.cumsum(x)]) for x in (low, np.where(low, w, 0)))
+            below = weight[end] - weight[begin]
+            left = k <= below
+            k, found = np.where(left, k, k - below), found | (~left).astype(np.int64) << bit
+            begin, end = (np.where(left, place[x], place[-1] + x - place[x]) for x in (begin, end))
+            order = np.argsort(~low, kind="stable")
+            rank, w = rank[order], w[order]
+        q = values[found] if len(k) else np.zeros(0)
+        return pa.table({"t": asked["t"], "n_train": asked["n_train"], "q": pa.array(q, pa.float64())})
+
+    return run
+
+
+def expanding_quantile(rows: DataFrame, day: str, value: str, q: float, gap_days: int, range_pairs: int = 65_536) -> DataFrame:
+    """For every day, the number of values up to gap_days before it and their higher quantile, as a double (null before the
+    first). A day may have any number of rows; null values, and values of a null day, count nowhere.
+
+    Values are counted by day and dealt by value into ranges of about range_pairs such counts. Cumulative counts of each
+    range show in which range a day's rank falls; only there are values compared.
+    """
+    t = F.datediff(F.col(day), F.lit("1970-01-01")).alias("t")
+    days = rows.select(day).distinct().select(day, t)
+    pairs = cut(rows.where(F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(t, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
+    n, n_days = pairs.agg(F.count("*"), F.count_distinct("t")).first()
+    ranges = max(1, math.ceil(n / max(range_pairs, n_days)))  # so that there are no more (range, day) than counts
+    bounds = pairs.approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    pairs = cut(pairs.mapInArrow(_in_ranges(np.unique(bounds)), "t int, v double, c long, part long"))
+    counts = pairs.groupBy("part", "t").agg(F.sum("c").alias("c"))
+    grid = days.select("t").where("t IS NOT NULL").distinct().crossJoin(pairs.select("part").distinct()).join(counts, ["part", "t"], "left")
+    past = Window.partitionBy("part").orderBy("t").rangeBetween(Window.unboundedPreceding, -gap_days)
+    sums = grid.select("part", "t", F.coalesce(F.sum("c").over(past), F.lit(0)).alias("x"))
+    upto = Window.partitionBy("t").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("upto", F.sum("x").over(upto)).withColumn("n_train", F.sum("x").over(Window.partitionBy("t")))
+    sums = sums.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n_train") * F.lit(q))) - F.col("upto") + F.col("x"))
+    asked = sums.where("k BETWEEN 1 AND x").select("part", "t", "n_train", "k")
+    found = asked.groupBy("part").cogroup(pairs.select(F.col("part").alias("of"), "t", "v", "c").groupBy("of")).applyInArrow(_ranked(gap_days), "t int, n_train long, q double").withColumnRenamed("t", "at")
+    return days.join(found, F.col("t") == F.col("at"), "left").select(day, F.coalesce("n_train", F.lit(0)).alias("n_train"), "q")
 
 
 def conformal_rank(n: int, target: float) -> int:

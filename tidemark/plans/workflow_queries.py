@@ -48,11 +48,8 @@ LABEL_OUTCOMES = with_views(LABELS + " SELECT outcome, count(*) AS n, round(max(
 def _distances(labels):
     """Walk-forward: each day's distances are the conservative quantiles of all symbols' earlier labels, at least 20 of them."""
     fine = labels.where("outcome = 'LABELLED'")
-    days = fine.groupBy("day").agg(F.collect_list("up_max").alias("u"), F.collect_list("down_max").alias("d"))  # a few symbols a day
-    w = Window.orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
-    past = days.select("day", F.array_sort(F.flatten(F.collect_list("u").over(w))).alias("u"), F.array_sort(F.flatten(F.collect_list("d").over(w))).alias("d"))
-    k = F.greatest(F.lit(1), F.ceil(F.size("u") * F.lit(0.9))).cast("int")
-    return past.where(F.size("u") >= 20).select("day", F.element_at("u", k).alias("up"), F.element_at("d", k).alias("down"))
+    up, down = (tails.expanding_quantile(fine, "day", c, 0.9, 1).withColumnRenamed("q", to) for c, to in (("up_max", "up"), ("down_max", "down")))
+    return up.where("n_train >= 20").join(down.drop("n_train"), "day").select("day", "up", "down")
 
 
 def walk_forward_economics(spark, sf_dir):
