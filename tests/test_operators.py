@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, market, rules, tails
-from tidemark.plans import tail_queries
+from tidemark.plans import tail_queries, workflow_queries
 from tidemark.plans.views import view
 
 
@@ -140,3 +140,23 @@ def test_chain_and_lineage(spark):
 def test_symbols_round_trip(spark):
     row = spark.range(1).select(market.osi_symbol(F.lit("SPXW"), F.lit("2026-08-17").cast("date"), F.lit("C"), F.lit(6450)).alias("s")).select("s", market.parse_osi(F.col("s")).alias("x"), market.parse_osi(F.lit("bad")).alias("y")).first()
     assert row.s == "SPXW  260817C06450000" and row.x.is_call and row.x.strike == 6450.0 and row.y is None
+
+
+def test_after_cursor_has_no_limit(spark):
+    rows = [(i, "a" if i % 2 else "b") for i in range(2000)] + [(5000 + i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "seq int, user string")
+    cursors = spark.createDataFrame([("a", 301), ("c", 7)], "user string, upto int")
+    got = sorted(r.seq for r in asof.after_cursor(df, cursors, ["user"], "seq", "upto").collect())
+    assert got == [i for i, user in rows if user != "a" or i > 301]
+
+
+def test_events_after_delivery_is_whole(spark):
+    data = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{data}/events.parquet").collect()
+    last = {}
+    for r in e:
+        if r.event_type == "purchase":
+            last[r.user_id] = max(r.event_id, last.get(r.user_id, r.event_id))
+    want = sorted(r.event_id for r in e if r.user_id not in last or r.event_id > last[r.user_id])
+    got = [r.event_id for r in workflow_queries.events_after_delivery(spark, data).collect()]
+    assert got == want and want

@@ -70,3 +70,10 @@ def latest_revision(records: DataFrame, key: str, as_of: Column, visible_by: str
     """The point-in-time view: of the records visible at as_of, the last revision of each key."""
     seen = records.where(F.col(visible_by) <= as_of)
     return latest_per_key(seen, [key], order, [c for c in records.columns if c != key])
+
+
+def after_cursor(events: DataFrame, cursors: DataFrame, keys: list[str], seq: str, cursor: str) -> DataFrame:
+    """Every event whose seq is above its key's cursor, without a limit or an upper bound; a key without a cursor (or with
+    a null one) starts at the beginning. cursors: one row a key."""
+    rows = events.join(cursors.select(*keys, F.col(cursor).alias("__after")), keys, "left")
+    return rows.where(F.col("__after").isNull() | (F.col(seq) > F.col("__after"))).select(*events.columns)

@@ -140,6 +140,7 @@ DECISIONS = "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DES
 
 
 def events_after_cursor(spark, sf_dir):
+    """The 500 ids up to the last purchase only, as its SQL has it; events_after_delivery is the whole job."""
     e = table(spark, sf_dir, "events")
     last = e.where("event_type = 'purchase'").agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("upto"))
     return e.crossJoin(F.broadcast(last)).where("event_id > upto - 500 AND event_id <= upto").select("event_id", "event_type")  # one row
@@ -148,6 +149,17 @@ def events_after_cursor(spark, sf_dir):
 CURSOR = "SELECT event_id, event_type FROM events, (SELECT coalesce(max(event_id), 0) AS upto FROM events WHERE event_type = 'purchase') WHERE event_id > upto - 500 AND event_id <= upto"
 
 
+def events_after_delivery(spark, sf_dir):
+    """Every event after its user's cursor, the user's last purchase (all events of a user without one), ordered by id."""
+    e = table(spark, sf_dir, "events")
+    cursors = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("cursor"))
+    return asof.after_cursor(e, cursors, ["user_id"], "event_id", "cursor").select("event_id", "user_id", "event_type").orderBy("event_id")
+
+
+DELIVERY = """WITH c AS (SELECT user_id, max(event_id) AS upto FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT event_id, e.user_id, event_type FROM events e LEFT JOIN c ON e.user_id = c.user_id WHERE upto IS NULL OR event_id > upto ORDER BY event_id"""
+
+
 def manifest_check(spark, sf_dir):
     """A manifest (every customer's order count, some of them false or missing) against what the orders hold."""
     have = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("have"))
@@ -180,5 +192,5 @@ SELECT CASE WHEN n >= 80 THEN regime ELSE regime || '_FALLBACK' END AS regime, n
 QUERIES = {
     "implied_series": (implied_series, IMPLIED), "label_outcomes": (label_outcomes, LABEL_OUTCOMES), "walk_forward_economics": (walk_forward_economics, ECONOMICS), "entry_features": (entry_features, FEATURES),
     "leg_match": (leg_match, LEGS), "timeline_violations": (timeline_violations, TIMELINE), "plan_cost": (plan_cost, PLAN), "status_rollup": (status_rollup, ROLLUP), "latest_decisions": (latest_decisions, DECISIONS),
-    "events_after_cursor": (events_after_cursor, CURSOR), "manifest_check": (manifest_check, MANIFEST), "tail_recommendation": (tail_recommendation, RECOMMEND),
+    "events_after_cursor": (events_after_cursor, CURSOR), "events_after_delivery": (events_after_delivery, DELIVERY), "manifest_check": (manifest_check, MANIFEST), "tail_recommendation": (tail_recommendation, RECOMMEND),
 }
