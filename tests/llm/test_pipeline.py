@@ -102,6 +102,18 @@ def test_windows(spark, odd):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("pass_words", [400_000, 8])  # one pass and several
+def test_windows_of_rows_with_null_and_repeated_ids(spark, pass_words):
+    one, two = "one two three four five six seven eight", "red green blue cyan pink grey teal gold"
+    rows = [(None, one), (None, "clean"), (None, "x " + two), (3, one), (3, "clean too"), (3, one), (4, one + " " + two), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    want = brute_hits(list(enumerate(t for _, t in rows)), [(1, one), (2, two)], 8)
+    got = decontaminate.contamination(docs, bench, window=8, pass_words=pass_words).collect()
+    key = lambda x: (x[0] or 0, *x[1:])
+    assert sorted(key((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256)) for r in got) == sorted(key((i, *want[n])) for n, (i, _) in enumerate(rows))
+
+
 def test_languages(spark, odd):
     _, df = odd
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

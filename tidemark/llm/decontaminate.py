@@ -218,6 +218,37 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, pass_words: int) -> tuple[int, Iterator]:
+    """The number of passes, and for each its broadcast windows, with prefixes by the counts of all docs (text), and
+    their token lengths."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = cut(
+        items.where("item_id is not null").mapInArrow(_item_words, "item_id string, words array<long>").where(F.size("words") > 0)
+    )
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    passes = max(1, -(-total // pass_words))
+    items = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)))
+    sc = docs.sparkSession.sparkContext
+
+    def each() -> Iterator:
+        for p in range(passes):
+            rows = items.where(F.col("pass") == p).toArrow()
+            words = [np.array(x, np.int64).view(np.uint64) for x in rows["words"].to_pylist()]
+            windows = Windows(rows["item_id"].to_pylist(), words, window)
+            tokens = np.unique(windows.token)
+            tokens = tokens[tokens != 0]
+            lengths = sorted({int(k) for k in np.unique(windows.k)}) or [PREFIX]
+            counts = (
+                docs.select("text").mapInArrow(_count_tokens(sc.broadcast(tokens), lengths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+            )
+            seen = dict(zip(counts["token"].to_numpy().view(np.uint64).tolist(), counts["n"].to_pylist(), strict=True))
+            windows.choose(seen)
+            del windows.token
+            yield sc.broadcast(windows), lengths
+
+    return passes, each()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_words: int = PASS_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items).
 
@@ -226,43 +257,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
     (end exclusive) covered by occurrences of windows; n_hit: the words in them; items: ids of the items concerned.
 
     The benchmark is looked for in passes of at most pass_words item words (an item of more words is a pass of its own),
-    so that what tasks hold of it is bounded; all passes' findings are joined per document.
+    so that what tasks hold of it is bounded; for several passes docs are written once with a key for each row, by which
+    all passes' findings are joined.
 
     Null and empty texts have no words. Items without words or with a null id are never found. Repeated items are found
-    each. Document ids must be unique where more than one pass is needed. Empty tables give empty or clean results.
+    each. Every row has a result of its own, whether its id is null or repeated. Empty tables give empty or clean results.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = cut(
-        items.where("item_id is not null").mapInArrow(_item_words, "item_id string, words array<long>").where(F.size("words") > 0)
-    )
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    passes = max(1, -(-total // pass_words))
-    items = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)))
+    passes, each = _passes(docs, benchmark, window, pass_words)
     shape = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     merged = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:long,end:long>>, items array<string>"
-    sc, found = docs.sparkSession.sparkContext, []
-    for p in range(passes):
-        rows = items.where(F.col("pass") == p).toArrow()
-        words = [np.array(x, np.int64).view(np.uint64) for x in rows["words"].to_pylist()]
-        windows = Windows(rows["item_id"].to_pylist(), words, window)
-        tokens = np.unique(windows.token)
-        tokens = tokens[tokens != 0]
-        lengths = sorted({int(k) for k in np.unique(windows.k)}) or [PREFIX]
-        counts = (
-            docs.select("text").mapInArrow(_count_tokens(sc.broadcast(tokens), lengths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-        )
-        seen = dict(zip(counts["token"].to_numpy().view(np.uint64).tolist(), counts["n"].to_pylist(), strict=True))
-        windows.choose(seen)
-        del windows.token
-        found.append(docs.mapInArrow(_match(sc.broadcast(windows), lengths, passes == 1), merged if passes == 1 else shape))
-    out = found[0]
-    if passes > 1:
-        for x in found[1:]:
-            out = out.union(x)
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), flat("spans"), flat("items")).mapInArrow(_merged, merged)
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    if passes == 1:
+        shared, lengths = next(each)
+        return docs.mapInArrow(_match(shared, lengths, True), merged).withColumn("contaminated", F.col("n_hit") > 0)
+    # _match hands its first column through: here the row's key, which gives way to the document's id in the end.
+    keyed = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    out = keyed.select("row", "doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("spans", "array<struct<start:long,end:long>>"), ("items", "array<string>"))))
+    for shared, lengths in each:
+        found = keyed.select("row", "text").mapInArrow(_match(shared, lengths, False), shape)
+        out = out.union(found.select(F.col("doc_id").alias("row"), F.lit(None).cast("long"), "n_words", "spans", "items"))
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), flat("spans"), flat("items"))
+    return out.drop("row").mapInArrow(_merged, merged).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
