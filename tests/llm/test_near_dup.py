@@ -86,3 +86,12 @@ def test_sketch_fills_every_coordinate_and_is_concentrated():
     s = sketch(h, text, 3)
     assert (s != np.iinfo(np.uint64).max).all()
     assert abs((s[1] == s[2]).sum() / COORDS - 0.8) < 0.15
+
+
+def test_null_and_repeated_ids_are_rows_like_others(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w x"
+    rows = [(None, one, 1), (None, one, 2), (7, one, 3), (7, one, 4), (7, two, 5), (None, two, 6), (None, "other words of its own here", 7), (8, "", 8), (8, "", 9), (None, None, 10), (None, "lone copy of null ids", 11), (None, "lone copy of null ids", 12)]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int"), words=5)
+    assert kept.columns == ["doc_id", "text", "n"]
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(7, one), (7, two), (0, "other words of its own here"), (8, ""), (8, ""), (0, ""), (0, "lone copy of null ids")])

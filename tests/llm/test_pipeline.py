@@ -112,6 +112,8 @@ def test_windows_of_rows_with_null_and_repeated_ids(spark, pass_words):
     got = decontaminate.contamination(docs, bench, window=8, pass_words=pass_words).collect()
     key = lambda x: (x[0] or 0, *x[1:])
     assert sorted(key((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256)) for r in got) == sorted(key((i, *want[n])) for n, (i, _) in enumerate(rows))
+    kept = decontaminate.drop_contaminated(docs, bench, window=8, pass_words=pass_words)
+    assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [1, 4, 7]
 
 
 def test_languages(spark, odd):

@@ -218,6 +218,22 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _clean(shared, lengths: list[int], text_col: str):
+    """The rows in which no window occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, _, data, offsets in byte_slices(batch[text_col]):
+                w = words_of(data, offsets, ALNUM)
+                begin = _hits(w, windows, lengths)[0]
+                keep[row + np.searchsorted(w.first, begin, side="right") - 1] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int, pass_words: int) -> tuple[int, Iterator]:
     """The number of passes, and for each its broadcast windows, with prefixes by the counts of all docs (text), and
     their token lengths."""
@@ -281,7 +297,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
     return out.drop("row").mapInArrow(_merged, merged).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no window of any benchmark item occurs, all columns as they were."""
-    gone = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[options.get("id_col", "doc_id")] == F.col("__id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_words: int = PASS_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents in which no window of any benchmark item occurs, all columns as they were. Every row is judged by its
+    own text, whatever its id: each pass filters rows."""
+    out = docs
+    for shared, lengths in _passes(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, window, pass_words)[1]:
+        out = out.mapInArrow(_clean(shared, lengths, text_col), docs.schema)
+    return out

@@ -255,7 +255,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which one of each group stays (the one with the smallest id), all columns as they were."""
-    gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[options.get("id_col", "doc_id")] == F.col("__id"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which one row of each group stays (the one with the smallest id, null ids last), all columns as
+    they were. Groups are of rows, under a key written at the start: null and repeated ids are rows like any other."""
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(keyed, words, percent, "__row", text_col).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
+    groups = cut(groups.join(keyed.select("__row", F.col(id_col).cast("long").alias("id")), "__row"))
+    stays = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
+    several = stays.where("n > 1").select("group", F.col("first.__row").alias("stay"))
+    gone = groups.join(several, "group").where("__row <> stay").select("__row")
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
