@@ -8,11 +8,12 @@ two sets is concentrated around COORDS times their Jaccard similarity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -22,16 +23,12 @@ from tidemark.session import cut
 #: 128 coordinates in 32 bands of 4: a pair at similarity 0.8 shares no band with probability 5e-8.
 COORDS, BANDS = 128, 32
 ROWS = COORDS // BANDS
-#: Residual pairs are compared by sketch bytes first. 0.16 below the threshold is over 4.5 standard deviations.
+#: What buckets still hold apart is compared by sketch bytes first. 0.16 below the threshold is over 4.5 standard deviations.
 SKETCH_SLACK = 0.16
-#: Members of a bucket that one task of the residual comparison holds at a time, on average.
-BLOCK = 256
-#: Turns in which members outside their buckets' largest components meet so many pivots each, before blocks are compared.
-TURNS, PIVOTS = 4, 4
-#: Buckets of up to so many members are compared at once, without pivots.
-SMALL = 32
-#: Members outside their buckets' largest components count as few if they make at most so many pairs for each member.
-FEW = 4
+#: Members of a block of a tile, and their weight (elements of full sets), on average.
+BLOCK, WEIGHT = 512, 1 << 20
+#: Columns of the 0/1 matrices that count common elements at a time.
+COLUMNS = 4096
 _SEED = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 2 * COORDS, dtype=np.uint64)
 
 
@@ -112,68 +109,118 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.when(near, 100 * common >= percent * (size - common)).otherwise(False)).select("a", "b")
 
 
-def _across(least: float, begin: int, end: int):
-    """Pairs of two blocks of a bucket: each member of the first with those of the second that stand from `begin` to
-    `end` in the order of sketch agreement, if they agree often enough and are of another component."""
+def _forest(c1: np.ndarray, c2: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the edges between components: fewer edges than components, whatever the number of pairs."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    a, b = [], []
+    for x, y in np.unique(np.stack([np.maximum(c1, c2), np.minimum(c1, c2)], 1), axis=0).tolist():
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            top[max(rx, ry)] = min(rx, ry)
+            a.append(x)
+            b.append(y)
+    return a, b
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = _forest(*(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1)))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _alike(least: float):
+    """Tiles (c1, v1, c2, v2) of components and sketches -> a forest of the components whose sketches agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                p, q = (np.frombuffer(b"".join(x[k]), np.uint8).reshape(-1, COORDS) for k in ("sk1", "sk2"))
-                i1, i2, c1, c2 = (np.array(x[k], np.int64) for k in ("id1", "id2", "c1", "c2"))
-                found: list[tuple[int, int]] = []
+                c1, c2 = (np.array(x[k], np.int64) for k in ("c1", "c2"))
+                p, q = (np.frombuffer(b"".join(x[k]), np.uint8).reshape(-1, COORDS) for k in ("v1", "v2"))
+                found = []
                 for r in range(len(p)):
-                    same = (q == p[r]).sum(1)
-                    order = np.lexsort((i2, -same))[begin:end]
-                    near = order[(same[order] >= least) & (c2[order] != c1[r])]
-                    found += [(max(int(i1[r]), int(i2[s])), min(int(i1[r]), int(i2[s]))) for s in near]
-                found = sorted(set(found))
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    near = np.flatnonzero(((q == p[r]).sum(1) >= least) & (c2 != c1[r]))
+                    found.append((np.full(len(near), c1[r]), c2[near]))
+                yield _edges(found)
 
     return run
 
 
-def _main(members: DataFrame, turn: int) -> DataFrame:
-    """Of every bucket (key): its largest component, with its number of members n and one of them as the turn's pivot p,
-    and the number of all members, total."""
-    parts = members.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("p"))
-    most = parts.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"), F.col("p.id").alias("p"))).alias("m"), F.sum("n").alias("total"))
-    return most.select("key", F.col("m.main").alias("main"), F.col("m.n").alias("n"), F.col("m.p").alias("p"), "total")
+def common_sizes(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of two lists of sets: 0/1 matrices over the elements that both lists hold, in
+    column runs of bounded memory."""
+    out = np.zeros((len(one), len(two)), np.int64)
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two)]
+    both = np.intersect1d(*flat)
+    own = []
+    for sets, items in zip((one, two), flat, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, items), max(0, len(both) - 1))
+        keep = both[at] == items if len(both) else np.zeros(len(items), bool)
+        order = np.argsort(at[keep], kind="stable")
+        own.append((at[keep][order], row[keep][order]))
+    for begin in range(0, len(both), COLUMNS):
+        m = []
+        for (at, row), sets in zip(own, (one, two), strict=True):
+            lo, hi = np.searchsorted(at, (begin, begin + COLUMNS))
+            x = np.zeros((len(sets), min(COLUMNS, len(both) - begin)), np.float32)
+            x[row[lo:hi], at[lo:hi] - begin] = 1
+            m.append(x)
+        out += np.rint(m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _linked(percent: int):
+    """Tiles (c1, v1, c2, v2) of components and full sets -> a forest of the components that are linked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                c1, c2 = (batch[c][r].values.to_numpy(zero_copy_only=False) for c in ("c1", "c2"))
+                one, two = ([s.values.to_numpy() for s in batch[c][r].values] for c in ("v1", "v2"))
+                common = common_sizes(one, two)
+                union = np.array([len(s) for s in one])[:, None] + np.array([len(s) for s in two])[None, :] - common
+                i, j = np.nonzero((100 * common >= percent * union) & (c1[:, None] != c2[None, :]))
+                yield _edges([(c1[i], c2[j])])
 
-def _to_pivots(members: DataFrame, turn: int, most: int) -> DataFrame:
-    """members (id, p) -> pairs (a > b) of each id with `most` of its buckets' pivots, the first by a hash that is the
-    same for all: a group that shares many buckets so meets few pivots."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("p", F.lit(turn)), "p"))
-    few = members.select("id", "p").distinct().withColumn("k", rank).where(F.col("k") <= most)
-    return few.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+    return run
 
 
-def _anchors(members: DataFrame) -> DataFrame:
-    return _main(members, 0).select("key", F.col("p").alias("anchor"), "total")
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (g, c, size, v), with a weight w, of groups g -> (c1, v1, c2, v2): blocks of a group that are to be compared.
 
+    A large group is cut into blocks by set size (sizes that differ by more than the similarity allows never meet) and by
+    a hash, each of about BLOCK members and WEIGHT weight; blocks that lie in the group's largest component aren't
+    compared with each other. So a group that is linked already costs its other members times the group, in bounded tiles.
+    """
+    parts = rows.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    whole = parts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    whole = whole.select("g", F.col("m.c").alias("main"), "n", "w")
+    large = (F.col("n") > BLOCK) | (F.col("total") > WEIGHT)
+    dealt = rows.withColumnRenamed("w", "own").join(whole.withColumnRenamed("w", "total"), "g")
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / WEIGHT))
+    dealt = dealt.select(
+        "g", "c", "v",
+        (large & (F.col("c") == F.col("main"))).alias("side"),
+        F.when(large, F.floor(F.log(F.col("size").cast("double")) / step)).otherwise(F.lit(0)).cast("long").alias("class"),
+        F.when(large, F.pmod(F.xxhash64("v"), blocks)).otherwise(F.lit(0)).cast("long").alias("block"),
+    )
+    packed = cut(dealt.groupBy("g", "side", "class", "block").agg(F.collect_list(F.struct("c", "v")).alias("m")))
+    x, y = packed.alias("x").where("NOT side"), packed.alias("y")
+    near = F.abs(F.col("x.class") - F.col("y.class")) <= 1
+    once = F.col("y.side") | (F.struct("x.class", "x.block") <= F.struct("y.class", "y.block"))
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & near & once)
+    return met.select(F.col("x.m.c").alias("c1"), F.col("x.m.v").alias("v1"), F.col("y.m.c").alias("c2"), F.col("y.m.v").alias("v2"))
 
-def _tiles(members: DataFrame, anchors: DataFrame) -> DataFrame:
-    """members (key, id, c, sketch), in blocks of about BLOCK members of a bucket: one row for each block's members
-    outside the anchor's component and each block of the same bucket.
 
-    A bucket's anchor and block numbers stay the same while components grow, so the order that _across takes steps in
-    is the same in every step, and a member that is outside now has been so in all earlier steps.
-    """
-    known = members.join(anchors, "key")
-    mains = known.where("id = anchor").select("key", F.col("c").alias("main"))
-    rows = known.join(mains, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / BLOCK)))
-    x = F.struct("id", "c", "sketch")
-    blocks = cut(rows.groupBy("key", "block").agg(F.collect_list(x).alias("m"), F.collect_list(F.when(F.col("c") != F.col("main"), x)).alias("rest")))
-    one = blocks.where(F.size("rest") > 0).select("key", F.col("rest").alias("m1"))
-    two = blocks.select("key", F.col("m").alias("m2"))
-    columns = [F.col(f"m{k}.{f}").alias(to) for k in (1, 2) for f, to in (("id", f"id{k}"), ("c", f"c{k}"), ("sketch", f"sk{k}"))]
-    return one.join(two, "key").select(*columns)
-
-
-def _still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, n, id, c) of the buckets that hold several components; n: their members."""
-    tagged = members.select("key", "n", "id").join(found, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("c"))
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, c) of the buckets that hold several components."""
+    tagged = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     return tagged.join(several, "key")
 
@@ -182,86 +229,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """docs -> (doc_id, n_shingles, component_id, kept): groups of documents linked at 100 * intersection >= percent *
     union of their sets of distinct word shingles (lower-cased A-Z, words divided by ASCII white space).
 
-    Equal sets are one class from the start. Candidates come from bands. Every class first meets the
-    pivot of one of its buckets. If several components are left, all pairs of a small bucket that may be links are
-    confirmed; in other buckets, classes outside the largest component meet pivots of it in a few turns. Those that stay
-    apart are compared with the whole bucket by sketch bytes, in blocks, and confirmed nearest first, in growing steps, until
-    nothing above the sketch's slack is left: no bucket is expanded into all pairs, and none is capped. Every candidate
-    is confirmed on the full sets.
+    Equal sets are one class from the start. Candidates come from bands. Every class first meets the pivot of one of its
+    buckets. Buckets that still hold several components are compared by sketches, in tiles that give a forest of the
+    components that may be linked; then the classes of each such neighbourhood meet once with their full sets, in tiles
+    that again give no more than a forest. No pair of a group is ever a row, no bucket is capped, and every link is
+    confirmed on full sets.
 
     Null and empty texts, and texts without words, have an empty set and link with nothing; repeated texts are
-    links between equal sets; rows that repeat an id with its text get a result each; rows with a null id are dropped;
-    an empty table gives an empty result; other columns are ignored.
+    links between equal sets; rows that repeat an id with its text get a result each (an id stands for one text); rows with a null id link with
+    nothing (component_id null, kept); an empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"))
     # One row for each distinct set: its smallest document stands for it, with its bands and sketch.
     one = F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")
-    classes = cut(sig.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), one))
-    reps = classes.select(F.col("rep").alias("doc_id"), "s.bands", "s.sketch")
+    own = sig.where("n_shingles > 0 and doc_id is not null")
+    classes = cut(own.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), one))
+    reps = classes.select(F.col("rep").alias("id"), "size", "s.bands", "s.sketch")
 
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    banded = reps.select("id", F.explode("bands").alias("key"))
     first = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("key", "n", F.col("p.id").alias("p"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("key", F.col("p.id").alias("p"))
     members = cut(banded.join(buckets, "key"))
-    pairs = cut(_to_pivots(members.where("id <> p"), 0, 1))
+    # The pivot of one bucket of each class: the first by a hash that is the same for all, so that a group meets few.
+    first = F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("first")
+    pairs = members.where("id <> p").groupBy("id").agg(first).select(F.greatest("id", "first.p").alias("a"), F.least("id", "first.p").alias("b"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sets(words), "id long, items array<long>"))
-    links = cut(_confirmed(pairs, sets, percent))
+    sets = cut(docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text")).mapInArrow(_sets(words), "id long, items array<long>"))
+    links = cut(_confirmed(cut(pairs.distinct()), sets, percent))
     found = connected_components(links)
-    apart = cut(_still_apart(members, found))
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
-    least = (percent / 100 - SKETCH_SLACK) * COORDS
 
-    def confirm(pairs: DataFrame) -> None:
-        """Takes the pairs (a > b) that are links into found and apart."""
-        nonlocal found, apart
-        pairs = cut(pairs.distinct())
-        more = cut(_confirmed(pairs, sets, percent))
-        if not more.isEmpty():
-            known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            found = connected_components(known.union(more))
-            apart = cut(_still_apart(apart, found))
-
-    if not apart.where(F.col("n") <= SMALL).isEmpty():
-        # Small buckets: everything that may be a link at once.
-        few = apart.where(F.col("n") <= SMALL)
-        tiles = _tiles(few.join(sketches, "id"), _anchors(few))
-        confirm(tiles.mapInArrow(_across(least, 0, SMALL), "a long, b long").join(pairs, ["a", "b"], "left_anti"))
-    apart = cut(apart.where(F.col("n") > SMALL))
-    cost = size = 0
-    for turn in range(1, TURNS + 1):
-        mains = cut(_main(apart, turn))
-        cost, size = mains.agg(F.sum((F.col("total") - F.col("n")) * F.col("total")), F.sum("total")).first()
-        if size is None or cost <= FEW * size:
-            break
-        confirm(_to_pivots(apart.drop("n").join(mains, "key").where("c <> main"), turn, PIVOTS))
-    if size:
-        begin, step, largest = 0, 8, 1
-        anchors = cut(_anchors(apart))
-        while begin < largest and not apart.isEmpty():
-            tiles = cut(_tiles(apart.join(sketches, "id"), anchors))
-            near = tiles.mapInArrow(_across(least, begin, begin + step), "a long, b long")
-            largest = tiles.agg(F.max(F.size("id2"))).first()[0] or 0
-            begin, step = begin + step, 2 * step
-            confirm(near)
+    apart = cut(_apart(members, found))
+    rows = apart.join(reps.select("id", "size", "sketch"), "id").select(F.col("key").alias("g"), "c", "size", F.col("sketch").alias("v"), F.lit(1).alias("w"))
+    least = (percent / 100 - SKETCH_SLACK) * COORDS
+    maybe = cut(_tiles(rows, percent).mapInArrow(_alike(least), "a long, b long").distinct())
+    zones = connected_components(maybe).select(F.col("id").alias("c"), F.col("component").alias("g"))
+    rows = apart.select("id", "c").distinct().join(zones, "c").join(sets, "id")
+    rows = rows.select("g", "c", F.size("items").alias("size"), F.col("items").alias("v"), F.size("items").alias("w"))
+    more = cut(_tiles(rows, percent).mapInArrow(_linked(percent), "a long, b long").distinct())
+    found = connected_components(cut(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
 
     classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     classes = cut(classes.select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id")))
     return sig.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left").select(
         "doc_id", "n_shingles",
-        (id_ := F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))).alias("component_id"),
-        (F.col("doc_id") == id_).alias("kept"),
+        (id_ := F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))).alias("component_id"),
+        F.col("doc_id").eqNullSafe(id_).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which one row of each group stays (the one with the smallest id, null ids last), all columns as
-    they were. Groups are of rows, under a key written at the start: null and repeated ids are rows like any other."""
-    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_duplicates(keyed, words, percent, "__row", text_col).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
-    groups = cut(groups.join(keyed.select("__row", F.col(id_col).cast("long").alias("id")), "__row"))
-    stays = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
-    several = stays.where("n > 1").select("group", F.col("first.__row").alias("stay"))
-    gone = groups.join(several, "group").where("__row <> stay").select("__row")
-    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
+    they were. Groups are of rows, under a key written at the start beside the row, so that null and repeated ids are rows
+    like any other and no column name clashes. Null texts and texts without words stay; an empty table gives an empty one."""
+    keyed = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    texts = keyed.select("row", F.col("doc").getField(text_col).alias("text"))
+    groups = near_duplicates(texts, words, percent, "row", "text").where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = cut(groups.join(keyed.select("row", F.col("doc").getField(id_col).cast("long").alias("id")), "row"))
+    stays = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    several = stays.where("n > 1").select("group", F.col("first.row").alias("stay"))
+    gone = groups.join(several, "group").where("row <> stay").select("row")
+    return keyed.join(gone, "row", "left_anti").select("doc.*")
