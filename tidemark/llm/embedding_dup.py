@@ -8,7 +8,6 @@ the threshold by this bound, and no others, are computed again in double precisi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +22,8 @@ from tidemark.session import cut
 BLOCK = 1024
 #: Dimensions of one exact float32 product: 1024 * 127 * 127 < 2**24.
 EXACT_DIMS = 1024
+#: Pairs of a tile that are computed again in double precision at a time.
+RECHECK = 1 << 16
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -43,8 +44,8 @@ def _block(rows: pa.Table) -> pa.Table:
     q, unit, loss = quantise(x / np.sqrt((x * x).sum(1, keepdims=True)))
     one = lambda a, t: pa.array([a.tobytes()], t)
     return pa.table({
-        "dim": rows["dim"].slice(0, 1), "block": rows["block"].slice(0, 1),
-        "ids": one(rows["id"].to_numpy(), pa.binary()), "q": one(q, pa.binary()), "unit": one(unit, pa.binary()), "loss": one(loss, pa.binary()),
+        "dim": rows["dim"].slice(0, 1), "block": rows["block"].slice(0, 1), "blocks": rows["blocks"].slice(0, 1),
+        "ids": one(rows["id"].to_numpy(), pa.binary()), "copies": one(rows["n"].to_numpy(), pa.binary()), "v": one(_matrix(rows["v"]), pa.binary()), "q": one(q, pa.binary()), "unit": one(unit, pa.binary()), "loss": one(loss, pa.binary()),
     })
 
 
@@ -61,33 +62,60 @@ def tile(q1: np.ndarray, u1: np.ndarray, e1: np.ndarray, q2: np.ndarray, u2: np.
     return i[may], j[may]
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision."""
+    x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
+    return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of links, so that a group of any density gives fewer rows than it has vectors."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            top[max(rx, ry)] = min(rx, ry)
+            out.append((x, y))
+    return out
+
+
 def _tiles(least: float):
+    """Tiles -> (id, other, n): with `other`, a link of the tile's spanning forest (n is 0); without, the number n of vectors
+    (copies counted) that the tile links with id."""
+
     def read(x: dict, k: int) -> tuple[np.ndarray, ...]:
-        return tuple(np.frombuffer(x[f"{c}{k}"], t) for c, t in (("ids", np.int64), ("unit", float), ("loss", float), ("q", np.int8)))
+        i, n, u, e, q, v = (np.frombuffer(x[f"{c}{k}"], t) for c, t in (("ids", np.int64), ("copies", np.int64), ("unit", float), ("loss", float), ("q", np.int8), ("v", float)))
+        return i, n, u, e, q.reshape(len(i), -1), v.reshape(len(i), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 x = batch.slice(r, 1).to_pylist()[0]
-                (i1, u1, e1, q1), (i2, u2, e2, q2) = read(x, 1), read(x, 2)
-                i, j = tile(q1.reshape(len(i1), -1), u1, e1, q2.reshape(len(i2), -1), u2, e2, least)
-                a, b = i1[i], i2[j]
+                (i1, n1, u1, e1, q1, v1), (i2, n2, u2, e2, q2, v2) = read(x, 1), read(x, 2)
+                i, j = tile(q1, u1, e1, q2, u2, e2, least)
                 if x["same"]:
-                    a, b = a[i < j], b[i < j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return run
-
-
-def _confirm(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for r, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-                x, y = np.asarray(x.values, np.float64), np.asarray(y.values, np.float64)
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                keep[r] = x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= least
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+                    i, j = i[i < j], j[i < j]
+                sure = np.zeros(len(i), bool)
+                for at in range(0, len(i), RECHECK):
+                    some = slice(at, at + RECHECK)
+                    sure[some] = _cosines(v1[i[some]], v2[j[some]]) >= least
+                i, j = i[sure], j[sure]
+                links = _forest(i1[i], i2[j])
+                ids, other, n = [a for a, _ in links], [b for _, b in links], [0] * len(links)
+                for own, place, weight in ((i1, i, n2[j]), (i2, j, n1[i])):
+                    total = np.bincount(place, weight, len(own)).astype(np.int64)
+                    linked = np.flatnonzero(total)
+                    ids += own[linked].tolist()
+                    other += [None] * len(linked)
+                    n += total[linked].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int64())], ["id", "other", "n"])
 
     return run
 
@@ -98,39 +126,37 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.9, block: int = BL
     Equal vectors are one class, linked with each other. Distinct vectors are dealt at random to blocks; each unordered
     pair of blocks is one tile. Vectors of different lengths are never linked. n_links counts every linked vector.
 
+    A tile computes again in double precision what may be a link, and returns only sums and a spanning forest: no pair of a
+    group is ever a row.
+
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing. Equal vectors with
     ids of their own count each; rows that repeat an id and its vector get a result each (n_links then counts rows of the
-    own vector); rows with a null id are dropped. An empty table gives an empty result.
+    own vector); rows with a null id link with nothing (component_id null, kept). An empty table gives an empty result.
     """
     v = F.col(vector_col).cast("array<double>")
-    fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine")).where("vec_id is not null")
+    fine = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = rows.select("vec_id", "v", "fine", F.when(F.col("fine"), F.xxhash64("v")).alias("h1"), F.when(F.col("fine"), F.xxhash64(F.lit(1), "v")).alias("h2"))
-    classes = cut(rows.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
-    reps = cut(rows.where("fine").select(F.col("vec_id").alias("id"), "v").join(classes.select("id"), "id", "left_semi"))
-    dims = {r.dim: math.ceil(r.n / block) for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    links = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for dim, blocks in sorted(dims.items()):  # one dimension in all but mixed tables
-        own = reps.where(F.size("v") == dim).select("id", "v", F.lit(dim).alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-        packed = cut(own.groupBy("dim", "block").applyInArrow(_block, "dim int, block long, ids binary, q binary, unit binary, loss binary"))
-        # Block i meets i, i + 1, ... i + half, modulo the number of blocks: every unordered pair once, the same number for each.
-        half = blocks // 2
-        step = F.explode(F.sequence(F.lit(0), F.lit(half))).alias("step")
-        one = packed.select(*(F.col(c).alias(f"{c}1") for c in ("block", "ids", "q", "unit", "loss")), step)
-        if blocks % 2 == 0:
-            one = one.where((F.col("step") < half) | (F.col("block1") < half))
-        one = one.withColumn("block2", F.pmod(F.col("block1") + F.col("step"), F.lit(blocks))).withColumn("same", F.col("step") == 0)
-        two = packed.select(*(F.col(c).alias(f"{c}2") for c in ("block", "ids", "q", "unit", "loss")))
-        may = cut(one.join(two, "block2").mapInArrow(_tiles(least), "a long, b long").where("a <> b").distinct())
-        both = may.join(own.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
-        links = links.union(both.select("a", "b", "x", "y").mapInArrow(_confirm(least), "a long, b long"))
-    links = cut(links)
-    size = classes.select(F.col("id").alias("b"), "n")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = both.join(size, "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
+    classes = cut(rows.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")))
+    sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("m"))
+    own = classes.select("id", "n", "v", F.size("v").alias("dim")).join(sizes, "dim")
+    blocks = F.ceil(F.col("m") / block).cast("long")
+    own = own.select("id", "n", "v", "dim", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    shape = "dim int, block long, blocks long, ids binary, copies binary, v binary, q binary, unit binary, loss binary"
+    packed = cut(own.groupBy("dim", "block").applyInArrow(_block, shape))
+    # Block i meets i, i + 1, ... i + half, modulo the number of blocks: every unordered pair once, the same number for each.
+    half = F.floor(F.col("blocks") / 2)
+    parts = ("ids", "copies", "v", "q", "unit", "loss")
+    one = packed.select("dim", "blocks", *(F.col(c).alias(f"{c}1") for c in ("block", *parts)), F.explode(F.sequence(F.lit(0).cast("long"), half)).alias("step"))
+    one = one.where((F.col("blocks") % 2 == 1) | (F.col("step") < half) | (F.col("block1") < half) | (F.col("blocks") == 1))
+    one = one.withColumn("block2", F.pmod(F.col("block1") + F.col("step"), F.col("blocks"))).withColumn("same", F.col("step") == 0)
+    two = packed.select("dim", *(F.col(c).alias(f"{c}2") for c in ("block", *parts)))
+    met = cut(one.join(two, ["dim", "block2"]).mapInArrow(_tiles(least), "id long, other long, n long"))
+    more = met.where("other is null").groupBy("id").agg(F.sum("n").alias("more"))
+    links = cut(met.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     found = classes.join(more, "id", "left").join(connected_components(links), "id", "left")
     found = cut(found.select("h1", "h2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("class_id")))
     component = F.coalesce("class_id", "vec_id")
     return rows.select("vec_id", "h1", "h2").join(found, ["h1", "h2"], "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
     )

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import mix
 from tidemark.session import cut
 
-#: Keys of one shard, and documents of one block, on average.
-SHARD_KEYS, BLOCK_DOCS = 16384, 400
+#: Keys of one shard, and documents and characters of one block, on average.
+SHARD_KEYS, BLOCK_DOCS, BLOCK_CHARS = 16384, 400, 1 << 20
 #: Blocks that may ask one shard for the same key; shards with keys of more blocks are salted.
 ASKING = 65536
 _WHITE = " \t\n\x0b\x0c\r"
@@ -30,7 +30,8 @@ def _bit_counts(bits: np.ndarray) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: key k lands on the first level where it is alone on its bit."""
+    """Minimal perfect hash of distinct 64-bit keys: key k lands on the first level where it is alone on its bit. Equal keys
+    would never be alone: build() raises on them."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -40,6 +41,8 @@ class PerfectHash:
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
         levels = []
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("keys repeat")
         while len(keys):
             size = max(8, _ROOM * len(keys))
             at = cls._place(keys, len(levels), size)
@@ -74,8 +77,15 @@ class PerfectHash:
 
 
 def _build_shard(rows: pa.Table) -> pa.Table:
+    """One shard. The function is over the distinct first hashes; where different keys share one, the first of them is
+    indexed and the others stand in an exact side list (h1, h2, count)."""
     h1, h2 = (rows[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
     count = rows["n"].to_numpy()
+    order = np.lexsort((h2, h1))
+    again = np.zeros(len(h1), bool)
+    again[order[1:]] = h1[order[1:]] == h1[order[:-1]]
+    side = np.stack([h1[again].view(np.int64), h2[again].view(np.int64), count[again]])
+    h1, h2, count = h1[~again], h2[~again], count[~again]
     function = PerfectHash.build(h1)
     at = function.index(h1)
     marks, counts = np.empty(len(at), np.uint32), np.empty(len(at), np.min_scalar_type(int(count.max())))
@@ -84,7 +94,7 @@ def _build_shard(rows: pa.Table) -> pa.Table:
     return pa.table({
         "shard": rows["shard"].slice(0, 1), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([bits], pa.binary()),
         "marks": pa.array([marks.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
-        "width": pa.array([counts.itemsize], pa.int32()),
+        "width": pa.array([counts.itemsize], pa.int32()), "side": pa.array([side.tobytes()], pa.binary()),
     })
 
 
@@ -98,6 +108,9 @@ def _probe(least: int):
         h1, h2 = (asked[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
         at = PerfectHash.unpack(x["sizes"], x["bits"]).index(h1)
         often = (at >= 0) & (marks[at] == h2.astype(np.uint32)) & (counts[at] >= least)
+        for a, b, n in np.frombuffer(x["side"], np.int64).reshape(3, -1).T.tolist():
+            own = (h1.view(np.int64) == a) & (h2.view(np.int64) == b)
+            often[own] = n >= least
         return asked.filter(pa.array(often)).select(["block", "h1", "h2"])
 
     return run
@@ -131,16 +144,17 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     keep_columns: the result is instead docs with the new text, all other columns as they were.
 
     Null or empty text is one empty line and comes back as the empty text. Repeated lines of one document count once.
-    Ids must be unique; rows with a null id are kept (as a document of its own each). Other columns are ignored.
+    Every row is a document of its own, whether its id is null or repeated. Other columns are ignored.
     """
     names = docs.columns
     row = F.struct(*(F.col(c) for c in names if c != text_col)) if keep_columns else F.lit(None).cast("boolean")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("row"))
-    blocks = max(1, math.ceil(docs.count() / BLOCK_DOCS))
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / BLOCK_DOCS), math.ceil(chars / BLOCK_CHARS))
     keys = F.transform(F.split("text", "\n", -1), _line_key)
     hashed = docs.withColumn("keys", keys).select(
         "doc_id", "text", "row", F.size("keys").cast("long").alias("n_lines"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),  # null and repeated ids are dealt by their texts
         F.transform("keys", lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(k))).alias("a"),
         F.transform("keys", lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(F.lit(1), k))).alias("b"),
     )
@@ -153,7 +167,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
     shard = F.pmod("h1", F.lit(shards)).alias("shard")
     counts = counts.select("h1", "h2", "n", shard)
-    shape = "shard long, sizes array<long>, bits binary, marks binary, counts binary, width int"
+    shape = "shard long, sizes array<long>, bits binary, marks binary, counts binary, width int, side binary"
     index = counts.groupBy("shard").applyInArrow(_build_shard, shape)
     hot = cut(counts.where(F.col("n") > ASKING).groupBy("shard").agg(F.ceil(F.max("n") / ASKING).alias("salts")))
     asked = lines.distinct().select("block", "h1", "h2", shard)
