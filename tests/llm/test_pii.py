@@ -4,7 +4,7 @@ import re
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tidemark.llm.pii import KINDS, classifier, find_pii, redact, reliabilities, span_list
+from tidemark.llm.pii import KINDS, classifier, find_pii, inputs, redact, reliabilities, span_list
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -51,24 +51,56 @@ def test_base_equals_brute_force(spark):
         assert set(want) <= set(got[i].spans.split(",")) | ({""} if not want else set())
 
 
+def added_by_hand(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.s for r in find_pii(df).select("doc_id", span_list("spans").alias("s")).collect()}
+
+
 def test_loose_spans_need_the_classifier(spark):
     texts = [f"write to user{i}@mail.example.com or call +1 (555) 555-{1000 + i} today" for i in range(200)]
-    texts += ["please call (212) 555-0187 now", "mail: jane.roe (at) example (dot) com"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.s for r in find_pii(df).select("doc_id", span_list("spans").alias("s")).collect()}
-    assert got[200] == "phone:12:26" and got[201] == "email:6:37"
+    real = [
+        ("please call (212) 555-0187 now", "phone", "(212) 555-0187"), ("mail: jane.roe (at) example (dot) com", "email", "jane.roe (at) example (dot) com"),
+        ("pay to IBAN DE89 3704 0044 0532 0130 00, thanks", "iban", "DE89 3704 0044 0532 0130 00"), ("amex card 3782 822463 10005.", "card", "3782 822463 10005"),
+        ("the host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 answers", "ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"),
+        ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"),
+        ("é password: Xk29dkLs02mfAq81ZzPp", "secret", "Xk29dkLs02mfAq81ZzPp"), ("API_KEY='ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4'", "secret", "ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4"),
+    ]
+    clean = [
+        "order 2024/05/06/some-long-article-title here", "a very_long_snake_case_name_2024_final", "IBAN DE89 3704 0044 0532 0130 01 is false", "card 3782 822463 10006",
+        "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "version 1.2.3 of 2020-10-10", "x" * 100_000, "Thisisaverylongwordinsomelanguage", "=" * 40, "ISBN 978-3-16-148410-0",
+    ]
+    got = added_by_hand(spark, texts + [t for t, _, _ in real] + clean)
+    for i, (t, kind, hit) in enumerate(real):
+        at = t.index(hit)
+        assert got[200 + i] == f"{kind}:{at}:{at + len(hit)}", t
+    for i, t in enumerate(clean):
+        assert got[200 + len(real) + i] == "", t
+
+
+def test_planted_secrets_are_found(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans_secret} for r in find_pii(df).collect()}
+    want = {r.doc_id: {m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', r.text or "")} for r in df.collect()}
+    planted = [(i, s) for i, spans in want.items() for s in spans]
+    assert len(planted) > 10 and sum(s in got[i] for i, s in planted) >= 0.9 * len(planted)
+    assert sum(bool(got[i]) and not want[i] for i in got) <= 0.005 * len(got)
 
 
 def test_reliable_labelers_outweigh_others():
-    counts = [("email", (1, 1, 1, 1), 500), ("email", (1, 1, 1, None), 300), ("email", (0, 1, 0, None), 100), ("email", (0, 0, 0, None), 200)]
+    none = (0, 0, 1, 0, 0)
+    counts = [("email", (1, 1, 1, 1, 1), none, 500), ("email", (1, 1, None, 1, 1), none, 300), ("email", (1, 0, None, 1, 1), none, 100), ("email", (0, 0, None, 0, 1), none, 200)]
     post, hit = reliabilities(counts)
-    assert post["email", (1, 1, 1, 1)] > 0.99 > 0.5 > post["email", (0, 0, 0, None)]
-    assert hit["strict"][0] > hit["strict"][1]
-    bias, weights = classifier(counts)
-    assert weights["strict"] > 0 and bias + sum(weights.values()) > 0
+    assert post["email", (1, 1, 1, 1, 1)] > 0.99 > 0.5 > post["email", (0, 0, None, 0, 1)]
+    assert hit["email", "form"][0] > hit["email", "form"][1]
+    w = classifier(counts)
+    score = lambda votes: sum(a * b for a, b in zip(w, inputs("email", votes, none), strict=True))
+    assert score((1, 1, 1, 1, 1)) > 0 > score((0, 0, None, 0, 0))
 
 
 def test_empty_table_and_redaction(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     row = redact(spark.createDataFrame([(1, "a@b.c, 1.2.3.4\n+1 555 555 5555\n4111111111111111"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.text for r in row] == ["[email], [ip]\n[phone]\n[card]", None]
+    odd = spark.createDataFrame([(None, "x", "a@b.c a@b.c"), (None, "x", "a@b.c a@b.c"), (3, None, ""), (3, None, "4111111111111112 256.1.1.1")], "doc_id long, spans string, text string")
+    assert sorted(r.text for r in redact(odd).collect()) == ["", "4111111111111112 256.1.1.1", "[email] [email]", "[email] [email]"]
+    assert redact(odd.limit(0)).collect() == [] and redact(odd).columns == odd.columns

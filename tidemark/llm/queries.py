@@ -29,7 +29,9 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.span_list("base"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans"))
+    added = [F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in pii.MORE_KINDS]
+    n_spans = sum((F.size(f"spans_{k}") for k in pii.ALL_KINDS), F.lit(0)).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(pii.span_list("base"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans"), *added, n_spans)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(parts=4, part=2))
     found = toxicity.toxicity(docs, model, least=0.3)
-    return found.select("doc_id", toxicity.held_out(parts=4, part=2).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", toxicity.held_out(parts=4, part=2).alias("held_out"), "score", "predicted", "sentences", "sentence_texts")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
