@@ -13,7 +13,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 def test_blocks():
     got = blocks_of(PAGE)
     assert [b[1] for b in got] == ["Home", "News", "Buy", "Head <line>", "One © two three", "Four five six", "seven", "eight", "nine", "© foot"]
-    assert [by_tags(b[0]) for b in got] == [0, 0, 0, 1, 1, 1, 1, 1, 1, 0]
+    assert [by_tags(b[0].words()) for b in got] == [0, 0, 0, 1, 1, 1, 1, 1, 1, 0]
     assert got[0][2] == 1.0 and got[4][2] == 0.0
     assert blocks_of(None) == blocks_of("") == blocks_of("<p></p> <!-- x") == []
     assert [b[1] for b in blocks_of("a < b <p>c<script>d")] == ["a < b", "c"]
@@ -45,7 +45,7 @@ def test_extracts_the_article_of_real_pages_and_of_variants(spark):
     rng, wrong, total = np.random.default_rng(5), 0, 0
     for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
         blocks = blocks_of(r["html"])
-        labels = [by_tags(b[0]) for b in blocks]
+        labels = [by_tags(b[0].words()) for b in blocks]
         want = "\n\n".join(b[1] for b, y in zip(blocks, labels, strict=True) if y)
         assert got[r["page_id"]].text == want and got[r["page_id"]].n_chars == len(want)
         b, y = variant(blocks, labels, rng)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,6 @@ from tokenizers import Tokenizer
 from tidemark.llm.packing import OpenBins, WordTokenizer, pack, vocabulary_path
 
 TOKENIZER = Tokenizer.from_file(vocabulary_path())
-TOKENIZER.encode_special_tokens = True
 FAST = WordTokenizer(vocabulary_path())
 
 
@@ -17,17 +17,19 @@ def plain(text):
     return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
+def fast(texts):
+    return [ids[a:b].tolist() for _, _, ids, first in FAST.encode(pa.array(texts, pa.string())) for a, b in zip(first, first[1:], strict=False)]
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(max_size=40) | st.text("aB'sé́ ñ1.<|>ß \x1c\n\x85½", max_size=30), max_size=6))
+@given(st.lists(st.text(max_size=40) | st.text("aB'sé́ ñ1.<|>ß \x1c\n\x85½", max_size=30) | st.lists(st.sampled_from(["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "A", " ", "é", "Ж", "'s", "\xa0"]), max_size=8).map("".join), max_size=6))
 def test_ids_equal_the_tokenizers(texts):
-    ids, first = FAST.encode(texts)
-    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [plain(t) for t in texts]
+    assert fast(texts) == [plain(t) for t in texts]
 
 
 def test_ids_of_the_documents():
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() + ["<|endoftext|> x<|startoftext|>", "I'M we'LL ΟΔΟΣ İstanbul"]
-    ids, first = FAST.encode(texts)
-    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [plain(t) for t in texts]
+    assert fast(texts) == [plain(t) for t in texts]
 
 
 def test_pack_keeps_every_id_in_place(spark):

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, byte_slices, words_of
 from tidemark.session import cut
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,11 +27,11 @@ SEQUENCE, SEPARATOR = 2048, 0
 OPEN_BINS = 2048
 #: Pieces of one packer, on average; each packer leaves at most its last few bins part empty.
 PACKER_PIECES = 20_000
-_CACHE = 700_000  # words whose ids a Python worker remembers, about 200 MB; beyond that it starts anew
+#: Words, and bytes of them, whose ids a Python worker remembers (about 200 MB); beyond either it starts anew.
+_CACHE, _CACHE_BYTES = 700_000, 1 << 23
 #: The vocabulary's split into words, after lower-casing (fixed value of the public file).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_SPACES = regex.compile(f"[{_SPACE}]+")
 
 
 def vocabulary_path() -> str:
@@ -47,29 +48,30 @@ def _byte_letters() -> list[str]:
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word: white space divides texts into words, and each word's ids are kept in a cache.
+    """Ids of whole texts, word by word: ASCII white space divides texts into words, and each word's ids are kept in a cache.
 
     The vocabulary drops white space and never joins over it, so that a text's ids are those of its words in a row.
-    Words of up to U+00FF go straight to the model; any other word goes through the tokenizer as a text of its own.
+    Words of up to U+00FF go straight to the model; any other word, and one with a special token's string in it, goes through
+    the tokenizer as a text of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings in a text that are a token of their own, whatever stands around them.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 16, np.int64)  # where each word's ids begin in flat; the next word's place is its end
+        self.words = WordNumbers(_CACHE, _CACHE_BYTES)
+        self.flat, self.end = Growing((), np.uint32), Growing((), np.int64)  # ids of all words in a row; where each word's end
+        self.end.add(np.zeros(1, np.int64))
 
     def word_ids(self, word: str) -> list[int]:
-        if word.isascii() or max(word) < "Ā":
+        if (word.isascii() or max(word) < "Ā") and not (any(x in word for x in self.special)):
             out = []
             word = word.lower()
             if word.isalpha():
@@ -84,42 +86,21 @@ class WordTokenizer:
             return out
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        ids: list[int] = []
-        ends: list[int] = []
-        first = len(self.number)
-        for w in words:
-            ids += self.word_ids(w)
-            ends.append(self.used + len(ids))
-            self.number[w] = len(self.number)
-        while len(self.number) >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.at[first + 1 : len(self.number) + 1] = ends
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, where each text's ids begin, with one more entry at the end)."""
-        words: list[str] = []
-        ends = [0]
-        for t in texts:
-            if t:
-                if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to split() alone
-                    words += [w for w in _SPACES.split(t) if w]
-                else:
-                    words += t.split()
-            ends.append(len(words))
-        if len(self.number) > _CACHE:
-            self.clear()
-        self._learn([w for w in dict.fromkeys(words) if w not in self.number])
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        begin = self.at[k]
-        size = self.at[k + 1] - begin
-        first = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(first[-1]) + np.repeat(begin - first[:-1], size)
-        return self.flat[take], first[ends]
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of whole texts: (from row, to row, all ids, where each text's ids begin, with one more entry at the end)."""
+        for row, to, data, offsets in byte_slices(texts):
+            if self.words.full():
+                self.clear()
+            w = words_of(data, offsets, NOT_SPACE, lower=False)
+            k, new = self.words.find(w)
+            ids = [self.word_ids(x) for x in new]
+            self.end.add(self.flat.used + np.cumsum([len(x) for x in ids], dtype=np.int64))
+            self.flat.add(np.fromiter((i for x in ids for i in x), np.uint32))
+            begin = self.end.rows[k]
+            size = self.end.rows[k + 1] - begin
+            first = np.concatenate([[0], np.cumsum(size)])
+            take = np.arange(first[-1]) + np.repeat(begin - first[:-1], size)
+            yield row, to, self.flat.rows[take], first[w.first]
 
 
 @functools.lru_cache(maxsize=1)
@@ -132,14 +113,8 @@ def _pieces(path: str, length: int, separator: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            row = 0
-            while row < len(texts):
-                to, size = row, 0
-                while to < len(texts) and (to == row or size < 1 << 21):
-                    size += len(texts[to] or "")
-                    to += 1
-                ids, first = tokenizer.encode(texts[row:to])
+            docs = batch.column(0).to_pylist()
+            for row, to, ids, first in tokenizer.encode(batch.column(1)):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
                 tokens = []
                 for i in range(to - row):
@@ -157,7 +132,6 @@ def _pieces(path: str, length: int, separator: int, with_ids: bool):
                     columns.append(pa.array(tokens, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-                row = to
 
     return run
 
@@ -218,7 +192,7 @@ def pack(
     A document is its ids and then the separator; only those of over `length` ids are cut, into pieces of `length`. The
     pieces' sizes are dealt at random to packers of about packer_pieces pieces; each packs its own with open_bins bins.
 
-    Null and empty texts are the separator alone; repeated rows are packed each; an empty table gives an empty result;
+    Null and empty texts are the separator alone; null ids and repeated rows are packed as documents of their own; an empty table gives an empty result;
     other columns are ignored. Texts are tokenised once: the pieces (without texts) are written to the shared folder.
     """
     docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))

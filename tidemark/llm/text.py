@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Words(NamedTuple):
     """hash: per word; first: index of each text's first word, with one more entry at the end; start, end: byte places
-    in data (lower-cased)."""
+    in data (lower-cased, if so asked)."""
 
     hash: np.ndarray
     first: np.ndarray
@@ -84,8 +84,9 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * _power(_BASE_INV, n + 1)[start] + (end - start).astype(np.uint64))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
-    data = _LOWER[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True) -> Words:
+    if lower:
+        data = _LOWER[data]
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = is_word[data]
@@ -123,3 +124,46 @@ def distinct_sets(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
     return h[new], t[new]
+
+
+class WordNumbers:
+    """Numbers, from 0, of the distinct words (by hash) that a Python worker has met, up to a number of words and of their
+    bytes: what is kept per word is worked out once, and looked up by number."""
+
+    def __init__(self, most_words: int = 700_000, most_bytes: int = 1 << 23):
+        self.most_words, self.most_bytes = most_words, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[int, int] = {}
+        self.bytes = 0
+
+    def full(self) -> bool:
+        """Whether to start anew before the next slice; a slice itself is always taken whole."""
+        return len(self.number) > self.most_words or self.bytes > self.most_bytes
+
+    def find(self, words: Words) -> tuple[np.ndarray, list[str]]:
+        """(the number of every word, the new words in the order of their numbers)."""
+        distinct, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        number = np.fromiter((self.number.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        fresh = np.flatnonzero(number < 0)
+        number[fresh] = np.arange(len(self.number), len(self.number) + len(fresh))
+        self.number.update(zip(distinct[fresh].tolist(), number[fresh].tolist(), strict=True))
+        raw = words.data.tobytes()
+        new = [raw[a:b].decode() for a, b in zip(words.start[at[fresh]].tolist(), words.end[at[fresh]].tolist(), strict=True)]
+        self.bytes += int((words.end[at[fresh]] - words.start[at[fresh]]).sum())
+        return number[back], new
+
+
+class Growing:
+    """A numpy array of rows that grows at its end."""
+
+    def __init__(self, width: tuple[int, ...], dtype: type):
+        self.rows, self.used = np.zeros((1024, *width), dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.used + len(more) > len(self.rows):
+            size = max(2 * len(self.rows), self.used + len(more))
+            self.rows = np.concatenate([self.rows[: self.used], np.zeros((size - self.used, *self.rows.shape[1:]), self.rows.dtype)])
+        self.rows[self.used : self.used + len(more)] = more
+        self.used += len(more)
