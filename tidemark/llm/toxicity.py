@@ -182,7 +182,7 @@ def _score(shared, least: float):
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % parts == part
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
