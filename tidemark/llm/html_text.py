@@ -8,8 +8,10 @@ tags, in which the same text stands in other page furniture.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,10 @@ DIMS = PATH_DIMS + WORD_DIMS + SHARES
 HIDDEN, STEPS, RATE, BATCH = 16, 300, 0.02, 48
 
 # Fixed values of HTML.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object")
+#: Elements whose content isn't markup (or isn't shown), up to their end tag; those of code take the rest of the page if none follows.
+RAW, CODE = frozenset("script style textarea title template iframe".split()), frozenset(("script", "style"))
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
@@ -39,7 +44,7 @@ IMPLIED = {
     **dict.fromkeys("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split(), (("p",), ("td", "th", "button", "caption"))),
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
-    "option": (("option",), ("select", "datalist")), "body": (("head",), ("html",)),
+    "option": (("option",), ("select", "datalist")),
 }
 #: What page furniture calls itself, in tags and in class, id and role words.
 FURNITURE = frozenset(
@@ -48,95 +53,161 @@ FURNITURE = frozenset(
 )
 ARTICLE = frozenset(("article", "main"))
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?|<[!?][^>]*>?", re.S)
+# A quote opens a string only after an equals sign, and only if another ends it. Possessive, so in linear time.
+_MARKUP = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>?|<[!?][^>]*+>?", re.S
+)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+[0-9]*")
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _place(word: str) -> tuple[int, float]:
+    """Dimension and sign of a word of a path."""
+    h = zlib.crc32(word.strip("<>").encode())
+    return h % PATH_DIMS, 1.0 - 2.0 * (h >> 31)
+
+
+class Path:
+    """The tags, and class, id and role words, from the page's root to an element, as a link to the parent's path: an element
+    costs its own words only, however deep it stands."""
+
+    __slots__ = ("depth", "own", "up", "vector")
+
+    def __init__(self, up: Path | None, own: tuple[str, ...]):
+        self.up, self.own = up, own
+        self.depth = len(own) + (up.depth if up else 0)
+        self.vector = up.vector.copy() if up else np.zeros(PATH_DIMS, np.float32)
+        for word in own:
+            at, sign = _place(word)
+            self.vector[at] += sign
+
+    def words(self) -> tuple[str, ...]:
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.own)
+            at = at.up
+        return tuple(w for own in reversed(parts) for w in own)
+
+
+def path_of(words: tuple[str, ...]) -> Path:
+    return Path(None, words)
+
+
+_ROOT = path_of(())
+
+
 class Block:
     __slots__ = ("linked", "parts", "path")
 
-    def __init__(self, path: tuple[str, ...]):
+    def __init__(self, path: Path):
         self.path, self.parts, self.linked = path, [], 0
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(tag path with class, id and role words; text; share of it in links) of a page's blocks that aren't empty, in order.
+class Reader:
+    """The leaf blocks of one page, read once from its start to its end. Open elements stand on a stack, with the places of
+    each tag and of block elements beside it, so that no tag or text looks through the stack."""
 
-    Raw elements (scripts, styles and the like), comments and everything in the head are passed over. Elements that are
-    left open, unclosed markup and stray end tags are dealt with as browsers do in the common cases.
-    """
-    page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    done: list[Block] = []
-    now: Block | None = None
-    at, links, low = 0, 0, None
-
-    def add(text: str) -> None:
-        nonlocal now
-        if text and not any(t == "head" for t, _ in stack):
-            if now is None:
-                now = Block(tuple(w for _, words in stack for w in words))
-                done.append(now)
-            now.parts.append(text)
-            now.linked += len(text) * bool(links)
-
-    def close(to: int) -> None:
-        nonlocal now, links
-        for t, _ in stack[to:]:
-            links -= t == "a"
-            if t in BLOCK:
-                now = None
-        del stack[to:]
-
-    while m := _MARKUP.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:  # inline elements don't end across blocks
-                    break
+    def __init__(self, page: str):
+        self.page, self.done, self.now, self.links = page, [], None, 0
+        self.stack: list[tuple[str, Path]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.never: set[str] = set()  # raw tags of which no end tag follows
+
+    def top(self, tags: tuple[str, ...]) -> int:
+        """The innermost open element of these tags, or -1."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def close(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            self.links -= tag == "a"
             if tag in BLOCK:
-                now = None
-            continue
-        if tag in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at) if len(low) == len(page) else -1
-            if end < 0:
-                found = re.compile(f"</{tag}", re.I).search(page, at)
-                end = found.start() if found else len(page)
-            shut = page.find(">", end)
-            at = len(page) if shut < 0 else shut + 1
-            continue
+                self.blocks.pop()
+                self.now = None
+
+    def add(self, text: str) -> None:
+        if not text:
+            return
+        if (head := self.top(("head",))) >= 0:
+            if text.isspace():
+                return
+            self.close(head)  # text ends the head
+        if self.now is None:
+            self.now = Block(self.stack[-1][1] if self.stack else _ROOT)
+            self.done.append(self.now)
+        self.now.parts.append(text)
+        self.now.linked += len(text) * (self.links > 0)
+
+    def end_tag(self, tag: str) -> None:
+        at = self.top((tag,))
+        # Inline elements don't end across blocks.
+        if at >= 0 and (tag in BLOCK or at > (self.blocks[-1] if self.blocks else -1)):
+            self.close(at)
+        if tag in BLOCK:
+            self.now = None
+
+    def raw(self, tag: str, at: int) -> int:
+        """Where the page goes on after a raw element's start tag that ends at `at`."""
+        found = None if tag in self.never else re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(self.page, at)
+        if found is None:
+            self.never.add(tag)
+            return len(self.page) if tag in CODE else at
+        shut = self.page.find(">", found.end())
+        return len(self.page) if shut < 0 else shut + 1
+
+    def start_tag(self, tag: str, rest: str) -> None:
+        if tag not in HEAD and (head := self.top(("head",))) >= 0:
+            self.close(head)
         if tag in IMPLIED:
             shut, bound = IMPLIED[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in bound:
-                    break
-                if stack[k][0] in shut:
-                    close(k)
-                    break
+            if (at := self.top(shut)) > self.top(bound):
+                self.close(at)
         if tag in BLOCK:
-            now = None
+            self.now = None
         if tag == "br":
-            add(" ")
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            continue
-        names = " ".join(x for g in _NAMES.findall(m[3]) for x in g) if "=" in m[3] else ""
-        stack.append((tag, (f"<{tag}>", *_WORD.findall(names.lower()))))
-        links += tag == "a"
-    add(page[at:])
+            self.add(" ")
+        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
+            return
+        names = " ".join(x for g in _NAMES.findall(rest) for x in g) if "=" in rest else ""
+        up = self.stack[-1][1] if self.stack else None
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, Path(up, (f"<{tag}>", *_WORD.findall(names.lower())))))
+        self.links += tag == "a"
+
+    def read(self) -> list[Block]:
+        at = 0
+        while m := _MARKUP.search(self.page, at):
+            self.add(self.page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                self.end_tag(tag)
+            elif tag in RAW and not (m[3].endswith("/") and self.top(tuple(FOREIGN)) >= 0):
+                at = self.raw(tag, at)
+            else:
+                self.start_tag(tag, m[3])
+        self.add(self.page[at:])
+        return self.done
+
+
+def blocks_of(page: str | None) -> list[tuple[Path, str, float]]:
+    """(path; text; share of it in links) of a page's blocks that aren't empty, in order, in time linear in the page.
+
+    Scripts, styles, raw form fields and comments are passed over. Elements that are left open, unclosed markup and stray
+    end tags are dealt with as browsers do in the common cases.
+    """
     out = []
-    for b in done:
+    for b in Reader(page or "").read():
         if t := b.text():
             out.append((b.path, t, min(1.0, b.linked / max(1, sum(map(len, b.parts))))))
     return out
@@ -149,25 +220,25 @@ def by_tags(path: tuple[str, ...]) -> int:
     return int(top >= 0 and not FURNITURE.intersection(names[top + 1 :]) and not FURNITURE.intersection(w for w in names[:top] if w != "form"))
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def features(blocks: list[tuple[Path, str, float]]) -> np.ndarray:
     """(blocks, DIMS)."""
     n = len(blocks)
     out = np.zeros((n, DIMS), np.float32)
     if not n:
         return out
-    path = pa.array([" ".join(b[0]) for b in blocks], pa.string())
-    for column, at, dims in ((path, 0, PATH_DIMS), (pa.array([b[1] for b in blocks], pa.string()), PATH_DIMS, WORD_DIMS)):
-        for row, to, data, offsets in byte_slices(column):
-            w = words_of(data, offsets, ALNUM)
-            text = np.repeat(np.arange(to - row), np.diff(w.first))
-            bucket = (w.hash % np.uint64(dims)).astype(np.int64)
-            sign = 1.0 - 2.0 * ((w.hash >> np.uint64(60)) & np.uint64(1)).astype(np.float64)
-            h = np.bincount(text * dims + bucket, sign, (to - row) * dims).reshape(-1, dims)
-            out[row:to, at : at + dims] = h / np.maximum(1, np.sqrt((h * h).sum(1, keepdims=True))) * 2
+    scaled = lambda h: h / np.maximum(1, np.sqrt((h * h).sum(1, keepdims=True))) * 2
+    out[:, :PATH_DIMS] = scaled(np.stack([b[0].vector for b in blocks]))
+    for row, to, data, offsets in byte_slices(pa.array([b[1] for b in blocks], pa.string())):
+        w = words_of(data, offsets, ALNUM)
+        text = np.repeat(np.arange(to - row), np.diff(w.first))
+        bucket = (w.hash % np.uint64(WORD_DIMS)).astype(np.int64)
+        sign = 1.0 - 2.0 * ((w.hash >> np.uint64(60)) & np.uint64(1)).astype(np.float64)
+        h = np.bincount(text * WORD_DIMS + bucket, sign, (to - row) * WORD_DIMS).reshape(-1, WORD_DIMS)
+        out[row:to, PATH_DIMS : PATH_DIMS + WORD_DIMS] = scaled(h)
     size = np.array([len(b[1]) for b in blocks], float)
     words = np.array([b[1].count(" ") + 1 for b in blocks], float)
     marks = np.array([sum(map(b[1].count, ".,;!?")) for b in blocks], float)
-    depth = np.array([len(b[0]) for b in blocks], float)
+    depth = np.array([min(40, b[0].depth) for b in blocks], float)
     out[:, -SHARES:] = np.stack([np.log1p(size) / 5 - 0.7, np.log1p(words) / 3 - 0.7, marks / words, [b[2] for b in blocks], depth / 10], 1)
     return out
 
@@ -282,9 +353,9 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def variant(blocks: list[tuple[tuple[str, ...], str, float]], labels: list[int], rng: np.random.Generator) -> tuple[list, list[int]]:
+def variant(blocks: list[tuple[Path, str, float]], labels: list[int], rng: np.random.Generator) -> tuple[list, list[int]]:
     """The same texts in another page: other wrappers of the main part, and other furniture around and inside it."""
-    main = [(b, path) for (path, b, _), y in zip(blocks, labels, strict=True) if y]
+    main = [(b, path.words()) for (path, b, _), y in zip(blocks, labels, strict=True) if y]
     rest = [b for (_, b, _), y in zip(blocks, labels, strict=True) if not y] or ["Home", "About us", "All rights reserved"]
     top = ("<html>", "<body>", *[(), ("<div>", "page"), ("<div>", "wrapper", "site")][rng.integers(3)])
     wrap = [("<article>",), ("<main>",), ("<main>", "<article>", "post"), ("<div>", "content"), ("<div>", "entry", "content"), ("<section>", "article", "body"), ("<div>", "post", "body")][rng.integers(7)]
@@ -298,7 +369,7 @@ def variant(blocks: list[tuple[tuple[str, ...], str, float]], labels: list[int],
         for _ in range(rng.integers(1, 5)):
             # Comments and notices may be prose as well: some take main text.
             text = main[rng.integers(len(main))][0] if main and rng.random() < 0.3 else rest[rng.integers(len(rest))]
-            out.append(((*base, *kind), text, float("<a>" in kind)))
+            out.append((path_of((*base, *kind)), text, float("<a>" in kind)))
             y.append(0)
 
     for _ in range(rng.integers(0, 4)):
@@ -306,7 +377,7 @@ def variant(blocks: list[tuple[tuple[str, ...], str, float]], labels: list[int],
     inner = [("<p>",), ("<p>",), ("<p>",), ("<h2>",), ("<ul>", "<li>"), ("<blockquote>",), ("<p>", "<b>")]
     for k, (text, path) in enumerate(main):
         leaf = ("<h1>",) if "<h1>" in path else inner[rng.integers(len(inner))]
-        out.append(((*top, *wrap, *leaf), text, 0.0))
+        out.append((path_of((*top, *wrap, *leaf)), text, 0.0))
         y.append(1)
         if rng.random() < 0.1 and k + 1 < len(main):
             furniture((*top, *wrap))
@@ -315,8 +386,9 @@ def variant(blocks: list[tuple[tuple[str, ...], str, float]], labels: list[int],
     return out, y
 
 
-def fit_labeller(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """Fits the labeller on about sample_pages pages, chosen by a hash of page_id. Pages without blocks are passed over."""
+def fit_labeller(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, train_blocks: int = TRAIN_BLOCKS) -> Labeller:
+    """Fits the labeller on about sample_pages pages, chosen by a hash of page_id. Pages without main text by their tags, or of
+    more than train_blocks blocks, aren't fitted on."""
     rows = pages.where("html is not null").select("page_id", "html")
     n, span = rows.count(), 1 << 30
     share = min(span, -(-sample_pages * span // max(1, n)))
@@ -325,8 +397,8 @@ def fit_labeller(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Labeller
     train = []
     for row in sample:
         blocks = blocks_of(row.html)
-        labels = [by_tags(b[0]) for b in blocks]
-        if any(labels) and len(blocks) <= TRAIN_BLOCKS:
+        labels = [by_tags(b[0].words()) for b in blocks] if len(blocks) <= train_blocks else []
+        if any(labels):
             train.append((features(blocks), np.array(labels, np.float32)))
             for _ in range(VARIANTS):
                 b, y = variant(blocks, labels, rng)
