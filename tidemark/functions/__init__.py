@@ -1 +1 @@
-
+"""Scalar functions of columns."""

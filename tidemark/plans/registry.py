@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market_queries, record_queries, tail_queries, workflow_queries
+from tidemark.plans import market_queries, record_queries, rule_queries, tail_queries, workflow_queries
 
-_MODULES = (market_queries, tail_queries, record_queries, workflow_queries)
+_MODULES = (market_queries, tail_queries, record_queries, workflow_queries, rule_queries)
 
 
 def queries() -> dict:
