@@ -133,7 +133,7 @@ def test_chain_and_lineage(spark):
     r = rules.chain_breaks(df, ["k"], "seq", "prev", "entry", F.when(F.col("seq") == 2, "z").otherwise(F.col("entry")), "GENESIS").first()
     assert (r.entries, r.bad_links, r.bad_sequence, r.bad_hashes) == (4, 1, 1, 1)
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3)], "id int, parent int")
-    got = {(r.id, r.ancestor): r.distance for r in rules.lineage(tree, "id", "parent", depth=8).collect()}
+    got = {(r.id, r.ancestor): r.distance for r in rules.lineage(tree, "id", "parent").collect()}
     assert got == {(2, 1): 1, (3, 2): 1, (4, 3): 1, (3, 1): 2, (4, 2): 2, (4, 1): 3}
 
 
@@ -160,3 +160,40 @@ def test_events_after_delivery_is_whole(spark):
     want = sorted(r.event_id for r in e if r.user_id not in last or r.event_id > last[r.user_id])
     got = [r.event_id for r in workflow_queries.events_after_delivery(spark, data).collect()]
     assert got == want and want
+
+
+def test_lineage_of_any_length_and_cycles(spark):
+    line = spark.range(1, 201).selectExpr("id", "IF(id > 1, id - 1, NULL) AS parent")
+    got = rules.lineage(line, "id", "parent")
+    assert got.count() == 200 * 199 // 2 and got.agg(F.max("distance")).first()[0] == 199
+    with pytest.raises(ValueError, match="cycle"):
+        rules.lineage(spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id int, parent int"), "id", "parent")
+
+
+def test_tail_loss_counts_gains_and_is_floored_once(spark):
+    df = spark.createDataFrame([("a", -10.0, 0.1), ("a", 5.0, 0.9), ("b", 3.0, 1.0)], "k string, pnl double, p double")
+    got = {r.k: r.cvar for r in tails.weighted_tail_loss(df, ["k"], "pnl", "p", 0.25, "cvar").collect()}
+    assert got["a"] == pytest.approx(1.0) and got["b"] == 0.0  # (0.1 * -10 + 0.15 * 5) / 0.25
+
+
+def test_folds_step_and_purge(spark):
+    rows = [(i, f"g{i // 2:02d}", dt.date(2026, 1, 1) + dt.timedelta(days=i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, grp string, at date")
+    members = tails.fold_members(df, "grp", "at", 4, 2, 1, step_groups=3).collect()
+    got = {f: tuple(sorted(r.id for r in members if r.fold == f and r.role == role) for role in ("TEST", "TRAIN")) for f in {r.fold for r in members}}
+    assert got == {0: ([8, 9, 10, 11], [0, 1, 2, 3, 4, 5, 6]), 1: ([14, 15, 16, 17], list(range(13)))}
+    counts = tails.walk_forward_folds(df, "grp", "at", 4, 2, 1, step_groups=3).orderBy("fold").collect()
+    assert [(r.n_test, r.n_train) for r in counts] == [(4, 7), (4, 13)]
+    with pytest.raises(Exception, match="without training samples"):
+        tails.walk_forward_folds(df, "grp", "at", 1, 1, 30).collect()
+
+
+def test_kth_smallest_equals_sorting(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v)) for k in range(3) for v in np.round(rng.normal(size=500) ** 3, k)] + [(3, 7.0)] * 5 + [(4, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: (r.n, r.x) for r in tails.kth_smallest(df, ["k"], "v", lambda n: F.ceil(n * 0.9), "x").collect()}
+    for k in range(4):
+        own = sorted(v for i, v in rows if i == k)
+        assert got[k] == (len(own), own[math.ceil(len(own) * 0.9) - 1])
+    assert 4 not in got

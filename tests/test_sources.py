@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -89,6 +90,7 @@ def test_collector_over_a_stream(spark, tmp_path):
     for k, part in enumerate((events[:4], events[4:])):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(e) for e in part))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # the file source takes files by their times
     output = "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     query = folds.stream_fold(stream, "provider", ["seq"], folds.Collector(), output).writeStream.format("memory").queryName("collected").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -96,3 +98,34 @@ def test_collector_over_a_stream(spark, tmp_path):
     assert [(r.state, r.reasons) for r in spark.table("collected").orderBy("seq").collect()] == WANT
     batch = folds.fold(spark.createDataFrame(events, schema), "provider", ["seq"], folds.Collector(), output)
     assert [(r.state, r.reasons) for r in batch.orderBy("seq").collect()] == WANT
+
+
+def test_held_rows_go_through_in_order(spark, tmp_path):
+    """Batches that overlap in time: with a hold, the machine sees what it would see over a table."""
+    schema = "provider string, event_id string, seq long, kind string, at double, schema_version string, source_ts double, payload string"
+    events = collector_events()
+    end = {**events[-1], "event_id": "end", "seq": 99, "at": 100.0}
+    parts = (events[0:2] + events[3:4], events[2:3] + events[4:7], events[7:], [end], [{**end, "event_id": "end2", "seq": 100, "at": 200.0}])
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate(parts):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(e) for e in part))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    output = "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = folds.stream_fold(stream, "provider", ["seq"], folds.Collector(), output, hold=1.5).writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = [(r.state, r.reasons) for r in spark.table("held").orderBy("seq").collect()]
+    assert got[: len(WANT)] == WANT
+
+
+def test_ids_are_forgotten_after_a_while():
+    step = folds.outbox_step(cooldown=1, keep=10)
+    out = run(step, [{"dedupe_key": "k", "message_id": m, "at": a} for m, a in (("a", 0.0), ("b", 5.0), ("a", 9.0), ("b", 16.0), ("a", 40.0))])
+    assert [o["outcome"] for o in out] == ["ENQUEUED", "ENQUEUED", "DUPLICATE", "ENQUEUED", "ENQUEUED"]
+    one = folds.Collector(instrument="I")
+    rows = [{"provider": "p", "event_id": str(i), "seq": i, "kind": k, "at": float(i), "schema_version": "v1", "source_ts": float(i), "payload": str(i), "instrument_id": x} for i, (k, x) in enumerate((("START", None), ("CONNECTED", None), ("QUOTE", "J"), ("QUOTE", "I")))]
+    assert [o["reasons"] for o in run(one, rows)][2:] == ["COLLECTOR_STALE,INSTRUMENT_MISMATCH", ""]
+
+
+def test_missing_labels_are_an_empty_table(spark, tmp_path):
+    assert loaders.labels(spark, str(tmp_path / "none.jsonl")).collect() == []

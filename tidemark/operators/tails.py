@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +18,70 @@ def quantile_higher(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY {value})")
 
 
+#: Bins of a key's value range, in which rows are counted before any are ordered.
+BINS = 4096
+
+
+def _in_bins(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with the bin of their value (0 to BINS) between the key's smallest and largest one; null values go. Joined with one
+    row a key."""
+    v = F.col(value).cast("double")
+    span = rows.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    known = rows.join(span, keys) if keys else rows.crossJoin(F.broadcast(span))  # one row
+    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BINS)).otherwise(F.lit(0))
+    return known.where(F.col(value).isNotNull()).withColumn("__bin", place.cast("int")).drop("__lo", "__hi")
+
+
+def _edges(binned: DataFrame, keys: list[str], rank: Callable[[Column], Column], exact: Column) -> DataFrame:
+    """Per key, over counts of bins: its number __n of values, the bin of the rank-th smallest of them (__k, a function of the
+    number), and the count __upto and sum __sum of what lies wholly before this bin."""
+    w = Window.partitionBy(*keys).orderBy("__bin")
+    counts = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"), F.sum(exact).alias("__s"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))).withColumn("__k", rank(F.col("__n")))
+    none = F.lit(0).cast(counts.schema["__s"].dataType)
+    counts = counts.withColumns({"__upto": F.coalesce(F.sum("__c").over(before), F.lit(0)), "__sum": F.coalesce(F.sum("__s").over(before), none)})
+    return counts.where((F.col("__upto") < F.col("__k")) & (F.col("__upto") + F.col("__c") >= F.col("__k"))).drop("__c", "__s")
+
+
+def _edge_values(binned: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The distinct values of the edge bins with their counts __c and the number __below of the key's values before them."""
+    rows = binned.join(edges, [*keys, "__bin"]).groupBy(*keys, "__n", "__k", "__upto", "__sum", value).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__below", F.col("__upto") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
+
+
 def worst_mean(rows: DataFrame, keys: list[str], value: str, share: float, tie: str, name: str) -> DataFrame:
-    """Mean of the worst max(1, ceil(n * share)) values of each key, exactly, without collecting a key in one list.
+    """Mean of the worst max(1, ceil(n * share)) values of each key, exactly. Nulls count nowhere.
 
-    Counts per (key, value) first, so that the window sees each distinct value once, then takes what is left of k.
+    Values are counted and summed by bins of the key's range with map-side combine; only the bin in which the last of the
+    worst values lies is ordered. So a key with any number of rows is neither sorted nor held.
     """
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    counted = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    counted = counted.withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(share)))
-    take = F.least(F.col("c"), F.greatest(F.lit(0), k - F.coalesce("upto", F.lit(0))))
-    taken = counted.withColumn("take", take)
+    binned = _in_bins(rows, keys, value)
     exact = F.col(value).cast("decimal(24,8)")
-    return taken.groupBy(*keys).agg((F.sum(exact * F.col("take")).cast("double") / F.sum("take")).alias(name))
+    edges = _edges(binned, keys, lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(share))), exact)
+    values = _edge_values(binned, edges, keys, value)
+    take = F.least(F.col("__c"), F.greatest(F.lit(0), F.col("__k") - F.col("__below")))
+    last = values.groupBy(*keys, "__k", "__sum").agg(F.sum(exact * take).alias("__part"))
+    return last.select(*keys, ((F.col("__sum") + F.col("__part")).cast("double") / F.col("__k")).alias(name))
+
+
+def kth_smallest(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:
+    """Per key, its number of values n and the rank-th smallest one (rank: a function of n), by the same bins."""
+    binned = _in_bins(rows, keys, value)
+    values = _edge_values(binned, _edges(binned, keys, rank, F.lit(0).cast("long")), keys, value)
+    found = values.where((F.col("__below") < F.col("__k")) & (F.col("__below") + F.col("__c") >= F.col("__k")))
+    return found.select(*keys, F.col("__n").alias("n"), F.col(value).alias(name))
 
 
 def weighted_tail_loss(rows: DataFrame, keys: list[str], pnl: str, probability: str, tail: float, name: str) -> DataFrame:
-    """Mean loss of the worst scenarios up to a mass of `tail`; the last one counts with what is left of the mass."""
+    """Expected loss of the worst scenarios up to a mass of `tail`: their signed results count with what of the mass is left,
+    gains too, and only the whole is floored at 0."""
     kind = rows.schema[probability].dataType  # decimals stay exact
     w = Window.partitionBy(*keys).orderBy(pnl, probability).rowsBetween(Window.unboundedPreceding, -1)
     used = F.least(F.col(probability), F.greatest(F.lit(0).cast(kind), F.lit(tail).cast(kind) - F.coalesce(F.sum(probability).over(w), F.lit(0).cast(kind)))).cast(kind)
-    loss = F.greatest(F.lit(0).cast(rows.schema[pnl].dataType), -F.col(pnl))
-    return rows.withColumn("used", used).groupBy(*keys).agg((F.sum(loss * F.col("used")).cast("double") / F.lit(tail)).alias(name))
+    total = F.sum(F.col(pnl) * F.col("used")).cast("double")
+    return rows.withColumn("used", used).groupBy(*keys).agg(F.greatest(F.lit(0.0), -total / F.lit(tail)).alias(name))
 
 
 def max_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, name: str) -> DataFrame:
@@ -54,14 +95,13 @@ def max_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, n
 def joint_corridor(rows: DataFrame, up: str, down: str, target: float) -> DataFrame:
     """Marginal quantiles of both sides, and one conformal buffer that makes the share covered on both sides at once
     reach the target. One row."""
-    m = rows.agg(quantile_higher(up, target).alias("up_q"), quantile_higher(down, target).alias("down_q"), F.count("*").alias("n"))
+    higher = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(target)))
+    sides = [kth_smallest(rows, [], c, higher, f"{c}_q").drop("n") for c in (up, down)]
+    m = sides[0].crossJoin(sides[1]).select(F.col(f"{up}_q").alias("up_q"), F.col(f"{down}_q").alias("down_q"))  # one row each
     miss = F.greatest(F.lit(0.0), F.col(up) - F.col("up_q"), F.col(down) - F.col("down_q"))
-    scored = rows.crossJoin(F.broadcast(m)).select("up_q", "down_q", "n", miss.alias("miss"))  # m is one row
-    # The k-th smallest score, by counts of distinct scores.
-    counts = scored.groupBy("up_q", "down_q", "n", "miss").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("up_q", "down_q", "n").orderBy("miss"))
-    rank = F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(target)))
-    return counts.withColumn("upto", upto).where(F.col("upto") >= rank).groupBy("up_q", "down_q", "n").agg(F.min("miss").alias("buffer"))
+    scored = rows.crossJoin(F.broadcast(m)).select(miss.alias("miss"))  # m is one row
+    rank = lambda n: F.least(n, F.ceil((n + 1) * F.lit(target)))
+    return m.crossJoin(kth_smallest(scored, [], "miss", rank, "buffer")).select("up_q", "down_q", "n", "buffer")
 
 
 def buffer_grid(rows: DataFrame, up: str, down: str, up_q: float, down_q: float, target: float, step: float, steps: int) -> DataFrame:
@@ -92,22 +132,44 @@ def quartile_regime(value: str, cuts: list[Column], missing: str = "UNKNOWN") ->
     return c.otherwise("IV_Q4")
 
 
-def walk_forward_folds(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int) -> DataFrame:
-    """(fold, role, n) with purging: groups are ranked by their first time; fold f tests ranks [min_train + f * test_groups,
-    + test_groups) and trains on earlier groups' samples observed strictly before the fold's first test time less the gap."""
+def _folds(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int, step_groups: int | None) -> tuple[DataFrame, DataFrame]:
+    """(samples with the rank of their group, folds): fold f tests ranks [least, least + test_groups) from `start`; its training
+    groups have a lower rank and its training samples were observed before `cut`."""
+    step = step_groups or test_groups
+    if min(min_train, test_groups, step) <= 0 or gap_days < 0:
+        raise ValueError("groups must be positive, and the gap not negative")
     groups = samples.groupBy(group).agg(F.min(at).alias("first_at"))
     ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy("first_at", group)) - 1)  # one row a group
-    total = ranked.agg(F.count("*").alias("n_groups"))
-    folds = total.select(F.explode(F.expr(f"filter(sequence(0L, n_groups), f -> {min_train} + (f + 1) * {test_groups} <= n_groups)")).alias("fold"))
-    rows = samples.join(ranked.select(group, "rank"), group)
-    fold_of = F.floor((F.col("rank") - min_train) / test_groups)
-    test = rows.where(F.col("rank") >= min_train).withColumn("fold", fold_of).join(folds, "fold")
-    start = test.groupBy("fold").agg(F.min(at).alias("test_start"), F.count("*").alias("n_test"))
-    # Training counts by cumulative daily counts: no sample is expanded over the folds.
-    daily = rows.groupBy(F.col("rank"), F.col(at).alias("at")).agg(F.count("*").alias("c"))
-    bound = start.withColumn("cut", F.col("test_start") - F.expr(f"INTERVAL {gap_days} DAYS")).withColumn("most", F.lit(min_train) + F.col("fold") * test_groups)
-    train = daily.join(F.broadcast(bound), (daily["rank"] < bound["most"]) & (daily["at"] < bound["cut"])).groupBy("fold").agg(F.sum("c").alias("n_train"))
-    return start.join(train, "fold", "left").select("fold", "test_start", "n_test", F.coalesce("n_train", F.lit(0)).alias("n_train"))
+    folds = ranked.agg(F.count("*").alias("n")).select(F.explode(F.expr(f"filter(sequence(0L, n), f -> {min_train} + f * {step} + {test_groups} <= n)")).alias("fold"))
+    folds = folds.withColumn("least", F.lit(min_train) + F.col("fold") * step)
+    first = folds.join(ranked, (F.col("rank") >= F.col("least")) & (F.col("rank") < F.col("least") + test_groups)).groupBy("fold", "least").agg(F.min("first_at").alias("test_start"))
+    return samples.join(ranked.select(group, "rank"), group), first.withColumn("cut", F.col("test_start") - F.expr(f"INTERVAL {gap_days} DAYS"))
+
+
+def fold_members(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int, step_groups: int | None = None) -> DataFrame:
+    """(fold, role TEST or TRAIN, the sample's columns): purged expanding folds with their members. A training sample is a member
+    of every later fold, as the method has it: rows grow with the number of folds, so use walk_forward_folds for counts."""
+    rows, folds = _folds(samples, group, at, min_train, test_groups, gap_days, step_groups)
+    bound = F.broadcast(folds)  # one row a fold
+    test = rows.join(bound, (F.col("rank") >= F.col("least")) & (F.col("rank") < F.col("least") + test_groups)).withColumn("role", F.lit("TEST"))
+    train = rows.join(bound, (F.col("rank") < F.col("least")) & (F.col(at) < F.col("cut"))).withColumn("role", F.lit("TRAIN"))
+    return test.unionByName(train).select("fold", "role", *samples.columns)
+
+
+def walk_forward_folds(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int, step_groups: int | None = None) -> DataFrame:
+    """(fold, test_start, test_end, n_test, n_train) with purging: groups are ranked by their first time; fold f tests
+    test_groups of them from min_train + f * step_groups on, and trains on earlier groups' samples observed strictly before
+    the first test time less the gap. A fold whose purge leaves no training sample fails the job."""
+    rows, folds = _folds(samples, group, at, min_train, test_groups, gap_days, step_groups)
+    # By counts of each rank and time: no sample is expanded over the folds.
+    daily = rows.groupBy("rank", F.col(at).alias("at")).agg(F.count("*").alias("c"))
+    met = daily.join(F.broadcast(folds), F.col("rank") < F.col("least") + test_groups)
+    tested, trained = F.col("rank") >= F.col("least"), (F.col("rank") < F.col("least")) & (F.col("at") < F.col("cut"))
+    out = met.groupBy("fold", "test_start").agg(
+        F.max(F.when(tested, F.col("at"))).alias("test_end"), F.sum(F.when(tested, F.col("c"))).alias("n_test"), F.coalesce(F.sum(F.when(trained, F.col("c"))), F.lit(0)).alias("n_train")
+    )
+    enough = F.when(F.col("n_train") > 0, F.col("n_train")).otherwise(F.raise_error(F.lit("the purge gap leaves a fold without training samples")).cast("long"))
+    return out.withColumn("n_train", enough)
 
 
 def _in_ranges(bounds: np.ndarray):

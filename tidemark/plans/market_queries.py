@@ -271,9 +271,19 @@ LATENCY = "SELECT event_type, round(quantile_cont(value, 0.5), 2) AS p50, round(
 
 
 def implied_vol_inversion(spark, sf_dir):
-    """Implied volatility of synthetic option prices: the price of a known volatility is inverted again."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lit(6400.0).alias("spot"), (6100.0 + F.col("p_size") * 10).alias("strike"), F.lit(0.02).alias("tau"), (F.col("p_size") % 2 == 0).alias("is_call"), (F.col("p_retailprice") / 20).alias("price"))
-    return market.with_implied_volatility(p, "price", "spot", "strike", "tau", "is_call", 0.045).select("p_partkey", "strike", "is_call", "price", "iv")
+    """The price of a known volatility is inverted again: whether it comes back; prices that no volatility has give none."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit(6400.0).alias("spot"), (6100.0 + F.col("p_size") * 10).alias("strike"), F.lit(0.02).alias("tau"), (F.col("p_size") % 2 == 0).alias("is_call"), (F.lit(0.1) + (k % 50) / 100.0).alias("sigma"))
+    p = market.with_option_price(p, "sigma", "spot", "strike", "tau", "is_call", 0.045)
+    p = p.withColumn("price", F.when(k % 7 == 0, F.lit(-1.0)).when(k % 11 == 0, F.lit(1e6)).otherwise(F.col("model_price")))
+    p = market.with_implied_volatility(p, "price", "spot", "strike", "tau", "is_call", 0.045)
+    again = market.with_option_price(p, "iv", "spot", "strike", "tau", "is_call", 0.045, "again")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    same = (F.col("model_price") <= 1.0) | (F.abs(F.col("iv") - F.col("sigma")) < 1e-4)  # cheap options don't tell volatilities apart
+    return again.select("p_partkey", F.col("iv").isNotNull().alias("found"), sure(F.abs(F.col("again") - F.col("price")) <= 1e-6).alias("reprices"), sure(same & F.col("iv").isNotNull()).alias("same"))
+
+
+IMPLIED_VOL = "SELECT p_partkey, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS found, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS reprices, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AS same FROM part"
 
 
 QUERIES = {
@@ -284,5 +294,5 @@ QUERIES = {
     "exit_first_trigger": (exit_first_trigger, EXIT), "exit_summary": (exit_summary, EXIT_SUMMARY), "coverage_gaps": (coverage_gaps, COVERAGE_GAPS),
     "monotonic_violations": (monotonic_violations, MONOTONIC), "nearest_strikes_topk": (nearest_strikes_topk, NEAREST), "osi_roundtrip": (osi_roundtrip, OSI),
     "session_state_et": (session_state_et, SESSION), "executable_value": (executable_value, EXECUTABLE), "latency_percentiles": (latency_percentiles, LATENCY),
-    "implied_vol_inversion": (implied_vol_inversion, None),
+    "implied_vol_inversion": (implied_vol_inversion, IMPLIED_VOL),
 }

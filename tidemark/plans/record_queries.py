@@ -117,7 +117,7 @@ SELECT c_nationkey, count(*) AS entries, count(*) FILTER (previous <> want) AS b
 
 def lineage_recursive(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent"))
-    return rules.lineage(s, "s_suppkey", "parent", depth=32)
+    return rules.lineage(s, "s_suppkey", "parent")
 
 
 LINEAGE = """WITH RECURSIVE s AS (SELECT s_suppkey, CASE WHEN s_suppkey > 1 THEN s_suppkey // 2 END AS parent FROM supplier),
@@ -228,10 +228,44 @@ def collector_fold(spark, sf_dir):
     return folds.fold(rows, "provider", ["seq"], folds.Collector(fresh=3600.0), "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long")
 
 
+ALERTS = """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, value > 20 AS active, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, seq, CASE WHEN active THEN 1 ELSE 0 END AS run, CAST(NULL AS DOUBLE) AS made, CAST(0 AS BIGINT) AS suppressed, CASE WHEN active THEN 'PENDING' ELSE 'INACTIVE' END AS outcome FROM e WHERE rn = 1
+UNION ALL SELECT user_id, rn, seq, run, CASE WHEN outcome = 'CREATED' THEN t ELSE made END, CASE outcome WHEN 'CREATED' THEN 0 WHEN 'SUPPRESSED' THEN suppressed + 1 ELSE suppressed END, outcome
+  FROM (SELECT e.user_id, e.rn, e.seq, t, made, suppressed, CASE WHEN active THEN run + 1 ELSE 0 END AS run, CASE WHEN NOT active THEN 'INACTIVE' WHEN run + 1 < 2 THEN 'PENDING' WHEN t < made THEN 'TIME_REGRESSION' WHEN t - made < 21600 THEN 'SUPPRESSED' ELSE 'CREATED' END AS outcome
+    FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT CAST(user_id AS VARCHAR) AS fingerprint, seq, outcome, suppressed FROM f"""
+
+DELIVERY = """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, value > 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS attempt, false AS ended, CAST(NULL AS DOUBLE) AS next, '' AS outcome, CAST(NULL AS DOUBLE) AS due FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, rn, seq, attempt, ended OR outcome IN ('DELIVERED', 'DEAD_LETTERED'), CASE WHEN outcome = 'RETRY_SCHEDULED' THEN t + least(pow(2, attempt - 1), 4.0) ELSE next END, outcome, CASE WHEN outcome = 'RETRY_SCHEDULED' THEN t + least(pow(2, attempt - 1), 4.0) END
+  FROM (SELECT e.user_id, e.rn, e.seq, t, ended, next, CASE WHEN ended OR t < next THEN attempt ELSE attempt + 1 END AS attempt, CASE WHEN ended THEN 'TERMINAL' WHEN t < next THEN 'NOT_DUE' WHEN ok THEN 'DELIVERED' WHEN attempt + 1 < 3 THEN 'RETRY_SCHEDULED' ELSE 'DEAD_LETTERED' END AS outcome
+    FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT CAST(user_id AS VARCHAR) AS message_id, seq, attempt, outcome, due FROM f WHERE rn > 0"""
+
+#: x: the event with the state before it; y: what is wrong with it, and the state after it; z: freshness.
+COLLECTED = """WITH RECURSIVE e AS (SELECT event_type AS provider, event_id AS seq, epoch_us(ts) / 1e6 AS t, epoch_us(ts) / 1e6 - event_id % 3 AS source_ts, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn,
+  CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY event_id) = 1 THEN 'START' WHEN event_id % 500 = 0 THEN 'CONNECTION_LOST' WHEN event_id % 90 < 2 THEN 'CONNECTED' WHEN event_id % 100 = 7 THEN 'HEARTBEAT' ELSE 'QUOTE' END AS kind FROM events),
+f AS (SELECT provider, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, 'STOPPED' AS state, CAST(0 AS BIGINT) AS tries, CAST(NULL AS DOUBLE) AS retry, CAST(NULL AS DOUBLE) AS mark, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS seen, CAST('' AS VARCHAR) AS why, false AS stale FROM (SELECT DISTINCT event_type AS provider FROM events)
+UNION ALL SELECT provider, rn, seq, CASE WHEN stale THEN 'DEGRADED' ELSE state END, tries, retry, mark, last, seen, why, stale FROM (
+  SELECT provider, rn, seq, new_state AS state, new_tries AS tries, CASE WHEN fine AND kind = 'CONNECTED' THEN NULL WHEN lost THEN CASE WHEN new_state = 'BACKING_OFF' THEN t + least(pow(2, new_tries - 1), 4.0) END ELSE retry END AS retry, CASE WHEN fine AND kind = 'QUOTE' THEN source_ts ELSE mark END AS mark,
+    CASE WHEN lost THEN NULL WHEN fine AND kind = 'QUOTE' THEN t ELSE last END AS last, greatest(coalesce(seen, t), t) AS seen, why,
+    new_state IN ('STREAMING', 'DEGRADED') AND NOT lost AND (CASE WHEN fine AND kind = 'QUOTE' THEN t ELSE last END IS NULL OR t - CASE WHEN fine AND kind = 'QUOTE' THEN t ELSE last END > 3600) AS stale
+  FROM (SELECT *, why = '' AS fine, heard AND kind = 'CONNECTION_LOST' AS lost, CASE WHEN NOT heard OR (why <> '' AND why <> 'RECONNECT_BUDGET_EXHAUSTED') THEN state WHEN kind = 'START' THEN 'CONNECTING' WHEN kind IN ('CONNECTED', 'QUOTE') THEN 'STREAMING' WHEN kind = 'CONNECTION_LOST' THEN CASE WHEN tries + 1 > 3 THEN 'HALTED' ELSE 'BACKING_OFF' END ELSE state END AS new_state,
+      CASE WHEN heard AND kind = 'CONNECTION_LOST' THEN tries + 1 WHEN heard AND why = '' AND kind = 'CONNECTED' THEN 0 ELSE tries END AS new_tries
+    FROM (SELECT *, NOT coalesce(t < seen, false) AND state <> 'HALTED' AS heard, CASE WHEN t < seen THEN 'EVENT_TIME_REGRESSION' WHEN state = 'HALTED' THEN 'COLLECTOR_HALTED'
+        WHEN kind = 'START' THEN CASE WHEN state <> 'STOPPED' THEN 'INVALID_TRANSITION' ELSE '' END
+        WHEN kind = 'CONNECTED' THEN CASE WHEN state IN ('STOPPED', 'STREAMING') THEN 'INVALID_TRANSITION' WHEN t < retry THEN 'RETRY_TOO_EARLY' ELSE '' END
+        WHEN kind = 'CONNECTION_LOST' THEN CASE WHEN tries + 1 > 3 THEN 'RECONNECT_BUDGET_EXHAUSTED' ELSE '' END
+        WHEN state NOT IN ('STREAMING', 'DEGRADED') THEN CASE kind WHEN 'HEARTBEAT' THEN 'INVALID_TRANSITION' ELSE 'COLLECTOR_NOT_STREAMING' END
+        WHEN kind = 'QUOTE' AND source_ts < mark THEN CASE WHEN source_ts < mark - 0.25 THEN 'BEHIND_WATERMARK,OUT_OF_ORDER_OBSERVATION' ELSE 'OUT_OF_ORDER_OBSERVATION' END ELSE '' END AS why
+      FROM (SELECT e.provider, e.rn, e.seq, e.t, e.source_ts, e.kind, f.state, f.tries, f.retry, f.mark, f.last, f.seen FROM f JOIN e ON e.provider = f.provider AND e.rn = f.rn + 1) x) y) z))
+SELECT provider, seq, state, why = '' AS accepted, array_to_string(list_sort(list_filter([CASE WHEN why <> '' THEN why END, CASE WHEN stale THEN 'COLLECTOR_STALE' END], lambda r: r IS NOT NULL)), ',') AS reasons, mark AS watermark, retry AS next_retry_at, tries AS attempts FROM f WHERE rn > 0"""
+
+
 QUERIES = {
     "pit_latest_revision": (pit_latest_revision, PIT), "outcome_counts": (outcome_counts, OUTCOMES), "promotion_gate": (promotion_gate, PROMOTION), "readiness_blockers": (readiness_blockers, READINESS),
     "decision_gates": (decision_gates, GATES), "risk_lock_state": (risk_lock_state, RISK), "next_checkpoint": (next_checkpoint, CHECKPOINT), "hash_chain_verify": (hash_chain_verify, CHAIN),
     "lineage_recursive": (lineage_recursive, LINEAGE), "attribution_confidence": (attribution_confidence, ATTRIBUTION), "effective_status": (effective_status, STATUS), "union_all_tagged": (union_all_tagged, UNION),
     "ordered_digest": (ordered_digest, DIGEST), "json_key_allowlist": (json_key_allowlist, ALLOWLIST), "tumbling_bars": (tumbling_bars, TUMBLING), "user_sessions": (user_sessions, SESSIONS),
-    "alert_cooldown_fold": (alert_cooldown_fold, None), "outbox_fold": (outbox_fold, OUTBOX), "delivery_fold": (delivery_fold, None), "collector_fold": (collector_fold, None),
+    "alert_cooldown_fold": (alert_cooldown_fold, ALERTS), "outbox_fold": (outbox_fold, OUTBOX), "delivery_fold": (delivery_fold, DELIVERY), "collector_fold": (collector_fold, COLLECTED),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, tails
@@ -51,8 +52,8 @@ PRESENT = "SELECT o_orderkey AS key, o_orderdate FROM orders WHERE o_orderkey NO
 
 
 def economics_summary(spark, sf_dir):
-    """Totals, means, win rate and worst result over all rows and per regime, in one pass of grouping sets. Rows of one
-    priority of line are unpriceable and count as candidates only."""
+    """Totals, means, win rate and worst result over all rows and per regime, in one pass of grouping sets. Rows of every 11th
+    order key are unpriceable and count as candidates only."""
     pnl = view(spark, sf_dir, "pnl").withColumn("priced", F.col("l_orderkey") % 11 != 0)
     own = F.when(F.col("priced"), F.col("pnl"))
     out = pnl.cube("regime").agg(
@@ -95,9 +96,8 @@ CVAR_LOSS = _cvar("(CAST(1 AS DOUBLE) - CAST(0.95 AS DOUBLE))", f"greatest(0.0,
 
 def _scenarios(spark, sf_dir):
     """Each order's lines as scenarios with equal probabilities."""
-    pnl = view(spark, sf_dir, "pnl").select("l_orderkey", "l_linenumber", "pnl")
-    n = pnl.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return pnl.join(n, "l_orderkey").withColumn("p", (F.lit(1.0) / F.col("n")).cast("decimal(12,8)"))
+    n = F.count("*").over(Window.partitionBy("l_orderkey"))  # by the exchange that the tail's window needs anyway
+    return view(spark, sf_dir, "pnl").select("l_orderkey", "l_linenumber", "pnl", (F.lit(1.0) / n).cast("decimal(12,8)").alias("p"))
 
 
 def cvar_weighted(spark, sf_dir):
@@ -106,7 +106,7 @@ def cvar_weighted(spark, sf_dir):
 
 CVAR_WEIGHTED = with_views(""", s AS (SELECT l_orderkey, pnl, CAST(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY l_orderkey) AS DECIMAL(12,8)) AS p, l_linenumber FROM pnl),
 u AS (SELECT *, least(p, greatest(0, 0.25 - coalesce(sum(p) OVER (PARTITION BY l_orderkey ORDER BY pnl, p, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used FROM s)
-SELECT l_orderkey, CAST(sum(greatest(0, -pnl) * used) AS DOUBLE) / 0.25 AS cvar FROM u GROUP BY l_orderkey""", "pnl")
+SELECT l_orderkey, greatest(0.0, -CAST(sum(pnl * used) AS DOUBLE) / 0.25) AS cvar FROM u GROUP BY l_orderkey""", "pnl")
 
 
 def scenario_stats(spark, sf_dir):
@@ -194,25 +194,38 @@ def walk_forward_folds(spark, sf_dir):
     return tails.walk_forward_folds(samples, "grp", "at", 24, 6, 30)
 
 
-FOLDS = """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS seen, strftime(o_orderdate, '%Y-%m') AS grp FROM orders),
-g AS (SELECT grp, row_number() OVER (ORDER BY min(seen), grp) - 1 AS rk FROM s GROUP BY grp), f AS (SELECT unnest(range(0, (count(*) - 24) // 6)) AS fold FROM g), r AS (SELECT s.*, rk FROM s JOIN g USING (grp)),
-t AS (SELECT fold, min(seen) AS test_start, count(*) AS n_test FROM f JOIN r ON rk >= 24 + fold * 6 AND rk < 24 + (fold + 1) * 6 GROUP BY fold)
-SELECT fold, test_start, n_test, (SELECT count(*) FROM r WHERE rk < 24 + t.fold * 6 AND seen < t.test_start - INTERVAL 30 DAY) AS n_train FROM t"""
+def _folds_sql(step: int) -> str:
+    return f"""WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS seen, strftime(o_orderdate, '%Y-%m') AS grp FROM orders),
+g AS (SELECT grp, row_number() OVER (ORDER BY min(seen), grp) - 1 AS rk FROM s GROUP BY grp), f AS (SELECT unnest(range(0, (count(*) - 30) // {step} + 1)) AS fold FROM g), r AS (SELECT s.*, rk FROM s JOIN g USING (grp)),
+t AS (SELECT fold, min(seen) AS test_start, max(seen) AS test_end, count(*) AS n_test FROM f JOIN r ON rk >= 24 + fold * {step} AND rk < 24 + fold * {step} + 6 GROUP BY fold)
+SELECT fold, test_start, test_end, n_test, (SELECT count(*) FROM r WHERE rk < 24 + t.fold * {step} AND seen < t.test_start - INTERVAL 30 DAY) AS n_train FROM t"""
+
+
+FOLDS = _folds_sql(6)
+
+
+def overlapping_folds(spark, sf_dir):
+    """Folds that step by two months with test windows of six: the members are listed, then counted by role."""
+    samples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("at")).withColumn("grp", F.date_format("at", "yyyy-MM"))
+    members = tails.fold_members(samples, "grp", "at", 24, 6, 30, step_groups=2)
+    test, train = F.col("role") == "TEST", F.col("role") == "TRAIN"
+    return members.groupBy("fold").agg(F.min(F.when(test, F.col("at"))).alias("test_start"), F.max(F.when(test, F.col("at"))).alias("test_end"), F.count_if(test).alias("n_test"), F.count_if(train).alias("n_train"))
+
+
+OVERLAPPING = _folds_sql(2)
 
 
 def range_expanding_quantile(spark, sf_dir):
-    """The days up to 1996 only, as its SQL has it; expanding_quantile_all_days is the whole job."""
-    out = tails.expanding_quantile(view(spark, sf_dir, "labels_day").where("year(day) <= 1996"), "day", "up_max", 0.95, 1)
-    return out.withColumn("n_train", F.col("n_train").cast("int"))
+    """Every day with the conservative quantile of all days before it."""
+    return tails.expanding_quantile(view(spark, sf_dir, "labels_day"), "day", "up_max", 0.95, 1).withColumn("n_train", F.col("n_train").cast("int"))
 
 
 def expanding_quantile_all_days(spark, sf_dir):
-    """Every day of the table. Without SQL, which would be a quadratic self-join: tests compare with brute force."""
+    """The same with its number of days as a long; tests compare with brute force too."""
     return tails.expanding_quantile(view(spark, sf_dir, "labels_day"), "day", "up_max", 0.95, 1)
 
 
-EXPANDING = with_views(""", d AS (SELECT * FROM labels_day WHERE year(day) <= 1996)
-SELECT a.day, CAST(count(b.day) AS INTEGER) AS n_train, quantile_disc(b.up_max, 0.95) AS q FROM d a LEFT JOIN d b ON b.day <= a.day - INTERVAL 1 DAY GROUP BY a.day""", "labels_day")
+EXPANDING = with_views(""" SELECT a.day, CAST(count(b.day) AS INTEGER) AS n_train, quantile_disc(b.up_max, 0.95) AS q FROM labels_day a LEFT JOIN labels_day b ON b.day <= a.day - INTERVAL 1 DAY GROUP BY a.day""", "labels_day")
 
 
 QUERIES = {
@@ -220,6 +233,6 @@ QUERIES = {
     "present_skip_anti": (present_skip_anti, PRESENT), "economics_summary": (economics_summary, ECONOMICS), "cvar_signed": (cvar_signed, CVAR_SIGNED), "cvar_loss": (cvar_loss, CVAR_LOSS),
     "cvar_weighted": (cvar_weighted, CVAR_WEIGHTED), "scenario_stats": (scenario_stats, SCENARIOS), "max_drawdown": (max_drawdown, DRAWDOWN), "joint_corridor": (joint_corridor, CORRIDOR),
     "buffer_grid": (buffer_grid, BUFFER), "iv_regime_buckets": (iv_regime_buckets, REGIMES), "coverage_rollup": (coverage_rollup, COVERAGE), "validation_slices": (validation_slices, SLICES),
-    "walk_forward_folds": (walk_forward_folds, FOLDS), "range_expanding_quantile": (range_expanding_quantile, EXPANDING),
-    "expanding_quantile_all_days": (expanding_quantile_all_days, None),
+    "walk_forward_folds": (walk_forward_folds, FOLDS), "overlapping_folds": (overlapping_folds, OVERLAPPING), "range_expanding_quantile": (range_expanding_quantile, EXPANDING),
+    "expanding_quantile_all_days": (expanding_quantile_all_days, EXPANDING.replace("AS INTEGER) AS n_train", "AS BIGINT) AS n_train")),
 }

@@ -140,13 +140,13 @@ DECISIONS = "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DES
 
 
 def events_after_cursor(spark, sf_dir):
-    """The 500 ids up to the last purchase only, as its SQL has it; events_after_delivery is the whole job."""
+    """Every event after one cursor, the first purchase, in the order of ids."""
     e = table(spark, sf_dir, "events")
-    last = e.where("event_type = 'purchase'").agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("upto"))
-    return e.crossJoin(F.broadcast(last)).where("event_id > upto - 500 AND event_id <= upto").select("event_id", "event_type")  # one row
+    first = e.where("event_type = 'purchase'").agg(F.coalesce(F.min("event_id"), F.lit(0)).alias("cursor"))
+    return e.crossJoin(F.broadcast(first)).where("event_id > cursor").select("event_id", "event_type").orderBy("event_id")  # one row
 
 
-CURSOR = "SELECT event_id, event_type FROM events, (SELECT coalesce(max(event_id), 0) AS upto FROM events WHERE event_type = 'purchase') WHERE event_id > upto - 500 AND event_id <= upto"
+CURSOR = "SELECT event_id, event_type FROM events, (SELECT coalesce(min(event_id), 0) AS first FROM events WHERE event_type = 'purchase') WHERE event_id > first ORDER BY event_id"
 
 
 def events_after_delivery(spark, sf_dir):
@@ -174,7 +174,7 @@ SELECT CASE WHEN w.k IS NULL THEN 'MISSING_ENTRY' WHEN h.k IS NULL THEN 'MISSING
 
 
 def tail_recommendation(spark, sf_dir):
-    """Distances of three quantiles for each regime, with the overall ones where a regime has fewer than 40 days."""
+    """Distances of three quantiles for each regime, with the overall ones where a regime has fewer than 80 days."""
     days = view(spark, sf_dir, "labels_day").withColumn("regime", F.concat(F.lit("D"), F.dayofmonth("day").cast("string")))
     q = [tails.quantile_higher("up_max", x).alias(f"q{int(x * 1000)}") for x in (0.95, 0.975, 0.99)]
     own = days.groupBy("regime").agg(F.count("*").alias("n"), *q)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,21 @@ def expiring(spark: SparkSession, path: str, day: str) -> DataFrame:
     return require(raw, ["raw_symbol"]).where(when == F.lit(day).cast("date")).select("raw_symbol").distinct().orderBy("raw_symbol")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked through Spark's own file systems."""
+    try:
+        spark.read.format("binaryFile").load(path).limit(0).count()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return True
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """Excursion labels; a corrupt line fails the job, and so does one without day or entry price."""
-    rows = spark.read.schema(LABELS).option("mode", "FAILFAST").json(path)
+    """Excursion labels; a missing file is an empty table, a corrupt line fails the job, and so does one without day or entry
+    price."""
+    rows = spark.read.schema(LABELS).option("mode", "FAILFAST").json(path) if exists(spark, path) else spark.createDataFrame([], LABELS)
     return rows.withColumn("day", or_fail(F.col("day"), F.col("day").isNotNull() & F.col("entry_price").isNotNull(), "a label needs day and entry_price"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 class Conflict(ValueError):
     """A key was to be appended again with other content."""
@@ -18,8 +20,11 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
 
 def append_once(spark: SparkSession, rows: DataFrame, path: str, key: str) -> int:
     """Appends rows whose key isn't in the Parquet ledger yet -> how many. The same key with the same content is passed
-    over; with other content, or twice in rows with different contents, nothing is written and Conflict is raised."""
-    new = content_hash(rows, key).dropDuplicates([key, "content_hash"])
+    over; with other content, or twice in rows with different contents, nothing is written and Conflict is raised.
+
+    rows are read once and written to the shared folder first, so that what is checked is what is appended. One writer a
+    ledger: check and append aren't one step, and two writers at once could both append a key."""
+    new = cut(content_hash(rows, key).dropDuplicates([key, "content_hash"]))
     try:
         old = spark.read.parquet(path).select(F.col(key), F.col("content_hash").alias("known"))
     except Exception as e:  # no ledger yet

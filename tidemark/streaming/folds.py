@@ -40,59 +40,83 @@ def fold(rows: DataFrame, key: str, order: list[str], step: Step, output: str) -
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, output)
 
 
-def stream_fold(events: DataFrame, key: str, order: list[str], step: Step, output: str) -> DataFrame:
-    """The same over a stream; rows of one micro-batch are sorted, and the state is kept as JSON."""
+def stream_fold(events: DataFrame, key: str, order: list[str], step: Step, output: str, hold: float = 0.0, at: str = "at") -> DataFrame:
+    """The same over a stream, with the state kept as JSON. Rows of one micro-batch are sorted.
+
+    A stream may bring a key's rows over several micro-batches in another order than they happened. With `hold` (seconds of
+    the column `at`), rows wait in the state until the key has a row that is `hold` later, and then go through in order; what
+    comes later still meets the step as it is. Rows that nothing later ever follows stay held: end a stream with a later row.
+    """
     names = [c.split()[0] for c in output.split(",")]
 
     def run(_key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else {"__": 1}
-        rows = pd.concat(list(batches)).sort_values(order)
+        waiting = state.pop("__held", [])
+        for batch in batches:
+            waiting += map(_clean, batch.to_dict("records"))
+        waiting.sort(key=lambda row: [row[c] for c in order])
+        upto = max((row[at] for row in waiting), default=0.0) - hold if hold else None
+        go = [row for row in waiting if upto is None or row[at] <= upto]
+        later = [row for row in waiting if upto is not None and row[at] > upto]
         out = []
-        for row in map(_clean, rows.to_dict("records")):
+        for row in go:
             state, found = step(state, row)
             out.append(found)
+        if later:
+            state["__held"] = later
         held.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=names)
 
     return events.groupBy(key).applyInPandasWithState(run, output, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _remember(known: dict[str, float], name: str, at: float, keep: float) -> bool:
+    """Whether a name is new among those of the last `keep` seconds; notes it, and forgets the oldest that are past."""
+    fresh = known.get(name, -float("inf")) < at - keep
+    known.pop(name, None)
+    known[name] = at
+    while known[first := next(iter(known))] < at - keep:
+        del known[first]
+    return fresh
+
+
 def alert_step(cooldown: float = 300.0, needed: int = 2) -> Step:
     """fingerprint, at (seconds), active -> outcome. An alert is made at the `needed`-th active observation in a row and
-    each later one, unless the last alert was made less than the cooldown ago. Time that runs back is refused."""
+    each later one, unless the last alert was made less than the cooldown ago. Such an observation from before the last
+    alert is refused; others may come in any order of time."""
 
     def step(s: dict, e: dict) -> tuple[dict, dict]:
         s = dict(s)
-        if e["at"] < s.get("at", e["at"]):
+        s["run"] = s.get("run", 0) + 1 if e["active"] else 0
+        if not e["active"]:
+            outcome = "INACTIVE"
+        elif s["run"] < needed:
+            outcome = "PENDING"
+        elif "made" in s and e["at"] < s["made"]:
             outcome = "TIME_REGRESSION"
+        elif "made" in s and e["at"] - s["made"] < cooldown:
+            outcome, s["dropped"] = "SUPPRESSED", s.get("dropped", 0) + 1
         else:
-            s["at"] = e["at"]
-            s["run"] = s.get("run", 0) + 1 if e["active"] else 0
-            if not e["active"]:
-                outcome = "INACTIVE"
-            elif s["run"] < needed:
-                outcome = "PENDING"
-            elif "made" in s and e["at"] - s["made"] < cooldown:
-                outcome, s["dropped"] = "SUPPRESSED", s.get("dropped", 0) + 1
-            else:
-                outcome, s["made"], s["dropped"] = "CREATED", e["at"], 0
+            outcome, s["made"], s["dropped"] = "CREATED", e["at"], 0
         return s, {"fingerprint": e["fingerprint"], "seq": e["seq"], "outcome": outcome, "suppressed": s.get("dropped", 0)}
 
     return step
 
 
-def outbox_step(cooldown: float = 300.0) -> Step:
+#: Seconds for which ids are remembered, by event time: repeated ones are told from new ones within this span.
+KEEP = 7 * 86400.0
+
+
+def outbox_step(cooldown: float = 300.0, keep: float = KEEP) -> Step:
     """dedupe_key, message_id, at -> outcome. The cooldown runs from the latest message of the key, suppressed ones too."""
 
     def step(s: dict, e: dict) -> tuple[dict, dict]:
         s = dict(s)
-        seen = s.setdefault("seen", {})
-        if e["message_id"] in seen:
+        if not _remember(s.setdefault("seen", {}), e["message_id"], e["at"], keep):
             outcome = "DUPLICATE"
         else:
             outcome = "SUPPRESSED" if "at" in s and e["at"] - s["at"] < cooldown else "ENQUEUED"
             s["at"] = e["at"]
-            seen[e["message_id"]] = 1
         return s, {"dedupe_key": e["dedupe_key"], "message_id": e["message_id"], "outcome": outcome}
 
     return step
@@ -123,21 +147,21 @@ class Collector:
     """A feed's connection: STOPPED, CONNECTING, STREAMING, DEGRADED, BACKING_OFF, RATE_LIMITED or HALTED.
 
     Events: provider, event_id, seq, kind, at (first seen, seconds), schema_version, source_ts, payload (a quote's
-    fingerprint, or the seconds of a rate limit). Rejected events leave the state alone but for what is said below.
+    fingerprint, or the seconds of a rate limit), and instrument_id if the collector has an instrument. Rejected events leave
+    the state alone but for what is said below. Ids and fingerprints are remembered for `keep` seconds of event time.
     """
 
     LIVE = ("STREAMING", "DEGRADED")
 
-    def __init__(self, schema: str = "v1", base: float = 1.0, most: float = 4.0, attempts: int = 3, lateness: float = 0.25, fresh: float = 5.0):
+    def __init__(self, schema: str = "v1", base: float = 1.0, most: float = 4.0, attempts: int = 3, lateness: float = 0.25, fresh: float = 5.0, instrument: str | None = None, keep: float = KEEP):
+        self.instrument, self.keep = instrument, keep
         self.schema, self.base, self.most, self.attempts, self.lateness, self.fresh = schema, base, most, attempts, lateness, fresh
 
     def __call__(self, s: dict, e: dict) -> tuple[dict, dict]:
         s = {"state": "STOPPED", "tries": 0, "retry": None, "mark": None, "last": None, "seen": None, **s}
-        events = s.setdefault("events", {})  # ids as keys: JSON has no sets
         why: list[str] = []
-        if e["event_id"] in events:
+        if not _remember(s.setdefault("events", {}), e["event_id"], e["at"], self.keep):
             why.append("DUPLICATE_EVENT")
-        events[e["event_id"]] = 1
         if s["seen"] is not None and e["at"] < s["seen"]:
             why.append("EVENT_TIME_REGRESSION")
         s["seen"] = e["at"] if s["seen"] is None else max(s["seen"], e["at"])
@@ -208,10 +232,10 @@ class Collector:
     def on_quote(self, s: dict, e: dict) -> list[str]:
         if s["state"] not in self.LIVE:
             return ["COLLECTOR_NOT_STREAMING"]
-        quotes = s.setdefault("quotes", {})
-        if e["payload"] in quotes:
+        if self.instrument is not None and e.get("instrument_id") != self.instrument:
+            return ["INSTRUMENT_MISMATCH"]
+        if not _remember(s.setdefault("quotes", {}), e["payload"], e["at"], self.keep):
             return ["DUPLICATE_OBSERVATION"]
-        quotes[e["payload"]] = 1
         if s["mark"] is not None and e["source_ts"] < s["mark"]:
             return ["OUT_OF_ORDER_OBSERVATION"] + ["BEHIND_WATERMARK"] * (e["source_ts"] < s["mark"] - self.lateness)
         s.update(mark=e["source_ts"], last=e["at"], state="STREAMING")
