@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import connected_components
 from tidemark.session import cut
 
-#: Vectors of a block, on average. Memory of a tile: the square of it, in float32.
-BLOCK = 1024
+#: Vectors of a block, on average. Memory of a tile: the square of it, in float32. Each block goes to half as many tiles as
+#: there are blocks.
+BLOCK = 2048
 #: Dimensions of one exact float32 product: 1024 * 127 * 127 < 2**24.
 EXACT_DIMS = 1024
 #: Pairs of a tile that are computed again in double precision at a time.
@@ -38,6 +39,12 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), unit, np.sqrt(((x - q * unit[:, None]) ** 2).sum(1)) + 1e-12
 
 
+def _packed(x: np.ndarray) -> np.ndarray:
+    """In float32 where that loses nothing (as from a table of floats), else in float64."""
+    short = x.astype(np.float32)
+    return short if np.array_equal(short, x) else x
+
+
 def _block(rows: pa.Table) -> pa.Table:
     x = _matrix(rows["v"])
     x = x / np.abs(x).max(1, keepdims=True)  # keeps squares in range
@@ -45,7 +52,7 @@ def _block(rows: pa.Table) -> pa.Table:
     one = lambda a, t: pa.array([a.tobytes()], t)
     return pa.table({
         "dim": rows["dim"].slice(0, 1), "block": rows["block"].slice(0, 1), "blocks": rows["blocks"].slice(0, 1),
-        "ids": one(rows["id"].to_numpy(), pa.binary()), "copies": one(rows["n"].to_numpy(), pa.binary()), "v": one(_matrix(rows["v"]), pa.binary()), "q": one(q, pa.binary()), "unit": one(unit, pa.binary()), "loss": one(loss, pa.binary()),
+        "ids": one(rows["id"].to_numpy(), pa.binary()), "copies": one(rows["n"].to_numpy(), pa.binary()), "v": one(_packed(_matrix(rows["v"])), pa.binary()), "q": one(q, pa.binary()), "unit": one(unit, pa.binary()), "loss": one(loss, pa.binary()),
     })
 
 
@@ -64,6 +71,7 @@ def tile(q1: np.ndarray, u1: np.ndarray, e1: np.ndarray, q2: np.ndarray, u2: np.
 
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
     x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
@@ -91,7 +99,8 @@ def _tiles(least: float):
     (copies counted) that the tile links with id."""
 
     def read(x: dict, k: int) -> tuple[np.ndarray, ...]:
-        i, n, u, e, q, v = (np.frombuffer(x[f"{c}{k}"], t) for c, t in (("ids", np.int64), ("copies", np.int64), ("unit", float), ("loss", float), ("q", np.int8), ("v", float)))
+        i, n, u, e, q = (np.frombuffer(x[f"{c}{k}"], t) for c, t in (("ids", np.int64), ("copies", np.int64), ("unit", float), ("loss", float), ("q", np.int8)))
+        v = np.frombuffer(x[f"v{k}"], np.float32 if len(x[f"v{k}"]) == 4 * len(q) else np.float64)
         return i, n, u, e, q.reshape(len(i), -1), v.reshape(len(i), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
