@@ -54,7 +54,7 @@ STRICT_PRIOR_DAY = "SELECT day, lag(day) OVER (ORDER BY day) AS prior_day FROM (
 
 def _legs(spark, sf_dir):
     names = ["short_put", "long_put", "short_call", "long_call"]
-    symbols = ["click", "purchase", "search", "view"]
+    symbols = ["click", "purchase", "signup", "view"]
     days = view(spark, sf_dir, "quotes").select("day").distinct()
     pairs = F.array(*(F.struct(F.lit(n).alias("leg"), F.lit(s).alias("symbol")) for n, s in zip(names, symbols, strict=True)))
     return days.select("day", F.inline(pairs))
@@ -67,7 +67,7 @@ def condor_fill_pivot(spark, sf_dir):
 
 
 CONDOR = with_views(f""", latest AS ({LATEST}),
-legs AS (SELECT day, leg, symbol FROM (SELECT DISTINCT day FROM quotes), (VALUES ('short_put', 'click'), ('long_put', 'purchase'), ('short_call', 'search'), ('long_call', 'view')) t(leg, symbol)),
+legs AS (SELECT day, leg, symbol FROM (SELECT DISTINCT day FROM quotes), (VALUES ('short_put', 'click'), ('long_put', 'purchase'), ('short_call', 'signup'), ('long_call', 'view')) t(leg, symbol)),
 filled AS (SELECT day, leg, CASE WHEN bid > 0 AND (ask IS NULL OR bid <= ask) THEN bid END AS sell, CASE WHEN bid IS NULL OR bid <= ask THEN ask END AS buy
   FROM legs LEFT JOIN latest USING (day, symbol)),
 p AS (SELECT day, max(sell) FILTER (leg = 'short_put') + max(sell) FILTER (leg = 'short_call') - max(buy) FILTER (leg = 'long_put') - max(buy) FILTER (leg = 'long_call') AS credit,
