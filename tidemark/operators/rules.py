@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, scratch
 
 
 def reasons(rules: list[tuple[Column, str | Column]]) -> Column:
@@ -40,16 +40,18 @@ def chain_breaks(ledger: DataFrame, keys: list[str], seq: str, previous: str, en
 def lineage(rows: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, ancestor, distance) over parent links, by doubling: as many joins as the longest line has binary digits. Raises if
     a key reaches itself. Each turn is written to the shared folder, where it ends the plan's growth."""
-    step = cut(rows.where(F.col(parent).isNotNull()).select(F.col(key).alias("k"), F.col(parent).alias("a"), F.lit(1).alias("d")))
-    known, n = step, step.count()
-    while True:
-        if not known.where("k = a").isEmpty():
-            raise ValueError("the lineage contains a cycle")
-        more = known.alias("x").join(known.alias("y"), F.col("x.a") == F.col("y.k")).select(F.col("x.k").alias("k"), F.col("y.a").alias("a"), (F.col("x.d") + F.col("y.d")).alias("d"))
-        known = cut(known.union(more).groupBy("k", "a").agg(F.min("d").alias("d")))
-        before, n = n, known.count()
-        if n == before:
-            return known.select(F.col("k").alias(key), F.col("a").alias("ancestor"), F.col("d").alias("distance"))
+    with scratch() as tables:
+        step = cut(rows.where(F.col(parent).isNotNull()).select(F.col(key).alias("k"), F.col(parent).alias("a"), F.lit(1).alias("d")))
+        known, n = step, step.count()
+        while True:
+            if not known.where("k = a").isEmpty():
+                raise ValueError("the lineage contains a cycle")
+            more = known.alias("x").join(known.alias("y"), F.col("x.a") == F.col("y.k")).select(F.col("x.k").alias("k"), F.col("y.a").alias("a"), (F.col("x.d") + F.col("y.d")).alias("d"))
+            known = cut(known.union(more).groupBy("k", "a").agg(F.min("d").alias("d")))
+            before, n = n, known.count()
+            if n == before:
+                tables.keep(known)
+                return known.select(F.col("k").alias(key), F.col("a").alias("ancestor"), F.col("d").alias("distance"))
 
 
 def effective_status(items: DataFrame, changes: DataFrame, key: str, status: str, order: list[str], default: str) -> DataFrame:

@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Held(threading.local):
+    def __init__(self) -> None:
+        self.scratches: list[Scratch] = []
+
+
+_held = _Held()  # by thread, as jobs of several threads share this module
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,12 +31,52 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+class Scratch:
+    """The tables cut within a scratch() block: all but those kept are deleted at its end."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, SparkSession] = {}
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that what the block returns still reads."""
+        self.kept.add(df._cut_path)
+        return df
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Within, tables cut are scratch, and go from the shared folder once the block has ended; those kept become scratch of the
+    block around, if there is one. What a block returns may read kept tables only."""
+    own = Scratch()
+    _held.scratches.append(own)
+    try:
+        yield own
+    finally:
+        _held.scratches.remove(own)
+        for path, spark in own.paths.items():
+            if path not in own.kept:
+                _delete(spark, path)
+            elif _held.scratches:
+                _held.scratches[-1].paths[path] = spark
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: ends its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _held.scratches:
+        _held.scratches[-1].paths[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
