@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_near_dup import LOWER, brute
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, lang_id, line_dedup
+from tidemark.llm import decontaminate, lang_id, line_dedup, near_dup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,14 +26,14 @@ def brute_hits(rows, items, size):
         w = split(t)
         k = min(size, len(w))
         for a in range(len(w) - k + 1 if k else 0):
-            windows[tuple(w[a : a + k])].add(str(item))
+            windows[tuple(w[a : a + k])].update([] if item is None else [str(item)])
     sizes = {len(w) for w in windows}
     out = {}
     for i, t in rows:
         w, hit, found = split(t), set(), set()
         for k in sizes:
             for a in range(len(w) - k + 1):
-                if x := windows.get(tuple(w[a : a + k])):
+                if (x := windows.get(tuple(w[a : a + k]))) is not None:
                     hit.update(range(a, a + k))
                     found |= x
         out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest())
@@ -93,7 +93,7 @@ def test_windows(spark, odd):
     items = [(1, words), (2, "seven eight"), (2, words[4:]), (10, None), (11, "--"), (9, "ab ab"), (None, "ab ab"), (5, "É9"), (6, "é9")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, words int")
-    want = brute_hits(rows, [x for x in items if x[0] is not None], 10)
+    want = brute_hits(rows, items, 10)
     for pass_words in (400_000, 14):  # one pass and several
         got = decontaminate.contamination(docs, bench, pass_words=pass_words).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == want
@@ -136,3 +136,73 @@ def test_forward_sums_all_segmentations():
     p = np.array([[0.2], [0.1], [0.05], [0.3], [0.15], [0.02], [1e-7]])
     score = lang_id.Lattice(["ab"], pieces).score(p)[0, 0]
     assert np.isclose(np.exp(score), 0.2 * 0.1 + 0.3 * 0.15 * 0.1 + 0.3 * 0.05 + 0.02)
+
+
+def test_different_lines_that_share_a_hash():
+    import numpy as np
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="repeat"):
+        line_dedup.PerfectHash.build(np.array([5, 5], np.uint64))
+    keys = pa.table({"shard": [0] * 4, "h1": [5, 5, 5, 9], "h2": [1, 2, 3, 4], "n": [20, 3, 30, 10]})
+    asked = pa.table({"block": [0] * 5, "h1": [5, 5, 5, 9, 9], "h2": [1, 2, 3, 4, 5]})
+    often = line_dedup._probe(10)(asked, line_dedup._build_shard(keys))
+    assert list(zip(often["h1"].to_pylist(), often["h2"].to_pylist(), strict=True)) == [(5, 1), (5, 3), (9, 4)]
+
+
+def test_lines_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "a\nx"), (None, "a\ny"), (7, "a"), (7, "A \nz"), (7, "A \nz"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.drop_frequent_lines(df, min_docs=5).collect())
+    assert got == [(0, ""), (0, "x"), (0, "y"), (7, ""), (7, "z"), (7, "z")]
+
+
+STAGED = "doc_id long, text string, lang string, source string, n_chars int, __id int, row string, id string, doc string, block int"
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark):
+    """Null and repeated ids, empty texts, an empty table and columns with the names that stages use inside."""
+    text = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the deep dark wood"
+    rows = [(None, text), (None, text), (3, text), (3, "other words here that nobody else has written down before today at all"), (4, ""), (5, None), (None, "12 34")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "r", "i", "d", 2) for i, t in rows], STAGED)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = lang_id.fit_languages(docs, ~lang_id.held_out(), sample_docs=60)
+    stages = {
+        "lang": lambda d: lang_id.drop_unidentified(d, model), "lines": lambda d: line_dedup.drop_frequent_lines(d, min_docs=3, keep_columns=True), "near": lambda d: near_dup.drop_near_duplicates(d),
+        "clean": lambda d: decontaminate.drop_contaminated(d, spark.createDataFrame([(1, text[:80])], "item_id long, text string")),
+    }
+    want = {"lang": 4, "lines": 7, "near": 5, "clean": 4}
+    for name, stage in stages.items():
+        out = stage(df)
+        assert out.schema.names == df.schema.names and out.count() == want[name], name
+        assert stage(df.limit(0)).collect() == [], name
+    kept = stages["near"](df).where("text LIKE 'the quick%'").collect()
+    assert [r.doc_id for r in kept] == [3]  # the smallest id stays, null ids last
+
+
+def test_language_stage_takes_its_parameters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang_id.fit_languages(docs, ~lang_id.held_out(), sample_docs=60)
+    some = docs.where("lang IS NOT NULL AND length(text) > 200")
+    only = lang_id.drop_unidentified(some, model, langs=["de"])
+    assert {r.lang for r in only.select("lang").distinct().collect()} == {"de"} and only.count() > 0.95 * some.where("lang = 'de'").count()
+    assert lang_id.drop_unidentified(some, model, least=1.1).count() == 0
+
+
+def test_runs_of_any_length_are_summed_exactly():
+    import math
+    from fractions import Fraction
+
+    pieces = {"▁a": 0, "b": 1, "ab": 2, "▁": 3, "a": 4, "▁ab": 5}
+    p = [Fraction(1, 5), Fraction(1, 10), Fraction(1, 20), Fraction(3, 10), Fraction(3, 20), Fraction(1, 50), Fraction(1, 10**7)]
+    word = "ab" * 60
+    sums = [Fraction(1)] + [Fraction(0)] * (len(word) + 1)
+    for end in range(1, len(word) + 2):
+        for start in range(max(0, end - 3), end):
+            if (k := pieces.get(("▁" + word)[start:end])) is not None:
+                sums[end] += sums[start] * p[k]
+    want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+    rows = [[float(x), float(x) / 2] for x in p]
+    got = lang_id.score_long(word, pieces, rows)
+    assert got[0] == pytest.approx(want, rel=1e-12) and got[1] < got[0]
+    assert lang_id.score_long(word[:8], pieces, rows) == pytest.approx(lang_id.Lattice([word[:8]], pieces).score(__import__("numpy").array(rows))[0].tolist())

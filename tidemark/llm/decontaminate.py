@@ -203,7 +203,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[-1]["end"] = max(out[-1]["end"], x["end"])
                 else:
                     out.append(dict(x))
-            names = sorted(set(b))
+            names = sorted({x for x in b if x is not None})
             spans.append(out)
             hit.append(sum(x["end"] - x["start"] for x in out))
             items.append(names)
@@ -238,9 +238,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, pass_words: int)
     """The number of passes, and for each its broadcast windows, with prefixes by the counts of all docs (text), and
     their token lengths."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = cut(
-        items.where("item_id is not null").mapInArrow(_item_words, "item_id string, words array<long>").where(F.size("words") > 0)
-    )
+    items = cut(items.mapInArrow(_item_words, "item_id string, words array<long>").where(F.size("words") > 0))
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     passes = max(1, -(-total // pass_words))
     items = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)))
@@ -276,8 +274,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
     so that what tasks hold of it is bounded; for several passes docs are written once with a key for each row, by which
     all passes' findings are joined.
 
-    Null and empty texts have no words. Items without words or with a null id are never found. Repeated items are found
-    each. Every row has a result of its own, whether its id is null or repeated. Empty tables give empty or clean results.
+    Null and empty texts have no words. Items without words are never found. An item with a null id counts in the spans and in
+    n_hit as any other, but, having no id, neither in n_items nor in items. Items that repeat an id are one item of several
+    texts. Every row has a result of its own, whether its id is null or repeated. Empty tables give empty or clean results.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     passes, each = _passes(docs, benchmark, window, pass_words)
@@ -298,8 +297,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_words: int = PASS_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no window of any benchmark item occurs, all columns as they were. Every row is judged by its
-    own text, whatever its id: each pass filters rows."""
+    """The documents in which no window of any benchmark item occurs, all columns as they were, whatever their names. Every row
+    is judged by its own text: null and repeated ids, and repeated rows, are rows like any other. Null and empty texts stay;
+    without documents or items nothing goes."""
     out = docs
     for shared, lengths in _passes(docs.select(F.col(text_col).cast("string").alias("text")), benchmark, window, pass_words)[1]:
         out = out.mapInArrow(_clean(shared, lengths, text_col), docs.schema)

@@ -136,7 +136,7 @@ WITH w AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE item_id IS NOT NULL
+  FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(10, len(words)) AS k, array_to_string(words[p : p + least(10, len(words)) - 1], ' ') AS win
   FROM i, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS t(p) WHERE len(words) > 0
@@ -148,7 +148,7 @@ WITH w AS (
 ), hit AS (
   SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM found, unnest(range(0, k)) AS t(o) GROUP BY doc_id
 ), named AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
   FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
