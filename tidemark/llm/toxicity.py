@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, about (hashed choice; all with fewer).
 SAMPLE_DOCS = 8000
+#: Characters of texts that are brought to the driver for fitting, about: longer documents make the sample smaller.
+SAMPLE_CHARS = 1 << 26
 #: Features kept: those most tied to the label, with at least MIN_DOCS documents.
 FEATURES, MIN_DOCS = 4096, 8
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
-_CACHE = 700_000  # tokens a Python worker remembers; beyond that it starts anew
+#: Tokens, and characters of them, that a Python worker remembers; beyond either it starts anew.
+_CACHE, _CACHE_CHARS = 700_000, 1 << 23
 _ENDS = (".", "!", "?", "…", "。")
 
 
@@ -123,16 +126,17 @@ class _Weights(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.table = model, np.zeros((0, 2))
+        self.model, self.table, self.chars = model, np.zeros((0, 2)), 0
 
     def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self) > _CACHE:
+        if len(self) > _CACHE or self.chars > _CACHE_CHARS:
             self.clear()
-            self.table = self.table[:0]
+            self.table, self.chars = self.table[:0], 0
         new = [t for t in dict.fromkeys(tokens) if t not in self]
         rows = [(self.model.token_weight(t), float(ends_sentence(t))) for t in new]
         for t in new:
             self[t] = len(self)
+        self.chars += sum(map(len, new))
         self.table = np.concatenate([self.table, np.array(rows, float).reshape(-1, 2)])
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
@@ -185,16 +189,20 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits the model on about sample_docs labelled documents, chosen by a hash of doc_id, of the rows where train holds.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fits the model on about sample_docs labelled documents, or fewer if these have more than about sample_chars
+    characters in all, chosen by a hash of doc_id, of the rows where train holds. Documents that alone have more than an
+    eighth of sample_chars aren't fitted on.
 
     Null labels and texts are passed over. Without both labels the score is their share everywhere.
     """
     y = labels.where(train & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("y"))
-    n, span = y.count(), 1 << 30
-    share = min(span, -(-sample_docs * span // max(1, n)))
-    y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(span)) < share)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(y, "doc_id").select("text", "y").orderBy("text", "y")
+    texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= sample_chars // 8)).select("doc_id", "text")
+    known = texts.join(y, "doc_id")
+    n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    span = 1 << 30
+    share = min(span, -(-sample_docs * span // max(1, n)), sample_chars * span // max(1, chars))
+    rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(span)) < share).select("text", "y").orderBy("text", "y")
     return Model.fit((r.text, r.y) for r in rows.toLocalIterator())
 
 
