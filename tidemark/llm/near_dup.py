@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.text import NOT_SPACE, byte_slices, distinct_sets, mix, shingles, words_of
-from tidemark.session import cut
+from tidemark.session import cut, scratch
 
 #: 128 coordinates in 32 bands of 4: a pair at similarity 0.8 shares no band with probability 5e-8.
 COORDS, BANDS = 128, 32
@@ -240,37 +240,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     nothing (component_id null, kept); an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"))
-    # One row for each distinct set: its smallest document stands for it, with its bands and sketch.
-    one = F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")
-    own = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(own.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), one))
-    reps = classes.select(F.col("rep").alias("id"), "size", "s.bands", "s.sketch")
-
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    first = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("key", F.col("p.id").alias("p"))
-    members = cut(banded.join(buckets, "key"))
-    # The pivot of one bucket of each class: the first by a hash that is the same for all, so that a group meets few.
-    first = F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("first")
-    pairs = members.where("id <> p").groupBy("id").agg(first).select(F.greatest("id", "first.p").alias("a"), F.least("id", "first.p").alias("b"))
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text")).mapInArrow(_sets(words), "id long, items array<long>"))
-    links = cut(_confirmed(cut(pairs.distinct()), sets, percent))
-    found = connected_components(links)
-
-    apart = cut(_apart(members, found))
-    rows = apart.join(reps.select("id", "size", "sketch"), "id").select(F.col("key").alias("g"), "c", "size", F.col("sketch").alias("v"), F.lit(1).alias("w"))
-    least = (percent / 100 - SKETCH_SLACK) * COORDS
-    maybe = cut(_tiles(rows, percent).mapInArrow(_alike(least), "a long, b long").distinct())
-    zones = connected_components(maybe).select(F.col("id").alias("c"), F.col("component").alias("g"))
-    rows = apart.select("id", "c").distinct().join(zones, "c").join(sets, "id")
-    rows = rows.select("g", "c", F.size("items").alias("size"), F.col("items").alias("v"), F.size("items").alias("w"))
-    more = cut(_tiles(rows, percent).mapInArrow(_linked(percent), "a long, b long").distinct())
-    found = connected_components(cut(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
-
-    classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = cut(classes.select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id")))
+    with scratch() as tables:
+        sig = tables.keep(cut(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary")))
+        # One row for each distinct set: its smallest document stands for it, with its bands and sketch.
+        one = F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")
+        own = sig.where("n_shingles > 0 and doc_id is not null")
+        classes = cut(own.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), one))
+        reps = classes.select(F.col("rep").alias("id"), "size", "s.bands", "s.sketch")
+
+        banded = reps.select("id", F.explode("bands").alias("key"))
+        first = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
+        buckets = banded.groupBy("key").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("key", F.col("p.id").alias("p"))
+        members = cut(banded.join(buckets, "key"))
+        # The pivot of one bucket of each class: the first by a hash that is the same for all, so that a group meets few.
+        first = F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("first")
+        pairs = members.where("id <> p").groupBy("id").agg(first).select(F.greatest("id", "first.p").alias("a"), F.least("id", "first.p").alias("b"))
+        ids = members.select(F.col("id").alias("doc_id")).distinct()
+        sets = cut(docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text")).mapInArrow(_sets(words), "id long, items array<long>"))
+        links = cut(_confirmed(cut(pairs.distinct()), sets, percent))
+        found = connected_components(links)
+
+        apart = cut(_apart(members, found))
+        rows = apart.join(reps.select("id", "size", "sketch"), "id").select(F.col("key").alias("g"), "c", "size", F.col("sketch").alias("v"), F.lit(1).alias("w"))
+        least = (percent / 100 - SKETCH_SLACK) * COORDS
+        maybe = cut(_tiles(rows, percent).mapInArrow(_alike(least), "a long, b long").distinct())
+        zones = connected_components(maybe).select(F.col("id").alias("c"), F.col("component").alias("g"))
+        rows = apart.select("id", "c").distinct().join(zones, "c").join(sets, "id")
+        rows = rows.select("g", "c", F.size("items").alias("size"), F.col("items").alias("v"), F.size("items").alias("w"))
+        more = cut(_tiles(rows, percent).mapInArrow(_linked(percent), "a long, b long").distinct())
+        found = connected_components(cut(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
+
+        classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+        classes = tables.keep(cut(classes.select("fp1", "fp2", F.coalesce("component", "rep").alias("class_id"))))
     return sig.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2"], "left").select(
         "doc_id", "n_shingles",
         (id_ := F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))).alias("component_id"),
@@ -282,11 +283,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
     """The documents of which one row of each group stays (the one with the smallest id, null ids last), all columns as
     they were. Groups are of rows, under a key written at the start beside the row, so that null and repeated ids are rows
     like any other and no column name clashes. Null texts and texts without words stay; an empty table gives an empty one."""
-    keyed = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
-    texts = keyed.select("row", F.col("doc").getField(text_col).alias("text"))
-    groups = near_duplicates(texts, words, percent, "row", "text").where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    groups = cut(groups.join(keyed.select("row", F.col("doc").getField(id_col).cast("long").alias("id")), "row"))
-    stays = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    several = stays.where("n > 1").select("group", F.col("first.row").alias("stay"))
-    gone = groups.join(several, "group").where("row <> stay").select("row")
+    with scratch() as tables:
+        keyed = tables.keep(cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))))
+        texts = keyed.select("row", F.col("doc").getField(text_col).alias("text"))
+        groups = near_duplicates(texts, words, percent, "row", "text").where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+        groups = cut(groups.join(keyed.select("row", F.col("doc").getField(id_col).cast("long").alias("id")), "row"))
+        stays = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+        several = stays.where("n > 1").select("group", F.col("first.row").alias("stay"))
+        gone = tables.keep(cut(groups.join(several, "group").where("row <> stay").select("row")))
     return keyed.join(gone, "row", "left_anti").select("doc.*")
