@@ -1,6 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination and packing of the documents table.
 
-Every stage takes (spark, docs, sf_dir); all but the last return documents with the columns they got.
+Every stage takes (spark, docs, sf_dir); all but the last return documents with the columns they got, in rows that they judge
+one by one: null and repeated ids are rows like any other, further columns may have any name, and an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -16,28 +18,30 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without any letter go."""
-    return lang_id.drop_unidentified(docs, lang_id.fit_languages(docs, ~lang_id.held_out()))
+    """Documents in a language of the labelled rows; those without any letter (null texts among them) go, and those of which no
+    language is likelier than all others together."""
+    return lang_id.drop_unidentified(docs, lang_id.fit_languages(docs, ~lang_id.held_out()), langs=None, least=0.5)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that 10 documents or more hold; n_chars is that of the text that stays."""
+    """Without the lines that 10 documents or more hold; n_chars is that of the text that stays. Every document stays, one of
+    frequent lines only with an empty text."""
     kept = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1, keep_columns=True)
     return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words a shingle, similarity 0.8."""
+    """One document of each group of near-duplicates: five words a shingle, similarity 0.8. Texts without words stay."""
     return near_dup.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of ten words (or a whole shorter item) of the benchmark."""
+    """Documents without any passage of ten words (or a whole shorter item) of the benchmark. Texts without words stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences; texts without words are their separator."""
     return packing.pack(docs)
 
 
