@@ -37,7 +37,7 @@ FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
-    " head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    " head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: A start tag of the key closes an open element of these, up to the nearest of the second.
 IMPLIED = {
@@ -374,7 +374,7 @@ def variant(blocks: list[tuple[Path, str, float]], labels: list[int], rng: np.ra
 
     for _ in range(rng.integers(0, 4)):
         furniture(top)
-    inner = [("<p>",), ("<p>",), ("<p>",), ("<h2>",), ("<ul>", "<li>"), ("<blockquote>",), ("<p>", "<b>")]
+    inner = [("<p>",), ("<p>",), ("<p>",), ("<p>",), ("<h2>",), ("<h3>",), ("<ul>", "<li>"), ("<ol>", "<li>"), ("<blockquote>",), ("<p>", "<b>"), ("<pre>",), ("<table>", "<tr>", "<td>"), ("<figure>", "<figcaption>"), ("<dl>", "<dd>")]
     for k, (text, path) in enumerate(main):
         leaf = ("<h1>",) if "<h1>" in path else inner[rng.integers(len(inner))]
         out.append((path_of((*top, *wrap, *leaf)), text, 0.0))
