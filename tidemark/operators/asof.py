@@ -13,12 +13,13 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str], values: l
     return rows.groupBy(*keys).agg(last.alias("last")).select(*keys, *(F.col(f"last.{v}").alias(v) for v in values))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], order: str, bucket: Column | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], order: str, bucket: Column | None = None, spread: Column | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of the same key at or before its time.
 
     Both sides go through one exchange and one sort: a union in which right rows carry a struct and a window carries the
     last struct on. Struct nulls are skipped, nulls within it aren't. `bucket` (a column over both sides, such as the
-    day) splits hot keys where an as-of match never has to look beyond its bucket.
+    day) splits hot keys where an as-of match never has to look beyond its bucket. `spread` (such as the day, too) splits
+    them where it has to: each part carries its last struct on to the key's later parts, by one row a part.
     """
     none = F.lit(None)
     r = right.select(*keys, F.col(ts), F.lit(0).alias("__left"), F.col(order).alias("__order"), F.struct(*values).alias("__v"))
@@ -27,9 +28,19 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, v
     l_ = left.select(*keys, F.col(ts), F.lit(1).alias("__left"), none.cast("long").alias("__order"), none.cast(shape).alias("__v"), F.struct(*own).alias("__own") if own else none.cast("boolean").alias("__own"))
     r = r.withColumn("__order", F.col("__order").cast("long")).withColumn("__own", none.cast(l_.schema["__own"].dataType))
     rows = l_.unionByName(r)
-    parts = [*keys, *([bucket] if bucket is not None else [])]
+    if spread is not None:
+        rows = rows.withColumn("__part", spread)
+    parts = [*keys, *([bucket] if bucket is not None else []), *(["__part"] if spread is not None else [])]
     w = Window.partitionBy(*parts).orderBy(ts, "__left", "__order").rowsBetween(Window.unboundedPreceding, 0)
     got = rows.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__left = 1")
+    if spread is not None:
+        ends = rows.groupBy(*keys, "__part").agg(F.max_by("__v", F.when(F.col("__left") == 0, F.struct(ts, "__order"))).alias("__end"))
+        before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, "__part", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+        same = F.lit(True)
+        for c in (*keys, "__part"):
+            same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}"))
+        got = got.alias("l").join(carried.alias("c"), same, "left").select("l.*", F.coalesce("l.__last", "c.__carry").alias("__found")).withColumn("__last", F.col("__found"))
     return got.select(*keys, ts, *(F.col("__own").getField(c).alias(c) for c in own), *(F.col("__last").getField(v).alias(v) for v in values))
 
 

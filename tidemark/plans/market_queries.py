@@ -20,11 +20,12 @@ ASOF_LATEST_QUOTE = with_views(" " + LATEST, "quotes")
 
 
 def asof_join(spark, sf_dir):
-    """Each purchase with the user's latest earlier click or view, of any day. Keys are users."""
+    """Each purchase with the user's latest earlier other event, of any day. Keys are users, spread over days, so that a user
+    with most of the events isn't one task's."""
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     right = e.where("event_type <> 'purchase'").select("user_id", "ts", F.col("event_id").alias("prior_id"), F.col("value").alias("prior_value"))
-    return asof.asof_backward(left, right, ["user_id"], "ts", ["prior_id", "prior_value"], "prior_id")
+    return asof.asof_backward(left, right, ["user_id"], "ts", ["prior_id", "prior_value"], "prior_id", spread=F.to_date("ts"))
 
 
 ASOF_JOIN = """SELECT l.user_id, l.ts, l.event_id, r.event_id AS prior_id, r.value AS prior_value

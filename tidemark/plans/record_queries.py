@@ -228,6 +228,31 @@ def collector_fold(spark, sf_dir):
     return folds.fold(rows, "provider", ["seq"], folds.Collector(fresh=3600.0), "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long")
 
 
+def checkpoint_manifests(spark, sf_dir):
+    """Events as checkpoints and customers as manifests, joined on what their JSON documents say, with the schema's version."""
+    c = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    doc = F.to_json(F.struct(F.struct(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("schema")).alias("manifest")))
+    m = table(spark, sf_dir, "customer").select(doc.alias("doc")).select(F.get_json_object("doc", "$.manifest.id").cast("long").alias("k"), F.get_json_object("doc", "$.manifest.schema").cast("int").alias("schema"))
+    versions = spark.createDataFrame([(0, "v1"), (1, "v2")], "schema int, version string")
+    return c.join(m, "k").join(versions, "schema").groupBy("version").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+CHECKPOINTS = """SELECT CASE c_custkey % 3 WHEN 0 THEN 'v1' ELSE 'v2' END AS version, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events JOIN customer ON CAST(json_extract_string(props, '$.k') AS BIGINT) = c_custkey WHERE c_custkey % 3 < 2 GROUP BY 1"""
+
+
+def audit_integrity(spark, sf_dir):
+    """One row of what an audit counts: lines without an order, orders without a line, repeated keys, and values out of range."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    lines = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.count_if((F.col("l_discount") < 0) | (F.col("l_discount") > 0.1)).alias("bad"))
+    both = o.groupBy("o_orderkey").agg(F.count("*").alias("n")).join(lines, "o_orderkey", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return both.agg(zero(F.sum(F.when(F.col("n").isNull(), F.col("n_lines")))).alias("lines_without_order"), F.count_if(F.col("n_lines").isNull()).alias("orders_without_line"), F.count_if(F.col("n") > 1).alias("repeated_keys"), zero(F.sum("bad")).alias("out_of_range"))
+
+
+INTEGRITY = """SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS lines_without_order, (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS orders_without_line,
+(SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys, (SELECT count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 0.1) AS out_of_range"""
+
+
 ALERTS = """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, value > 20 AS active, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
 f AS (SELECT user_id, rn, seq, CASE WHEN active THEN 1 ELSE 0 END AS run, CAST(NULL AS DOUBLE) AS made, CAST(0 AS BIGINT) AS suppressed, CASE WHEN active THEN 'PENDING' ELSE 'INACTIVE' END AS outcome FROM e WHERE rn = 1
 UNION ALL SELECT user_id, rn, seq, run, CASE WHEN outcome = 'CREATED' THEN t ELSE made END, CASE outcome WHEN 'CREATED' THEN 0 WHEN 'SUPPRESSED' THEN suppressed + 1 ELSE suppressed END, outcome
@@ -266,6 +291,6 @@ QUERIES = {
     "pit_latest_revision": (pit_latest_revision, PIT), "outcome_counts": (outcome_counts, OUTCOMES), "promotion_gate": (promotion_gate, PROMOTION), "readiness_blockers": (readiness_blockers, READINESS),
     "decision_gates": (decision_gates, GATES), "risk_lock_state": (risk_lock_state, RISK), "next_checkpoint": (next_checkpoint, CHECKPOINT), "hash_chain_verify": (hash_chain_verify, CHAIN),
     "lineage_recursive": (lineage_recursive, LINEAGE), "attribution_confidence": (attribution_confidence, ATTRIBUTION), "effective_status": (effective_status, STATUS), "union_all_tagged": (union_all_tagged, UNION),
-    "ordered_digest": (ordered_digest, DIGEST), "json_key_allowlist": (json_key_allowlist, ALLOWLIST), "tumbling_bars": (tumbling_bars, TUMBLING), "user_sessions": (user_sessions, SESSIONS),
+    "ordered_digest": (ordered_digest, DIGEST), "json_key_allowlist": (json_key_allowlist, ALLOWLIST), "tumbling_bars": (tumbling_bars, TUMBLING), "user_sessions": (user_sessions, SESSIONS), "checkpoint_manifests": (checkpoint_manifests, CHECKPOINTS), "audit_integrity": (audit_integrity, INTEGRITY),
     "alert_cooldown_fold": (alert_cooldown_fold, ALERTS), "outbox_fold": (outbox_fold, OUTBOX), "delivery_fold": (delivery_fold, DELIVERY), "collector_fold": (collector_fold, COLLECTED),
 }
