@@ -129,3 +129,20 @@ def test_ids_are_forgotten_after_a_while():
 
 def test_missing_labels_are_an_empty_table(spark, tmp_path):
     assert loaders.labels(spark, str(tmp_path / "none.jsonl")).collect() == []
+
+
+def test_chain_day(spark):
+    t0, symbol = "2026-08-17 13:30:00", "SPXW  260817C06400000"
+    raw_bars = spark.createDataFrame([("2026-08-17", t0, 1.0, 2.0, 0.5, 1.5, 3.0), ("2026-08-18", t0, 9.0, 2.0, 0.5, 1.5, 3.0)], "day string, ts_event string, open double, high double, low double, close double, volume double").selectExpr("CAST(day AS DATE) AS day", "CAST(ts_event AS TIMESTAMP) AS ts_event", "open", "high", "low", "close", "volume")
+    rows = [("2026-08-17", None, t0, symbol, float("nan"), 1.2, 1, 2), ("2026-08-17", "2026-08-17 13:29:00", t0, symbol, 1.0, 1.2, 1, 2), ("2026-08-18", t0, t0, "short", 1.3, 1.2, -1, 2)]
+    raw_quotes = spark.createDataFrame(rows, "day string, ts_event string, ts_recv string, symbol string, bid_px_00 double, ask_px_00 double, bid_sz_00 int, ask_sz_00 int").selectExpr("CAST(day AS DATE) AS day", "CAST(ts_event AS TIMESTAMP) AS ts_event", "CAST(ts_recv AS TIMESTAMP) AS ts_recv", "symbol", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00")
+    bars, chain = loaders.chain_day(raw_bars, raw_quotes, "2026-08-17")
+    assert [(r.bid, str(r.ts)) for r in chain.collect()] == [(1.0, "2026-08-17 13:29:00"), (None, t0)] and bars.count() == 1
+    assert loaders.chain_day(raw_bars, None, "2026-08-17")[1] is None
+    assert loaders.quotes(raw_quotes.where("symbol = 'short'")).first().violations == ["SYMBOL_NOT_PADDED", "CROSSED", "NEGATIVE_SIZE"]
+    with pytest.raises(Exception, match="break a rule"):
+        loaders.chain_day(raw_bars, raw_quotes, "2026-08-18")[1].collect()
+    with pytest.raises(ValueError, match="no bars"):
+        loaders.chain_day(raw_bars, raw_quotes, "2026-08-19")
+    with pytest.raises(ValueError, match="missing columns: ask_px_00"):
+        loaders.quotes(raw_quotes.drop("ask_px_00"))

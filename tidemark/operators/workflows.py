@@ -91,6 +91,22 @@ def feature_outcomes(labels: DataFrame, present: DataFrame, chain_days: DataFram
     return rows.select("day", rules.first_of([(F.col("p").isNotNull(), "ALREADY_PRESENT"), (F.col("c").isNull(), "GAP")], "COMPUTED").alias("outcome"))
 
 
+def ingest_plan(pulls: DataFrame, landed: DataFrame, estimates: DataFrame, chains: DataFrame, now: Column, ceiling: float) -> tuple[DataFrame, DataFrame]:
+    """(items, decision) of a cost-gated plan. items: each pull (logical_key, day, needs_chain) with its outcome, in this order:
+    SKIPPED_PRESENT (landed before), NOT_DUE (the day hasn't closed by now), GAP (no estimate), EMPTY_CHAIN (a pull of a chain
+    on a day without contracts), PLANNED; and its cost. decision, one row: the total and whether it keeps to the ceiling.
+    landed: logical_key; estimates: logical_key, usd (null if it failed); chains: day, n_symbols."""
+    rows = pulls.join(landed.select("logical_key", F.lit(True).alias("__landed")).distinct(), "logical_key", "left").join(estimates, "logical_key", "left").join(chains, "day", "left")
+    outcome = rules.first_of([
+        (F.col("__landed").isNotNull(), "SKIPPED_PRESENT"), (F.col("day") >= now, "NOT_DUE"), (F.col("usd").isNull(), "GAP"), (F.col("needs_chain") & (F.coalesce("n_symbols", F.lit(0)) == 0), "EMPTY_CHAIN"),
+    ], "PLANNED")
+    items = rows.withColumn("outcome", outcome).withColumn("cost", F.when(F.col("outcome").isin("PLANNED", "EMPTY_CHAIN"), F.col("usd").cast("decimal(18,6)")).otherwise(F.lit(0)))
+    total = F.coalesce(F.sum("cost"), F.lit(0))
+    counts = [F.count_if(F.col("outcome") == o).alias(f"n_{o.lower()}") for o in ("PLANNED", "SKIPPED_PRESENT", "NOT_DUE", "GAP", "EMPTY_CHAIN")]
+    decision = items.agg(total.cast("double").alias("total_usd"), F.when(total <= F.lit(ceiling).cast("decimal(18,6)"), "APPROVED").otherwise("BLOCKED").alias("decision"), *counts)
+    return items.select("logical_key", "day", "outcome", F.col("cost").cast("double").alias("cost")), decision
+
+
 def structure_legs(positions: DataFrame, root: str = "SPXW", grid: int = 5, wing: int = 5) -> DataFrame:
     """positions (day, center, down_distance, up_distance, ...) with strikes k and one row a leg (leg, symbol)."""
     rows = positions.withColumn("k", market.condor_strikes(F.col("center"), F.col("down_distance"), F.col("up_distance"), grid, wing))

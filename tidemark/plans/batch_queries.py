@@ -208,7 +208,24 @@ SELECT model, fold, count(*) AS test_days, count(*) - count(ud) AS abstain_days,
 FROM x GROUP BY GROUPING SETS ((model, fold), (model))""", "labels_day")
 
 
+def ingest_plan(spark, sf_dir):
+    """Orders as pulls of their days, by their costs: what is present, not due, a gap, without a chain, or planned."""
+    o, k, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate").alias("day")
+    pulls = o.select(k.alias("logical_key"), day, (k % 2 == 0).alias("needs_chain"))
+    estimates = o.where("o_orderkey % 7 <> 0").select(k.alias("logical_key"), F.when(k % 11 != 0, F.col("o_totalprice")).alias("usd"))
+    chains = o.groupBy(day).agg(F.count_if(k % 3 == 0).alias("n_symbols"))
+    items, decision = workflows.ingest_plan(pulls, o.where("o_orderkey % 5 = 0").select(k.alias("logical_key")), estimates, chains, F.lit("2000-01-01").cast("date"), 1e9)
+    return items.groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("cost").cast("decimal(18,2)")).cast("double").alias("cost")).crossJoin(decision.select("decision"))  # one row
+
+
+PLAN = """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) FILTER (o_orderkey % 3 = 0) AS n FROM orders GROUP BY 1), i AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_totalprice AS usd FROM orders),
+x AS (SELECT usd, CASE WHEN k % 5 = 0 THEN 'SKIPPED_PRESENT' WHEN i.day >= DATE '2000-01-01' THEN 'NOT_DUE' WHEN k % 7 = 0 OR k % 11 = 0 THEN 'GAP' WHEN k % 2 = 0 AND n = 0 THEN 'EMPTY_CHAIN' ELSE 'PLANNED' END AS outcome FROM i JOIN c USING (day)),
+y AS (SELECT outcome, CASE WHEN outcome IN ('PLANNED', 'EMPTY_CHAIN') THEN CAST(usd AS DECIMAL(18,6)) ELSE 0 END AS cost FROM x)
+SELECT outcome, count(*) AS n, CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) AS cost, (SELECT CASE WHEN sum(cost) <= 1e9 THEN 'APPROVED' ELSE 'BLOCKED' END FROM y) AS decision FROM y GROUP BY outcome"""
+
+
 QUERIES = {
+    "ingest_plan": (ingest_plan, PLAN),
     "label_batch": (label_batch, LABEL_BATCH), "feature_outcomes": (feature_outcomes, FEATURES), "economics_days": (economics_days, ECONOMICS), "economics_report": (economics_report, REPORT), "exit_comparison": (exit_comparison, EXITS),
     "exit_report": (exit_report, EXIT_REPORT), "entry_risk": (entry_risk, ENTRY_RISK), "walk_forward_models": (walk_forward_models, WALK_FORWARD),
 }

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import quality
+
 #: Marks an undefined expiry in nanosecond definitions (fixed value of the feed format).
 UNDEFINED_NS = 9223372036854775807
 LABELS = "day date, entry_et string, close_et string, spx_a double, f_a double, entry_price double, close_price double, up_max double, down_max double, up_max_ts timestamp, down_max_ts timestamp, sample_count int, code_version string"
@@ -90,6 +92,37 @@ def bars(raw: DataFrame) -> DataFrame:
     return rows.withColumn("violations", broken)
 
 
+def quotes(raw: DataFrame) -> DataFrame:
+    """Raw minute quotes -> day, ts, symbol, bid, ask, bid_size, ask_size with their broken rules: NaN is null, a missing event
+    time is the receipt time; symbols are 21 characters."""
+    need = ["symbol", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"]
+    if not {"ts_event", "ts_recv"} & set(raw.columns):
+        raise ValueError("quotes need ts_event or ts_recv")
+    ts = F.coalesce(*(F.col(c) for c in ("ts_event", "ts_recv") if c in raw.columns))
+    price = lambda c, to: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(to)
+    rows = require(raw, need).select("day", ts.alias("ts"), "symbol", price("bid_px_00", "bid"), price("ask_px_00", "ask"), F.col("bid_sz_00").cast("int").alias("bid_size"), F.col("ask_sz_00").cast("int").alias("ask_size"))
+    time = F.array_compact(F.array(F.when(F.col("ts").isNull(), F.lit("TIME"))))
+    return rows.withColumn("violations", F.concat(quality.quote_violations(), time))
+
+
+def chain_day(raw_bars: DataFrame, raw_quotes: DataFrame | None, day: str) -> tuple[DataFrame, DataFrame | None]:
+    """(bars, quotes) of one day, typed and in order of time (and symbol); the job fails at a row that breaks a rule, or, when
+    asked, for a day without bars or quotes. Without raw_quotes only the bars are read. The day is a partition filter."""
+
+    def fit(rows: DataFrame, what: str) -> DataFrame:
+        fine = F.size("violations") == 0
+        return rows.withColumn("ts", or_fail(F.col("ts"), fine, f"{what} break a rule")).drop("violations")
+
+    at = F.lit(day).cast("date")
+    own = fit(bars(raw_bars.where(F.col("day") == at)), "bars")
+    if raw_quotes is None:
+        return own.orderBy("ts"), None
+    chain = fit(quotes(raw_quotes.where(F.col("day") == at)), "quotes")
+    if own.isEmpty() or chain.isEmpty():
+        raise ValueError(f"{day} has no bars or no quotes")
+    return own.orderBy("ts"), chain.orderBy("ts", "symbol")
+
+
 def toml_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The tables under `key` of a small versioned TOML file (read through Spark) as rows with the file's version."""
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
