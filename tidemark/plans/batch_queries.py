@@ -40,7 +40,7 @@ def label_batch(spark, sf_dir):
 
 _LABELS = f"""allbars AS ({_BARS}), b AS (SELECT * FROM allbars WHERE day(day) % 6 <> 0), days AS (SELECT DISTINCT day FROM allbars),
 landed AS (SELECT day, lag(day) OVER (ORDER BY day) AS prior_day, lag(f) OVER (ORDER BY day) AS f_a FROM (SELECT day, max_by(close, ts) AS f FROM b GROUP BY day)),
-j AS (SELECT days.day, landed.day IS NOT NULL AS has, prior_day, f_a, CASE WHEN prior_day IS NOT NULL AND day(prior_day) % 5 <> 0 THEN 100.0 + day(prior_day) END AS spx_a, CAST(days.day AS TIMESTAMP) + INTERVAL 9 HOUR AS e, CAST(days.day AS TIMESTAMP) + CASE WHEN day(days.day) % 7 = 0 THEN 8 ELSE 16 END * INTERVAL 1 HOUR AS c FROM days LEFT JOIN landed ON days.day = landed.day),
+j AS (SELECT days.day, landed.day IS NOT NULL AS has, prior_day, f_a, CASE WHEN prior_day IS NOT NULL AND day(prior_day) % 5 <> 0 THEN 1e2 + day(prior_day) END AS spx_a, CAST(days.day AS TIMESTAMP) + INTERVAL 9 HOUR AS e, CAST(days.day AS TIMESTAMP) + CASE WHEN day(days.day) % 7 = 0 THEN 8 ELSE 16 END * INTERVAL 1 HOUR AS c FROM days LEFT JOIN landed ON days.day = landed.day),
 p AS (SELECT j.*, b.ts, spx_a * close / f_a AS price, b.ts > e AND b.ts <= c AS inside, epoch(b.ts) - epoch(lag(b.ts) OVER (PARTITION BY j.day ORDER BY b.ts)) AS gap FROM j JOIN b ON j.day = b.day WHERE spx_a IS NOT NULL AND b.ts <= c),
 m AS (SELECT day, max_by(price, ts) FILTER (ts <= e) AS entry_price, count(*) FILTER (ts <= e) AS nb, max_by(price, ts) FILTER (inside) AS close_price, max(price) FILTER (inside) AS hi, min(price) FILTER (inside) AS lo, count(*) FILTER (inside) AS sample_count, max(gap) FILTER (inside) AS g, max(ts) FILTER (inside) AS last, max(c) AS c,
   arg_min(ts, (-price, ts)) FILTER (inside) AS up_max_ts, arg_min(ts, (price, ts)) FILTER (inside) AS down_max_ts FROM p GROUP BY day),
@@ -93,23 +93,23 @@ def _economics(spark, sf_dir):
 def economics_days(spark, sf_dir):
     """Every day with its disposition: strikes, four-leg fill at the entry, settlement, fees and breaches."""
     n = ("credit", "max_loss", "settlement_loss", "pnl", "fees", "net_pnl")
-    return _economics(spark, sf_dir).select("day", "regime", "status", *(F.round(c, 6).alias(c) for c in n), "put_breached", "call_breached")
+    return _economics(spark, sf_dir).select("day", "regime", "status", *(F.round(c, 9).alias(c) for c in n), "put_breached", "call_breached")
 
 
 _CHAIN = """q AS (SELECT CAST(ts AS DATE) AS day, ts, event_id AS seq, event_type AS leg, CASE WHEN event_id % 41 <> 0 THEN round(value / 50, 3) + CASE WHEN event_type IN ('click', 'signup') THEN 1.0 ELSE 0.0 END END AS bid FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view') AND day(ts) % 13 <> 0),
 qa AS (SELECT *, coalesce(bid, 0.5) + 0.125 AS ask FROM q)"""
-_ECONOMICS = _CHAIN + """, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), last AS (SELECT day, leg, max_by(CASE WHEN bid > 0 AND bid <= ask THEN bid END, (ts, seq)) AS sell, max_by(CASE WHEN bid IS NULL OR bid <= ask THEN ask END, (ts, seq)) AS buy, count(*) AS n FROM qa WHERE ts <= CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR GROUP BY day, leg),
+_ECONOMICS = _CHAIN + """, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), last AS (SELECT day, leg, q.sell AS sell, q.buy AS buy FROM (SELECT day, leg, max_by({'sell': CASE WHEN bid > 0 AND bid <= ask THEN bid END, 'buy': CASE WHEN bid IS NULL OR bid <= ask THEN ask END}, (ts, seq)) AS q FROM qa WHERE ts <= CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR GROUP BY day, leg)),
 fill AS (SELECT day, max(sell) FILTER (leg = 'click') + max(sell) FILTER (leg = 'signup') - max(buy) FILTER (leg = 'purchase') - max(buy) FILTER (leg = 'view') AS credit FROM last GROUP BY day), chains AS (SELECT DISTINCT day FROM qa),
-e AS (SELECT d.day, day(d.day) % 10 <> 0 AS has_label, day(d.day) % 9 <> 0 AS has_distance, c.day IS NOT NULL AS has_chain, CASE WHEN day(d.day) % 8 <> 0 THEN credit END AS credit, 88.0 + (day(d.day) % 7) * 4 AS close FROM days d LEFT JOIN chains c ON d.day = c.day LEFT JOIN fill f ON d.day = f.day WHERE day(d.day) % 10 <> 0 OR day(d.day) % 9 <> 0),
-s AS (SELECT *, CASE WHEN NOT has_label THEN 'MISSING_LABEL' WHEN NOT has_distance THEN 'MISSING_DISTANCE' WHEN NOT has_chain THEN 'MISSING_CHAIN' WHEN credit IS NULL THEN 'UNPRICEABLE' ELSE 'PRICED' END AS status, least(greatest(0.0, 90 - close) + greatest(0.0, close - 110), 5.0) AS loss FROM e),
-economics AS (SELECT day, CASE WHEN has_distance THEN 'IV_Q' || (day(day) % 4 + 1) END AS regime, status, CASE WHEN status = 'PRICED' THEN credit END AS credit, CASE WHEN status = 'PRICED' THEN 5.0 - credit END AS max_loss, CASE WHEN status = 'PRICED' THEN loss END AS settlement_loss, CASE WHEN status = 'PRICED' THEN credit - loss END AS pnl,
-  CASE WHEN status = 'PRICED' THEN 0.028 END AS fees, CASE WHEN status = 'PRICED' THEN credit - loss - 0.028 END AS net_pnl, CASE WHEN status = 'PRICED' THEN close < 90 END AS put_breached, CASE WHEN status = 'PRICED' THEN close > 110 END AS call_breached, close FROM s)"""
-ECONOMICS = f"WITH {_ECONOMICS} SELECT day, regime, status, {', '.join(f'round({c}, 6) AS {c}' for c in ('credit', 'max_loss', 'settlement_loss', 'pnl', 'fees', 'net_pnl'))}, put_breached, call_breached FROM economics"
+e AS (SELECT d.day, day(d.day) % 10 <> 0 AS has_label, day(d.day) % 9 <> 0 AS has_distance, c.day IS NOT NULL AS has_chain, CASE WHEN day(d.day) % 8 <> 0 THEN credit END AS credit, 88e0 + (day(d.day) % 7) * 4 AS close FROM days d LEFT JOIN chains c ON d.day = c.day LEFT JOIN fill f ON d.day = f.day WHERE day(d.day) % 10 <> 0 OR day(d.day) % 9 <> 0),
+s AS (SELECT *, CASE WHEN NOT has_label THEN 'MISSING_LABEL' WHEN NOT has_distance THEN 'MISSING_DISTANCE' WHEN NOT has_chain THEN 'MISSING_CHAIN' WHEN credit IS NULL THEN 'UNPRICEABLE' ELSE 'PRICED' END AS status, least(greatest(0e0, 90 - close) + greatest(0e0, close - 110), 5e0) AS loss FROM e),
+economics AS (SELECT day, CASE WHEN has_distance THEN 'IV_Q' || (day(day) % 4 + 1) END AS regime, status, CASE WHEN status = 'PRICED' THEN credit END AS credit, CASE WHEN status = 'PRICED' THEN 5e0 - credit END AS max_loss, CASE WHEN status = 'PRICED' THEN loss END AS settlement_loss, CASE WHEN status = 'PRICED' THEN credit - loss END AS pnl,
+  CASE WHEN status = 'PRICED' THEN 28e-3 END AS fees, CASE WHEN status = 'PRICED' THEN credit - loss - 28e-3 END AS net_pnl, CASE WHEN status = 'PRICED' THEN close < 90 END AS put_breached, CASE WHEN status = 'PRICED' THEN close > 110 END AS call_breached, close FROM s)"""
+ECONOMICS = f"WITH {_ECONOMICS} SELECT day, regime, status, {', '.join(f'round({c}, 9) AS {c}' for c in ('credit', 'max_loss', 'settlement_loss', 'pnl', 'fees', 'net_pnl'))}, put_breached, call_breached FROM economics"
 
 
 def _rounded(df, *keep):
     kept = {c: t for c, t in df.dtypes}
-    return df.select(*((F.round(c, 6).alias(c) if kept[c] == "double" and c not in keep else F.col(c)) for c in df.columns))
+    return df.select(*((F.round(c, 9).alias(c) if kept[c] == "double" and c not in keep else F.col(c)) for c in df.columns))
 
 
 def economics_report(spark, sf_dir):
@@ -118,11 +118,11 @@ def economics_report(spark, sf_dir):
     return _rounded(workflows.summarize(days.withColumn("slice", F.explode(F.array(F.lit("ALL"), F.col("regime")))), ["slice"]))
 
 
-_SUMMARY = """count(pnl) AS n_priced, count(*) - count(pnl) AS n_unpriceable, round(coalesce(sum(pnl), 0.0), 6) AS total_pnl, round(avg(pnl), 6) AS mean_pnl, round(coalesce(sum(pnl), 0.0) / count(*), 6) AS ev, round(CASE WHEN count(pnl) > 0 THEN greatest(0.0, -min(pnl)) END, 6) AS max_daily_loss,
-  round(count(*) FILTER (pnl > 0) / nullif(count(pnl), 0), 6) AS win_rate"""
+_SUMMARY = """count(pnl) AS n_priced, count(*) - count(pnl) AS n_unpriceable, round(coalesce(sum(pnl), 0.0), 9) AS total_pnl, round(avg(pnl), 9) AS mean_pnl, round(coalesce(sum(pnl), 0.0) / count(*), 9) AS ev, round(CASE WHEN count(pnl) > 0 THEN greatest(0.0, -min(pnl)) END, 9) AS max_daily_loss,
+  round(count(*) FILTER (pnl > 0) / nullif(count(pnl), 0), 9) AS win_rate"""
 REPORT = f"""WITH {_ECONOMICS}, f AS (SELECT 'ALL' AS slice, * FROM economics UNION ALL SELECT regime, * FROM economics), t AS (SELECT * FROM f WHERE status IN ('PRICED', 'UNPRICEABLE')),
 w AS (SELECT slice, avg(pnl) AS cvar FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY pnl) AS k, count(*) OVER (PARTITION BY slice) AS n FROM t WHERE pnl IS NOT NULL) WHERE k <= greatest(1, ceil(n * CAST(0.05 AS DOUBLE))) GROUP BY slice)
-SELECT slice, {_SUMMARY}, round(coalesce(sum(fees), 0.0), 6) AS total_fees, round(coalesce(sum(pnl), 0.0) - coalesce(sum(fees), 0.0), 6) AS net_total_pnl, round((coalesce(sum(pnl), 0.0) - coalesce(sum(fees), 0.0)) / count(*), 6) AS net_ev, round(max(cvar), 6) AS cvar_95 FROM t LEFT JOIN w USING (slice) GROUP BY slice"""
+SELECT slice, {_SUMMARY}, round(coalesce(sum(fees), 0.0), 9) AS total_fees, round(coalesce(sum(pnl), 0.0) - coalesce(sum(fees), 0.0), 9) AS net_total_pnl, round((coalesce(sum(pnl), 0.0) - coalesce(sum(fees), 0.0)) / count(*), 9) AS net_ev, round(max(cvar), 9) AS cvar_95 FROM t LEFT JOIN w USING (slice) GROUP BY slice"""
 
 RULES = [workflows.ExitRule("HOLD"), workflows.ExitRule("PROFIT_TARGET", profit_fraction=0.25), workflows.ExitRule("STOP_LOSS", stop_multiple=0.5), workflows.ExitRule("TIME_EXIT", after_seconds=7200)]
 
@@ -141,12 +141,12 @@ def exit_comparison(spark, sf_dir):
 
 
 _EXITS = _ECONOMICS + """, pos AS (SELECT * FROM economics WHERE status = 'PRICED'), grid AS (SELECT day, close, credit, CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR + k * INTERVAL 10 MINUTE AS ts, leg FROM pos, range(1, 31) t(k), (VALUES ('click'), ('purchase'), ('signup'), ('view')) l(leg)),
-known AS (SELECT g.day, g.ts, g.leg, CASE WHEN q.bid > 0 AND q.bid <= q.ask THEN q.bid END AS sell, CASE WHEN q.bid IS NULL OR q.bid <= q.ask THEN q.ask END AS buy FROM grid g ASOF LEFT JOIN (SELECT day, leg, ts, max_by(bid, seq) AS bid, max_by(ask, seq) AS ask FROM (SELECT day, leg, ts, seq, bid, ask FROM qa) GROUP BY day, leg, ts) q ON g.day = q.day AND g.leg = q.leg AND g.ts >= q.ts),
+known AS (SELECT g.day, g.ts, g.leg, CASE WHEN q.bid > 0 AND q.bid <= q.ask THEN q.bid END AS sell, CASE WHEN q.bid IS NULL OR q.bid <= q.ask THEN q.ask END AS buy FROM grid g ASOF LEFT JOIN (SELECT day, leg, ts, x.bid AS bid, x.ask AS ask FROM (SELECT day, leg, ts, max_by({'bid': bid, 'ask': ask}, seq) AS x FROM qa GROUP BY day, leg, ts)) q ON g.day = q.day AND g.leg = q.leg AND g.ts >= q.ts),
 cost AS (SELECT day, ts, max(buy) FILTER (leg = 'click') + max(buy) FILTER (leg = 'signup') - max(sell) FILTER (leg = 'purchase') - max(sell) FILTER (leg = 'view') AS cost FROM known GROUP BY day, ts),
 hit AS (SELECT c.day, rule, min((c.ts, cost)) AS h FROM cost c JOIN pos USING (day), range(4) r(rule) WHERE cost IS NOT NULL AND CASE rule WHEN 1 THEN cost <= credit * (1.0 - 0.25) WHEN 2 THEN cost >= credit * (1.0 + 0.5) WHEN 3 THEN c.ts >= CAST(c.day AS TIMESTAMP) + INTERVAL 17 HOUR ELSE false END GROUP BY c.day, rule),
 exits AS (SELECT day, CAST(r.rule AS INTEGER) AS rule, coalesce(h[1], CAST(day AS TIMESTAMP) + INTERVAL 20 HOUR) AS exit_ts, CASE WHEN h IS NULL THEN 'EXPIRY' ELSE ['HOLD', 'PROFIT_TARGET', 'STOP_LOSS', 'TIME_EXIT'][r.rule + 1] END AS reason, coalesce(h[2], settlement_loss) AS exit_cost, credit FROM pos CROSS JOIN range(4) r(rule) LEFT JOIN hit ON hit.day = pos.day AND hit.rule = r.rule)"""
 _EXITS = _EXITS.replace("SELECT day, CAST(r.rule AS INTEGER)", "SELECT pos.day, CAST(r.rule AS INTEGER)").replace("CAST(day AS TIMESTAMP) + INTERVAL 20 HOUR", "CAST(pos.day AS TIMESTAMP) + INTERVAL 20 HOUR")
-EXITS = f"WITH {_EXITS} SELECT day, rule, exit_ts, reason, round(exit_cost, 6) AS exit_cost, round(credit - exit_cost, 6) AS pnl, round((epoch(exit_ts) - epoch(CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR)) / 60.0, 6) AS holding_minutes FROM exits"
+EXITS = f"WITH {_EXITS} SELECT day, rule, exit_ts, reason, round(exit_cost, 9) AS exit_cost, round(credit - exit_cost, 9) AS pnl, round((epoch(exit_ts) - epoch(CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR)) / 60.0, 9) AS holding_minutes FROM exits"
 
 
 def exit_report(spark, sf_dir):
@@ -157,7 +157,7 @@ def exit_report(spark, sf_dir):
 
 EXIT_REPORT = f"""WITH {_EXITS}, t AS (SELECT rule, credit - exit_cost AS pnl, (epoch(exit_ts) - epoch(CAST(day AS TIMESTAMP) + INTERVAL 15 HOUR)) / 60.0 AS held, reason FROM exits UNION ALL SELECT CAST(rule AS INTEGER), NULL, NULL, NULL FROM economics, range(4) r(rule) WHERE status = 'UNPRICEABLE'),
 w AS (SELECT rule, avg(pnl) AS cvar FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY pnl) AS k, count(*) OVER (PARTITION BY rule) AS n FROM t WHERE pnl IS NOT NULL) WHERE k <= greatest(1, ceil(n * CAST(0.05 AS DOUBLE))) GROUP BY rule)
-SELECT rule, ['HOLD', 'PROFIT_TARGET', 'STOP_LOSS', 'TIME_EXIT'][rule + 1] AS kind, {_SUMMARY.replace("round(CASE WHEN count(pnl) > 0 THEN greatest(0.0, -min(pnl)) END, 6) AS max_daily_loss,", "")}, round(avg(held), 6) AS mean_holding_minutes, {', '.join(f"count(*) FILTER (reason = '{r}') AS n_{r.lower()}" for r in workflows.REASONS)}, round(max(cvar), 6) AS cvar_95
+SELECT rule, ['HOLD', 'PROFIT_TARGET', 'STOP_LOSS', 'TIME_EXIT'][rule + 1] AS kind, {_SUMMARY.replace("round(CASE WHEN count(pnl) > 0 THEN greatest(0.0, -min(pnl)) END, 9) AS max_daily_loss,", "")}, round(avg(held), 9) AS mean_holding_minutes, {', '.join(f"count(*) FILTER (reason = '{r}') AS n_{r.lower()}" for r in workflows.REASONS)}, round(max(cvar), 9) AS cvar_95
 FROM t LEFT JOIN w USING (rule) GROUP BY rule"""
 
 
@@ -176,7 +176,7 @@ ENTRY_RISK = f"""WITH legs AS ({rule_queries.STAGED['legs'][1]}), {rule_queries.
 s AS (SELECT l_orderkey, l_linenumber, pnl, CAST(CASE WHEN l_orderkey % 50 = 0 THEN 0.5 ELSE CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY l_orderkey) END AS DECIMAL(12,8)) AS p FROM pnl WHERE l_orderkey % 3 <> 0),
 u AS (SELECT *, least(p, greatest(0, 0.25 - coalesce(sum(p) OVER (PARTITION BY l_orderkey ORDER BY pnl, p, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used FROM s),
 g AS (SELECT l_orderkey, CAST(sum(p * pnl) AS DOUBLE) AS expected, greatest(0.0, -CAST(min(pnl) AS DOUBLE)) AS scenario_max_loss, CAST(sum(p) AS DOUBLE) AS mass, greatest(0.0, -CAST(sum(pnl * used) AS DOUBLE) / 0.25) AS tail_loss FROM u GROUP BY l_orderkey),
-h AS (SELECT g.*, len(f) = 0 AND NOT low AS executable, CASE WHEN l_orderkey % 4 <> 0 THEN 4000.0 - l_orderkey % 7 * 500.0 END AS max_loss FROM g LEFT JOIN y USING (l_orderkey)),
+h AS (SELECT g.*, len(f) = 0 AND NOT low AS executable, CASE WHEN l_orderkey % 4 <> 0 THEN 4e3 - l_orderkey % 7 * 5e2 END AS max_loss FROM g LEFT JOIN y USING (l_orderkey)),
 r AS (SELECT *, CASE WHEN abs(mass - 1) > 1e-9 THEN 'PROBABILITIES' WHEN max_loss IS NOT NULL AND scenario_max_loss > max_loss + 1e-9 THEN 'BEYOND_MAX_LOSS' END AS fault, CASE WHEN NOT coalesce(executable, false) THEN 'OPTION_CHAIN_UNUSABLE' WHEN max_loss IS NULL OR max_loss > 3500 OR tail_loss > 500 THEN 'RISK_BUDGET_EXCEEDED' END AS reason FROM h)
 SELECT l_orderkey, expected, scenario_max_loss, tail_loss, executable, max_loss, fault, reason, CASE WHEN reason IS NULL AND fault IS NULL THEN 'WAIT' ELSE 'NO_TRADE' END AS action FROM r"""
 
@@ -203,8 +203,8 @@ r AS (SELECT 'unconditional' AS model, t.*, up, down FROM test t LEFT JOIN u USI
   UNION ALL SELECT 'iv_regime', t.* EXCLUDE (bucket), CASE WHEN t.bucket IS NULL THEN NULL WHEN ur.up IS NOT NULL THEN ur.up ELSE uv.up END, CASE WHEN t.bucket IS NULL THEN NULL WHEN ur.up IS NOT NULL THEN ur.down ELSE uv.down END FROM xv t LEFT JOIN ur ON t.fold = ur.fold AND t.bucket = ur.bucket LEFT JOIN uv ON t.fold = uv.fold
   UNION ALL SELECT 'buffered_iv', t.* EXCLUDE (bucket), CASE WHEN t.bucket IS NULL THEN NULL WHEN br.up IS NOT NULL THEN br.up ELSE bv.up END, CASE WHEN t.bucket IS NULL THEN NULL WHEN br.up IS NOT NULL THEN br.down ELSE bv.down END FROM xv t LEFT JOIN br ON t.fold = br.fold AND t.bucket = br.bucket LEFT JOIN bv ON t.fold = bv.fold),
 x AS (SELECT model, fold, up_max, down_max, CASE WHEN up IS NOT NULL THEN greatest(up, 1.0) END AS ud, CASE WHEN down IS NOT NULL THEN greatest(down, 1.0) END AS dd FROM r)
-SELECT model, fold, count(*) AS test_days, count(*) - count(ud) AS abstain_days, count(ud) AS evaluated_days, count(*) FILTER (up_max <= ud AND down_max <= dd) AS covered_days, count(*) FILTER (up_max > ud) AS up_breaches, count(*) FILTER (down_max > dd) AS down_breaches, round(count(*) FILTER (up_max <= ud AND down_max <= dd) / nullif(count(ud), 0), 6) AS coverage,
-  round((count(*) - count(ud)) / count(*), 6) AS no_trade_share, round(avg(ud), 6) AS mean_up, round(avg(dd), 6) AS mean_down, round(median(ud), 6) AS median_up, round(median(dd), 6) AS median_down, round(count(*) FILTER (up_max <= ud AND down_max <= dd) / nullif(count(ud), 0) / (avg(ud) + avg(dd)), 6) AS coverage_per_distance
+SELECT model, fold, count(*) AS test_days, count(*) - count(ud) AS abstain_days, count(ud) AS evaluated_days, count(*) FILTER (up_max <= ud AND down_max <= dd) AS covered_days, count(*) FILTER (up_max > ud) AS up_breaches, count(*) FILTER (down_max > dd) AS down_breaches, round(count(*) FILTER (up_max <= ud AND down_max <= dd) / nullif(count(ud), 0), 9) AS coverage,
+  round((count(*) - count(ud)) / count(*), 9) AS no_trade_share, round(avg(ud), 9) AS mean_up, round(avg(dd), 9) AS mean_down, round(median(ud), 9) AS median_up, round(median(dd), 9) AS median_down, round(count(*) FILTER (up_max <= ud AND down_max <= dd) / nullif(count(ud), 0) / (avg(ud) + avg(dd)), 9) AS coverage_per_distance
 FROM x GROUP BY GROUPING SETS ((model, fold), (model))""", "labels_day")
 
 

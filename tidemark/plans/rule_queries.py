@@ -331,10 +331,10 @@ SELECT o_orderkey, array_to_string({_list(("k % 3 = 0 AND k % 4 > 1", "MAJOR_EVE
 
 def _line():
     """A place of each line in its order (line numbers repeat in the driver's table)."""
-    return F.col("l_linenumber") * 10**15 + F.col("l_partkey") * 10**8 + F.col("l_suppkey")
+    return F.col("l_linenumber") * 10**17 + F.col("l_partkey") * 10**10 + F.col("l_suppkey") * 10**5 + F.unix_date(F.to_date("l_shipdate"))
 
 
-_LINE = "(l_linenumber * 1000000000000000 + l_partkey * 100000000 + l_suppkey)"
+_LINE = "(l_linenumber * 100000000000000000 + l_partkey * 10000000000 + l_suppkey * 100000 + (CAST(l_shipdate AS DATE) - DATE '1970-01-01'))"
 
 
 def outcome_requests(spark, sf_dir):
@@ -458,8 +458,8 @@ def delivery_dispatch(spark, sf_dir):
     return delivery.dispatched(state, outcomes, F.lit(_WHEN), _POLICY).select("message_id", "kind", "next_attempt_at", "ack_due_at", "attempt_number", "reason_code")
 
 
-DISPATCH = _OUTBOX + f""", d AS (SELECT *, CAST(message_id AS BIGINT) % 3 AS m, attempts + 1 AS n FROM s WHERE NOT acked AND ((kind = 'ENQUEUED' AND t <= {_WHEN}) OR (kind = 'RETRY_SCHEDULED' AND t + 3600 <= {_WHEN})))
-SELECT message_id, CASE WHEN m = 0 THEN 'DELIVERED' WHEN m = 2 OR n >= 4 THEN 'DEAD_LETTERED' ELSE 'RETRY_SCHEDULED' END AS kind, CASE WHEN m = 1 AND n < 4 THEN {_WHEN} + least(60.0 * pow(2, n - 1), 600.0) END AS next_attempt_at, CASE WHEN m = 0 THEN {_WHEN} + 7200 END AS ack_due_at,
+DISPATCH = _OUTBOX + f""", d AS (SELECT *, CAST(message_id AS BIGINT) % 3 AS m, attempts + 1 AS n FROM s WHERE NOT acked AND ((kind = 'ENQUEUED' AND t <= {_WHEN}e0) OR (kind = 'RETRY_SCHEDULED' AND t + 3600 <= {_WHEN}e0)))
+SELECT message_id, CASE WHEN m = 0 THEN 'DELIVERED' WHEN m = 2 OR n >= 4 THEN 'DEAD_LETTERED' ELSE 'RETRY_SCHEDULED' END AS kind, CASE WHEN m = 1 AND n < 4 THEN {_WHEN}e0 + least(60.0 * pow(2, n - 1), 600.0) END AS next_attempt_at, CASE WHEN m = 0 THEN {_WHEN}e0 + 7200 END AS ack_due_at,
   CAST(CASE WHEN m = 1 AND n < 4 THEN n + 1 ELSE n END AS BIGINT) AS attempt_number, CASE WHEN m = 0 THEN NULL WHEN m = 1 AND n >= 4 THEN 'RETRY_BUDGET_EXHAUSTED' ELSE 'R' END AS reason_code FROM d"""
 
 
@@ -468,9 +468,9 @@ def delivery_escalations(spark, sf_dir):
     return delivery.escalations(delivery.message_state(_outbox(spark, sf_dir)), F.lit(_WHEN), _POLICY).select("message_id", "kind", "next_attempt_at", "escalation_level", "attempt_number", "reason_code")
 
 
-ESCALATIONS = _OUTBOX + f""", d AS (SELECT * FROM s WHERE NOT acked AND kind = 'DELIVERED' AND delivered + 7200 <= {_WHEN})
+ESCALATIONS = _OUTBOX + f""", d AS (SELECT * FROM s WHERE NOT acked AND kind = 'DELIVERED' AND delivered + 7200 <= {_WHEN}e0)
 SELECT message_id, 'ESCALATED' AS kind, CAST(NULL AS DOUBLE) AS next_attempt_at, level + 1 AS escalation_level, CAST(NULL AS BIGINT) AS attempt_number, 'ACK_TIMEOUT' AS reason_code FROM d WHERE level < 5
-UNION ALL SELECT message_id, 'RETRY_SCHEDULED', {_WHEN}, level + 1, attempts + 1, 'ACK_ESCALATION' FROM d WHERE level < 5 UNION ALL SELECT message_id, 'DEAD_LETTERED', NULL, level, NULL, 'ACK_TIMEOUT' FROM d WHERE level >= 5"""
+UNION ALL SELECT message_id, 'RETRY_SCHEDULED', {_WHEN}e0, level + 1, attempts + 1, 'ACK_ESCALATION' FROM d WHERE level < 5 UNION ALL SELECT message_id, 'DEAD_LETTERED', NULL, level, NULL, 'ACK_TIMEOUT' FROM d WHERE level >= 5"""
 
 
 def delivery_acknowledgements(spark, sf_dir):
@@ -481,7 +481,7 @@ def delivery_acknowledgements(spark, sf_dir):
     return delivery.acknowledgements(state, requests).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-ACKS = _OUTBOX + f""", r AS (SELECT CAST(o_custkey % 200 AS VARCHAR) AS message_id, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS actor, {_WHEN} - (o_orderkey % 1000) * 1000.0 AS t FROM orders),
+ACKS = _OUTBOX + f""", r AS (SELECT CAST(o_custkey % 200 AS VARCHAR) AS message_id, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS actor, {_WHEN}e0 - (o_orderkey % 1000) * 1000.0 AS t FROM orders),
 j AS (SELECT r.*, acked, delivered, CASE WHEN trim(actor) = '' THEN 'NO_ACTOR' WHEN acked IS NULL THEN 'UNKNOWN_MESSAGE' WHEN delivered IS NULL THEN 'NOT_DELIVERED' WHEN r.t < delivered THEN 'BEFORE_DELIVERY' END AS refusal FROM r LEFT JOIN s USING (message_id)),
 g AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal WHEN acked OR row_number() OVER (PARTITION BY message_id, refusal ORDER BY t, actor) > 1 THEN 'REPEATED' ELSE 'ACKNOWLEDGED' END AS outcome FROM j) SELECT outcome, count(*) AS n FROM g GROUP BY 1"""
 
