@@ -111,3 +111,30 @@ def test_block_recall_and_precision_on_golden_pages(spark):
         hits = sum(x in b for x in a)
         found, wanted, right = found + len(a), wanted + len(b), right + hits
     assert right / wanted >= 0.9 and right / found >= 0.9, (right, wanted, found, got)
+
+
+def test_the_query_equals_pages_labelled_one_by_one(spark):
+    """Plain loops: one page and one block at a time through the network's equations, with the model that the query fits."""
+    from tidemark.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    labeller = fit_labeller(pages)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    n = len(labeller.out) // 2
+    got = {r.page_id: r for r in queries.op7_html_extraction(spark, data).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        blocks = blocks_of(r.html)
+        x, states = features(blocks).astype(float), []
+        for w, order in ((labeller.w[0], range(len(blocks))), (labeller.w[1], range(len(blocks) - 1, -1, -1))):
+            h, c, out = np.zeros(n), np.zeros(n), {}
+            for t in order:
+                z = np.concatenate([x[t], h, [1.0]]) @ w
+                f, i, o, g = sigmoid(z[:n]), sigmoid(z[n : 2 * n]), sigmoid(z[2 * n : 3 * n]), np.tanh(z[3 * n :])
+                c = f * c + i * g
+                h = out[t] = o * np.tanh(c)
+            states.append(out)
+        chance = [sigmoid(np.concatenate([states[0][t], states[1][t], [1.0]]) @ labeller.out) for t in range(len(blocks))]
+        want = "\n\n".join(b[1] for b, p in zip(blocks, chance, strict=True) if p >= 0.5)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)

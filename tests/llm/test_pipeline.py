@@ -206,3 +206,33 @@ def test_runs_of_any_length_are_summed_exactly():
     got = lang_id.score_long(word, pieces, rows)
     assert got[0] == pytest.approx(want, rel=1e-12) and got[1] < got[0]
     assert lang_id.score_long(word[:8], pieces, rows) == pytest.approx(lang_id.Lattice([word[:8]], pieces).score(__import__("numpy").array(rows))[0].tolist())
+
+
+def test_the_language_query_equals_words_scored_one_by_one(spark):
+    """Plain loops over the words of every document, with the model that the query fits."""
+    import math
+    import zlib
+
+    from tidemark.llm import queries
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = lang_id.fit_languages(docs, ~lang_id.held_out(parts=5, part=0))
+    plain = model.p.tolist()
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, DATA).collect()}
+    assert len(got) == docs.count()
+    scores: dict[str, list[float]] = {}
+    for r in docs.collect():
+        total, told = [0.0] * len(model.langs), False
+        for token in (r.text or "").split():
+            for run in lang_id.runs_of_letters(token):
+                if run not in scores:
+                    scores[run] = lang_id.score_long(run, model.pieces, plain)
+                total, told = [a + b for a, b in zip(total, scores[run], strict=True)], True
+        x = got[r.doc_id]
+        assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not told:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        best = max(total)
+        assert x.lang_pred == model.langs[total.index(best)]
+        assert x.score == pytest.approx(1 / sum(math.exp(t - best) for t in total), abs=1e-9)

@@ -1,6 +1,11 @@
+import math
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import queries
 from tidemark.llm import toxicity as T
 
 
@@ -34,3 +39,36 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert T.toxicity(odd.limit(0), model).collect() == []
     none = T.fit_toxicity(docs.limit(0), labels, ~T.held_out())
     assert {r.score for r in T.toxicity(odd, none).collect()} == {0.0}
+
+
+def test_the_query_equals_sentences_scored_one_by_one(spark):
+    """Plain loops over the words of every document, with the model that the query fits."""
+    data = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit_toxicity(docs, labels, ~T.held_out(parts=4, part=2))
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, data).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        clean, bad, number, seen = 1.0, [], 0, set()
+        for token in [*(r.text or "").lower().replace("\n", " \0 ").split(), "\0"]:
+            seen.add(token)
+            if token == "\0" or token[-1] in ".!?…。":
+                z = model.bias + sum(model.token_weight(t) for t in seen)
+                p = 1 / (1 + math.exp(-z))
+                clean *= 1 - p
+                if p >= 0.3:
+                    bad.append(number)
+                number, seen = number + 1, set()
+        x = got[r.doc_id]
+        assert x.score == pytest.approx(1 - clean, abs=1e-9) and x.sentences == bad and len(x.sentence_texts) == len(bad)
+        assert x.predicted == int(x.score >= 0.3) and x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_the_sample_is_bounded_by_characters(spark):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * 10 + "a b.") for i in range(400)] + [(1000, "vile " * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000, 1)], "doc_id long, toxic int")
+    assert T.fit_toxicity(docs, labels, F.lit(True)).number  # learns
+    few = list(T._up_to(iter([("abc", 1), ("de", 0), ("f", 1)]), 5))
+    assert few == [("abc", 1), ("de", 0)]
+    small = T.fit_toxicity(docs, labels, F.lit(True), sample_chars=2000)
+    assert small.prior != 1.0 and {r.doc_id for r in T.toxicity(docs, small).collect()} == {r.doc_id for r in docs.collect()}

@@ -189,21 +189,29 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
+def _up_to(rows: Iterator[tuple[str, int]], chars: int) -> Iterator[tuple[str, int]]:
+    for text, y in rows:
+        chars -= len(text)
+        if chars < 0:
+            return
+        yield text, y
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits the model on about sample_docs labelled documents, or fewer if these have more than about sample_chars
-    characters in all, chosen by a hash of doc_id, of the rows where train holds. Documents that alone have more than an
-    eighth of sample_chars aren't fitted on.
+    """Fits the model on about sample_docs labelled documents, chosen and ordered by a hash of doc_id, of the rows where train
+    holds; on fewer if the first of them have sample_chars characters already. Documents that alone have more than an eighth
+    of sample_chars aren't fitted on.
 
     Null labels and texts are passed over. Without both labels the score is their share everywhere.
     """
     y = labels.where(train & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") == 1).cast("int").alias("y"))
+    n, span = y.count(), 1 << 30
+    share = min(span, -(-sample_docs * span // max(1, n)))
+    place = F.xxhash64("doc_id", F.lit(9))
+    y = y.where(F.pmod(place, F.lit(span)) < share)
     texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= sample_chars // 8)).select("doc_id", "text")
-    known = texts.join(y, "doc_id")
-    n, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
-    span = 1 << 30
-    share = min(span, -(-sample_docs * span // max(1, n)), sample_chars * span // max(1, chars))
-    rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(span)) < share).select("text", "y").orderBy("text", "y")
-    return Model.fit((r.text, r.y) for r in rows.toLocalIterator())
+    rows = texts.join(y, "doc_id").select("text", "y", place.alias("place")).orderBy("place", "text", "y")
+    return Model.fit(_up_to(((r.text, r.y) for r in rows.toLocalIterator()), sample_chars))
 
 
 def toxicity(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
