@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import ALNUM, PLACE, byte_slices, mix, shingles, words_of
+from tidemark.llm.text import ALNUM, PLACE, byte_slices, mix, row_slices, shingles, words_of
 from tidemark.session import cut
 
 PREFIX = 3
@@ -223,7 +223,7 @@ def _clean(shared, lengths: list[int], text_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             keep = np.ones(batch.num_rows, bool)
             for row, _, data, offsets in byte_slices(batch[text_col]):
                 w = words_of(data, offsets, ALNUM)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, Words, byte_slices, mix, words_of
+from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, Words, byte_slices, mix, row_slices, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that the models are fitted on, about (hashed choice; all of a language with fewer).
@@ -30,7 +30,7 @@ _UNKNOWN = 1e-7  # probability of a single character that no piece covers
 #: Words, and bytes of them, whose scores a Python worker remembers (from task to task); beyond either it starts anew.
 _CACHE, _CACHE_BYTES = 300_000, 1 << 22
 #: Words of one lattice, which bounds its memory.
-LATTICE_WORDS = 8192
+LATTICE_WORDS = 4096
 _START = "▁"
 _SCALE, _LOG_SCALE = 1e100, 100 * math.log(10)
 
@@ -295,7 +295,7 @@ def _predict(shared):
 def _identified(shared, column: str, langs: frozenset[str] | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shared.value.scores()
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             lang, score = _labels(scores, batch.column(column).cast(pa.string()))
             yield batch.filter(pa.array([x != "und" and (langs is None or x in langs) and s >= least for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 

@@ -18,8 +18,8 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Upper bound of the text bytes handled in one numpy step (a single longer text is handled whole).
-SLICE_BYTES = 1 << 19
+#: Upper bounds of the text bytes (a single longer text is handled whole) and rows handled in one numpy step.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 1024
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -64,16 +64,23 @@ class Words(NamedTuple):
 def byte_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of whole texts: (from row, to row, bytes, offsets in them). Null reads as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_string()).fill_null("")
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(column):
-        to = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
-        to = min(to, len(column))
-        yield row, to, data[at[row] : at[to]], at[row : to + 1] - at[row]
-        row = to
+    for base in range(0, len(column), SLICE_ROWS):
+        part = column.slice(base, SLICE_ROWS).cast(pa.large_string()).fill_null("")
+        at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(part):
+            to = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
+            to = min(to, len(part))
+            yield base + row, base + to, data[at[row] : at[to]], at[row : to + 1] - at[row]
+            row = to
+
+
+def row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of SLICE_ROWS rows, so that what is handed on of it is small at a time."""
+    for base in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(base, SLICE_ROWS)
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
