@@ -28,7 +28,7 @@ ROUNDS = 4
 WORD_CHARS = 24
 _UNKNOWN = 1e-7  # probability of a single character that no piece covers
 #: Words, and bytes of them, whose scores a Python worker remembers (from task to task); beyond either it starts anew.
-_CACHE, _CACHE_BYTES = 300_000, 1 << 22
+_CACHE, _CACHE_BYTES = 500_000, 1 << 23
 #: Words of one lattice, which bounds its memory.
 LATTICE_WORDS = 4096
 _START = "▁"

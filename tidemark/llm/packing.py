@@ -27,8 +27,8 @@ SEQUENCE, SEPARATOR = 2048, 0
 OPEN_BINS = 2048
 #: Pieces of one packer, on average; each packer leaves at most its last few bins part empty.
 PACKER_PIECES = 20_000
-#: Words, and bytes of them, whose ids a Python worker remembers (about 80 MB); beyond either it starts anew.
-_CACHE, _CACHE_BYTES = 300_000, 1 << 22
+#: Words, and bytes of them, whose ids a Python worker remembers (about 40 MB); beyond either it starts anew.
+_CACHE, _CACHE_BYTES = 700_000, 1 << 23
 #: The vocabulary's split into words, after lower-casing (fixed value of the public file).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")

@@ -135,27 +135,44 @@ def distinct_sets(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.
 
 class WordNumbers:
     """Numbers, from 0, of the distinct words (by hash) that a Python worker has met, up to a number of words and of their
-    bytes: what is kept per word is worked out once, and looked up by number."""
+    bytes: what is kept per word is worked out once, and looked up by number. Hashes are held in two sorted arrays, the
+    later one of recent words, at 16 bytes a word."""
+
+    RECENT = 1 << 15
 
     def __init__(self, most_words: int = 700_000, most_bytes: int = 1 << 23):
         self.most_words, self.most_bytes = most_words, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.bytes = 0
+        self.sorted = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.used = self.bytes = 0
 
     def full(self) -> bool:
         """Whether to start anew before the next slice; a slice itself is always taken whole."""
-        return len(self.number) > self.most_words or self.bytes > self.most_bytes
+        return self.used > self.most_words or self.bytes > self.most_bytes
+
+    def _add(self, which: int, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        h, n = (np.concatenate(x) for x in zip(self.sorted[which], (hashes, numbers), strict=True))
+        order = np.argsort(h, kind="stable")
+        self.sorted[which] = (h[order], n[order])
 
     def find(self, words: Words) -> tuple[np.ndarray, list[str]]:
         """(the number of every word, the new words in the order of their numbers)."""
         distinct, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        number = np.fromiter((self.number.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        number = np.full(len(distinct), -1, np.int64)
+        for hashes, numbers in self.sorted:
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+                known = hashes[place] == distinct
+                number[known] = numbers[place[known]]
         fresh = np.flatnonzero(number < 0)
-        number[fresh] = np.arange(len(self.number), len(self.number) + len(fresh))
-        self.number.update(zip(distinct[fresh].tolist(), number[fresh].tolist(), strict=True))
+        number[fresh] = np.arange(self.used, self.used + len(fresh))
+        self.used += len(fresh)
+        self._add(1, distinct[fresh], number[fresh])
+        if len(self.sorted[1][0]) > self.RECENT:
+            self._add(0, *self.sorted[1])
+            self.sorted[1] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         raw = words.data.tobytes()
         new = [raw[a:b].decode() for a, b in zip(words.start[at[fresh]].tolist(), words.end[at[fresh]].tolist(), strict=True)]
         self.bytes += int((words.end[at[fresh]] - words.start[at[fresh]]).sum())
