@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, Words, byte_slices, mix, row_slices, words_of
+from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, Words, byte_slices, hold_only, mix, row_slices, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of each language that the models are fitted on, about (hashed choice; all of a language with fewer).
@@ -28,7 +28,7 @@ ROUNDS = 4
 WORD_CHARS = 24
 _UNKNOWN = 1e-7  # probability of a single character that no piece covers
 #: Words, and bytes of them, whose scores a Python worker remembers (from task to task); beyond either it starts anew.
-_CACHE, _CACHE_BYTES = 500_000, 1 << 23
+_CACHE, _CACHE_BYTES = 350_000, 1 << 23
 #: Words of one lattice, which bounds its memory.
 LATTICE_WORDS = 4096
 _START = "▁"
@@ -200,6 +200,7 @@ class Model:
         """The worker's table of word scores, which lives as long as the worker's copy of the model."""
         if self._scores is None:
             self._scores = _Scores(self)
+        hold_only(self._scores)
         return self._scores
 
     @classmethod

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, byte_slices, words_of
+from tidemark.llm.text import NOT_SPACE, Growing, WordNumbers, byte_slices, hold_only, words_of
 from tidemark.session import cut
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,8 +27,8 @@ SEQUENCE, SEPARATOR = 2048, 0
 OPEN_BINS = 2048
 #: Pieces of one packer, on average; each packer leaves at most its last few bins part empty.
 PACKER_PIECES = 20_000
-#: Words, and bytes of them, whose ids a Python worker remembers (about 40 MB); beyond either it starts anew.
-_CACHE, _CACHE_BYTES = 700_000, 1 << 23
+#: Words, and bytes of them, whose ids a Python worker remembers (about 20 MB); beyond either it starts anew.
+_CACHE, _CACHE_BYTES = 400_000, 1 << 23
 #: The vocabulary's split into words, after lower-casing (fixed value of the public file).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -112,6 +112,7 @@ def worker_tokenizer(path: str) -> WordTokenizer:
 def _pieces(path: str, length: int, separator: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
+        hold_only(tokenizer)
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for row, to, ids, first in tokenizer.encode(batch.column(1)):

@@ -191,3 +191,13 @@ class Growing:
             self.rows = np.concatenate([self.rows[: self.used], np.zeros((size - self.used, *self.rows.shape[1:]), self.rows.dtype)])
         self.rows[self.used : self.used + len(more)] = more
         self.used += len(more)
+
+
+_holder: list = []
+
+
+def hold_only(cache) -> None:
+    """Clears the cache that another operator has left in this Python worker: one is held at a time."""
+    if _holder and _holder[0] is not cache:
+        _holder[0].clear()
+    _holder[:] = [cache]
