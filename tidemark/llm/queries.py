@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, pii, toxicity
+from tidemark.llm import bpe, html_text, pii, toxicity
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.embedding_dup import embedding_duplicates
 from tidemark.llm.lang_id import fit_languages, held_out, identify
@@ -70,6 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(parts=5, part=0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "n_tokens", F.sha2(F.coalesce("ids", F.lit(b"")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -159,7 +164,7 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op8_token_counts, op9_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op8_token_counts, op9_line_dedup, op10_language_id, op11_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
