@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, html_text, pii, toxicity
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.embedding_dup import embedding_duplicates
 from tidemark.llm.filter_audit import filter_audit
 from tidemark.llm.lang_id import fit_languages, held_out, identify
@@ -80,6 +81,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -202,10 +207,41 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM y
 """
 
+OP13_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM t
+), w AS (SELECT row, lang, source, unnest(terms) AS term FROM t
+), kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), wide AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+  FROM wide JOIN v USING (lang)
+), q AS (
+  SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), most AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM most) WHERE rank <= 50
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op8_token_counts, op9_line_dedup, op10_language_id, op11_bpe_round_trip, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_embedding_near_dedup, op3_pii, op4_best_fit_packing, op5_toxicity, op6_benchmark_decontamination, op7_html_extraction, op8_token_counts, op9_line_dedup, op10_language_id, op11_bpe_round_trip, op12_filter_audit, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_line_dedup": OP9_SQL, "op12_filter_audit": OP12_SQL, "op13_source_divergence": OP13_SQL}
