@@ -70,8 +70,12 @@ def stream_fold(events: DataFrame, key: str, order: list[str], step: Step, outpu
     return events.groupBy(key).applyInPandasWithState(run, output, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def _remember(known: dict[str, float], name: str, at: float, keep: float) -> bool:
-    """Whether a name is new among those of the last `keep` seconds; notes it, and forgets the oldest that are past."""
+def _remember(known: dict[str, float], name: str, at: float, keep: float | None) -> bool:
+    """Whether a name is new; notes it. With `keep`, one that came longer ago (in seconds) is new again, and forgotten."""
+    if keep is None:
+        fresh = name not in known
+        known[name] = at
+        return fresh
     fresh = known.get(name, -float("inf")) < at - keep
     known.pop(name, None)
     known[name] = at
@@ -103,11 +107,7 @@ def alert_step(cooldown: float = 300.0, needed: int = 2) -> Step:
     return step
 
 
-#: Seconds for which ids are remembered, by event time: repeated ones are told from new ones within this span.
-KEEP = 7 * 86400.0
-
-
-def outbox_step(cooldown: float = 300.0, keep: float = KEEP) -> Step:
+def outbox_step(cooldown: float = 300.0, keep: float | None = None) -> Step:
     """dedupe_key, message_id, at -> outcome. The cooldown runs from the latest message of the key, suppressed ones too."""
 
     def step(s: dict, e: dict) -> tuple[dict, dict]:
@@ -148,19 +148,20 @@ class Collector:
 
     Events: provider, event_id, seq, kind, at (first seen, seconds), schema_version, source_ts, payload (a quote's
     fingerprint, or the seconds of a rate limit), and instrument_id if the collector has an instrument. Rejected events leave
-    the state alone but for what is said below. Ids and fingerprints are remembered for `keep` seconds of event time.
+    the state alone but for what is said below. Ids and fingerprints are remembered for ever, or for `keep` seconds of event time;
+    `memory` (kind, name, at) -> whether it is new, if given, remembers them elsewhere than in the state.
     """
 
     LIVE = ("STREAMING", "DEGRADED")
 
-    def __init__(self, schema: str = "v1", base: float = 1.0, most: float = 4.0, attempts: int = 3, lateness: float = 0.25, fresh: float = 5.0, instrument: str | None = None, keep: float = KEEP):
-        self.instrument, self.keep = instrument, keep
+    def __init__(self, schema: str = "v1", base: float = 1.0, most: float = 4.0, attempts: int = 3, lateness: float = 0.25, fresh: float = 5.0, instrument: str | None = None, keep: float | None = None):
+        self.instrument, self.keep, self.memory = instrument, keep, None
         self.schema, self.base, self.most, self.attempts, self.lateness, self.fresh = schema, base, most, attempts, lateness, fresh
 
     def __call__(self, s: dict, e: dict) -> tuple[dict, dict]:
         s = {"state": "STOPPED", "tries": 0, "retry": None, "mark": None, "last": None, "seen": None, **s}
         why: list[str] = []
-        if not _remember(s.setdefault("events", {}), e["event_id"], e["at"], self.keep):
+        if not self._new(s, "events", e["event_id"], e["at"]):
             why.append("DUPLICATE_EVENT")
         if s["seen"] is not None and e["at"] < s["seen"]:
             why.append("EVENT_TIME_REGRESSION")
@@ -182,6 +183,9 @@ class Collector:
             "watermark": s["mark"], "next_retry_at": s["retry"], "attempts": s["tries"],
         }
 
+    def _new(self, s: dict, kind: str, name: str, at: float) -> bool:
+        return self.memory(kind, name, at) if self.memory else _remember(s.setdefault(kind, {}), name, at, self.keep)
+
     def _drop(self, s: dict, state: str, retry: float | None) -> None:
         s.update(state=state, retry=retry, last=None)
 
@@ -234,7 +238,7 @@ class Collector:
             return ["COLLECTOR_NOT_STREAMING"]
         if self.instrument is not None and e.get("instrument_id") != self.instrument:
             return ["INSTRUMENT_MISMATCH"]
-        if not _remember(s.setdefault("quotes", {}), e["payload"], e["at"], self.keep):
+        if not self._new(s, "quotes", e["payload"], e["at"]):
             return ["DUPLICATE_OBSERVATION"]
         if s["mark"] is not None and e["source_ts"] < s["mark"]:
             return ["OUT_OF_ORDER_OBSERVATION"] + ["BEHIND_WATERMARK"] * (e["source_ts"] < s["mark"] - self.lateness)
