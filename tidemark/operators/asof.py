@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import PART_ROWS, Ordered
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The values of each key's last row by `order`, as they stand (a null or crossed latest value hides earlier good
@@ -69,12 +71,14 @@ def coverage_gaps(rows: DataFrame, keys: list[str], ts: str, limit_seconds: int)
     return found.withColumn("covered", F.col("max_gap") <= limit_seconds)
 
 
-def order_violations(rows: DataFrame, keys: list[str], seq: str, ts: str) -> DataFrame:
-    """Per key: rows that step back in time, and rows that don't step forward."""
-    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(seq))
-    rows = rows.withColumn("back", (F.col(ts) < before).cast("int")).withColumn("flat", (F.col(ts) <= before).cast("int"))
+def order_violations(rows: DataFrame, keys: list[str], seq: str, ts: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Per key: rows that step back in time, and rows that don't step forward; seq tells a key's rows apart."""
+    scan = Ordered(rows.select(*keys, seq, F.col(ts).alias("__ts")), keys, [seq], part_rows)
+    stepped = scan.running(scan.rows, before={"__last": ("last", F.struct("__ts"))})
+    before = F.col("__last.__ts")
+    stepped = stepped.withColumn("back", (F.col("__ts") < before).cast("int")).withColumn("flat", (F.col("__ts") <= before).cast("int"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return rows.groupBy(*keys).agg(total("back").alias("n_decreasing"), total("flat").alias("n_not_increasing"))
+    return stepped.groupBy(*keys).agg(total("back").alias("n_decreasing"), total("flat").alias("n_not_increasing"))
 
 
 def latest_revision(records: DataFrame, key: str, as_of: Column, visible_by: str, order: list[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import PART_ROWS, Ordered
 from tidemark.session import cut, scratch
 
 
@@ -26,12 +27,17 @@ def decision(reason: Column) -> Column:
     return F.when(F.size(reason) > 0, F.lit("NO_TRADE")).otherwise("WAIT")
 
 
-def chain_breaks(ledger: DataFrame, keys: list[str], seq: str, previous: str, entry: str, recomputed: Column, genesis: str) -> DataFrame:
-    """Per ledger: entries, and how many break the chain: a wrong previous hash, a gap in the sequence, a wrong own hash."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    rows = ledger.select(
-        *keys, (F.col(previous) != F.coalesce(F.lag(entry).over(w), F.lit(genesis))).cast("int").alias("link"),
-        (F.col(seq) != F.coalesce(F.lag(seq).over(w) + 1, F.lit(1))).cast("int").alias("gap"), (F.col(entry) != recomputed).cast("int").alias("own"),
+def chain_breaks(
+    ledger: DataFrame, keys: list[str], seq: str, previous: str, entry: str, recomputed: Column, genesis: str, first: int = 1, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Per ledger: entries, and how many break the chain: a wrong previous hash, a gap in the sequence (which begins with
+    `first`), a wrong own hash. A chain of any length is checked in parts."""
+    rows = ledger.select(*keys, F.col(seq).alias("__seq"), F.col(previous).alias("__previous"), F.col(entry).alias("__entry"), recomputed.alias("__own"))
+    scan = Ordered(rows, keys, ["__seq"], part_rows)
+    rows = scan.running(scan.rows, before={"__last": ("last", F.struct("__seq", "__entry"))})
+    rows = rows.select(
+        *keys, (F.col("__previous") != F.coalesce(F.col("__last.__entry"), F.lit(genesis))).cast("int").alias("link"),
+        (F.col("__seq") != F.coalesce(F.col("__last.__seq") + 1, F.lit(first))).cast("int").alias("gap"), (F.col("__entry") != F.col("__own")).cast("int").alias("own"),
     )
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(1))).cast("long")
     return rows.groupBy(*keys).agg(F.count("*").alias("entries"), total("link").alias("bad_links"), total("gap").alias("bad_sequence"), total("own").alias("bad_hashes"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import PART_ROWS, Ordered
 from tidemark.session import cut
 
 
@@ -84,12 +85,18 @@ def weighted_tail_loss(rows: DataFrame, keys: list[str], pnl: str, probability:
     return rows.withColumn("used", used).groupBy(*keys).agg(F.greatest(F.lit(0.0), -total / F.lit(tail)).alias(name))
 
 
-def max_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, name: str) -> DataFrame:
-    """Largest fall of the running sum below its running maximum, both from 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    equity = rows.withColumn("equity", F.sum(pnl).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    peak = F.greatest(F.lit(0).cast(equity.schema["equity"].dataType), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return equity.withColumn("fall", peak - F.col("equity")).groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max("fall").cast("double")).alias(name))
+def max_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, name: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Largest fall of the running sum below its running maximum, both from 0; order tells a key's rows apart. One key's rows
+    may be any number, without a key too: each part of them is summed up as its sum, highest and lowest running sum and largest fall."""
+    scan = Ordered(rows.select(*keys, *order, F.col(pnl).alias("__pnl")), keys, order, part_rows)
+    own = scan.rows.withColumn("__e", F.sum("__pnl").over(scan.window()))
+    own = own.withColumn("__fall", F.max("__e").over(scan.window()) - F.col("__e"))
+    parts = own.groupBy(*keys, "part").agg(F.sum("__pnl").alias("__sum"), F.max("__e").alias("__high"), F.min("__e").alias("__low"), F.max("__fall").alias("__fall"))
+    zero = F.lit(0).cast(own.schema["__e"].dataType)
+    parts = parts.withColumn("__base", F.coalesce(F.sum("__sum").over(scan.over_parts()), zero))
+    peak = F.coalesce(F.greatest(zero, F.max(F.col("__base") + F.col("__high")).over(scan.over_parts())), zero)
+    parts = parts.withColumn("__worst", F.greatest(peak - F.col("__base") - F.col("__low"), F.col("__fall")))
+    return parts.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max("__worst").cast("double")).alias(name))
 
 
 def joint_corridor(rows: DataFrame, up: str, down: str, target: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, rules
 from tidemark.session import table
-from tidemark.streaming import folds
+from tidemark.streaming import feeds, folds
 
 
 def pit_latest_revision(spark, sf_dir):
@@ -225,7 +225,7 @@ def collector_fold(spark, sf_dir):
         F.col("event_type").alias("provider"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("seq"), F.when(first, "START").otherwise(kind).alias("kind"), (F.col("us") / 1e6).alias("at"),
         F.lit("v1").alias("schema_version"), ((F.col("us") / 1e6) - F.col("event_id") % 3).alias("source_ts"), F.col("event_id").cast("string").alias("payload"),
     )
-    return folds.fold(rows, "provider", ["seq"], folds.Collector(fresh=3600.0), "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long")
+    return feeds.collect(rows, folds.Collector(fresh=3600.0))
 
 
 def checkpoint_manifests(spark, sf_dir):

@@ -69,17 +69,18 @@ def chain_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", F.col("seq").cast("string"), F.col("previous_hash"), canonical_json(*columns)), 256)
 
 
-def append_chained(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], order: str) -> int:
+def append_chained(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], order: str, first: int = 1) -> int:
     """Appends rows, in order, to the hash-chained ledger of their keys -> how many. The whole ledger is verified before. One
-    writer a ledger. A chain is a sequence by nature: the new entries of one key are hashed in one task."""
+    writer a ledger. A chain is a sequence by nature: the new entries of one key are hashed in one task. first: the number of a
+    chain's first entry (0 in cost ledgers)."""
     names = rows.columns
-    old = chained(spark, path, keys, names) if exists(spark, path) else None
+    old = chained(spark, path, keys, names, first) if exists(spark, path) else None
     shape = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
     if old is None:
-        rows = rows.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
+        rows = rows.withColumns({"last_seq": F.lit(first - 1).cast("long"), "last_hash": F.lit(GENESIS)})
     else:
         last = old.groupBy(*keys).agg(F.max_by(F.struct("seq", "entry_hash"), "seq").alias("l")).select(*keys, F.col("l.seq").alias("last_seq"), F.col("l.entry_hash").alias("last_hash"))
-        rows = rows.join(last, keys, "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(0)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
+        rows = rows.join(last, keys, "left").withColumns({"last_seq": F.coalesce("last_seq", F.lit(first - 1)), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
     rows = rows.withColumns({"ordinal": F.col(order), "content": canonical_json(*names)})
     new = cut(rows.groupBy(*keys).applyInPandas(_chain(keys, names), f"{shape}, seq long, previous_hash string, entry_hash string"))
     n = new.count()
@@ -88,10 +89,10 @@ def append_chained(spark: SparkSession, rows: DataFrame, path: str, keys: list[s
     return n
 
 
-def chained(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
+def chained(spark: SparkSession, path: str, keys: list[str], columns: list[str], first: int = 1) -> DataFrame:
     """A chained ledger; raises if any link, number or hash of any of its chains is false."""
     rows = spark.read.parquet(path)
-    breaks = rules.chain_breaks(rows, keys, "seq", "previous_hash", "entry_hash", chain_hash(columns), GENESIS)
+    breaks = rules.chain_breaks(rows, keys, "seq", "previous_hash", "entry_hash", chain_hash(columns), GENESIS, first)
     if not breaks.where("bad_links + bad_sequence + bad_hashes > 0").isEmpty():
         raise ValueError("the ledger's chain is broken")
     return rows
