@@ -197,3 +197,36 @@ def test_kth_smallest_equals_sorting(spark):
         own = sorted(v for i, v in rows if i == k)
         assert got[k] == (len(own), own[math.ceil(len(own) * 0.9) - 1])
     assert 4 not in got
+
+
+@pytest.mark.parametrize(("most", "direct"), [(1 << 18, 1 << 20), (1 << 18, 10), (20, 10)])
+def test_ranks_however_the_values_lie(spark, monkeypatch, most, direct):
+    monkeypatch.setattr(tails, "MOST_VALUES", most)
+    monkeypatch.setattr(tails, "DIRECT_ROWS", direct)
+    monkeypatch.setattr(tails, "FEW", 50)
+    rng = np.random.default_rng(9)
+    lists = {
+        "outlier": [*rng.random(3000), 1e15], "ties": [1.0] * 2500 + [2.0] * 400 + [0.5], "wild": [float(x) for x in rng.normal(size=3000) * 10.0 ** rng.integers(-200, 200, 3000)],
+        "few": [3.0, 1.0, 2.0], "one": [7.0], None: [*rng.integers(0, 9, 1000).astype(float)], "whole": [*map(float, range(-1500, 1500))],
+    }
+    rows = [(k, float(x)) for k, v in lists.items() for x in v] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for rank, f in ((lambda n: math.ceil(n * 0.9), lambda n: F.ceil(n * 0.9)), (lambda n: min(n, 3), lambda n: F.least(n, F.lit(3))), (lambda n: n // 2 + 1, lambda n: F.floor(n / 2) + 1), (lambda n: n, lambda n: n)):
+        got = {r.k: (r.n, r.x) for r in tails.kth_smallest(df, ["k"], "v", f, "x").collect()}
+        assert got == {k: (len(v), sorted(v)[rank(len(v)) - 1]) for k, v in lists.items()}
+    got = {r.k: r.m for r in tails.worst_mean(df, ["k"], "v", 0.05, "v", "m").collect()}
+    assert got == {k: math.fsum(sorted(v)[: max(1, math.ceil(len(v) * 0.05))]) / max(1, math.ceil(len(v) * 0.05)) for k, v in lists.items()}
+    assert tails.kth_smallest(df.limit(0), ["k"], "v", lambda n: n, "x").collect() == [] and tails.kth_smallest(df.limit(0), [], "v", lambda n: n, "x").collect() == []
+    assert tails.kth_smallest(df.where("k = 'whole'"), [], "v", lambda n: F.ceil(n * 0.5), "x").first().x == -1.0
+    cents = df.where("k IN ('whole', 'ties')").selectExpr("k", "CAST(v AS DECIMAL(18,4)) AS v")
+    want = {k: math.fsum(sorted(lists[k])[:150]) / 150 for k in ("whole",)} | {"ties": math.fsum(sorted(lists["ties"])[: math.ceil(2901 * 0.05)]) / math.ceil(2901 * 0.05)}
+    assert {r.k: r.m for r in tails.worst_mean(cents, ["k"], "v", 0.05, "v", "m").collect()} == want
+
+
+def test_joint_corridor_equals_sorting(spark):
+    rng = np.random.default_rng(3)
+    up, down = rng.gamma(2, 10, 4000), rng.gamma(2, 12, 4000)
+    r = tails.joint_corridor(spark.createDataFrame(list(zip(up.tolist(), down.tolist(), strict=True)), "u double, d double"), "u", "d", 0.9).first()
+    q = [sorted(x)[math.ceil(4000 * 0.9) - 1] for x in (up, down)]
+    miss = sorted(max(0.0, a - q[0], b - q[1]) for a, b in zip(up, down, strict=True))
+    assert (r.up_q, r.down_q, r.n, r.buffer) == (*q, 4000, miss[min(4000, math.ceil(4001 * 0.9)) - 1])

@@ -51,11 +51,11 @@ class Ordered:
         at = F.struct(*self.order)
         total = {n: F.max_by(c, F.when(c.isNotNull(), at)) if kind == "last" else _OF[kind](c) for n, (kind, c, _) in scans.items()}
         parts = rows.groupBy(*self.keys, "part").agg(*(c.alias(n) for n, c in total.items()), F.lit(True).alias("__some"))
-        carried = parts.select(*(F.col(k).alias(f"__{k}") for k in self.keys), F.col("part").alias("__part"), *(_OF[kind](F.col(n)).over(self.over_parts()).alias(f"__{n}") for n, (kind, _, _) in scans.items()), F.lag("__some").over(Window.partitionBy(*self.keys).orderBy("part")).alias("__goes_on"))
+        carried = parts.select(*(F.col(k).alias(f"__key_{k}") for k in self.keys), F.col("part").alias("__part"), *(_OF[kind](F.col(n)).over(self.over_parts()).alias(f"__{n}") for n, (kind, _, _) in scans.items()), F.lag("__some").over(Window.partitionBy(*self.keys).orderBy("part")).alias("__goes_on"))
         carried = F.broadcast(carried.where("__goes_on").drop("__goes_on"))  # at most one row a part
         same = F.col("part") == F.col("__part")
         for k in self.keys:
-            same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+            same &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(b, a)}
         joined = out.join(carried, same, "left")
         names = [c for c in out.columns if c not in scans]

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators.exact import exact_sums
 from tidemark.operators.scans import PART_ROWS, Ordered
 from tidemark.session import cut
 
@@ -19,60 +21,134 @@ def quantile_higher(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY {value})")
 
 
-#: Bins of a key's value range, in which rows are counted before any are ordered.
-BINS = 4096
+#: Distinct values of a key that one window orders; more are halved by their own quantiles first.
+MOST_VALUES = 1 << 18
+#: Accuracy of the quantile sketches (a rank is known to n / ACCURACY), and keys of so few rows that they need none.
+ACCURACY, FEW = 10_000, 4096
+_GRID = 64
+#: Rows that are counted by their values straight away.
+DIRECT_ROWS = 1 << 16
 
 
-def _in_bins(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """rows with the bin of their value (0 to BINS) between the key's smallest and largest one; null values go. Joined with one
-    row a key."""
-    v = F.col(value).cast("double")
-    span = rows.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    known = rows.join(span, keys) if keys else rows.crossJoin(F.broadcast(span))  # one row
-    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BINS)).otherwise(F.lit(0))
-    return known.where(F.col(value).isNotNull()).withColumn("__bin", place.cast("int")).drop("__lo", "__hi")
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right (one row a key); null keys are a key."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return left.join(renamed, same).drop(*(f"__key_{k}" for k in keys))
 
 
-def _edges(binned: DataFrame, keys: list[str], rank: Callable[[Column], Column], exact: Column) -> DataFrame:
-    """Per key, over counts of bins: its number __n of values, the bin of the rank-th smallest of them (__k, a function of the
-    number), and the count __upto and sum __sum of what lies wholly before this bin."""
-    w = Window.partitionBy(*keys).orderBy("__bin")
-    counts = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"), F.sum(exact).alias("__s"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))).withColumn("__k", rank(F.col("__n")))
-    none = F.lit(0).cast(counts.schema["__s"].dataType)
-    counts = counts.withColumns({"__upto": F.coalesce(F.sum("__c").over(before), F.lit(0)), "__sum": F.coalesce(F.sum("__s").over(before), none)})
-    return counts.where((F.col("__upto") < F.col("__k")) & (F.col("__upto") + F.col("__c") >= F.col("__k"))).drop("__c", "__s")
+def _around(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], share: float | None = None) -> DataFrame:
+    """Per key the counts __c of the distinct values __v around the rank-th smallest, with the key's number of values __n, the rank __k, and
+    the number __upto and the sum __sum (of decimals) of values before these. Written; rows are read twice.
 
-
-def _edge_values(binned: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The distinct values of the edge bins with their counts __c and the number __below of the key's values before them."""
-    rows = binned.join(edges, [*keys, "__bin"]).groupBy(*keys, "__n", "__k", "__upto", "__sum", value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__below", F.col("__upto") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
-
-
-def worst_mean(rows: DataFrame, keys: list[str], value: str, share: float, tie: str, name: str) -> DataFrame:
-    """Mean of the worst max(1, ceil(n * share)) values of each key, exactly. Nulls count nowhere.
-
-    Values are counted and summed by bins of the key's range with map-side combine; only the bin in which the last of the
-    worst values lies is ordered. So a key with any number of rows is neither sorted nor held.
+    Mergeable sketches bracket the rank; what lies before the bracket is one counted row. Should the rank not lie in the
+    bracket (a function that isn't a share of n), all values of the key count as bracket. share: of n, that the rank is about.
+    Of few rows all values are the bracket, without sketches.
+    """
+    rows = rows.select(*keys, F.col(value).alias("__v")).where("__v IS NOT NULL")
+    if rows.count() <= DIRECT_ROWS:
+        counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+        counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+        none = F.sum(_summed(rows, F.col("__v")) * F.col("__c")).over(Window.partitionBy(*keys)) * 0  # of the sums' type
+        return counts.withColumns({"__k": rank(F.col("__n")), "__upto": F.lit(0).cast("long"), "__sum": none})
+    if share is None:
+        share = rows.sparkSession.range(1).select((rank(F.lit(10**12)) / 10**12).alias("s")).first().s
+    ends = [max(0.0, share - 10 / ACCURACY), min(1.0, share + 10 / ACCURACY)]
+    stats = rows.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.percentile_approx("__v", ends, ACCURACY).alias("__p")
+    )
+    few = F.col("__n") <= FEW
+    stats = stats.select(*keys, "__n", rank(F.col("__n")).alias("__k"), *(F.when(few, F.col(f"__{e}")).otherwise(F.col("__p")[i]).alias(f"__{e}") for i, e in enumerate(("lo", "hi"))))
+    total = F.sum(_summed(rows, F.col("__v")))
+
+    def counted(bracket: DataFrame) -> DataFrame:
+        kept = _same(rows, bracket, keys).where(F.col("__v") <= F.col("__hi"))
+        inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
+        return cut(kept.groupBy(*keys, "__n", "__k", inside.alias("__v")).agg(F.count("*").alias("__c"), total.alias("__s")))
+
+    def met(found: DataFrame) -> DataFrame:
+        first = lambda c: F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col(c))).over(Window.partitionBy(*keys)), F.lit(0).cast(found.schema[c].dataType))
+        own = F.count("__v").over(Window.partitionBy(*keys))
+        return found.withColumns({"__upto": first("__c"), "__sum": first("__s"), "__m": own, "__all": F.sum("__c").over(Window.partitionBy(*keys))})
+
+    found = counted(stats)
+    out = F.col("__k").between(F.col("__upto") + 1, F.col("__all"))
+    n_missed, most = met(found).agg(F.count_if(~out), F.max("__m")).first()
+    if n_missed:
+        missed = met(found).where(~out).select(*keys, "__n", "__k").distinct()
+        whole = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        found = cut(_without(found, missed, keys).unionByName(counted(_same(whole, missed, keys))))
+        most = met(found).agg(F.max("__m")).first()[0]
+    values = met(found).where("__v IS NOT NULL").drop("__all", "__s")
+    while (most or 0) > MOST_VALUES:
+        values = cut(values.where(F.col("__m") <= MOST_VALUES).unionByName(_halved(values.where(F.col("__m") > MOST_VALUES), keys)))
+        most = values.agg(F.max("__m")).first()[0]
+    return values.drop("__m")
+
+
+def _summed(rows: DataFrame, value: Column) -> Column:
+    """What sums are made of: a decimal itself; nothing for doubles, whose exact sums are another's work."""
+    return value if isinstance(rows.schema["__v"].dataType, T.DecimalType) else F.lit(0)
+
+
+def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    marked = gone.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.lit(True).alias("__gone"))
+    same = F.col("__gone")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    return rows.join(marked, same, "left_anti")
+
+
+def _halved(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Of keys with many distinct values around the rank: those of one of some 64 equal shares of them, in which the rank lies."""
+    bounds = values.groupBy(*keys).agg(F.percentile_approx("__v", [i / _GRID for i in range(1, _GRID)], 1000).alias("__g"))
+    binned = _same(values, bounds, keys).withColumn("__bin", F.size(F.filter("__g", lambda b: b < F.col("__v")))).drop("__g")
+    part = _summed(values, F.col("__v")) * F.col("__c")
+    counts = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__cs"), F.sum(part).alias("__ss"), F.count("*").alias("__own"), *(F.first(f"__{c}").alias(f"__first_{c}") for c in ("upto", "sum", "k")))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    new = {f"__new_{c}": (F.col(f"__first_{c}") + F.coalesce(F.sum(x).over(before), F.lit(0))).cast(values.schema[f"__{c}"].dataType) for c, x in (("upto", "__cs"), ("sum", "__ss"))}
+    counts = counts.withColumns(new).where("__new_upto < __first_k AND __new_upto + __cs >= __first_k")
+    picked = _same(binned, counts.select(*keys, F.col("__bin").alias("__pick"), *new, "__own"), keys).where("__bin = __pick")
+    kept = {"__upto": F.col("__new_upto"), "__sum": F.col("__new_sum"), "__m": F.col("__own")}
+    return picked.withColumns(kept).select(*values.columns)
+
+
+def _at_rank(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: __n, __k, the rank-th smallest value __v, and the number __below and sum __sum of the key's values before it."""
+    w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    part = F.coalesce(F.sum(_summed(values, F.col("__v")) * F.col("__c")).over(w), none)
+    values = values.withColumns({"__below": F.col("__upto") + F.coalesce(F.sum("__c").over(w), none), "__sum": F.col("__sum") + part})
+    return values.where((F.col("__below") < F.col("__k")) & (F.col("__below") + F.col("__c") >= F.col("__k"))).select(*keys, "__n", "__k", "__v", "__below", "__sum")
+
+
+def kth_smallest(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], name: str, share: float | None = None) -> DataFrame:
+    """Per key, its number of values n and the rank-th smallest one; rank: a function of n, best a share of it. Nulls count nowhere.
+
+    Exact, however the values lie: only the values around the rank, which sketches of the values themselves bracket, are
+    counted apart and ordered, at most MOST_VALUES of a key. rows are read twice.
     """
-    binned = _in_bins(rows, keys, value)
-    exact = F.col(value).cast("decimal(24,8)")
-    edges = _edges(binned, keys, lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(share))), exact)
-    values = _edge_values(binned, edges, keys, value)
-    take = F.least(F.col("__c"), F.greatest(F.lit(0), F.col("__k") - F.col("__below")))
-    last = values.groupBy(*keys, "__k", "__sum").agg(F.sum(exact * take).alias("__part"))
-    return last.select(*keys, ((F.col("__sum") + F.col("__part")).cast("double") / F.col("__k")).alias(name))
+    found = _at_rank(_around(rows, keys, value, rank, share), keys)
+    return found.select(*keys, F.col("__n").alias("n"), F.col("__v").alias(name))
 
 
-def kth_smallest(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:
-    """Per key, its number of values n and the rank-th smallest one (rank: a function of n), by the same bins."""
-    binned = _in_bins(rows, keys, value)
-    values = _edge_values(binned, _edges(binned, keys, rank, F.lit(0).cast("long")), keys, value)
-    found = values.where((F.col("__below") < F.col("__k")) & (F.col("__below") + F.col("__c") >= F.col("__k")))
-    return found.select(*keys, F.col("__n").alias("n"), F.col(value).alias(name))
+def worst_mean(rows: DataFrame, keys: list[str], value: str, share: float, tie: str, name: str) -> DataFrame:
+    """Mean of the worst max(1, ceil(n * share)) values of each key. Nulls count nowhere. Sums are exact: of decimals as decimals, of doubles
+    but for the last rounding (for which rows are read a third time). Rows are neither sorted nor held."""
+    edge = _at_rank(_around(rows, keys, value, lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(share))), share), keys)
+    if isinstance(edge.schema["__v"].dataType, T.DecimalType):
+        total = F.col("__sum") + F.col("__v") * (F.col("__k") - F.col("__below"))
+        return edge.select(*keys, (total.cast("double") / F.col("__k")).alias(name))
+    edge = cut(edge)
+    rows = rows.select(*keys, F.col(value).alias("__x"))
+    below = _same(rows, edge.select(*keys, "__v"), keys).where("__x < __v").select(*keys, "__x", F.lit(1).cast("long").alias("__w"))
+    last = edge.select(*keys, F.col("__v").alias("__x"), (F.col("__k") - F.col("__below")).cast("long").alias("__w"))
+    total = exact_sums(below.unionByName(last), keys, {"__total": F.col("__x")}, F.col("__w"))
+    return _same(total, edge.select(*keys, "__k"), keys).select(*keys, (F.col("__total") / F.col("__k")).alias(name))
 
 
 def weighted_tail_loss(rows: DataFrame, keys: list[str], pnl: str, probability: str, tail: float, name: str) -> DataFrame:
@@ -101,14 +177,15 @@ def max_drawdown(rows: DataFrame, keys: list[str], order: list[str], pnl: str, n
 
 def joint_corridor(rows: DataFrame, up: str, down: str, target: float) -> DataFrame:
     """Marginal quantiles of both sides, and one conformal buffer that makes the share covered on both sides at once
-    reach the target. One row."""
-    higher = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(target)))
-    sides = [kth_smallest(rows, [], c, higher, f"{c}_q").drop("n") for c in (up, down)]
-    m = sides[0].crossJoin(sides[1]).select(F.col(f"{up}_q").alias("up_q"), F.col(f"{down}_q").alias("down_q"))  # one row each
-    miss = F.greatest(F.lit(0.0), F.col(up) - F.col("up_q"), F.col(down) - F.col("down_q"))
-    scored = rows.crossJoin(F.broadcast(m)).select(miss.alias("miss"))  # m is one row
+    reach the target. One row. rows are read once."""
+    rows = cut(rows.select(F.col(up).alias("up"), F.col(down).alias("down")))
+    sides = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("x")) for c in ("up", "down")))))
+    higher = kth_smallest(sides, ["side"], "x", lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(target))), "q", target)
+    m = higher.agg(*(F.max(F.when(F.col("side") == c, F.col("q"))).alias(f"{c}_q") for c in ("up", "down")))  # one row
+    miss = F.greatest(F.lit(0.0), F.col("up") - F.col("up_q"), F.col("down") - F.col("down_q"))
+    scored = rows.crossJoin(F.broadcast(m)).select(miss.alias("miss"))
     rank = lambda n: F.least(n, F.ceil((n + 1) * F.lit(target)))
-    return m.crossJoin(kth_smallest(scored, [], "miss", rank, "buffer")).select("up_q", "down_q", "n", "buffer")
+    return m.crossJoin(kth_smallest(scored, [], "miss", rank, "buffer", target)).select("up_q", "down_q", "n", "buffer")
 
 
 def buffer_grid(rows: DataFrame, up: str, down: str, up_q: float, down_q: float, target: float, step: float, steps: int) -> DataFrame:
