@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import calendar, delivery, execution, gates, governance, quality
+from tidemark.operators import calendar, delivery, execution, gates, governance, market, quality
 
 NOW = dt.datetime(2026, 8, 17, 14, 0, 0)
 POLICY = quality.QualityPolicy(green_max_age=2, amber_max_age=5, max_receive_latency=1, conflict_absolute=0.5, conflict_relative=0.0001)
@@ -146,6 +146,26 @@ def test_delivery(spark):
     assert acks == {("sent", "x"): "REPEATED", ("sent", "y"): "ACKNOWLEDGED", ("sent", "z"): "BEFORE_DELIVERY", ("done", "x"): "REPEATED", ("new", "x"): "NOT_DELIVERED", ("none", "x"): "UNKNOWN_MESSAGE", ("sent", " "): "NO_ACTOR"}
     faults = spark.createDataFrame([("0",), ("7",), ("8",), ("07",), ("-1",), (None,)], "c string").select(delivery.cursor_fault(F.col("c"), F.lit(7)).alias("f")).collect()
     assert [r.f for r in faults] == [None, None, "BEYOND_END", "NOT_CANONICAL", "NOT_CANONICAL", None]
+    long = spark.createDataFrame([("9" * 32,), ("1" + "0" * 400,), ("12",), ("99",)], "c string").select(delivery.cursor_fault(F.col("c"), F.lit(12)).alias("f")).collect()
+    assert [r.f for r in long] == ["BEYOND_END", "BEYOND_END", None, "BEYOND_END"]
+
+
+def test_capabilities_fees_repeated_legs_and_order(spark):
+    rows = [(True, "VERIFIED", True, "GREEN"), (False, "PENDING", None, "AMBER"), (None, None, None, None)]
+    every = ["CAPABILITY_NOT_CONFIGURED", "CAPABILITY_UNVERIFIED", "CAPABILITY_NOT_PRODUCTION_READY", "CAPABILITY_QUALITY_NOT_GREEN"]
+    got = spark.createDataFrame(rows, "configured boolean, verification_status string, production_ready boolean, quality string").select(quality.capability_reasons().alias("r")).collect()
+    assert [r.r for r in got] == [[], every, every]
+    assert market.round_trip_fees(2, 0.65, 0.05, fixed=1.0) == pytest.approx(2 * (8 * 0.7 + 1.0))
+    legs = spark.createDataFrame([(1, 7, 1, 100, 1.0, 1.2, 9, 9, NOW), (1, 7, -1, 100, 1.0, 1.2, 9, 9, NOW)], "k int, leg_id int, quantity int, multiplier int, bid double, ask double, bid_size int, ask_size int, quoted_at timestamp")
+    a = execution.Assumptions(60.0, 0.0, 0.0)
+    with pytest.raises(Exception, match="leg_id values must be unique"):
+        execution.value_execution(legs, ["k"], F.lit(NOW), a).collect()
+    assert execution.value_execution(legs.drop("leg_id"), ["k"], F.lit(NOW), a).first().executable
+    bars = spark.createDataFrame([("d", i, t, 1.0, 2.0, 0.5, 1.5, 1.0) for i, t in enumerate((1, 3, 2))], "day string, seq int, ts int, open double, high double, low double, close double, volume double")
+    quotes = spark.createDataFrame([("d", i, t, "x" * 21, 1.0, 2.0, 1, 1) for i, t in enumerate((1, 1, 2))], "day string, seq int, ts int, symbol string, bid double, ask double, bid_size int, ask_size int")
+    days = spark.createDataFrame([("d",)], "day string")
+    assert quality.day_violations(bars, quotes, days).first().reasons == []
+    assert quality.day_violations(bars, quotes, days, order="seq").first().reasons == ["BARS_OUT_OF_ORDER"]
 
 
 def test_risk_lock_and_timeline(spark):

@@ -79,6 +79,20 @@ def test_exit_rules(spark):
         rule("OTHER").triggered()
 
 
+def test_clock_exits_are_at_one_time_whatever_the_entry(spark):
+    shape = "day date, entry_ts timestamp, close_ts timestamp, close_price double, credit double, center double, down_distance double, up_distance double"
+    begin = T + dt.timedelta(hours=14)
+    end, clock = begin + dt.timedelta(minutes=10), begin + dt.timedelta(minutes=5)
+    local = (clock - dt.timedelta(hours=4)).strftime("%H:%M")  # summer time
+    rule = workflows.ExitRule("TIME_EXIT", time_exit_et=local)
+    for start in (0, 3):
+        positions = spark.createDataFrame([(DAY, begin + dt.timedelta(minutes=start), end, 6420.0, 1.8, 6441.0, 40.0, 8.0)], shape)
+        r = workflows.exit_outcomes(positions, chain(spark, OPEN), [rule]).first()
+        assert (r.reason, r.exit_ts, r.holding_minutes) == ("TIME_EXIT", clock, 5.0 - start)
+    r = workflows.exit_outcomes(positions, chain(spark, OPEN), [workflows.ExitRule("TIME_EXIT", time_exit_et="15:59")]).first()
+    assert r.reason == "EXPIRY"
+
+
 def test_entry_snapshot_finds_the_volatility(spark):
     entry, expiry = T.replace(hour=13, minute=45), T.replace(hour=20)
     strikes = [float(k) for k in range(6200, 6601, 5)]

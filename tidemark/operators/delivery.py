@@ -121,6 +121,7 @@ def projection(alerts: DataFrame, columns: list[str], known: DataFrame | None =
 
 
 def cursor_fault(cursor: Column, last: Column) -> Column:
-    """Why a resume position (a string) can't be one: null if it is canonical digits up to the last sequence, or absent."""
-    digits = cursor.rlike("^(0|[1-9][0-9]*)$")
-    return F.when(cursor.isNull(), F.lit(None).cast("string")).when(~digits, "NOT_CANONICAL").when(F.try_to_number(cursor, F.lit("9" * 30)) > last, "BEYOND_END")
+    """Why a resume position (a string) can't be one: null if it is canonical digits, however many, up to the last sequence, or absent."""
+    digits, end = cursor.rlike("^(0|[1-9][0-9]*)$"), last.cast("string")
+    beyond = (F.length(cursor) > F.length(end)) | ((F.length(cursor) == F.length(end)) & (cursor > end))
+    return F.when(cursor.isNull(), F.lit(None).cast("string")).when(~digits, "NOT_CANONICAL").when(beyond, "BEYOND_END")

@@ -32,7 +32,8 @@ def value_execution(legs: DataFrame, keys: list[str], valued_at: Column, a: Assu
     fills. legs: quantity (its sign is the side), multiplier, bid, ask, bid_size, ask_size, quoted_at, one row a leg.
 
     Bought legs pay the ask and slippage, sold ones get the bid less slippage. Stale, future, unsized and too thin quotes
-    and prices below zero fail; `expected` (keys) adds positions without any leg. One aggregation with map-side combine.
+    and prices below zero fail; `expected` (keys) adds positions without any leg. Where legs have a leg_id, one that a position
+    has twice fails the job. One aggregation with map-side combine.
     """
     q = -F.col("quantity") if closing else F.col("quantity")
     shown = F.when(q > 0, F.col("ask_size")).otherwise(F.col("bid_size"))
@@ -43,13 +44,17 @@ def value_execution(legs: DataFrame, keys: list[str], valued_at: Column, a: Assu
         (age < 0, "QUOTE_IN_FUTURE"), (age > a.max_quote_age, "STALE_NBBO"), (shown.isNull(), "MISSING_SIZE"), (shown.isNotNull() & (shown < n), "INSUFFICIENT_SIZE"),
         (shown.isNotNull() & (shown >= n) & (n / shown > a.participation), "LIQUIDITY_LIMIT"),
     ])
+    named = F.col("leg_id") if "leg_id" in legs.columns else F.lit(None)
     rows = legs.select(
-        *keys, first.alias("f"), F.coalesce(price < 0, F.lit(True)).alias("low"), (-q * price * F.col("multiplier")).alias("cash"), (n * F.lit(a.fee)).alias("fee"),
+        *keys, named.alias("leg_id"), first.alias("f"), F.coalesce(price < 0, F.lit(True)).alias("low"), (-q * price * F.col("multiplier")).alias("cash"), (n * F.lit(a.fee)).alias("fee"),
         (F.abs(F.when(q > 0, F.col("ask")).otherwise(F.col("bid")) - (F.col("bid") + F.col("ask")) / 2) * n * F.col("multiplier")).alias("half"),
     )
     found = rows.groupBy(*keys).agg(
-        F.flatten(F.collect_set("f")).alias("f"), F.bool_or("low").alias("low"), F.count("*").alias("n_legs"), F.sum("cash").alias("gross"), F.sum("fee").alias("fees"), F.sum("half").alias("half_spread_cost")
-    )
+        F.flatten(F.collect_set("f")).alias("f"), F.bool_or("low").alias("low"), F.count("*").alias("n_legs"), F.sum("cash").alias("gross"), F.sum("fee").alias("fees"), F.sum("half").alias("half_spread_cost"),
+        (F.count("leg_id") > F.size(F.collect_set("leg_id"))).alias("twice"),
+    )
+    unique = F.when(F.col("twice"), F.raise_error(F.lit("leg_id values must be unique")).cast("long")).otherwise(F.col("n_legs"))
+    found = found.withColumn("n_legs", unique).drop("twice")
     if expected is not None:
         found = expected.select(*keys).distinct().join(found, keys, "left")
     none = F.array().cast("array<string>")

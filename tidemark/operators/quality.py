@@ -150,16 +150,27 @@ def quote_violations() -> Column:
     ])
 
 
-def day_violations(bars: DataFrame, quotes: DataFrame, days: DataFrame, day: str = "day") -> DataFrame:
-    """Per expected day, whether it makes a chain day: bars and quotes are there, and none breaks a rule of its own."""
+def day_violations(bars: DataFrame, quotes: DataFrame, days: DataFrame, day: str = "day", order: str | None = None) -> DataFrame:
+    """Per expected day, whether it makes a chain day: bars and quotes are there, and none breaks a rule of its own. order: a
+    column of both that says in which order rows came; by it, times (ts) may not step back."""
     side = lambda rows, why, n: rows.groupBy(day).agg(F.count("*").alias(n), F.sum(F.least(F.size(why), F.lit(1))).alias(f"{n}_bad"))
     found = days.select(day).distinct().join(side(bars, bar_violations(), "n_bars"), day, "left").join(side(quotes, quote_violations(), "n_quotes"), day, "left")
-    counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_bars", "n_bars_bad", "n_quotes", "n_quotes_bad")}
-    found = found.withColumns(counts)
-    why = rules.reasons([(F.col("n_bars") == 0, "NO_BARS"), (F.col("n_quotes") == 0, "NO_QUOTES"), (F.col("n_bars_bad") > 0, "BAD_BARS"), (F.col("n_quotes_bad") > 0, "BAD_QUOTES")])
+    names = ["n_bars", "n_bars_bad", "n_quotes", "n_quotes_bad"]
+    if order is not None:
+        for rows, n in ((bars, "n_bars"), (quotes, "n_quotes")):
+            back = asof.order_violations(rows, [day], order, "ts").select(day, F.col("n_decreasing").alias(f"{n}_back"))
+            found = found.join(back, day, "left")
+            names.append(f"{n}_back")
+    found = found.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in names})
+    broken = [(F.col("n_bars") == 0, "NO_BARS"), (F.col("n_quotes") == 0, "NO_QUOTES"), (F.col("n_bars_bad") > 0, "BAD_BARS"), (F.col("n_quotes_bad") > 0, "BAD_QUOTES")]
+    if order is not None:
+        broken += [(F.col("n_bars_back") > 0, "BARS_OUT_OF_ORDER"), (F.col("n_quotes_back") > 0, "QUOTES_OUT_OF_ORDER")]
+    why = rules.reasons(broken)
     return found.withColumn("reasons", why)
 
 
-def beside_center(rows: DataFrame, center: Column, band: float = 0.03) -> DataFrame:
-    """Options used on their own side (calls at and above the centre, puts below), strikes within the band, both ends included."""
-    return rows.where((F.col("is_call") == (F.col("strike") >= center)) & F.col("strike").between(center * (1 - band), center * (1 + band)))
+def beside_center(rows: DataFrame, center: Column, band: float | None = 0.03) -> DataFrame:
+    """Options used on their own side (calls at and above the centre, puts below), strikes within the band, both ends included;
+    without a band any strike."""
+    own = rows.where(F.col("is_call") == (F.col("strike") >= center))
+    return own if band is None else own.where(F.col("strike").between(center * (1 - band), center * (1 + band)))

@@ -30,7 +30,7 @@ _GRID = 64
 DIRECT_ROWS = 1 << 16
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left with the columns of right (one row a key); null keys are a key."""
     if not keys:
         return left.crossJoin(F.broadcast(right))  # one row
@@ -66,7 +66,7 @@ def _around(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column
     total = F.sum(_summed(rows, F.col("__v")))
 
     def counted(bracket: DataFrame) -> DataFrame:
-        kept = _same(rows, bracket, keys).where(F.col("__v") <= F.col("__hi"))
+        kept = beside(rows, bracket, keys).where(F.col("__v") <= F.col("__hi"))
         inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
         return cut(kept.groupBy(*keys, "__n", "__k", inside.alias("__v")).agg(F.count("*").alias("__c"), total.alias("__s")))
 
@@ -81,7 +81,7 @@ def _around(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column
     if n_missed:
         missed = met(found).where(~out).select(*keys, "__n", "__k").distinct()
         whole = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        found = cut(_without(found, missed, keys).unionByName(counted(_same(whole, missed, keys))))
+        found = cut(_without(found, missed, keys).unionByName(counted(beside(whole, missed, keys))))
         most = met(found).agg(F.max("__m")).first()[0]
     values = met(found).where("__v IS NOT NULL").drop("__all", "__s")
     while (most or 0) > MOST_VALUES:
@@ -106,13 +106,13 @@ def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 def _halved(values: DataFrame, keys: list[str]) -> DataFrame:
     """Of keys with many distinct values around the rank: those of one of some 64 equal shares of them, in which the rank lies."""
     bounds = values.groupBy(*keys).agg(F.percentile_approx("__v", [i / _GRID for i in range(1, _GRID)], 1000).alias("__g"))
-    binned = _same(values, bounds, keys).withColumn("__bin", F.size(F.filter("__g", lambda b: b < F.col("__v")))).drop("__g")
+    binned = beside(values, bounds, keys).withColumn("__bin", F.size(F.filter("__g", lambda b: b < F.col("__v")))).drop("__g")
     part = _summed(values, F.col("__v")) * F.col("__c")
     counts = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__cs"), F.sum(part).alias("__ss"), F.count("*").alias("__own"), *(F.first(f"__{c}").alias(f"__first_{c}") for c in ("upto", "sum", "k")))
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     new = {f"__new_{c}": (F.col(f"__first_{c}") + F.coalesce(F.sum(x).over(before), F.lit(0))).cast(values.schema[f"__{c}"].dataType) for c, x in (("upto", "__cs"), ("sum", "__ss"))}
     counts = counts.withColumns(new).where("__new_upto < __first_k AND __new_upto + __cs >= __first_k")
-    picked = _same(binned, counts.select(*keys, F.col("__bin").alias("__pick"), *new, "__own"), keys).where("__bin = __pick")
+    picked = beside(binned, counts.select(*keys, F.col("__bin").alias("__pick"), *new, "__own"), keys).where("__bin = __pick")
     kept = {"__upto": F.col("__new_upto"), "__sum": F.col("__new_sum"), "__m": F.col("__own")}
     return picked.withColumns(kept).select(*values.columns)
 
@@ -145,10 +145,10 @@ def worst_mean(rows: DataFrame, keys: list[str], value: str, share: float, tie:
         return edge.select(*keys, (total.cast("double") / F.col("__k")).alias(name))
     edge = cut(edge)
     rows = rows.select(*keys, F.col(value).alias("__x"))
-    below = _same(rows, edge.select(*keys, "__v"), keys).where("__x < __v").select(*keys, "__x", F.lit(1).cast("long").alias("__w"))
+    below = beside(rows, edge.select(*keys, "__v"), keys).where("__x < __v").select(*keys, "__x", F.lit(1).cast("long").alias("__w"))
     last = edge.select(*keys, F.col("__v").alias("__x"), (F.col("__k") - F.col("__below")).cast("long").alias("__w"))
     total = exact_sums(below.unionByName(last), keys, {"__total": F.col("__x")}, F.col("__w"))
-    return _same(total, edge.select(*keys, "__k"), keys).select(*keys, (F.col("__total") / F.col("__k")).alias(name))
+    return beside(total, edge.select(*keys, "__k"), keys).select(*keys, (F.col("__total") / F.col("__k")).alias(name))
 
 
 def weighted_tail_loss(rows: DataFrame, keys: list[str], pnl: str, probability: str, tail: float, name: str) -> DataFrame:

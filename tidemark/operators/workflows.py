@@ -4,13 +4,17 @@ evaluation. Every stage takes DataFrames, and every day of a batch ends in exact
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import years_between
 from tidemark.operators import asof, market, rules, tails
+from tidemark.operators.calendar import new_york_instant
+from tidemark.operators.exact import exact_sums
 from tidemark.operators.quality import beside_center, seconds
+from tidemark.session import cut
 
 #: Most seconds between neighbouring bars of a label's window.
 MAX_GAP = 180
@@ -71,7 +75,7 @@ def entry_snapshot(quotes: DataFrame, bars: DataFrame, entries: DataFrame, rate:
     band = two.where(F.col("strike").between(center * 0.97, center * 1.03)).groupBy("day").agg(F.median(F.col("ask") - F.col("bid")).alias("median_spread"))
     sane = two.where(market.is_sane(F.col("bid"), F.col("ask"))).withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     rank = lambda target: F.row_number().over(Window.partitionBy("day").orderBy(F.abs(F.col("strike") - target), "strike"))
-    atm = beside_center(sane, center, band=1.0).withColumn("k", rank(center)).where(F.col("k") <= ATM_OPTIONS).withColumn("use", F.lit("ATM"))
+    atm = beside_center(sane, center, band=None).withColumn("k", rank(center)).where(F.col("k") <= ATM_OPTIONS).withColumn("use", F.lit("ATM"))
     put = sane.where("NOT is_call").withColumn("k", rank(center * (1 - SKEW_OFFSET))).where("k = 1").withColumn("use", F.lit("PUT"))
     call = sane.where("is_call").withColumn("k", rank(center * (1 + SKEW_OFFSET))).where("k = 1").withColumn("use", F.lit("CALL"))
     chosen = atm.unionByName(put).unionByName(call).withColumn("tau", years_between(F.col("entry_ts"), F.col("expiry_ts")))
@@ -140,14 +144,17 @@ def economics_days(labels: DataFrame, distances: DataFrame, quotes: DataFrame, f
 
 def summarize(days: DataFrame, keys: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """Per key of days with a status, pnl and fees: counts, totals, means, value per candidate day, the mean of the worst 5 %,
-    the worst day, and the share of wins. Figures over days are null where none is priced; a day without a price counts as a
-    candidate. extra: further aggregates."""
-    days = days.where(F.col("status").isin("PRICED", "UNPRICEABLE"))
-    exact, fee = F.sum(F.col("pnl").cast("decimal(24,8)")).cast("double"), F.coalesce(F.sum(F.col("fees").cast("decimal(24,8)")).cast("double"), F.lit(0.0))
-    total, n = F.coalesce(exact, F.lit(0.0)), F.count("pnl")
-    out = days.groupBy(*keys).agg(
-        n.alias("n_priced"), (F.count("*") - n).alias("n_unpriceable"), total.alias("total_pnl"), F.try_divide(exact, n).alias("mean_pnl"), (total / F.count("*")).alias("ev"), F.greatest(F.lit(0.0), -F.min("pnl")).alias("max_daily_loss"),
-        F.try_divide(F.count_if(F.col("pnl") > 0), n).alias("win_rate"), fee.alias("total_fees"), (total - fee).alias("net_total_pnl"), ((total - fee) / F.count("*")).alias("net_ev"), *(c.alias(k) for k, c in (extra or {}).items()),
+    the worst day, and the share of wins. Sums of doubles are exact but for the last rounding. Figures over days are null where none
+    is priced; a day without a price counts as a candidate. extra: further aggregates."""
+    days = cut(days.where(F.col("status").isin("PRICED", "UNPRICEABLE")))  # narrow, and read several times
+    sums = exact_sums(days, keys, {"__pnl": F.col("pnl"), "__fees": F.col("fees")})
+    counts = days.groupBy(*keys).agg(
+        F.count("pnl").alias("n_priced"), F.count("*").alias("__n"), F.min("pnl").alias("__least"), F.count_if(F.col("pnl") > 0).alias("__wins"), *(c.alias(k) for k, c in (extra or {}).items()),
+    )
+    total, fee, n = F.coalesce("__pnl", F.lit(0.0)), F.coalesce("__fees", F.lit(0.0)), F.col("n_priced")
+    out = tails.beside(counts, sums, keys).select(
+        *keys, "n_priced", (F.col("__n") - n).alias("n_unpriceable"), total.alias("total_pnl"), F.try_divide("__pnl", n).alias("mean_pnl"), (total / F.col("__n")).alias("ev"), F.greatest(F.lit(0.0), -F.col("__least")).alias("max_daily_loss"),
+        F.try_divide("__wins", n).alias("win_rate"), fee.alias("total_fees"), (total - fee).alias("net_total_pnl"), ((total - fee) / F.col("__n")).alias("net_ev"), *(extra or {}),
     )
     out = out.withColumn("max_daily_loss", F.when(F.col("n_priced") > 0, F.col("max_daily_loss")))
     return out.join(tails.worst_mean(days.where("pnl IS NOT NULL"), keys, "pnl", 0.05, "pnl", "cvar_95"), keys, "left")
@@ -155,18 +162,23 @@ def summarize(days: DataFrame, keys: list[str], extra: dict[str, Column] | None
 
 @dataclass(frozen=True)
 class ExitRule:
-    """HOLD, PROFIT_TARGET (at a share of the credit), STOP_LOSS (at a multiple of it) or TIME_EXIT (seconds after the entry)."""
+    """HOLD, PROFIT_TARGET (at a share of the credit), STOP_LOSS (at a multiple of it) or TIME_EXIT (at a New York clock time of the
+    position's day, HH:MM, or else some seconds after the entry)."""
 
     kind: str
     profit_fraction: float = 0.5
     stop_multiple: float = 1.0
     after_seconds: float = 0.0
+    time_exit_et: str | None = None
 
     def triggered(self) -> Column:
         if self.kind == "PROFIT_TARGET":
             return F.col("cost") <= F.col("credit") * (1.0 - self.profit_fraction)
         if self.kind == "STOP_LOSS":
             return F.col("cost") >= F.col("credit") * (1.0 + self.stop_multiple)
+        if self.kind == "TIME_EXIT" and self.time_exit_et is not None:
+            clock = time.fromisoformat(self.time_exit_et)
+            return F.col("ts") >= new_york_instant(F.col("day").cast("date"), clock.hour * 3600 + clock.minute * 60 + clock.second)
         if self.kind == "TIME_EXIT":
             return seconds(F.col("ts"), F.col("entry_ts")) >= self.after_seconds
         if self.kind != "HOLD":
@@ -181,6 +193,7 @@ def exit_outcomes(positions: DataFrame, quotes: DataFrame, rule_list: list[ExitR
     """Each position (day, entry_ts, close_ts, close_price, credit, center, down_distance, up_distance) under each rule: exit_ts,
     reason, cost, pnl, holding minutes. The cost of closing is of each leg's latest quote at every step after the entry up to
     the close; steps at which a leg can't be traded are passed over; without a trigger the position settles."""
+    positions = cut(positions)  # read several times
     legs = structure_legs(positions, wing=wing)
     times = F.expr(f"sequence(entry_ts + INTERVAL {step_seconds} SECONDS, close_ts, INTERVAL {step_seconds} SECONDS)")
     open_ = F.col("entry_ts") + F.expr(f"INTERVAL {step_seconds} SECONDS") <= F.col("close_ts")
