@@ -27,13 +27,13 @@ class Assumptions:
             raise ValueError("ages, fees and slippage must not be negative, participation must lie in (0, 1]")
 
 
-def value_execution(legs: DataFrame, keys: list[str], valued_at: Column, a: Assumptions, closing: bool = False, expected: DataFrame | None = None) -> DataFrame:
+def value_execution(legs: DataFrame, keys: list[str], valued_at: Column, a: Assumptions, closing: bool = False, expected: DataFrame | None = None, unique: bool = True) -> DataFrame:
     """Per position (keys): executable, sorted failures, gross, fees, net, net_credit; figures are null unless every leg
     fills. legs: quantity (its sign is the side), multiplier, bid, ask, bid_size, ask_size, quoted_at, one row a leg.
 
     Bought legs pay the ask and slippage, sold ones get the bid less slippage. Stale, future, unsized and too thin quotes
     and prices below zero fail; `expected` (keys) adds positions without any leg. Where legs have a leg_id, one that a position
-    has twice fails the job. One aggregation with map-side combine.
+    has twice fails the job, unless `unique` is false. One aggregation with map-side combine.
     """
     q = -F.col("quantity") if closing else F.col("quantity")
     shown = F.when(q > 0, F.col("ask_size")).otherwise(F.col("bid_size"))
@@ -44,7 +44,7 @@ def value_execution(legs: DataFrame, keys: list[str], valued_at: Column, a: Assu
         (age < 0, "QUOTE_IN_FUTURE"), (age > a.max_quote_age, "STALE_NBBO"), (shown.isNull(), "MISSING_SIZE"), (shown.isNotNull() & (shown < n), "INSUFFICIENT_SIZE"),
         (shown.isNotNull() & (shown >= n) & (n / shown > a.participation), "LIQUIDITY_LIMIT"),
     ])
-    named = F.col("leg_id") if "leg_id" in legs.columns else F.lit(None)
+    named = F.col("leg_id") if unique and "leg_id" in legs.columns else F.lit(None)
     rows = legs.select(
         *keys, named.alias("leg_id"), first.alias("f"), F.coalesce(price < 0, F.lit(True)).alias("low"), (-q * price * F.col("multiplier")).alias("cash"), (n * F.lit(a.fee)).alias("fee"),
         (F.abs(F.when(q > 0, F.col("ask")).otherwise(F.col("bid")) - (F.col("bid") + F.col("ask")) / 2) * n * F.col("multiplier")).alias("half"),
@@ -53,8 +53,8 @@ def value_execution(legs: DataFrame, keys: list[str], valued_at: Column, a: Assu
         F.flatten(F.collect_set("f")).alias("f"), F.bool_or("low").alias("low"), F.count("*").alias("n_legs"), F.sum("cash").alias("gross"), F.sum("fee").alias("fees"), F.sum("half").alias("half_spread_cost"),
         (F.count("leg_id") > F.size(F.collect_set("leg_id"))).alias("twice"),
     )
-    unique = F.when(F.col("twice"), F.raise_error(F.lit("leg_id values must be unique")).cast("long")).otherwise(F.col("n_legs"))
-    found = found.withColumn("n_legs", unique).drop("twice")
+    checked = F.when(F.col("twice"), F.raise_error(F.lit("leg_id values must be unique")).cast("long")).otherwise(F.col("n_legs"))
+    found = found.withColumn("n_legs", checked).drop("twice")
     if expected is not None:
         found = expected.select(*keys).distinct().join(found, keys, "left")
     none = F.array().cast("array<string>")
@@ -78,11 +78,11 @@ def same_legs(opening: DataFrame, closing: DataFrame, keys: list[str], marks: li
     return two.join(one, keys, "left").select(*keys, *marks, F.coalesce(F.col("__c") == F.col("__o"), F.lit(False)).alias("same"))
 
 
-def executable_pnl(opening: DataFrame, closing: DataFrame, keys: list[str], mark: str, opened_at: Column, a: Assumptions) -> DataFrame:
+def executable_pnl(opening: DataFrame, closing: DataFrame, keys: list[str], mark: str, opened_at: Column, a: Assumptions, unique: bool = True) -> DataFrame:
     """Per position and mark: pnl of opening at opened_at and closing at the mark's time, null unless both sides fill with the
     same legs. closing has a column `mark` with the time of each mark."""
-    o = value_execution(opening, keys, opened_at, a).select(*keys, F.col("net").alias("opening_net"))
-    c = value_execution(closing, [*keys, mark], F.col(mark), a, closing=True).select(*keys, mark, F.col("net").alias("closing_net"))
+    o = value_execution(opening, keys, opened_at, a, unique=unique).select(*keys, F.col("net").alias("opening_net"))
+    c = value_execution(closing, [*keys, mark], F.col(mark), a, closing=True, unique=unique).select(*keys, mark, F.col("net").alias("closing_net"))
     rows = c.join(same_legs(opening, closing, keys, [mark]), [*keys, mark]).join(o, keys, "left")
     return rows.select(*keys, mark, "opening_net", "closing_net", F.when(F.col("same"), F.col("opening_net") + F.col("closing_net")).alias("pnl"))
 

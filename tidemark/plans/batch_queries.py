@@ -167,7 +167,7 @@ def entry_risk(spark, sf_dir):
     n = F.count("*").over(tails.Window.partitionBy("l_orderkey"))
     scenarios = pnl.select("l_orderkey", "pnl", F.when(F.col("l_orderkey") % 50 == 0, F.lit(0.5)).otherwise(F.lit(1.0) / n).cast("decimal(12,8)").alias("probability"))
     a = execution.Assumptions(max_quote_age=2.0, fee=0.5, slippage=0.125, participation=0.75)
-    fills = execution.value_execution(rule_queries.staged(spark, sf_dir, "legs"), ["l_orderkey"], F.expr("TIMESTAMP '2024-01-02 12:00:00'"), a).select("l_orderkey", "executable")
+    fills = execution.value_execution(rule_queries.staged(spark, sf_dir, "legs"), ["l_orderkey"], F.expr("TIMESTAMP '2024-01-02 12:00:00'"), a, unique=False).select("l_orderkey", "executable")
     bound = F.when(F.col("l_orderkey") % 4 != 0, F.lit(4000.0) - F.col("l_orderkey") % 7 * 500.0)
     return workflows.entry_risk(scenarios.where("l_orderkey % 3 <> 0"), ["l_orderkey"], fills, bound, 3500.0, 500.0, 0.75)
 
