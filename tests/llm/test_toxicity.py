@@ -42,7 +42,7 @@ def test_held_out_accuracy_and_odd_texts(spark):
 
 
 def test_the_query_equals_sentences_scored_one_by_one(spark):
-    """Plain loops over the words of every document, with the model that the query fits."""
+    """Plain loops over the feature sets of every document's sentences, with the model that the query fits."""
     data = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     model = T.fit_toxicity(docs, labels, ~T.held_out(parts=4, part=2))
@@ -51,9 +51,9 @@ def test_the_query_equals_sentences_scored_one_by_one(spark):
     for r in docs.collect():
         clean, bad, number, seen = 1.0, [], 0, set()
         for token in [*(r.text or "").lower().replace("\n", " \0 ").split(), "\0"]:
-            seen.add(token)
+            seen |= {f for f in T.features_of(token) if f in model.number}
             if token == "\0" or token[-1] in ".!?…。":
-                z = model.bias + sum(model.token_weight(t) for t in seen)
+                z = model.bias + sum(model.weight[model.number[f]] for f in seen)
                 p = 1 / (1 + math.exp(-z))
                 clean *= 1 - p
                 if p >= 0.3:
@@ -72,3 +72,16 @@ def test_the_sample_is_bounded_by_characters(spark):
     assert few == [("abc", 1), ("de", 0)]
     small = T.fit_toxicity(docs, labels, F.lit(True), sample_chars=2000)
     assert small.prior != 1.0 and {r.doc_id for r in T.toxicity(docs, small).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_features_that_tokens_share_count_once_a_sentence(spark):
+    """Repetition, punctuation and common beginnings don't add up."""
+    model = T.Model({"idiot": 0, "idio-": 1}, np.array([1.0, 0.5]), -3.0, 0.1)
+    texts = ["idiot", "idiot idiot,", 'idiot, "idiot" (idiot)', "idiots idiotic", "idiots", "Idiot\nidiot. x\n\nİdiot idiot!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in T.toxicity(docs, model, least=0.15).collect()}
+    one, begin, none = (1 / (1 + math.exp(-z)) for z in (-1.5, -2.5, -3.0))
+    assert [got[k].score for k in range(5)] == pytest.approx([one, one, one, begin, begin])
+    r = got[5]
+    assert r.score == pytest.approx(1 - (1 - one) ** 3 * (1 - none) ** 3) and r.sentences == [0, 1, 4]
+    assert r.sentence_texts == ["Idiot", "idiot.", "İdiot idiot!"] == [texts[5][a:b] for a, b in zip(r.sentence_starts, r.sentence_ends, strict=True)]

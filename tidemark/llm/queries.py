@@ -44,7 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(parts=4, part=2))
     found = toxicity.toxicity(docs, model, least=0.3)
-    return found.select("doc_id", toxicity.held_out(parts=4, part=2).alias("held_out"), "score", "predicted", "sentences", "sentence_texts")
+    return found.select("doc_id", toxicity.held_out(parts=4, part=2).alias("held_out"), "score", "predicted", "sentences", "sentence_starts", "sentence_ends", "sentence_texts")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

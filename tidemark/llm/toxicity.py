@@ -6,7 +6,7 @@ p = 1 - prod(1 - p_sentence). The same sentence scores then tell where the offen
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +24,9 @@ FEATURES, MIN_DOCS = 4096, 8
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
 #: Tokens, and characters of them, that a Python worker remembers; beyond either it starts anew.
 _CACHE, _CACHE_CHARS = 700_000, 1 << 23
+#: Features of a word at most (see features_of).
+_WORD_FEATURES = 4
+_TOKEN = re.compile(r"\n|\S+")
 _ENDS = (".", "!", "?", "…", "。")
 
 
@@ -53,9 +56,12 @@ class Model:
             self._weights = _Weights(self)
         return self._weights
 
+    def token_features(self, token: str) -> list[int]:
+        """The numbers of the token's features that the model knows."""
+        return sorted({k for f in features_of(token) if (k := self.number.get(f)) is not None})
+
     def token_weight(self, token: str) -> float:
-        found = {k for f in features_of(token) if (k := self.number.get(f)) is not None}
-        return float(self.weight[sorted(found)].sum()) if found else 0.0
+        return float(self.weight[self.token_features(token)].sum())
 
     @classmethod
     def fit(cls, rows: Iterator[tuple[str, int]]) -> Model:
@@ -122,25 +128,56 @@ class Model:
 
 
 class _Weights(dict):
-    """Token -> row of a growing table of (weight, ends a sentence)."""
+    """Token -> row of growing tables: its features (-1: none), and whether it ends a sentence."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.table, self.chars = model, np.zeros((0, 2)), 0
+        self.model = model
+        self._empty()
+
+    def _empty(self) -> None:
+        self.features, self.ends, self.chars = np.zeros((0, _WORD_FEATURES), np.int32), np.zeros(0, bool), 0
 
     def rows(self, tokens: list[str]) -> np.ndarray:
         if len(self) > _CACHE or self.chars > _CACHE_CHARS:
             self.clear()
-            self.table, self.chars = self.table[:0], 0
+            self._empty()
         new = [t for t in dict.fromkeys(tokens) if t not in self]
-        rows = [(self.model.token_weight(t), float(ends_sentence(t))) for t in new]
-        for t in new:
+        features = np.full((len(new), _WORD_FEATURES), -1, np.int32)
+        for i, t in enumerate(new):
+            own = self.model.token_features(t)
+            features[i, : len(own)] = own
             self[t] = len(self)
         self.chars += sum(map(len, new))
-        self.table = np.concatenate([self.table, np.array(rows, float).reshape(-1, 2)])
+        self.features = np.concatenate([self.features, features])
+        self.ends = np.concatenate([self.ends, np.fromiter(map(ends_sentence, new), bool, len(new))])
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
+def sentence_logits(model: Model, features: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+    """The logits of n sentences from their tokens' features (-1: none): a feature counts once in a sentence, whichever of its
+    tokens have it, as when fitting."""
+    token, place = np.nonzero(features >= 0)
+    width = max(1, len(model.number))
+    pair = np.unique(sentence[token] * width + features[token, place])
+    return model.bias + np.bincount(pair // width, model.weight[pair % width], n)
+
+
+def sentence_spans(text: str, numbers: set[int]) -> dict[int, tuple[int, int]]:
+    """Where the sentences of these numbers begin and end (exclusive) in a text, in code points; one without words is empty."""
+    out: dict[int, tuple[int, int]] = {}
+    number, start, end = 0, None, 0
+    for m in _TOKEN.finditer(text + "\n"):
+        line = m[0] == "\n"
+        if not line:
+            start, end = m.start() if start is None else start, m.end()
+        if ends_sentence("\x00" if line else m[0].lower()):
+            if number in numbers:
+                out[number] = (start, end) if start is not None else (m.start(), m.start())
+            number, start = number + 1, None
+    return out
+
+
 def _score(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -156,12 +193,10 @@ def _score(shared, least: float):
                     first.append(len(tokens))
                     to += 1
                 k = weights.rows(tokens)
-                end = np.flatnonzero(weights.table[k, 1]) + 1
+                end = np.flatnonzero(weights.ends[k]) + 1
                 start = np.concatenate([[0], end[:-1]])
-                told = np.flatnonzero(weights.table[k, 0])
-                # A word counts once in a sentence, as when fitting.
-                pair = np.unique(np.stack([np.searchsorted(start, told, "right") - 1, k[told]], 1), axis=0)
-                z = model.bias + np.bincount(pair[:, 0], weights.table[pair[:, 1], 0], len(start))
+                told = np.flatnonzero(weights.features[k, 0] >= 0)
+                z = sentence_logits(model, weights.features[k[told]], np.searchsorted(start, told, "right") - 1, len(start))
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 doc = np.searchsorted(first, start, "right") - 1
                 n = to - row
@@ -170,15 +205,16 @@ def _score(shared, least: float):
                     score = np.full(n, model.prior)
                 head = np.searchsorted(doc, np.arange(n))
                 bad = np.flatnonzero(p >= least)
-                places = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(doc[bad], np.arange(n + 1)).astype(np.int32)), pa.array(bad - head[doc[bad]])
-                )
-                words = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(doc[bad], np.arange(n + 1)).astype(np.int32)),
-                    pa.array([" ".join(t for t in tokens[start[i] : end[i]] if t != "\x00") for i in bad], pa.string()),
-                )
+                number, upto = bad - head[doc[bad]], np.searchsorted(doc[bad], np.arange(n + 1)).astype(np.int32)
+                spans = []
+                for i in np.unique(doc[bad]).tolist():
+                    own = number[upto[i] : upto[i + 1]].tolist()
+                    found = sentence_spans(texts[row + i] or "", set(own))
+                    spans += [(*found[x], (texts[row + i] or "")[slice(*found[x])]) for x in own]
+                columns = [pa.array(number), *(pa.array([x[c] for x in spans], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.string())))]
+                lists = [pa.ListArray.from_arrays(pa.array(upto), c) for c in columns]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n), pa.array(score), places, words], ["doc_id", "score", "sentences", "sentence_texts"]
+                    [batch.column(0).slice(row, n), pa.array(score), *lists], ["doc_id", "score", "sentences", "sentence_starts", "sentence_ends", "sentence_texts"]
                 )
                 row = to
 
@@ -215,14 +251,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample_docs:
 
 
 def toxicity(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """docs -> (doc_id, score, predicted, sentences, sentence_texts): the chance that the whole text is toxic, whether it is `least`
-    or more, and numbers (from 0) and lower-cased words of the sentences that reach `least` by themselves.
+    """docs -> (doc_id, score, predicted, sentences, sentence_starts, sentence_ends, sentence_texts): the chance that the whole text is
+    toxic, whether it is `least` or more, and of the sentences that reach `least` by themselves the numbers (from 0), their places in
+    code points (ends exclusive), and these parts of the text.
 
     Sentences end at new lines and after words that end in a full stop, '!', '?' or the like. Null and empty texts have
     one empty sentence and so the lowest score. Null ids and repeated rows are kept, other columns ignored, an empty
     table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    shape = "doc_id long, score double, sentences array<long>, sentence_texts array<string>"
+    shape = "doc_id long, score double, sentences array<long>, sentence_starts array<long>, sentence_ends array<long>, sentence_texts array<string>"
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(shared, least), shape)
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
