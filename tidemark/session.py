@@ -67,11 +67,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: ends its lineage and survives lost executors."""
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: ends its lineage and survives lost executors. compression: the
+    files' codec, such as zstd for texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if _held.scratches:
         _held.scratches[-1].paths[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
