@@ -67,3 +67,13 @@ def test_bins_bound_and_best_fit():
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    """200,000 copies of a row without id and text fill many packers evenly."""
+    df = spark.range(200_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text").union(spark.range(1000).selectExpr("id", "'a b c'"))
+    out = pack(df, length=64, packer_pieces=20_000)
+    rows = out.selectExpr("sequence_id >> 32 AS packer", "sequence_id", "offset", "length").groupBy("packer").agg({"length": "sum", "*": "count"}).collect()
+    counts = [r["count(1)"] for r in rows]
+    assert len(counts) == 11 and sum(counts) == 201_000 and max(counts) < 1.1 * min(counts)
+    assert out.select("sequence_id").distinct().count() <= 1.02 * (200_000 + 4000) / 64 + 11

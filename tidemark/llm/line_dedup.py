@@ -149,12 +149,14 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     names = docs.columns
     row = F.struct(*(F.col(c) for c in names if c != text_col)) if keep_columns else F.lit(None).cast("boolean")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("row"))
+    # Rows get a number that is written once, so that all passes deal them alike, and repeated rows apart.
+    docs = cut(docs.withColumn("number", F.monotonically_increasing_id()), "zstd")
     n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / BLOCK_DOCS), math.ceil(chars / BLOCK_CHARS))
     keys = F.transform(F.split("text", "\n", -1), _line_key)
     hashed = docs.withColumn("keys", keys).select(
         "doc_id", "text", "row", F.size("keys").cast("long").alias("n_lines"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),  # null and repeated ids are dealt by their texts
+        F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block"),
         F.transform("keys", lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(k))).alias("a"),
         F.transform("keys", lambda k: F.when(F.length(k) >= min_chars, F.xxhash64(F.lit(1), k))).alias("b"),
     )

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,7 @@ def _pieces(path: str, length: int, separator: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
         hold_only(tokenizer)
+        number = TaskContext.get().partitionId() << 40  # of a piece
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for row, to, ids, first in tokenizer.encode(batch.column(1)):
@@ -128,7 +130,9 @@ def _pieces(path: str, length: int, separator: int, with_ids: bool):
                             tokens.append(x.astype(np.int32))
                 columns = [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32())]
                 columns += [pa.array(out[k], pa.int64()) for k in ("start", "length", "ids_crc32")]
-                names = [*out]
+                columns.append(pa.array(number + np.arange(len(out["doc_id"])), pa.int64()))
+                number += len(out["doc_id"])
+                names = [*out, "number"]
                 if with_ids:
                     columns.append(pa.array(tokens, pa.list_(pa.int32())))
                     names.append("ids")
@@ -179,7 +183,7 @@ def _pack(capacity: int, most: int):
         packer = rows["packer"][0].as_py() if rows.num_rows else 0
         number = pa.array([(packer << 32) | b for b, _ in place], pa.int64())
         rows = rows.append_column("sequence_id", number).append_column("offset", pa.array([o for _, o in place], pa.int64()))
-        return rows.drop_columns(["packer"])
+        return rows.drop_columns(["packer", "number"])
 
     return run
 
@@ -191,14 +195,15 @@ def pack(
     """docs -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, with_ids: ids.
 
     A document is its ids and then the separator; only those of over `length` ids are cut, into pieces of `length`. The
-    pieces' sizes are dealt at random to packers of about packer_pieces pieces; each packs its own with open_bins bins.
+    pieces are dealt at random, by their numbers, to packers of about packer_pieces pieces; each packs its own with open_bins bins.
 
     Null and empty texts are the separator alone; null ids and repeated rows are packed as documents of their own; an empty table gives an empty result;
     other columns are ignored. Texts are tokenised once: the pieces (without texts) are written to the shared folder.
     """
     docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = cut(docs.mapInArrow(_pieces(path or vocabulary_path(), length, separator, with_ids), shape))
+    shape, ids = "doc_id long, piece int, start long, length long, ids_crc32 long", ", ids array<int>" * with_ids
+    pieces = cut(docs.mapInArrow(_pieces(path or vocabulary_path(), length, separator, with_ids), f"{shape}, number long{ids}"))
     packers = max(1, math.ceil(pieces.count() / packer_pieces))
-    dealt = pieces.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)))
+    shape += ids
+    dealt = pieces.withColumn("packer", F.pmod(F.xxhash64("number"), F.lit(packers)))  # repeated rows are dealt apart
     return dealt.groupBy("packer").applyInArrow(_pack(length, open_bins), shape + ", sequence_id long, offset long")
