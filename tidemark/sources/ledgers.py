@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ from tidemark.functions.scalars import canonical_json, unseal
 from tidemark.operators import rules
 from tidemark.session import cut
 from tidemark.sources.loaders import exists, or_fail
-from tidemark.sources.sinks import append_once, content_hash
+from tidemark.sources.log import Log
+from tidemark.sources.sinks import content_hash
 
 GENESIS = "GENESIS"
 #: Fixed values of the binary day format: its magic, the record type of minute bars, and the unit of prices.
@@ -31,11 +33,15 @@ def verified(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str, key: str, shape: str) -> DataFrame:
-    """A Parquet ledger written by append_once, verified row by row; a missing one is empty. shape: its columns without the hash."""
+    """A ledger written by append_once, verified row by row; a missing one is empty. shape: its columns without the hash. Files that
+    were put beside the ledger's commits are read, and so verified, too."""
     names = [c.split()[0] for c in shape.split(", ")]
-    if not exists(spark, path):
+    log = Log(spark, path)
+    strays = any(n.endswith(".parquet") for n in log.files.names(path))
+    found = [x for x in (log.read(), spark.read.parquet(f"{path}/*.parquet") if strays else None) if x is not None]
+    if not found:
         return spark.createDataFrame([], f"{shape}, content_hash string")
-    return verified(spark.read.parquet(path), key, [c for c in names if c != key]).select(*names, "content_hash")
+    return verified(functools.reduce(DataFrame.unionByName, found), key, [c for c in names if c != key]).select(*names, "content_hash")
 
 
 def scope(logical_key: Column, wanted: str) -> Column:
@@ -120,9 +126,14 @@ def landed(spark: SparkSession, path: str, key: Column) -> DataFrame:
     return rows.withColumn("payload", or_fail(F.col("payload"), F.sha2("payload", 256) == F.col("payload_sha256"), "a landed batch can't be opened or verified")).drop("sealed")
 
 
-def put_if_absent(spark: SparkSession, objects: DataFrame, path: str, key: str) -> int:
-    """A create-exclusive object store: an object (key and its columns) is written once; other content for it is a Conflict."""
-    return append_once(spark, objects, path, key)
+def put_if_absent(spark: SparkSession, objects: DataFrame, path: str, key: str) -> DataFrame:
+    """A create-exclusive object store: of an object (key and its columns) the first content stays, whichever writer comes first
+    -> the objects as they are stored."""
+    log = Log(spark, path)
+    log.append(objects, key, keep_first=True)
+    stored = log.read()
+    asked = objects.select(key).distinct()
+    return asked.limit(0) if stored is None else stored.join(asked, key, "left_semi").drop("content_hash")
 
 
 def _minute_bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
-
 
 class Conflict(ValueError):
     """A key was to be appended again with other content."""
@@ -19,27 +17,15 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
 
 
 def append_once(spark: SparkSession, rows: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key isn't in the Parquet ledger yet -> how many. The same key with the same content is passed
+    """Appends rows whose key isn't in the ledger at a path yet -> how many. The same key with the same content is passed
     over; with other content, or twice in rows with different contents, nothing is written and Conflict is raised.
 
-    rows are read once and written to the shared folder first, so that what is checked is what is appended. One writer a
-    ledger: check and append aren't one step, and two writers at once could both append a key."""
-    new = cut(content_hash(rows, key).dropDuplicates([key, "content_hash"]))
-    try:
-        old = spark.read.parquet(path).select(F.col(key), F.col("content_hash").alias("known"))
-    except Exception as e:  # no ledger yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = new.select(key, F.col("content_hash").alias("known")).limit(0)
-    both = new.join(old, key, "left")
-    twice = new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    if not both.where("known IS NOT NULL AND known <> content_hash").isEmpty() or not twice.isEmpty():
-        raise Conflict(f"other content for a known {key}")
-    fresh = both.where("known IS NULL").drop("known")
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    return n
+    An append is one commit of a log (log.Log): what is checked is what is appended, and of several writers at once one comes
+    first and the others check against it.
+    """
+    from tidemark.sources.log import Log
+
+    return Log(spark, path).append(rows, key)
 
 
 def write_records(rows: DataFrame, path: str, append: bool = True) -> None:
