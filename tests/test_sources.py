@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from tidemark.plans.models import Descriptor, Registry
 from tidemark.sources import loaders, sinks
 from tidemark.streaming import folds
 
@@ -146,3 +147,22 @@ def test_chain_day(spark):
         loaders.chain_day(raw_bars, raw_quotes, "2026-08-19")
     with pytest.raises(ValueError, match="missing columns: ask_px_00"):
         loaders.quotes(raw_quotes.drop("ask_px_00"))
+
+
+def test_detectors_as_table_functions(spark):
+    def detect(row):
+        for i in range(row["n"] or 0):
+            yield f"{row['k']}{i}", i
+
+    registry = Registry()
+    registry.register_rows(spark, Descriptor("copies", "v1", "h"), detect, ["k", "n"], "name string, i int")
+    df = spark.createDataFrame([("a", 2, 1.0), ("b", 0, 2.0), ("c", None, 3.0), ("d", 1, 4.0)], "k string, n int, extra double")
+    df.createOrReplaceTempView("counted")
+    want = [("a", "a0", 0, "copies@v1#h"), ("a", "a1", 1, "copies@v1#h"), ("d", "d0", 0, "copies@v1#h")]
+    assert sorted(map(tuple, spark.sql("SELECT c.k, d.* FROM counted c, LATERAL copies(c.k, c.n) d").collect())) == want
+    assert sorted(map(tuple, spark.sql("SELECT * FROM copies(TABLE(counted) PARTITION BY k)").collect())) == [w[1:] for w in want]
+    for bad, why in (("SELECT * FROM copies(TABLE(SELECT k FROM counted))", "missing columns: n"), ("SELECT * FROM copies(1)", "reads k, n")):
+        with pytest.raises(Exception, match=why):
+            spark.sql(bad).collect()
+    with pytest.raises(ValueError, match="taken"):
+        registry.register_rows(spark, Descriptor("copies", "v2", "h"), detect, ["k"], "name string")

@@ -66,8 +66,8 @@ def condor_price(legs: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFra
     return out.withColumn("priced", F.col("credit").isNotNull())
 
 
-def round_trip_fees(contracts: int, commission: float, regulatory: float, fixed: float = 0.0) -> float:
-    """Fees of opening and closing four legs, in currency."""
+def round_trip_fees(contracts: int | Column, commission: float, regulatory: float, fixed: float = 0.0) -> float | Column:
+    """Fees of opening and closing four legs, in currency; contracts: a number or a column."""
     return 2 * (4 * contracts * (commission + regulatory) + fixed)
 
 

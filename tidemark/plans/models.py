@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tidemark.operators import gates
 
@@ -49,6 +52,17 @@ class Registry:
         rows = gates.decide(snapshots, model(), required, loaded)
         return rows.withColumn("model", loaded)
 
+    def register_rows(self, spark: SparkSession, descriptor: Descriptor, detect: Callable[[dict[str, Any]], Iterable[tuple]], reads: list[str], gives: str) -> None:
+        """Registers a detector that finds any number of candidates in one row as a table function of its name, for SQL and lateral joins:
+
+            SELECT t.id, d.* FROM t, LATERAL name(t.a, t.b) d          one argument for each column of `reads`, in order
+            SELECT * FROM name(TABLE(t) PARTITION BY k)                a table that has these columns
+
+        gives: the columns of a candidate, to which `detector`, the identity, is added. Rows travel in Arrow batches.
+        """
+        self.register(descriptor, detect)
+        spark.udtf.register(descriptor.name, F.udtf(row_detector(descriptor.identity, detect, reads, gives), useArrow=True))
+
     def detect(self, name: str, inputs: DataFrame, inferred_kinds: tuple[str, ...] = ()) -> DataFrame:
         """The detector's candidates with what forbids them and their identities."""
         descriptor, detector = self.get(name)
@@ -57,6 +71,28 @@ class Registry:
         return found.withColumn("violations", gates.candidate_violations(universe, inferred_kinds)).withColumn("candidate_id", gates.candidate_id())
 
 
+def row_detector(identity: str, detect: Callable[[dict[str, Any]], Iterable[tuple]], reads: list[str], gives: str) -> type:
+    """The handler of a table function: checks what it is called with, and hands rows to `detect` as dicts."""
+    schema = StructType.fromDDL(gives).add("detector", StringType())
+
+    class Handler:
+        @staticmethod
+        def analyze(*args: AnalyzeArgument) -> AnalyzeResult:
+            if len(args) == 1 and args[0].isTable:
+                if missing := sorted(set(reads) - set(args[0].dataType.names)):
+                    raise ValueError(f"missing columns: {', '.join(missing)}")
+            elif len(args) != len(reads):
+                raise ValueError(f"the detector reads {', '.join(reads)}")
+            return AnalyzeResult(schema=schema)
+
+        def eval(self, *args: Any) -> Iterable[tuple]:
+            row = args[0].asDict() if isinstance(args[0], Row) else dict(zip(reads, args, strict=True))
+            for found in detect(row):
+                yield (*found, identity)
+
+    return Handler
+
+
 def null_sender(messages: DataFrame) -> DataFrame:
     """Sends nothing: every message fails for good."""
     return messages.select("message_id", F.lit("PERMANENT_FAILURE").alias("outcome"), F.lit("NO_SENDER").alias("reason"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import batch_queries, market_queries, record_queries, rule_queries, tail_queries, workflow_queries
+from tidemark.plans import batch_queries, market_queries, mechanism_queries, record_queries, rule_queries, tail_queries, workflow_queries
 
-_MODULES = (market_queries, tail_queries, record_queries, workflow_queries, rule_queries, batch_queries)
+_MODULES = (market_queries, tail_queries, record_queries, workflow_queries, rule_queries, batch_queries, mechanism_queries)
 
 
 def queries() -> dict:
