@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import execution, market, tails, workflows
+from tidemark.operators import execution, market, refits, tails, workflows
 from tidemark.plans import rule_queries
 from tidemark.plans.views import view, with_views
 from tidemark.session import cut, table
@@ -208,6 +208,32 @@ SELECT model, fold, count(*) AS test_days, count(*) - count(ud) AS abstain_days,
 FROM x GROUP BY GROUPING SETS ((model, fold), (model))""", "labels_day")
 
 
+def _refit_days(spark, sf_dir):
+    return view(spark, sf_dir, "labels_day").select("day", "up_max", "down_max", F.when(F.dayofmonth("day") % 7 != 0, F.col("up_max") / F.col("down_max")).alias("iv"))
+
+
+def daily_refits(spark, sf_dir):
+    """Every labelled day's distances by two models that are fitted anew on the days before it."""
+    return refits.daily_recommendations(_refit_days(spark, sf_dir), MODELS[:2], _MIN_TRAIN, _GAP)
+
+
+def daily_buffered_refits(spark, sf_dir):
+    """The same by the two models with buffers; tests/test_refits.py holds them against models fitted day by day."""
+    return refits.daily_recommendations(_refit_days(spark, sf_dir), MODELS[2:], _MIN_TRAIN, _GAP)
+
+
+REFITS = with_views(f""", l AS (SELECT *, CASE WHEN day(day) % 7 <> 0 THEN up_max / down_max END AS iv FROM labels_day), train AS (SELECT a.day AS fold, b.up_max, b.down_max, b.iv FROM l a JOIN l b ON b.day <= a.day - INTERVAL {_GAP} DAY),
+u AS (SELECT fold, count(*) AS n, quantile_disc(up_max, 0.9) AS up, quantile_disc(down_max, 0.9) AS down FROM train GROUP BY fold),
+cuts AS (SELECT fold, quantile_disc(iv, 0.25) AS c1, quantile_disc(iv, 0.5) AS c2, quantile_disc(iv, 0.75) AS c3, quantile_disc(up_max, 0.9) AS vup, quantile_disc(down_max, 0.9) AS vdown FROM train WHERE iv IS NOT NULL GROUP BY fold),
+tv AS (SELECT t.fold, up_max, down_max, CASE WHEN iv < c1 THEN 'IV_Q1' WHEN iv < c2 THEN 'IV_Q2' WHEN iv < c3 THEN 'IV_Q3' ELSE 'IV_Q4' END AS bucket FROM train t JOIN cuts USING (fold) WHERE iv IS NOT NULL),
+ur AS (SELECT fold, bucket, quantile_disc(up_max, 0.9) AS up, quantile_disc(down_max, 0.9) AS down FROM tv GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT day, coalesce(n, 0) AS n, u.up, u.down, vup, vdown, CASE WHEN iv IS NULL OR c1 IS NULL THEN NULL WHEN iv < c1 THEN 'IV_Q1' WHEN iv < c2 THEN 'IV_Q2' WHEN iv < c3 THEN 'IV_Q3' ELSE 'IV_Q4' END AS bucket FROM l LEFT JOIN u ON u.fold = day LEFT JOIN cuts ON cuts.fold = day),
+r AS (SELECT day, 'unconditional' AS model, n, up, down, 'UNCONDITIONAL' AS regime FROM x
+  UNION ALL SELECT day, 'iv_regime', n, CASE WHEN x.bucket IS NOT NULL THEN coalesce(ur.up, vup) END, CASE WHEN x.bucket IS NOT NULL THEN coalesce(ur.down, vdown) END, CASE WHEN ur.up IS NULL THEN x.bucket || '_FALLBACK' ELSE x.bucket END FROM x LEFT JOIN ur ON ur.fold = day AND ur.bucket = x.bucket)
+SELECT day, model, n AS n_train, CASE WHEN n < {_MIN_TRAIN} THEN 'INSUFFICIENT_HISTORY' WHEN up IS NULL THEN 'ABSTAIN' ELSE 'RECOMMENDED' END AS outcome, CASE WHEN n >= {_MIN_TRAIN} AND up IS NOT NULL THEN greatest(up, 1.0) END AS up_distance, CASE WHEN n >= {_MIN_TRAIN} AND down IS NOT NULL THEN greatest(down, 1.0) END AS down_distance,
+  CASE WHEN n >= {_MIN_TRAIN} THEN regime END AS regime FROM r""", "labels_day")
+
+
 def ingest_plan(spark, sf_dir):
     """Orders as pulls of their days, by their costs: what is present, not due, a gap, without a chain, or planned."""
     o, k, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate").alias("day")
@@ -227,5 +253,5 @@ SELECT outcome, count(*) AS n, CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE)
 QUERIES = {
     "ingest_plan": (ingest_plan, PLAN),
     "label_batch": (label_batch, LABEL_BATCH), "feature_outcomes": (feature_outcomes, FEATURES), "economics_days": (economics_days, ECONOMICS), "economics_report": (economics_report, REPORT), "exit_comparison": (exit_comparison, EXITS),
-    "exit_report": (exit_report, EXIT_REPORT), "entry_risk": (entry_risk, ENTRY_RISK), "walk_forward_models": (walk_forward_models, WALK_FORWARD),
+    "exit_report": (exit_report, EXIT_REPORT), "entry_risk": (entry_risk, ENTRY_RISK), "walk_forward_models": (walk_forward_models, WALK_FORWARD), "daily_refits": (daily_refits, REFITS), "daily_buffered_refits": (daily_buffered_refits, None),
 }
