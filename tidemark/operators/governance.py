@@ -1,4 +1,5 @@
-"""Model governance over append-only tables: champions, frozen sessions, and the checks of promotions and rollbacks."""
+"""Model governance over append-only tables: champions, frozen sessions, and the checks of promotions and rollbacks. What is appended when
+these hold is sources.governance_log's."""
 
 from __future__ import annotations
 

@@ -105,24 +105,25 @@ def chained(spark: SparkSession, path: str, keys: list[str], columns: list[str],
 
 
 def land(spark: SparkSession, batches: DataFrame, path: str, key: Column, seal_with) -> int:
-    """Lands payloads (provider, dataset, logical_key, first_seen_at, payload) sealed and content-addressed -> how many are new.
+    """Lands payloads (provider, dataset, logical_key, first_seen_at, payload) sealed and content-addressed, in one commit -> how many are new.
     seal_with: (payload, key, context) -> sealed column, such as scalars.seal. The same batch again is passed over."""
     ids = F.sha2(F.concat_ws("|", "provider", "dataset", F.sha2("logical_key", 256), F.col("first_seen_at").cast("string"), F.sha2("payload", 256)), 256)
     rows = batches.withColumn("landing_id", ids).withColumn("payload_sha256", F.sha2("payload", 256))
     safe = F.col("provider").rlike("^[A-Za-z0-9._-]+$") & F.col("dataset").rlike("^[A-Za-z0-9._-]+$") & (F.length("payload") > 0)
     rows = rows.withColumn("landing_id", or_fail(F.col("landing_id"), safe, "landing needs safe names and a payload"))
-    known = spark.read.parquet(path).select("landing_id") if exists(spark, path) else rows.select("landing_id").limit(0)
-    fresh = rows.dropDuplicates(["landing_id"]).join(known, "landing_id", "left_anti")  # a nonce makes each seal differ: ids decide
-    sealed = cut(fresh.withColumn("sealed", seal_with(F.col("payload"), key, F.concat_ws(":", "landing_id", "provider", "dataset"))).drop("payload"))
-    n = sealed.count()
-    if n:
-        sealed.write.mode("append").parquet(path)
-    return n
+    known = Log(spark, path).read()
+    fresh = rows.dropDuplicates(["landing_id"])
+    fresh = fresh if known is None else fresh.join(known.select("landing_id"), "landing_id", "left_anti")  # a nonce makes each seal differ: ids decide
+    sealed = fresh.withColumn("sealed", seal_with(F.col("payload"), key, F.concat_ws(":", "landing_id", "provider", "dataset"))).drop("payload")
+    return Log(spark, path).append(sealed, "landing_id", keep_first=True)
 
 
 def landed(spark: SparkSession, path: str, key: Column) -> DataFrame:
     """The landed batches with their payloads, opened and checked against their hashes; the job fails at a false one."""
-    rows = spark.read.parquet(path).withColumn("payload", unseal(F.col("sealed"), key, F.concat_ws(":", "landing_id", "provider", "dataset")))
+    stored = Log(spark, path).read()
+    if stored is None:
+        raise ValueError(f"nothing has landed at {path}")
+    rows = stored.drop("content_hash").withColumn("payload", unseal(F.col("sealed"), key, F.concat_ws(":", "landing_id", "provider", "dataset")))
     return rows.withColumn("payload", or_fail(F.col("payload"), F.sha2("payload", 256) == F.col("payload_sha256"), "a landed batch can't be opened or verified")).drop("sealed")
 
 

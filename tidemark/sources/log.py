@@ -125,6 +125,11 @@ class Log:
         """The rows of all commits after a version, None before the first."""
         return self._read(self.commits(after))
 
+    def version(self) -> int:
+        """The last commit's, -1 before the first."""
+        found = self.commits()
+        return found[-1]["version"] if found else -1
+
     def last_seq(self) -> int:
         found = self.commits()
         return found[-1]["next"] - 1 if found else 0
@@ -148,8 +153,9 @@ class Log:
         entry = {"version": version, "data": data, "next": after, "schema": schema or (head or {}).get("schema"), "batches": batches, "info": info, "base": base, "at": time.time()}
         return self.files.create(f"{self.path}/_commits/{version:020d}.json", json.dumps(entry))
 
-    def append(self, rows: DataFrame, key: str | None = None, keep_first: bool = False, batch: tuple[str, int] | None = None, info: dict[str, Any] | None = None) -> int:
-        """Appends rows in one commit -> how many.
+    def append(self, rows: DataFrame, key: str | None = None, keep_first: bool = False, batch: tuple[str, int] | None = None, info: dict[str, Any] | None = None, expect: int | None = None) -> int:
+        """Appends rows in one commit -> how many. expect: the version (-1 for none) that rows were worked out from; a log that has gone on
+        since is a Conflict.
 
         With a key (and a column content_hash, which is added), a key that is there is passed over if its content is the same; other content,
         there or within rows, is a Conflict and nothing is appended, or with keep_first passed over too. batch (query, number): a batch
@@ -165,6 +171,8 @@ class Log:
         for _ in range(_TRIES):
             commits = self.commits()
             head = commits[-1] if commits else None
+            if expect is not None and (head["version"] if head else -1) != expect:
+                raise Conflict("the log has gone on")
             batches = dict(head["batches"]) if head else {}
             if batch:
                 if batches.get(batch[0], -1) >= batch[1]:
@@ -183,7 +191,8 @@ class Log:
                     return 0
                 written = self._write(new)
             name, n, schema = written
-            if head and head["schema"] and [(f["name"], f["type"]) for f in head["schema"]["fields"]] != [(f["name"], f["type"]) for f in schema["fields"]]:
+            fields = [{(f["name"], json.dumps(f["type"])) for f in x["fields"]} for x in (schema, head["schema"] if head and head["schema"] else schema)]
+            if fields[0] != fields[1]:
                 raise ValueError("rows have other columns than the log")
             data = [{"name": name, "first": head["next"] if head else 1}] if n else []
             if self._commit(head, data, n, schema, batches, info or {}):
