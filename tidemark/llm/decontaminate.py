@@ -21,15 +21,31 @@ from tidemark.session import cut
 PREFIX = 3
 #: Words of benchmark items that one pass over the documents looks for: 40 MB of arrays at most. More words: more passes.
 PASS_WORDS = 400_000
+#: Windows of one run of an item: longer items are several runs, and runs are dealt to passes.
+CHUNK = 4096
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, to, data, offsets in byte_slices(batch.column(1)):
-            w = words_of(data, offsets, ALNUM)
-            words = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(w.hash.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), words], ["item_id", "words"])
+def _item_words(window: int):
+    """(item_id, text) -> (item_id, words): items as runs of at most CHUNK windows, which overlap by a window less one word, so that every
+    window is in one run; a shorter item is one run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, data, offsets in byte_slices(batch.column(1)):
+                w = words_of(data, offsets, ALNUM)
+                ids, parts = [], []
+                for i in range(to - row):
+                    own = w.hash[w.first[i] : w.first[i + 1]].view(np.int64)
+                    starts = max(1, len(own) - window + 1)
+                    for at in range(0, starts if len(own) else 0, CHUNK):
+                        ids.append(row + i)
+                        parts.append(own[at : min(at + CHUNK, starts) + window - 1])
+                first = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), words], ["item_id", "words"])
+
+    return run
 
 
 def _tokens(w, k: int) -> np.ndarray:
@@ -238,10 +254,12 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, pass_words: int)
     """The number of passes, and for each its broadcast windows, with prefixes by the counts of all docs (text), and
     their token lengths."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = cut(items.mapInArrow(_item_words, "item_id string, words array<long>").where(F.size("words") > 0))
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    passes = max(1, -(-total // pass_words))
-    items = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)))
+    runs = items.mapInArrow(_item_words(window), "item_id string, words array<long>").dropDuplicates(["item_id", "words"])
+    runs = cut(runs.withColumn("run", F.monotonically_increasing_id()))
+    total = runs.agg(F.sum(F.size("words"))).first()[0] or 0
+    # Runs are short, and dealt by their numbers: passes are about even, and rarely larger than asked.
+    passes = 1 if total <= pass_words else -(-5 * total // (4 * pass_words))
+    items = runs.withColumn("pass", F.pmod(F.xxhash64("run"), F.lit(passes)))
     sc = docs.sparkSession.sparkContext
 
     def each() -> Iterator:
@@ -270,9 +288,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_
     consecutive words of a benchmark item; an item with fewer words, but not none, is one window. spans: word ranges
     (end exclusive) covered by occurrences of windows; n_hit: the words in them; items: ids of the items concerned.
 
-    The benchmark is looked for in passes of at most pass_words item words (an item of more words is a pass of its own),
-    so that what tasks hold of it is bounded; for several passes docs are written once with a key for each row, by which
-    all passes' findings are joined.
+    The benchmark is looked for in passes of about pass_words item words, so that what tasks hold of it is bounded: repeated
+    items count once, long ones are cut into runs of windows. For several passes docs are written once with a key for each
+    row, by which all passes' findings are joined.
 
     Null and empty texts have no words. Items without words are never found. An item with a null id counts in the spans and in
     n_hit as any other, but, having no id, neither in n_items nor in items. Items that repeat an id are one item of several
