@@ -1,9 +1,11 @@
 """The collector in scans against the machine row by row, on random feeds."""
 
+import datetime as dt
 import random
 
 import pytest
 
+from tidemark.sources import records
 from tidemark.streaming import feeds, folds
 
 SCHEMA = "provider string, event_id string, seq long, kind string, at double, schema_version string, source_ts double, payload string, instrument_id string"
@@ -73,3 +75,52 @@ def test_a_duplicate_is_refused_at_any_age(spark):
     got = feeds.collect(spark.createDataFrame(rows, SCHEMA), folds.Collector()).orderBy("seq").collect()
     assert [r.reasons for r in got[2:]] == ["", "COLLECTOR_STALE,DUPLICATE_EVENT", "COLLECTOR_STALE,DUPLICATE_OBSERVATION"]
     assert feeds.collect(spark.createDataFrame([], SCHEMA), folds.Collector()).collect() == []
+
+
+def test_report_of_a_run(spark):
+    from pyspark.sql import functions as F
+
+    names = "provider string, event_id string, seq long, kind string, at double, schema_version string, source_ts double, payload string, source string, published_at timestamp"
+    t = 1_700_000_000.0
+    rows = [(p, f"{p}{i}", i, k, t + i, "v1" if not (p == "bad" and i == 3) else "v2", t + i - (2.0 if (p, i) == ("good", 5) else 0), f"q{i}", s) for p in ("good", "bad") for i, (k, s) in enumerate([("START", None), ("CONNECTED", None), ("QUOTE", "x"), ("QUOTE", "y"), ("QUOTE", "x"), ("QUOTE", "x")])]
+    rows += [("lost", "l0", 0, "START", t, "v1", t, "", None), ("lost", "l1", 1, "CONNECTED", t, "v1", t, "", None), ("lost", "l2", 2, "QUOTE", t, "v1", t, "q", "x"), ("lost", "l3", 3, "CONNECTION_LOST", t + 1, "v1", t, "", None), ("lost", "l3", 4, "QUOTE", t + 2, "v1", t, "q", "x")]
+    events = spark.createDataFrame([(*r, None) for r in rows], names).withColumn("published_at", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    told = feeds.collect(events, folds.Collector())
+    quotes = feeds.counting_quotes(events, told)
+    assert {(r.provider, r.source): r.seq for r in quotes.collect()} == {("good", "x"): 4, ("good", "y"): 3, ("bad", "x"): 2}
+    able = spark.createDataFrame([("good", True, "VERIFIED", True, "GREEN"), ("bad", True, "VERIFIED", False, "GREEN")], "provider string, configured boolean, verification_status string, production_ready boolean, quality string")
+    report = spark.createDataFrame([("good", "GREEN", []), ("bad", "RED", ["STALE"])], "provider string, status string, reasons array<string>")
+    gate = lambda at: F.when(F.unix_seconds(at) >= int(t) + 5, F.array(F.lit("SESSION_CLOSED")))
+    got = {r.provider: r for r in feeds.run_report(events, told, able, report).collect()}
+    assert (got["good"].state, got["good"].reasons, got["good"].accepted_quotes, got["good"].out_of_order) == ("STREAMING", [], 3, 1)
+    assert got["bad"].reasons == ["CAPABILITY_NOT_PRODUCTION_READY", "COLLECTOR_HALTED", "SCHEMA_DRIFT", "STALE"]
+    assert got["lost"].reasons == ["CAPABILITY_NOT_CONFIGURED", "CAPABILITY_NOT_PRODUCTION_READY", "CAPABILITY_QUALITY_NOT_GREEN", "CAPABILITY_UNVERIFIED", "COLLECTOR_BACKING_OFF", "NO_QUALITY_REPORT"]
+    assert (got["lost"].duplicate_events, got["lost"].accepted_quotes) == (1, 1)
+    closed = {r.provider: r.reasons for r in feeds.run_report(events, told, able, report, gate).collect()}
+    assert closed["good"] == ["SESSION_CLOSED"] and "SESSION_CLOSED" not in closed["lost"]
+    distinct = events.where("NOT (provider = 'lost' AND seq = 4)")
+    inputs, outputs = feeds.event_records(distinct, ["payload"], "v1"), feeds.output_records(distinct, told, "tidemark")
+    for found in (inputs, outputs):
+        assert found.count() == 16 and records.record_faults(found).where("size(faults) > 0").count() == 0
+    one = outputs.where("logical_key = 'collector-output:good:good5'").first()
+    assert '"reasons":["BEHIND_WATERMARK","OUT_OF_ORDER_OBSERVATION"]' in one.canonical_content and one.provider == "tidemark"
+
+
+def test_tasks_are_what_their_reviews_make_of_them(spark, tmp_path):
+    from tidemark.sources.attribution_log import REVIEWS, TASKS, AttributionLog
+    from tidemark.sources.sinks import Conflict
+
+    log, at = AttributionLog(spark, str(tmp_path / "a")), dt.datetime(2026, 8, 17)
+    assert log.tasks().collect() == []
+    task = lambda i, s, keep=False: (f"t{i}", s, at + dt.timedelta(hours=i), "PENDING", keep)
+    assert log.add_tasks(spark.createDataFrame([task(1, "s1"), task(2, "s2", True)], TASKS)).count() == 2
+    assert [r.task_id for r in log.add_tasks(spark.createDataFrame([task(9, "s1")], TASKS)).collect()] == ["t1"]  # one task a signal
+    review = lambda i, t, status, keep, h: (f"r{i}", t, at + dt.timedelta(days=1, hours=h), status, keep, "x")
+    assert log.add_reviews(spark.createDataFrame([review(1, "t1", "ACCEPTED", True, 2), review(2, "t1", "REJECTED", False, 3), review(3, "t2", "ACCEPTED", None, 0)], REVIEWS)) == 3
+    assert {r.task_id: (r.review_status, r.retained) for r in log.tasks().collect()} == {"t1": ("REJECTED", True), "t2": ("ACCEPTED", True)}
+    assert log.add_reviews(spark.createDataFrame([review(1, "t1", "ACCEPTED", True, 2)], REVIEWS)) == 0
+    with pytest.raises(Conflict):
+        log.add_reviews(spark.createDataFrame([review(1, "t1", "REJECTED", True, 2)], REVIEWS))
+    with pytest.raises(Exception, match="unknown attribution task"):
+        log.add_reviews(spark.createDataFrame([review(4, "t7", "ACCEPTED", True, 2)], REVIEWS))
+    assert [r.task_id for r in log.latest(1).collect()] == ["t2"]

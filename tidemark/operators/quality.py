@@ -125,12 +125,14 @@ def quality_snapshot(events: DataFrame, keys: list[str], seq: str, kind: str = "
     return asof.latest_per_key(quotes, [*keys, "source"], [seq], [c for c in events.columns if c not in (*keys, "source", kind)])
 
 
+#: What can be wrong with a capability.
+CAPABILITY_CODES = ("CAPABILITY_NOT_CONFIGURED", "CAPABILITY_UNVERIFIED", "CAPABILITY_NOT_PRODUCTION_READY", "CAPABILITY_QUALITY_NOT_GREEN")
+
+
 def capability_reasons() -> Column:
     """Of a provider's capability (configured, verification_status, production_ready, quality); null fails closed."""
-    return rules.reasons([
-        (~F.col("configured"), "CAPABILITY_NOT_CONFIGURED"), (F.col("verification_status") != "VERIFIED", "CAPABILITY_UNVERIFIED"),
-        (~F.col("production_ready"), "CAPABILITY_NOT_PRODUCTION_READY"), (F.col("quality") != "GREEN", "CAPABILITY_QUALITY_NOT_GREEN"),
-    ])
+    broken = (~F.col("configured"), F.col("verification_status") != "VERIFIED", ~F.col("production_ready"), F.col("quality") != "GREEN")
+    return rules.reasons(list(zip(broken, CAPABILITY_CODES, strict=True)))
 
 
 def bar_violations() -> Column:

@@ -10,15 +10,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof, quality
 from tidemark.operators.scans import PART_ROWS, Ordered
 from tidemark.session import cut
+from tidemark.sources import records
 from tidemark.streaming.folds import Collector, _clean
 
 OUTPUT = "provider string, seq long, state string, accepted boolean, reasons string, watermark double, next_retry_at double, attempts long"
@@ -233,3 +235,72 @@ def _told(machine: Collector, is_) -> Iterator[Column]:
     yield F.greatest("mark", F.when(F.col("quoted"), F.col("source_ts"))).alias("watermark")
     yield F.col("now.retry").alias("next_retry_at")
     yield F.coalesce("now.tries", F.lit(0)).cast("long").alias("attempts")
+
+
+#: What a run tells of its events, however long ago.
+LASTING = ("SCHEMA_DRIFT", "RECONNECT_BUDGET_EXHAUSTED", "INVALID_RETRY_AFTER")
+
+
+def counting_quotes(events: DataFrame, told: DataFrame, seq: str = "seq") -> DataFrame:
+    """Of events (provider, seq, source and more) the quotes that count for the feed's quality: of every source the latest accepted quote since the
+    provider's connection was last lost, limited or stopped. told: what collect() says of the events."""
+    rows = events.join(told.select("provider", seq, "accepted", F.split("reasons", ",").alias("__why")), ["provider", seq])
+    heard = ~F.arrays_overlap("__why", F.array(*(F.lit(c) for c in ("DUPLICATE_EVENT", "EVENT_TIME_REGRESSION", "COLLECTOR_HALTED"))))
+    cleared = rows.where(F.col("kind").isin(*quality.CLEARING) & heard).groupBy("provider").agg(F.max(seq).alias("__cleared"))
+    quotes = rows.where((F.col("kind") == "QUOTE") & F.col("accepted")).join(cleared, "provider", "left")
+    quotes = quotes.where(F.col("__cleared").isNull() | (F.col(seq) > F.col("__cleared")))
+    return asof.latest_per_key(quotes, ["provider", "source"], [seq], [c for c in events.columns if c not in ("provider", "source")])
+
+
+def run_report(
+    events: DataFrame, told: DataFrame, capabilities: DataFrame, report: DataFrame | None = None, gate: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """One row a provider: state, sorted reasons, accepted_quotes, duplicate_events, duplicate_observations, out_of_order, watermark, next_retry_at.
+
+    told: what collect() says of events (provider, seq, kind, at). capabilities: provider, configured, verification_status, production_ready, quality;
+    a provider without a row fails closed. report: provider, status, reasons of the quotes that count (quality.evaluate_quotes), NO_QUALITY_REPORT
+    without a row. gate: the session's reasons at an instant, asked for the last event's. A run without reasons may be decided upon.
+    """
+    rows = told.join(events.select("provider", "seq", "kind", "at"), ["provider", "seq"])
+    why = F.split("reasons", ",")
+    has = lambda code: F.count_if(F.array_contains(why, code))
+    lasting = F.array_compact(F.array(*(F.when(has(code) > 0, F.lit(code)) for code in LASTING)))
+    last = F.max_by(F.struct("state", "watermark", "next_retry_at", "at"), "seq").alias("last")
+    runs = rows.groupBy("provider").agg(
+        last, lasting.alias("lasting"), F.count_if(F.col("accepted") & (F.col("kind") == "QUOTE")).alias("accepted_quotes"), has("DUPLICATE_EVENT").alias("duplicate_events"),
+        has("DUPLICATE_OBSERVATION").alias("duplicate_observations"), has("OUT_OF_ORDER_OBSERVATION").alias("out_of_order"),
+    )
+    able = capabilities.select("provider", quality.capability_reasons().alias("able"))
+    runs = runs.join(able, "provider", "left").withColumn("able", F.coalesce("able", F.array(*(F.lit(c) for c in quality.CAPABILITY_CODES))))
+    none = F.array().cast("array<string>")
+    if report is None:
+        good = F.array(F.lit("NO_QUALITY_REPORT"))
+    else:
+        runs = runs.join(report.select("provider", F.col("status").alias("__status"), F.col("reasons").alias("__reasons")), "provider", "left")
+        fails = F.when(F.size("__reasons") > 0, F.col("__reasons")).otherwise(F.array(F.lit("QUALITY_NOT_GREEN")))
+        good = F.when(F.col("__status").isNull(), F.array(F.lit("NO_QUALITY_REPORT"))).when(F.col("__status") == "GREEN", none).otherwise(fails)
+    state = F.when(F.col("last.state") != "STREAMING", F.array(F.concat(F.lit("COLLECTOR_"), F.col("last.state")))).otherwise(none)
+    closed = none if gate is None else F.coalesce(gate(F.timestamp_micros((F.col("last.at") * 1e6).cast("long"))), none)
+    every = F.array_sort(F.array_distinct(F.concat("able", "lasting", state, closed, good)))
+    counts = ["accepted_quotes", "duplicate_events", "duplicate_observations", "out_of_order"]
+    return runs.select("provider", F.col("last.state").alias("state"), every.alias("reasons"), *counts, F.col("last.watermark").alias("watermark"), F.col("last.next_retry_at").alias("next_retry_at"))
+
+
+def event_records(events: DataFrame, content: list[str], provider_version: str) -> DataFrame:
+    """Every event (provider, event_id, kind, at, published_at, schema_version) as a point-in-time record of its content (event_id, kind and the columns
+    of `content`), which must have been published before it was seen."""
+    seen = F.timestamp_micros((F.col("at") * 1e6).cast("long"))
+    rows = events.withColumns({"logical_key": F.concat_ws(":", F.lit("collector-event"), "provider", "event_id"), "first_seen_at": seen, "provider_version": F.lit(provider_version)})
+    return records.records(rows, ["event_id", "kind", *content])
+
+
+def output_records(events: DataFrame, told: DataFrame, author: str, author_version: str = "collector-v1") -> DataFrame:
+    """What the collector says of every event as a point-in-time record of `author`, seen with the event."""
+    rows = told.join(events.select("provider", "seq", "event_id", "at"), ["provider", "seq"])
+    instant = lambda c: F.timestamp_micros((F.col(c) * 1e6).cast("long"))
+    why = F.when(F.col("reasons") == "", F.array().cast("array<string>")).otherwise(F.split("reasons", ","))
+    rows = rows.withColumns({
+        "logical_key": F.concat_ws(":", F.lit("collector-output"), "provider", "event_id"), "published_at": instant("at"), "first_seen_at": instant("at"), "provider": F.lit(author), "provider_version": F.lit(author_version),
+        "schema_version": F.lit("collector-output-v1"), "reasons": why, "watermark": instant("watermark"), "next_retry_at": instant("next_retry_at"), "reconnect_attempts": F.col("attempts"),
+    })
+    return records.records(rows, ["event_id", "state", "accepted", "reasons", "watermark", "next_retry_at", "reconnect_attempts"])
