@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
+from tidemark.functions.scalars import years_between
 from tidemark.operators import execution, market, refits, tails, workflows
 from tidemark.plans import rule_queries
 from tidemark.plans.views import view, with_views
@@ -234,6 +235,31 @@ SELECT day, model, n AS n_train, CASE WHEN n < {_MIN_TRAIN} THEN 'INSUFFICIENT_H
   CASE WHEN n >= {_MIN_TRAIN} THEN regime END AS regime FROM r""", "labels_day")
 
 
+def entry_volatilities(spark, sf_dir):
+    """Each order day's chain, priced at a volatility of the day, and its minute bars: what an entry knows. Every 5th day of a month has no
+    two-sided quote, and quotes after the entry are wild."""
+    day = F.to_date("o_orderdate").alias("day")
+    days = table(spark, sf_dir, "orders").groupBy(day).agg(F.count("*").alias("n"))
+    at = lambda h, m: F.timestamp_seconds(F.unix_date("day").cast("long") * 86400 + (h * 60 + m) * 60)
+    days = days.select("day", "n", at(13, 45).alias("entry_ts"), F.expr("timestampadd(DAY, 30, CAST(day AS TIMESTAMP))").alias("expiry_ts"), F.lit(6400.0).alias("center"), (F.lit(0.1) + F.dayofyear("day") % 20 / 100.0).alias("sigma"))
+    options = days.withColumn("k", F.explode(F.sequence(F.lit(6240), F.lit(6560), F.lit(20)))).withColumn("is_call", F.explode(F.array(F.lit(True), F.lit(False))))
+    options = options.withColumns({"strike": F.col("k").cast("double"), "tau": years_between(F.col("entry_ts"), F.col("expiry_ts"))})
+    options = market.with_option_price(options, "sigma", "center", "strike", "tau", "is_call", 0.045, "mid")
+    symbol = market.osi_symbol(F.lit("SPXW"), F.col("day"), F.when(F.col("is_call"), "C").otherwise("P"), F.col("strike"))
+    known = F.struct(at(13, 44).alias("ts"), F.lit(1).alias("seq"), F.when(F.dayofmonth("day") % 5 != 0, F.col("mid") - 0.05).alias("bid"), (F.col("mid") + 0.05).alias("ask"))
+    later = F.struct(at(13, 46).alias("ts"), F.lit(2).alias("seq"), (F.col("mid") * 3).alias("bid"), (F.col("mid") * 3 + 1).alias("ask"))
+    quotes = options.select("day", symbol.alias("symbol"), F.inline(F.array(known, later)))
+    bars = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("m"), "n").select("day", F.timestamp_seconds(F.unix_date("day").cast("long") * 86400 + (13 * 60 + F.col("m") + 20) * 60).alias("ts"), (6400.0 + F.col("m") * F.col("n") % 11).alias("close"))
+    found = workflows.entry_snapshot(quotes, bars, days.select("day", "entry_ts", "center", "expiry_ts"))
+    return found.select("day", F.round("atm_iv", 3).alias("atm_iv"), (F.round("skew", 3) + 0.0).alias("skew"), F.round("realized_vol", 9).alias("realized_vol"), F.round("median_spread", 6).alias("median_spread"), "atm_iv_valid")
+
+
+VOLATILITIES = """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT day, m, 6400.0::DOUBLE + m * n % 11 AS close FROM d, range(0, 25) t(m)),
+r AS (SELECT day, ln(close / lag(close) OVER (PARTITION BY day ORDER BY m)) AS x FROM b), v AS (SELECT day, stddev_samp(x) * sqrt(252 * 390) AS vol FROM r GROUP BY day)
+SELECT day, CASE WHEN day(day) % 5 <> 0 THEN round(CAST(0.1 AS DOUBLE) + dayofyear(day) % 20 / CAST(100 AS DOUBLE), 3) END AS atm_iv, CAST(0 AS DOUBLE) AS skew, round(vol, 9) AS realized_vol, CASE WHEN day(day) % 5 <> 0 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS median_spread, day(day) % 5 <> 0 AS atm_iv_valid
+FROM d JOIN v USING (day)"""
+
+
 def ingest_plan(spark, sf_dir):
     """Orders as pulls of their days, by their costs: what is present, not due, a gap, without a chain, or planned."""
     o, k, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate").alias("day")
@@ -253,5 +279,5 @@ SELECT outcome, count(*) AS n, CAST(sum(CAST(cost AS DECIMAL(18,2))) AS DOUBLE)
 QUERIES = {
     "ingest_plan": (ingest_plan, PLAN),
     "label_batch": (label_batch, LABEL_BATCH), "feature_outcomes": (feature_outcomes, FEATURES), "economics_days": (economics_days, ECONOMICS), "economics_report": (economics_report, REPORT), "exit_comparison": (exit_comparison, EXITS),
-    "exit_report": (exit_report, EXIT_REPORT), "entry_risk": (entry_risk, ENTRY_RISK), "walk_forward_models": (walk_forward_models, WALK_FORWARD), "daily_refits": (daily_refits, REFITS), "daily_buffered_refits": (daily_buffered_refits, None),
+    "exit_report": (exit_report, EXIT_REPORT), "entry_risk": (entry_risk, ENTRY_RISK), "walk_forward_models": (walk_forward_models, WALK_FORWARD), "entry_volatilities": (entry_volatilities, VOLATILITIES), "daily_refits": (daily_refits, REFITS), "daily_buffered_refits": (daily_buffered_refits, None),
 }
