@@ -187,13 +187,15 @@ def collect(events: DataFrame, machine: Collector, order: list[str] | None = Non
     rows = cut(rows.withColumns({"regress": regress, "heard": heard, "kind": F.when(heard, kind).otherwise(F.col("kind"))}))
 
     control = rows.where(F.col("heard") & F.col("kind").isin(*CONTROL)).select("provider", "part", *order, "row", "kind", "at", "payload")
-    control = cut(control)
-    begin = control.select("provider", "part").limit(0).selectExpr("provider", "part", "'' AS state", "0L AS tries", "0D AS retry")
+    shape = "row long, state string, tries long, retry double, wrong string"
     if scan.split:
+        control = cut(control)
         runs = control.groupBy("provider", "part").applyInPandas(_runs(connection, order), _SUMMARY)
         begin = cut(runs.groupBy("provider").applyInPandas(_carried(connection), "provider string, part int, state string, tries long, retry double"))
-    by_part = control.groupBy("provider", "part").cogroup(begin.groupBy("provider", "part"))
-    lines = by_part.applyInPandas(_applied(connection, order), "row long, state string, tries long, retry double, wrong string")
+        lines = control.groupBy("provider", "part").cogroup(begin.groupBy("provider", "part")).applyInPandas(_applied(connection, order), shape)
+    else:  # one part a provider, which begins stopped
+        alone = _applied(connection, order)
+        lines = control.groupBy("provider").applyInPandas(lambda own: alone(own, pd.DataFrame()), shape)
     lines = lines.select("row", F.struct("state", "tries", "retry").alias("line"), "wrong")
 
     rows = scan.running(rows.join(lines, "row", "left"), before={"was": ("last", F.col("line"))}, upto={"now": ("last", F.col("line"))})
