@@ -95,3 +95,14 @@ def test_null_and_repeated_ids_are_rows_like_others(spark):
     assert kept.columns == ["doc_id", "text", "n"]
     got = kept.collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(7, one), (7, two), (0, "other words of its own here"), (8, ""), (8, ""), (0, ""), (0, "lone copy of null ids")])
+
+
+def test_an_id_with_several_texts_links_what_links_with_any(spark):
+    rng = np.random.default_rng(12)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 9000, 60)) for _ in range(4))
+    near = lambda t: t + " one more"
+    rows = [(1, a), (1, b), (3, near(b)), (5, near(a)), (9, c), (8, c), (8, d), (4, near(d)), (6, ""), (6, None), (20, "alone in all the world of words"), (None, a), (1, a)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert len(out) == len(rows) and sorted(r.n_shingles for r in out if r.doc_id == 1) == [57, 57, 57]
+    found = {r.doc_id: (r.component_id, r.kept) for r in out}
+    assert found == {1: (1, True), 3: (1, False), 5: (1, False), 9: (4, False), 8: (4, False), 4: (4, True), 6: (6, True), 20: (20, True), None: (None, True)}

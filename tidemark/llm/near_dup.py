@@ -225,7 +225,22 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return tagged.join(several, "key")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_rows(docs: DataFrame, words: int, percent: int, tables) -> DataFrame:
+    """near_duplicates() of docs in which an id has several texts: rows are linked under numbers of their own, and then ids by the groups of
+    rows that they are in."""
+    keyed = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    rows = near_duplicates(keyed.select("row", "text"), words, percent, "row", "text", unique=True).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("g"))
+    rows = tables.keep(cut(rows.join(keyed.select("row", F.col("doc_id").alias("id")), "row")))
+    named = rows.where("n_shingles > 0 AND id IS NOT NULL")
+    # An id is one node: it hangs on the smallest id of each group that it is in.
+    least = cut(named.groupBy("g").agg(F.min("id").alias("b")))
+    found = tables.keep(cut(connected_components(cut(named.join(least, "g").where("id <> b").select(F.col("id").alias("a"), "b").distinct()))))
+    out = rows.select(F.col("id").alias("doc_id"), "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.col("doc_id").eqNullSafe(linked).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id, kept): groups of documents linked at 100 * intersection >= percent *
     union of their sets of distinct word shingles (lower-cased A-Z, words divided by ASCII white space).
 
@@ -233,11 +248,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     buckets. Buckets that still hold several components are compared by sketches, in tiles that give a forest of the
     components that may be linked; then the classes of each such neighbourhood meet once with their full sets, in tiles
     that again give no more than a forest. No pair of a group is ever a row, no bucket is capped, and every link is
-    confirmed on full sets.
+    confirmed on full sets. unique: ids are known to be those of one row each.
 
     Null and empty texts, and texts without words, have an empty set and link with nothing; repeated texts are
-    links between equal sets; rows that repeat an id with its text get a result each (an id stands for one text); rows with a null id link with
-    nothing (component_id null, kept); an empty table gives an empty result; other columns are ignored.
+    links between equal sets; rows that repeat an id get a result each, and are one document, whether their texts are the same or not: what
+    links with any of them links with the id (see _by_rows). Rows with a null id link with nothing (component_id null, kept); an empty
+    table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with scratch() as tables:
@@ -245,6 +261,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         # One row for each distinct set: its smallest document stands for it, with its bands and sketch.
         one = F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")
         own = sig.where("n_shingles > 0 and doc_id is not null")
+        if not unique:
+            sets = own.groupBy("doc_id").agg(F.min("fp1").alias("lo1"), F.max("fp1").alias("hi1"), F.min("fp2").alias("lo2"), F.max("fp2").alias("hi2"))
+            if not sets.where("lo1 < hi1 OR lo2 < hi2").isEmpty():
+                return _by_rows(docs, words, percent, tables)
         classes = cut(own.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), one))
         reps = classes.select(F.col("rep").alias("id"), "size", "s.bands", "s.sketch")
 
@@ -286,7 +306,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
     with scratch() as tables:
         keyed = tables.keep(cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))))
         texts = keyed.select("row", F.col("doc").getField(text_col).alias("text"))
-        groups = near_duplicates(texts, words, percent, "row", "text").where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+        groups = near_duplicates(texts, words, percent, "row", "text", unique=True).where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
         groups = cut(groups.join(keyed.select("row", F.col("doc").getField(id_col).cast("long").alias("id")), "row"))
         stays = groups.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
         several = stays.where("n > 1").select("group", F.col("first.row").alias("stay"))
