@@ -69,6 +69,18 @@ def test_runs_compose():
         assert connection.through(begin, summary) == line, (begin, events)
 
 
+@pytest.mark.parametrize("part_rows", [1 << 20, 13])
+def test_outbox_equals_the_machine(spark, part_rows):
+    rng = random.Random(part_rows)
+    rows = [(rng.choice(["hot"] * 5 + ["k", None]), f"m{rng.randrange(150)}", i, float(rng.randrange(4000))) for i in range(300)]
+    step, states, want = folds.outbox_step(cooldown=40.0), {}, []
+    for key, message, seq, at in sorted(rows, key=lambda r: (str(r[0]), r[3], r[2])):
+        states[key], found = step(states.get(key, {}), {"dedupe_key": key, "message_id": message, "at": at})
+        want.append((str(key), message, found["outcome"]))
+    got = feeds.outbox(spark.createDataFrame(rows, "dedupe_key string, message_id string, seq int, at double"), cooldown=40.0, part_rows=part_rows).collect()
+    assert sorted((str(r.dedupe_key), r.message_id, r.outcome) for r in got) == sorted(want) and len({o for _, _, o in want}) == 3
+
+
 def test_a_duplicate_is_refused_at_any_age(spark):
     day = 86400.0
     rows = [("p", "a", 1, "START", 0.0, "v1", 0.0, "", None), ("p", "b", 2, "CONNECTED", 1.0, "v1", 0.0, "", None), ("p", "c", 3, "QUOTE", 2.0, "v1", 2.0, "q", None), ("p", "c", 4, "QUOTE", 8 * day, "v1", 8 * day, "r", None), ("p", "d", 5, "QUOTE", 400 * day, "v1", 400 * day, "q", None)]

@@ -205,7 +205,7 @@ def alert_cooldown_fold(spark, sf_dir):
 def outbox_fold(spark, sf_dir):
     """Each user's events as messages: one for each cooldown window that slides with every message."""
     rows = _events(spark, sf_dir).select(F.concat_ws(":", "user_id", "event_type").alias("dedupe_key"), F.col("event_id").cast("string").alias("message_id"), F.col("event_id").alias("seq"), (F.col("us") / 1e6).alias("at"))
-    return folds.fold(rows, "dedupe_key", ["at", "seq"], folds.outbox_step(cooldown=86400.0), "dedupe_key string, message_id string, outcome string")
+    return feeds.outbox(rows, cooldown=86400.0)
 
 
 OUTBOX = """SELECT dedupe_key, CAST(event_id AS VARCHAR) AS message_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY dedupe_key ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 'SUPPRESSED' ELSE 'ENQUEUED' END AS outcome

@@ -239,6 +239,19 @@ def _told(machine: Collector, is_) -> Iterator[Column]:
     yield F.coalesce("now.tries", F.lit(0)).cast("long").alias("attempts")
 
 
+def outbox(messages: DataFrame, cooldown: float = 300.0, order: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """messages (dedupe_key, message_id, at) -> dedupe_key, message_id, outcome, as folds.outbox_step says it in the order of `order` (at, seq): DUPLICATE for a
+    key's message that came before, SUPPRESSED within the cooldown of the key's latest other message (suppressed ones too), ENQUEUED. No state, and
+    so nothing is forgotten; a key of any number of messages is dealt over tasks."""
+    order = order or ["at", "seq"]
+    scan = Ordered(messages.withColumn("row", F.monotonically_increasing_id()), ["dedupe_key"], [*order, "row"], part_rows)
+    rows = scan.rows.join(_first(scan.rows, ["dedupe_key", "message_id"], order, "first_message"), "row", "left")
+    fresh = F.col("first_message").isNotNull()
+    rows = scan.running(rows, before={"latest": ("last", F.when(fresh, F.col("at")))})
+    near = F.coalesce(F.col("at") - F.col("latest") < cooldown, F.lit(False))
+    return rows.select("dedupe_key", "message_id", F.when(~fresh, "DUPLICATE").when(near, "SUPPRESSED").otherwise("ENQUEUED").alias("outcome"))
+
+
 #: What a run tells of its events, however long ago.
 LASTING = ("SCHEMA_DRIFT", "RECONNECT_BUDGET_EXHAUSTED", "INVALID_RETRY_AFTER")
 
