@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, rules
-from tidemark.session import table
+from tidemark.session import cut, table
 from tidemark.streaming import feeds, folds
 
 
@@ -217,15 +217,30 @@ def delivery_fold(spark, sf_dir):
     return folds.fold(rows, "message_id", ["at", "seq"], folds.delivery_step(), "message_id string, seq long, attempt long, outcome string, due double")
 
 
-def collector_fold(spark, sf_dir):
-    """Each event type's feed: event kinds by id, quotes in between."""
+def _feed(spark, sf_dir):
     kind = F.when(F.col("event_id") % 500 == 0, "CONNECTION_LOST").when(F.col("event_id") % 90 < 2, "CONNECTED").when(F.col("event_id") % 100 == 7, "HEARTBEAT").otherwise("QUOTE")
     first = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) == 1
     rows = _events(spark, sf_dir).select(
         F.col("event_type").alias("provider"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("seq"), F.when(first, "START").otherwise(kind).alias("kind"), (F.col("us") / 1e6).alias("at"),
         F.lit("v1").alias("schema_version"), ((F.col("us") / 1e6) - F.col("event_id") % 3).alias("source_ts"), F.col("event_id").cast("string").alias("payload"),
     )
-    return feeds.collect(rows, folds.Collector(fresh=3600.0))
+    return rows
+
+
+def collector_fold(spark, sf_dir):
+    """Each event type's feed: event kinds by id, quotes in between."""
+    return feeds.collect(_feed(spark, sf_dir), folds.Collector(fresh=3600.0))
+
+
+def collector_report(spark, sf_dir):
+    """What a run of each of these feeds comes to, with capabilities by the length of their names, and a session that is closed at odd hours."""
+    events = cut(_feed(spark, sf_dir))
+    told = cut(feeds.collect(events, folds.Collector(fresh=3600.0)))
+    size = F.length("provider")
+    able = events.select("provider").distinct().select("provider", (size % 2 == 0).alias("configured"), F.when(size % 3 != 0, F.lit("VERIFIED")).alias("verification_status"), F.lit(True).alias("production_ready"), F.lit("GREEN").alias("quality"))
+    gate = lambda at: F.when(F.hour(at) % 2 == 1, F.array(F.lit("SESSION_CLOSED")))
+    found = feeds.run_report(events, told, able, gate=gate)
+    return found.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def checkpoint_manifests(spark, sf_dir):
@@ -286,11 +301,19 @@ UNION ALL SELECT provider, rn, seq, CASE WHEN stale THEN 'DEGRADED' ELSE state E
       FROM (SELECT e.provider, e.rn, e.seq, e.t, e.source_ts, e.kind, f.state, f.tries, f.retry, f.mark, f.last, f.seen FROM f JOIN e ON e.provider = f.provider AND e.rn = f.rn + 1) x) y) z))
 SELECT provider, seq, state, why = '' AS accepted, array_to_string(list_sort(list_filter([CASE WHEN why <> '' THEN why END, CASE WHEN stale THEN 'COLLECTOR_STALE' END], lambda r: r IS NOT NULL)), ',') AS reasons, mark AS watermark, retry AS next_retry_at, tries AS attempts FROM f WHERE rn > 0"""
 
+COLLECTOR_REPORT = f"""WITH k AS (SELECT event_id AS seq, ts, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY event_id) = 1 THEN 'START' WHEN event_id % 500 = 0 THEN 'CONNECTION_LOST' WHEN event_id % 90 < 2 THEN 'CONNECTED' WHEN event_id % 100 = 7 THEN 'HEARTBEAT' ELSE 'QUOTE' END AS kind FROM events),
+c AS (SELECT * FROM ({COLLECTED}) JOIN k USING (seq)),
+r AS (SELECT provider, arg_max(state, seq) AS state, count(*) FILTER (accepted AND kind = 'QUOTE') AS accepted_quotes, count(*) FILTER (contains(reasons, 'OUT_OF_ORDER')) AS out_of_order, bool_or(contains(reasons, 'RECONNECT_BUDGET')) AS spent, arg_max(ts, seq) AS last,
+  arg_max(coalesce(watermark, 'NaN'::DOUBLE), seq) AS watermark, arg_max(coalesce(next_retry_at, 'NaN'::DOUBLE), seq) AS next_retry_at FROM c GROUP BY provider)
+SELECT provider, state, array_to_string(list_sort(list_filter([CASE WHEN length(provider) % 2 <> 0 THEN 'CAPABILITY_NOT_CONFIGURED' END, CASE WHEN length(provider) % 3 = 0 THEN 'CAPABILITY_UNVERIFIED' END, CASE WHEN spent THEN 'RECONNECT_BUDGET_EXHAUSTED' END,
+  CASE WHEN state <> 'STREAMING' THEN 'COLLECTOR_' || state END, CASE WHEN hour(last) % 2 = 1 THEN 'SESSION_CLOSED' END, 'NO_QUALITY_REPORT'], lambda x: x IS NOT NULL)), ',') AS reasons, accepted_quotes, CAST(0 AS BIGINT) AS duplicate_events, CAST(0 AS BIGINT) AS duplicate_observations, out_of_order,
+  CASE WHEN NOT isnan(watermark) THEN watermark END AS watermark, CASE WHEN NOT isnan(next_retry_at) THEN next_retry_at END AS next_retry_at FROM r"""
+
 
 QUERIES = {
     "pit_latest_revision": (pit_latest_revision, PIT), "outcome_counts": (outcome_counts, OUTCOMES), "promotion_gate": (promotion_gate, PROMOTION), "readiness_blockers": (readiness_blockers, READINESS),
     "decision_gates": (decision_gates, GATES), "risk_lock_state": (risk_lock_state, RISK), "next_checkpoint": (next_checkpoint, CHECKPOINT), "hash_chain_verify": (hash_chain_verify, CHAIN),
     "lineage_recursive": (lineage_recursive, LINEAGE), "attribution_confidence": (attribution_confidence, ATTRIBUTION), "effective_status": (effective_status, STATUS), "union_all_tagged": (union_all_tagged, UNION),
     "ordered_digest": (ordered_digest, DIGEST), "json_key_allowlist": (json_key_allowlist, ALLOWLIST), "tumbling_bars": (tumbling_bars, TUMBLING), "user_sessions": (user_sessions, SESSIONS), "checkpoint_manifests": (checkpoint_manifests, CHECKPOINTS), "audit_integrity": (audit_integrity, INTEGRITY),
-    "alert_cooldown_fold": (alert_cooldown_fold, ALERTS), "outbox_fold": (outbox_fold, OUTBOX), "delivery_fold": (delivery_fold, DELIVERY), "collector_fold": (collector_fold, COLLECTED),
+    "alert_cooldown_fold": (alert_cooldown_fold, ALERTS), "outbox_fold": (outbox_fold, OUTBOX), "delivery_fold": (delivery_fold, DELIVERY), "collector_fold": (collector_fold, COLLECTED), "collector_report": (collector_report, COLLECTOR_REPORT),
 }
