@@ -14,6 +14,7 @@ from tidemark.operators.exact import exact_sums
 from tidemark.plans.models import Descriptor, Registry
 from tidemark.plans.views import view, with_views
 from tidemark.session import shared_dir, table
+from tidemark.sources.attribution_log import with_review_state
 from tidemark.sources.log import Log
 
 
@@ -107,7 +108,21 @@ def structure_fees(spark, sf_dir):
 FEES = "SELECT l_orderkey, round(2 * (4 * CAST(max(l_quantity) AS BIGINT) * (CAST(0.65 AS DOUBLE) + CAST(0.05 AS DOUBLE)) + CAST(0.1 AS DOUBLE)), 6) AS fees FROM lineitem GROUP BY l_orderkey"
 
 
+def reviewed_tasks(spark, sf_dir):
+    """Orders as attribution tasks, their lines as reviews: the last review's status, and whether any keeps the task as a sample."""
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.lit("PENDING").alias("review_status"), (F.col("o_orderkey") % 50 == 0).alias("retained")).where("task_id % 7 <> 0")
+    review = F.concat_ws(":", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+    status = F.when(F.col("l_returnflag") == "R", "REJECTED").when(F.col("l_returnflag") == "A", "ACCEPTED").otherwise("PENDING")
+    reviews = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("task_id"), review.alias("review_id"), F.col("l_shipdate").alias("reviewed_at"), status.alias("status"), (F.col("l_linenumber") == 6).alias("retain"))
+    return with_review_state(tasks, reviews)
+
+
+REVIEWED = """WITH r AS (SELECT l_orderkey AS task_id, arg_max(CASE l_returnflag WHEN 'R' THEN 'REJECTED' WHEN 'A' THEN 'ACCEPTED' ELSE 'PENDING' END, (l_shipdate, concat_ws(':', l_linenumber, l_partkey, l_suppkey, CAST(floor(l_quantity) AS INTEGER)))) AS status, bool_or(l_linenumber = 6) AS retain
+  FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey)
+SELECT o_orderkey AS task_id, coalesce(status, 'PENDING') AS review_status, o_orderkey % 50 = 0 OR coalesce(retain, false) AS retained FROM orders LEFT JOIN r ON task_id = o_orderkey WHERE o_orderkey % 7 <> 0"""
+
+
 QUERIES = {
-    "detector_lateral": (detector_lateral, LATERAL), "snapshot_ids": (snapshot_ids, SNAPSHOTS), "exact_totals": (exact_totals, TOTALS), "numbered_commits": (numbered_commits, NUMBERED),
+    "reviewed_tasks": (reviewed_tasks, REVIEWED), "detector_lateral": (detector_lateral, LATERAL), "snapshot_ids": (snapshot_ids, SNAPSHOTS), "exact_totals": (exact_totals, TOTALS), "numbered_commits": (numbered_commits, NUMBERED),
     "drawdown_of_all": (drawdown_of_all, DRAWDOWN), "capability_faults": (capability_faults, CAPABILITIES), "structure_fees": (structure_fees, FEES),
 }
