@@ -217,27 +217,33 @@ def quartile_regime(value: str, cuts: list[Column], missing: str = "UNKNOWN") ->
 
 
 def _folds(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int, step_groups: int | None) -> tuple[DataFrame, DataFrame]:
-    """(samples with the rank of their group, folds): fold f tests ranks [least, least + test_groups) from `start`; its training
-    groups have a lower rank and its training samples were observed before `cut`."""
+    """(samples with the rank of their group and the folds that they are tested in (__tests) and might train for (__trains), folds): fold f tests
+    ranks [least, least + test_groups) from test_start; its training groups have a lower rank and its training samples were observed
+    before `cut`."""
     step = step_groups or test_groups
     if min(min_train, test_groups, step) <= 0 or gap_days < 0:
         raise ValueError("groups must be positive, and the gap not negative")
     groups = samples.groupBy(group).agg(F.min(at).alias("first_at"))
     ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy("first_at", group)) - 1)  # one row a group
-    folds = ranked.agg(F.count("*").alias("n")).select(F.explode(F.expr(f"filter(sequence(0L, n), f -> {min_train} + f * {step} + {test_groups} <= n)")).alias("fold"))
-    folds = folds.withColumn("least", F.lit(min_train) + F.col("fold") * step)
-    first = folds.join(ranked, (F.col("rank") >= F.col("least")) & (F.col("rank") < F.col("least") + test_groups)).groupBy("fold", "least").agg(F.min("first_at").alias("test_start"))
-    return samples.join(ranked.select(group, "rank"), group), first.withColumn("cut", F.col("test_start") - F.expr(f"INTERVAL {gap_days} DAYS"))
+    last = F.floor((F.col("__n") - (min_train + test_groups)) / step)
+    ranked = ranked.crossJoin(F.broadcast(groups.agg(F.count("*").alias("__n"))))  # one row
+    after = F.floor((F.col("rank") - min_train) / step)
+    tested = F.greatest(F.lit(0), F.ceil((F.col("rank") - (min_train + test_groups - 1)) / step)), F.least(last, after)
+    trained = F.greatest(F.lit(0), after + 1), last
+    spans = {name: F.when(a <= b, F.sequence(a, b)) for name, (a, b) in (("__tests", tested), ("__trains", trained))}
+    ranked = ranked.select(group, "first_at", "rank", *(c.alias(n) for n, c in spans.items()))
+    first = ranked.select(F.explode("__tests").alias("fold"), "first_at").groupBy("fold").agg(F.min("first_at").alias("test_start"))
+    folds = first.select("fold", (F.lit(min_train) + F.col("fold") * step).alias("least"), "test_start", (F.col("test_start") - F.expr(f"INTERVAL {gap_days} DAYS")).alias("cut"))
+    return samples.join(ranked.drop("first_at"), group), folds
 
 
 def fold_members(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int, step_groups: int | None = None) -> DataFrame:
     """(fold, role TEST or TRAIN, the sample's columns): purged expanding folds with their members. A training sample is a member
     of every later fold, as the method has it: rows grow with the number of folds, so use walk_forward_folds for counts."""
     rows, folds = _folds(samples, group, at, min_train, test_groups, gap_days, step_groups)
-    bound = F.broadcast(folds)  # one row a fold
-    test = rows.join(bound, (F.col("rank") >= F.col("least")) & (F.col("rank") < F.col("least") + test_groups)).withColumn("role", F.lit("TEST"))
-    train = rows.join(bound, (F.col("rank") < F.col("least")) & (F.col(at) < F.col("cut"))).withColumn("role", F.lit("TRAIN"))
-    return test.unionByName(train).select("fold", "role", *samples.columns)
+    test = rows.select(F.explode("__tests").alias("fold"), F.lit("TEST").alias("role"), *samples.columns)
+    train = rows.select(F.explode("__trains").alias("fold"), *samples.columns).join(folds.select("fold", F.col("cut").alias("__cut")), "fold").where(F.col(at) < F.col("__cut"))
+    return test.unionByName(train.select("fold", F.lit("TRAIN").alias("role"), *samples.columns))
 
 
 def walk_forward_folds(samples: DataFrame, group: str, at: str, min_train: int, test_groups: int, gap_days: int, step_groups: int | None = None) -> DataFrame:
@@ -246,12 +252,11 @@ def walk_forward_folds(samples: DataFrame, group: str, at: str, min_train: int,
     the first test time less the gap. A fold whose purge leaves no training sample fails the job."""
     rows, folds = _folds(samples, group, at, min_train, test_groups, gap_days, step_groups)
     # By counts of each rank and time: no sample is expanded over the folds.
-    daily = rows.groupBy("rank", F.col(at).alias("at")).agg(F.count("*").alias("c"))
-    met = daily.join(F.broadcast(folds), F.col("rank") < F.col("least") + test_groups)
-    tested, trained = F.col("rank") >= F.col("least"), (F.col("rank") < F.col("least")) & (F.col("at") < F.col("cut"))
-    out = met.groupBy("fold", "test_start").agg(
-        F.max(F.when(tested, F.col("at"))).alias("test_end"), F.sum(F.when(tested, F.col("c"))).alias("n_test"), F.coalesce(F.sum(F.when(trained, F.col("c"))), F.lit(0)).alias("n_train")
-    )
+    daily = rows.groupBy("__tests", "__trains", F.col(at).alias("at")).agg(F.count("*").alias("c"))
+    tested = daily.select(F.explode("__tests").alias("fold"), "at", "c").groupBy("fold").agg(F.max("at").alias("test_end"), F.sum("c").alias("n_test"))
+    met = daily.select(F.explode("__trains").alias("fold"), "at", "c").join(folds.select("fold", "cut"), "fold").where("at < cut")
+    trained = met.groupBy("fold").agg(F.sum("c").alias("n_train"))
+    out = folds.select("fold", "test_start").join(tested, "fold").join(trained, "fold", "left")
     enough = F.when(F.col("n_train") > 0, F.col("n_train")).otherwise(F.raise_error(F.lit("the purge gap leaves a fold without training samples")).cast("long"))
     return out.withColumn("n_train", enough)
 
