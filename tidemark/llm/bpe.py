@@ -94,8 +94,9 @@ class Merges:
 class BytePairs:
     """Encodes and decodes by a tokenizer file of byte-level pairs, without unknown, prefixed or skipped symbols.
 
-    ASCII white space divides texts into words; each word's ids are kept in a cache, and all new words of a slice are merged
-    together. The library normalises and splits words beyond U+00FF; its model isn't used.
+    ASCII white space divides texts into words; each word's ids are kept in a cache, in which words are told apart by 64-bit
+    hashes, and all new words of a slice are merged together. The library normalises and splits words beyond U+00FF; its model
+    isn't used.
     """
 
     def __init__(self, path: str):
