@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, market, rules, tails
-from tidemark.plans import tail_queries, workflow_queries
+from tidemark.plans import record_queries, tail_queries, workflow_queries
 from tidemark.plans.views import view
 
 
@@ -230,3 +231,18 @@ def test_joint_corridor_equals_sorting(spark):
     q = [sorted(x)[math.ceil(4000 * 0.9) - 1] for x in (up, down)]
     miss = sorted(max(0.0, a - q[0], b - q[1]) for a, b in zip(up, down, strict=True))
     assert (r.up_q, r.down_q, r.n, r.buffer) == (*q, 4000, miss[min(4000, math.ceil(4001 * 0.9)) - 1])
+
+
+def test_of_changes_alike_the_first_in_the_table_counts(spark, tmp_path):
+    con = duckdb.connect(config={"threads": 1})
+    con.sql("CREATE TABLE orders AS SELECT range AS o_orderkey, TIMESTAMP '1998-01-01' AS o_orderdate FROM range(400)")
+    # Orders have the same line twice with either flag first, some a later line, a null day or no change at all.
+    con.sql("""CREATE TABLE lineitem AS SELECT i % 397 AS l_orderkey, CASE WHEN i % 5 = 0 THEN 'N' WHEN i % 2 = 0 THEN 'A' ELSE 'R' END AS l_returnflag,
+        CASE WHEN i % 11 > 0 THEN TIMESTAMP '1998-02-01' + INTERVAL (i % 3) DAY END AS l_shipdate, CAST(i % 397 % 3 AS INTEGER) AS l_linenumber FROM range(6000) t(i)""")
+    con.sql(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.sql(f"COPY (SELECT * FROM lineitem LIMIT 2500) TO '{tmp_path}/lineitem.parquet/a.parquet'")
+    con.sql(f"COPY (SELECT * FROM lineitem OFFSET 2500) TO '{tmp_path}/lineitem.parquet/b.parquet'")
+    want = con.sql(record_queries.STATUS).fetchall()
+    assert {s for _, s in want} == {"A", "R", "OPEN"}
+    assert sorted(map(tuple, record_queries.effective_status(spark, str(tmp_path)).collect())) == sorted(want)

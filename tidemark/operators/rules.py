@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scans import PART_ROWS, Ordered
@@ -60,7 +60,9 @@ def lineage(rows: DataFrame, key: str, parent: str) -> DataFrame:
                 return known.select(F.col("k").alias(key), F.col("a").alias("ancestor"), F.col("d").alias("distance"))
 
 
-def effective_status(items: DataFrame, changes: DataFrame, key: str, status: str, order: list[str], default: str) -> DataFrame:
-    """Each item with the last status that changes give it."""
-    last = changes.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("__s"))
+def effective_status(items: DataFrame, changes: DataFrame, key: str, status: str, order: list[str], default: str, place: list[str] | None = None) -> DataFrame:
+    """Each item with the last status that changes give it. Of changes alike in `order` the first by `place` counts; without
+    place, any of them."""
+    lately = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order], *(place or []))
+    last = changes.withColumn("__n", F.row_number().over(lately)).where("__n = 1").select(key, F.col(status).alias("__s"))
     return items.join(last, key, "left").withColumn("effective_status", F.coalesce("__s", F.lit(default))).drop("__s")

@@ -137,9 +137,11 @@ FROM (SELECT l_orderkey, bool_and(l_returnflag = 'N') AS every, bool_or(l_return
 
 
 def effective_status(spark, sf_dir):
+    """Each order's last flag. Some orders have a line number twice on one day: of such lines the first in the table's files counts."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    changes = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_shipdate", "l_linenumber")
-    return rules.effective_status(o, changes, "o_orderkey", "l_returnflag", ["l_shipdate", "l_linenumber"], "OPEN").select("o_orderkey", "effective_status")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    changes = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_shipdate", "l_linenumber", *place)
+    return rules.effective_status(o, changes, "o_orderkey", "l_returnflag", ["l_shipdate", "l_linenumber"], "OPEN", ["file", "row"]).select("o_orderkey", "effective_status")
 
 
 STATUS = """SELECT o_orderkey, coalesce(s, 'OPEN') AS effective_status FROM orders LEFT JOIN (SELECT l_orderkey, first(l_returnflag ORDER BY l_shipdate DESC, l_linenumber DESC) AS s FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
