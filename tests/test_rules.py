@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import calendar, delivery, execution, gates, governance, market, quality
+from tidemark.plans import rule_queries
 
 NOW = dt.datetime(2026, 8, 17, 14, 0, 0)
 POLICY = quality.QualityPolicy(green_max_age=2, amber_max_age=5, max_receive_latency=1, conflict_absolute=0.5, conflict_relative=0.0001)
@@ -104,6 +105,32 @@ def test_conservative_execution(spark):
     assert short.first().pnl is None and execution.pnl_path(short, ["k"]).first().maximum_mtm_loss is None
 
 
+def test_positions_are_dealt_out_once(spark):
+    own = spark.newSession()
+    for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
+        own.conf.set(k, v)
+    plan = lambda name: rule_queries.QUERIES[name][0](own, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    path, opening = plan("execution_pnl_path"), plan("execution_opening")
+    dealt = [line.strip(" +-:") for line in path.splitlines() if "Exchange" in line.split("[")[0]]
+    assert sorted(line.split()[0] for line in dealt) == ["Exchange", "ReusedExchange"]
+    # Each of the two sides has one aggregation with sets, partial and final; fills alone have none.
+    assert path.count("ObjectHashAggregate") == 4 and "ObjectHashAggregate" not in opening
+
+
+def test_marks_need_exactly_the_legs_of_the_opening(spark):
+    a = execution.Assumptions(60.0, 0.0, 0.0)
+    row = lambda k, i, q, m=100.0, at=None: (k, i, q, m, 1.0, 1.0, 9, 9, NOW, at)
+    mark = NOW + dt.timedelta(seconds=1)
+    opening = spark.createDataFrame([row(1, "a", 1), row(1, "b", -1), row(2, "a", 1), row(3, "a", 1), row(4, "a", 1), row(4, "a", 1), row(5, "a", 20), row(None, "a", 1)], LEG + ", at timestamp").drop("at")
+    # 1 in another order; 2 and 3 with another quantity or multiplier, as many legs; 4 twice on both sides; 5 doesn't fill; 6 was never opened; no key or mark, no row.
+    closing = [row(1, "b", -1, at=mark), row(1, "a", 1, at=mark), row(2, "a", 2, at=mark), row(3, "a", 1, 10.0, at=mark), row(4, "a", 1, at=mark), row(4, "a", 1, at=mark), row(5, "a", 20, at=mark), row(6, "a", 1, at=mark), row(None, "a", 1, at=mark), row(1, "a", 1)]
+    closing = spark.createDataFrame(closing, LEG + ", at timestamp")
+    got = execution.executable_pnl(opening, closing, ["k"], "at", F.lit(NOW), a, unique=False).collect()
+    assert sorted((r.k, r.pnl) for r in got) == [(1, 0.0), (2, None), (3, None), (4, 0.0), (5, None), (6, None)]
+    with pytest.raises(Exception, match="leg_id values must be unique"):
+        execution.executable_pnl(opening, closing, ["k"], "at", F.lit(NOW), a).collect()
+
+
 def test_calendars(spark):
     c = calendar.EquityCalendar(dt.date(2026, 1, 1), dt.date(2026, 12, 31), frozenset({dt.date(2026, 12, 25)}), {dt.date(2026, 11, 27): dt.time(13)})
     days = ["2026-08-15", "2027-01-04", "2026-12-25", "2026-11-27", "2026-07-06", "2026-03-06"]

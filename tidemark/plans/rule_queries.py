@@ -228,6 +228,7 @@ def execution_pnl_path(spark, sf_dir):
     """Each order opened now and marked three times later, on quotes that widen; one mark of some orders lacks a leg."""
     a = execution.Assumptions(max_quote_age=20.0, fee=0.5, slippage=0.125)
     legs = staged(spark, sf_dir, "legs").where("bid_size IS NOT NULL AND ask_size IS NOT NULL").withColumns({"bid": F.col("bid") + 1, "ask": F.col("ask") + 1, "quoted_at": _now()})
+    legs = legs.repartition("l_orderkey")  # dealt out once, before each leg becomes three
     marks = legs.withColumn("step", F.explode(F.expr("sequence(1, 3)"))).where("NOT (step = 2 AND l_orderkey % 7 = 0 AND leg_id = 1)")
     marks = marks.withColumn("marked_at", F.expr(f"{_NOW} + step * INTERVAL '1' SECOND")).withColumn("ask", F.col("ask") + F.col("step") * 0.25).drop("step")
     path = execution.executable_pnl(legs, marks, ["l_orderkey"], "marked_at", _now(), a, unique=False)  # some orders have a line twice
